@@ -248,7 +248,7 @@ def _small_labels(rects: DataFrame, page: str) -> DataFrame:
     lists = rects.groupBy(page).agg(
         F.array_sort(F.collect_list(F.struct(F.col("box_id").alias("id"), "gx1", "gy1", "gx2", "gy2"))).alias("_r")
     )
-    sides = [F.transform("_r", lambda r, c=c: r[c]) for c in ("gx1", "gy1", "gx2", "gy2")]
+    sides = [F.col(f"_r.{c}") for c in ("gx1", "gy1", "gx2", "gy2")]
     labelled = lists.withColumn("_l", kernel(*sides))
     pairs = F.transform("_r", lambda r, i: F.struct(r.id.alias("box_id"), F.get("_r", F.get("_l", i).cast("int")).id.alias("label")))
     return labelled.select(page, F.explode(pairs).alias("p")).select(page, "p.box_id", "p.label")

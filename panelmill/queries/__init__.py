@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import layout, links  # noqa: F401
+    from . import boxes, cuts, jobs, layout, links, text  # noqa: F401
