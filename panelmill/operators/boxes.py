@@ -116,45 +116,51 @@ def _cells(lo: str | Column, hi: str | Column, size: int) -> Column:
     return F.sequence(F.floor(lo / size).cast("int"), F.floor(hi / size).cast("int"))
 
 
-def bubble_points(points: DataFrame, boxes: DataFrame, page: str = "image_id", cell: int = 64) -> DataFrame:
-    """Distinct points (page, cx, cy) that lie in any box, edges included.
+def _clipped(boxes: DataFrame, page: str, cell: int) -> DataFrame:
+    """Boxes cut at cell borders and made distinct per cell.
 
-    Boxes are clipped to the cells they touch and made distinct there, so the many boxes
-    that cover a whole cell of a crowded page shrink to one row.
+    The many boxes that cover a whole cell of a crowded page shrink to one row; of boxes
+    with the same left, right and top edge only the deepest stays.
     """
-    spots = points.select(page, "cx", "cy").distinct()
-    spots = spots.withColumn("gx", F.floor(F.col("cx") / cell).cast("int")).withColumn(
-        "gy", F.floor(F.col("cy") / cell).cast("int")
+    parts = boxes.select(page, "x1", "y1", "x2", "y2", F.explode(_cells("x1", "x2", cell)).alias("gx")).select(
+        "*", F.explode(_cells("y1", "y2", cell)).alias("gy")
     )
-    clipped = (
-        boxes.select(page, "x1", "y1", "x2", "y2", F.explode(_cells("x1", "x2", cell)).alias("gx"))
-        .select("*", F.explode(_cells("y1", "y2", cell)).alias("gy"))
-        .select(
-            page, "gx", "gy",
-            F.greatest("x1", F.col("gx") * cell).alias("x1"), F.least("x2", F.col("gx") * cell + cell - 1).alias("x2"),
-            F.greatest("y1", F.col("gy") * cell).alias("y1"), F.least("y2", F.col("gy") * cell + cell - 1).alias("y2"),
+    x, y = F.col("gx") * cell, F.col("gy") * cell
+    return (
+        parts.select(
+            page, "gx", "gy", F.greatest("x1", x).alias("x1"), F.least("x2", x + (cell - 1)).alias("x2"),
+            F.greatest("y1", y).alias("y1"), F.least("y2", y + (cell - 1)).alias("y2"),
         )
+        .groupBy(page, "gx", "gy", "x1", "x2", "y1").agg(F.max("y2").alias("y2"))
     )
-    # of boxes with the same left, right and top edge only the deepest matters
-    clipped = clipped.groupBy(page, "gx", "gy", "x1", "x2", "y1").agg(F.max("y2").alias("y2"))
-    s, b = spots.alias("s"), clipped.alias("b")
-    return s.join(
-        b,
+
+
+def in_any_box(points: DataFrame, boxes: DataFrame, page: str = "image_id", cell: int = 128) -> DataFrame:
+    """Add ``inside``: whether the point (cx, cy) lies in any box of its page, edges included.
+
+    A semi and an anti join over the same two shuffled sides; neither emits a pair.
+    """
+    spots = points.withColumn("gx", F.floor(F.col("cx") / cell).cast("int")).withColumn(
+        "gy", F.floor(F.col("cy") / cell).cast("int")
+    )
+    s, b = spots.alias("s"), _clipped(boxes, page, cell).alias("b")
+    match = (
         (F.col(f"s.{page}") == F.col(f"b.{page}")) & (F.col("s.gx") == F.col("b.gx")) & (F.col("s.gy") == F.col("b.gy"))
-        & F.col("s.cx").between(F.col("b.x1"), F.col("b.x2")) & F.col("s.cy").between(F.col("b.y1"), F.col("b.y2")),
-        "left_semi",
-    ).select(page, "cx", "cy")
+        & F.col("s.cx").between(F.col("b.x1"), F.col("b.x2")) & F.col("s.cy").between(F.col("b.y1"), F.col("b.y2"))
+    )
+    hit = s.join(b, match, "left_semi").withColumn("inside", F.lit(True))
+    miss = s.join(b, match, "left_anti").withColumn("inside", F.lit(False))
+    return hit.unionByName(miss).drop("gx", "gy")
 
 
 def tag_kind(items: DataFrame, boxes: DataFrame, page: str = "image_id") -> DataFrame:
     """Set ``kind`` to ``bubble`` where an item's centre lies in a bubble box, else ``sfx``."""
     cx = F.col("x") + F.floor(F.col("w") / 2).cast("int")
     cy = F.col("y") + F.floor(F.col("h") / 2).cast("int")
-    centred = items.withColumn("cx", cx).withColumn("cy", cy)
-    inside = bubble_points(centred, boxes.where(F.col("class").isin(*BUBBLE_CLASSES)), page)
-    tagged = centred.join(inside.withColumn("_in", F.lit(True)), [page, "cx", "cy"], "left")
-    kind = F.when(F.col("_in"), F.lit("bubble")).otherwise(F.lit("sfx"))
-    return tagged.withColumn("kind", kind).drop("_in", "cx", "cy")
+    bubbles = boxes.where(F.col("class").isin(*BUBBLE_CLASSES))
+    tagged = in_any_box(items.withColumn("cx", cx).withColumn("cy", cy), bubbles, page)
+    kind = F.when(F.col("inside"), F.lit("bubble")).otherwise(F.lit("sfx"))
+    return tagged.withColumn("kind", kind).drop("inside", "cx", "cy")
 
 
 def grown(lines: DataFrame) -> DataFrame:
@@ -242,16 +248,25 @@ def _batch_components(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series
     return pd.Series(np.split(label - first[owner], ends[:-1]))
 
 
-def _small_labels(rects: DataFrame, page: str) -> DataFrame:
-    """(page, box_id, label) for pages of bounded size: one array per page, one kernel call per batch."""
+_FIELDS = ("box_id", "x", "y", "w", "h", "text", "conf")
+
+
+def _small_labels(lines: DataFrame, page: str) -> DataFrame:
+    """Lines of pages of bounded size with their cluster label.
+
+    One array per page, one kernel call per Arrow batch. The rows ride along in the array,
+    so nothing has to be joined back, and the output is still partitioned by page.
+    """
     kernel = F.pandas_udf(_batch_components, "array<bigint>")
-    lists = rects.groupBy(page).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("box_id").alias("id"), "gx1", "gy1", "gx2", "gy2"))).alias("_r")
+    lists = grown(lines).groupBy(page).agg(
+        F.array_sort(F.collect_list(F.struct(*_FIELDS, "gx1", "gy1", "gx2", "gy2"))).alias("_r")
     )
     sides = [F.col(f"_r.{c}") for c in ("gx1", "gy1", "gx2", "gy2")]
-    labelled = lists.withColumn("_l", kernel(*sides))
-    pairs = F.transform("_r", lambda r, i: F.struct(r.id.alias("box_id"), F.get("_r", F.get("_l", i).cast("int")).id.alias("label")))
-    return labelled.select(page, F.explode(pairs).alias("p")).select(page, "p.box_id", "p.label")
+    labelled = lists.withColumn("_l", kernel(*sides)).select(page, "_r", F.posexplode_outer("_l").alias("_i", "_k"))
+    one = F.get("_r", F.col("_i"))
+    return labelled.select(
+        page, *[one[c].alias(c) for c in _FIELDS], F.get("_r", F.col("_k").cast("int"))["box_id"].alias("label")
+    )
 
 
 def sparse_edges(rects: DataFrame, page: str = "image_id", sizes=(256, 32, 4), crowded: int = 48) -> DataFrame:
@@ -325,15 +340,18 @@ def _hot_labels(rects: DataFrame, page: str) -> DataFrame:
 
 
 def line_labels(lines: DataFrame, page: str = "image_id", limit: int = 256) -> DataFrame:
-    """Cluster label (the least box_id of the cluster) of every line: (page, box_id, label).
+    """Lines (page, box_id, x, y, w, h, text, conf) with ``label``, the least box_id of their cluster.
 
     Pages of up to ``limit`` lines are labelled in Arrow batches; larger pages by the
     distributed method. Both are exact.
     """
-    rects = grown(lines).select(page, F.col("box_id").cast("bigint").alias("box_id"), "gx1", "gy1", "gx2", "gy2")
-    small, hot = split_hot(rects, [page], limit)
+    slim = lines.select(page, *_FIELDS)
+    small, hot = split_hot(slim, [page], limit)
     out = _small_labels(small, page)
-    return out if hot is None else out.unionByName(_hot_labels(hot, page))
+    if hot is None:
+        return out
+    rects = grown(hot).select(page, "box_id", "gx1", "gy1", "gx2", "gy2")
+    return out.unionByName(hot.join(_hot_labels(rects, page), [page, "box_id"]).select(*out.columns))
 
 
 def group_lines(lines: DataFrame, page: str = "image_id", limit: int = 256) -> DataFrame:
@@ -342,15 +360,12 @@ def group_lines(lines: DataFrame, page: str = "image_id", limit: int = 256) -> D
     Merged rows hold the union box, the texts joined in reading order, the least
     confidence, and script ``latin``. Output: (page, group_id, x, y, w, h, text, conf, kind, script).
     """
-    talk = lines.where("kind = 'dialogue'")
-    labelled = talk.join(line_labels(talk, page, limit), [page, "box_id"])
+    labelled = line_labels(lines.where("kind = 'dialogue'"), page, limit)
     merged = labelled.groupBy(page, F.col("label").alias("group_id")).agg(
         F.min("x").alias("x"), F.min("y").alias("y"),
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
         (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "box_id", "text"))), lambda r: r.text), " "
-        ).alias("text"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("y", "x", "box_id", "text"))).getField("text"), " ").alias("text"),
         F.bround(F.min("conf"), 3).alias("conf"),
         F.lit("dialogue").alias("kind"), F.lit("latin").alias("script"),
     )

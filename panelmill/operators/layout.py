@@ -154,7 +154,8 @@ def _pack_blocks(pages: DataFrame, cap: int, key: str, seq: str, stretch: int, f
         top, end = pdf["top"].to_numpy(), (pdf["top"] + pdf["h"]).to_numpy()
         own, seqs = pdf["own"].to_numpy(), pdf["seq"].to_numpy()
         if not own.any():
-            return pd.DataFrame({key: [], "blk": [], "entry": [], "leave": [], "opened": []})
+            none = pdf[[key, "blk", "seq", "top", "h"]].iloc[:0]
+            return none.set_axis([key, "blk", "entry", "leave", "opened"], axis=1)
         nxt = _next_starts(top, end, cap)
         n_own = int(own.sum())
         leave = np.full(n_own, -1, np.int64)
@@ -204,7 +205,7 @@ def _pack_blocks(pages: DataFrame, cap: int, key: str, seq: str, stretch: int, f
     for lower in reversed(levels[:-1]):
         def descend(head: pd.DataFrame, links_: pd.DataFrame) -> pd.DataFrame:
             if head.empty or links_.empty:
-                return pd.DataFrame({key: [], "blk": [], "entry": [], "opened": []})
+                return links_[[key, "blk", "entry", "opened"]].iloc[:0]
             leave = dict(zip(links_["entry"], zip(links_["blk"], links_["leave"], links_["opened"])))
             at, count, rows = head["entry"].iloc[0], head["opened"].iloc[0], []
             while at in leave:
