@@ -34,10 +34,9 @@ def char_class(blocks) -> str:
 
 def script_ratio(c: Column, blocks=HANGUL) -> Column:
     """Share of the non-space characters that lie in the blocks; 0 for blank text."""
-    dense = F.regexp_replace(c, "(?U)[\\s\\x1c-\\x1f]+", "")
-    rest = F.regexp_replace(dense, f"[{char_class(blocks)}]+", "")
-    total = F.length(dense)
-    return F.when(total > 0, (total - F.length(rest)) / total).otherwise(F.lit(0.0))
+    total = F.length(F.regexp_replace(c, "(?U)[\\s\\x1c-\\x1f]+", ""))
+    inside = F.length(c) - F.length(F.regexp_replace(c, f"[{char_class(blocks)}]+", ""))
+    return F.when(total > 0, inside / total).otherwise(F.lit(0.0))
 
 
 def has_script(c: Column, blocks=KHMER) -> Column:

@@ -43,16 +43,15 @@ def route_script(df: DataFrame, lang: str = "en") -> DataFrame:
     if lang == "en":
         hangul = hangul & (F.col("ko_conf") >= HANGUL_CONF)
     kinds = ("sfx", "dialogue") if lang == "en" else ("dialogue", "sfx")
-    ko = F.struct(
-        F.lit(kinds[0]).alias("kind"), strip(F.col("ko_text")).alias("text"),
-        F.col("ko_conf").alias("conf"), F.lit("hangul").alias("script"),
+    ko = F.col("_hangul")
+    routed = df.withColumn("_hangul", hangul)
+    return routed.select(
+        *df.columns,
+        F.when(ko, kinds[0]).otherwise(kinds[1]).alias("kind"),
+        strip(F.when(ko, F.col("ko_text")).otherwise(F.col("en_text"))).alias("text"),
+        F.when(ko, F.col("ko_conf")).otherwise(F.col("en_conf")).alias("conf"),
+        F.when(ko, "hangul").otherwise("latin").alias("script"),
     )
-    en = F.struct(
-        F.lit(kinds[1]).alias("kind"), strip(F.col("en_text")).alias("text"),
-        F.col("en_conf").alias("conf"), F.lit("latin").alias("script"),
-    )
-    picked = df.withColumn("_pick", F.when(hangul, ko).otherwise(en))
-    return picked.select(*df.columns, "_pick.*")
 
 
 def number_items(
