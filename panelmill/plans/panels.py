@@ -44,7 +44,7 @@ def cut_canvases(
         C.smooth(table.select("image_id", "y", "cost")), table.select("image_id", "y", "width", "mid", "top", "bot"),
         sizes, C.forbidden(protect, sizes), story_targets(boxes, ends, mode),
     )
-    numbered = C.number_panels(slices, canvases).join(canvases.select("chapter", "image_id"), "image_id")
+    numbered = C.number_panels(slices, canvases)
     return numbered.join(images.select("image_id", "width", "data"), "image_id").select(
         "chapter", "image_id", "k", "n", "name", (F.col("y1") - F.col("y0")).alias("height"), "width",
         P.crop_rows(F.col("data"), F.col("width"), F.col("y0"), F.col("y1")).alias("data"),

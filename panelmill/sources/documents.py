@@ -88,7 +88,7 @@ def image_boxes(segments: DataFrame) -> DataFrame:
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """(chapter, source, text): whole reply files; the chapter is the folder name."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     source = F.col("_metadata.file_path")
     return files.select(folder_name(source).alias("chapter"), source.alias("source"), F.col("value").alias("text"))
 
@@ -98,7 +98,7 @@ def read_recents(spark: SparkSession, path: str) -> DataFrame:
 
     ``arrival`` grows toward the front of the list, as the newest entry comes first.
     """
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = F.from_json("value", f"array<struct<{RECENT.replace(' string', ':string').replace(' double', ':double')}>>")
     return raw.select(F.posexplode(rows).alias("pos", "r")).where("r.layout is not null").select(
         "r.layout", F.coalesce("r.chapter", F.lit("")).alias("chapter"), F.coalesce("r.thumb", F.lit("")).alias("thumb"),
