@@ -138,14 +138,16 @@ def _clipped(boxes: DataFrame, page: str, cell: int) -> DataFrame:
 def in_any_box(points: DataFrame, boxes: DataFrame, page: str = "image_id", cell: int = 128) -> DataFrame:
     """Add ``inside``: whether the point (cx, cy) lies in any box of its page, edges included.
 
-    A semi and an anti join over the same two shuffled sides; neither emits a pair.
+    A semi and an anti join over the same two shuffled sides; neither emits a pair. No key
+    can be null, so both joins read their sides in the same form and share the shuffles.
     """
-    spots = points.withColumn("gx", F.floor(F.col("cx") / cell).cast("int")).withColumn(
+    spots = points.withColumns({c: F.coalesce(c, F.lit(-(2**31))) for c in ("cx", "cy")})
+    spots = spots.withColumn("gx", F.floor(F.col("cx") / cell).cast("int")).withColumn(
         "gy", F.floor(F.col("cy") / cell).cast("int")
     )
     s, b = spots.alias("s"), _clipped(boxes, page, cell).alias("b")
     match = (
-        (F.col(f"s.{page}") == F.col(f"b.{page}")) & (F.col("s.gx") == F.col("b.gx")) & (F.col("s.gy") == F.col("b.gy"))
+        F.col(f"s.{page}").eqNullSafe(F.col(f"b.{page}")) & (F.col("s.gx") == F.col("b.gx")) & (F.col("s.gy") == F.col("b.gy"))
         & F.col("s.cx").between(F.col("b.x1"), F.col("b.x2")) & F.col("s.cy").between(F.col("b.y1"), F.col("b.y2"))
     )
     hit = s.join(b, match, "left_semi").withColumn("inside", F.lit(True))

@@ -305,11 +305,9 @@ def group_cuts(boxes: DataFrame, ends: DataFrame) -> DataFrame:
     return marked.select("image_id", F.col("mid").alias("t"), "page_h").where("t > 8 and t < page_h - 8").drop("page_h")
 
 
-def _rule(last: Column, box: Column) -> Column:
-    grown_by = box["bottom"] - last
-    return ((grown_by >= box["w"] * IDEAL_RATIO) & (box["ends"] | (box["gap"] > box["w"] * 0.5))) | (
-        grown_by >= box["w"] * MAX_RATIO
-    )
+def _rule(last: Column, bottom: Column, gap: Column, w: Column, ends: Column) -> Column:
+    grown_by = bottom - last
+    return ((grown_by >= w * IDEAL_RATIO) & (ends | (gap > w * 0.5))) | (grown_by >= w * MAX_RATIO)
 
 
 def story_cuts(boxes: DataFrame, page: str = "image_id", pos: str = "box_id", limit: int = 2000) -> DataFrame:
@@ -319,45 +317,55 @@ def story_cuts(boxes: DataFrame, page: str = "image_id", pos: str = "box_id", li
     since the last cut is long enough and a sentence ends or a wide gap follows, or when
     it grows too long. Input: (image_id, box_id, y, h, text, page_w, page_h).
 
-    Images of up to ``limit`` boxes fold as one array. On larger ones each round finds the
-    next cut of every image with one aggregate; the number of rounds is the number of cuts.
+    Images of up to ``limit`` boxes fold as one array, with one shuffle. On larger ones
+    each round finds the next cut of every image with one aggregate; the number of rounds
+    is the number of cuts.
     """
-    prepared = gaps(boxes, page, pos).where("next_y is not null").select(
-        page, F.struct(F.col("y").cast("double").alias("y"), F.col(pos).alias("pos")).alias("at"),
-        (F.col("y") + F.col("h")).cast("double").alias("bottom"), F.col("gap").cast("double").alias("gap"),
-        F.col("mid").cast("double").alias("mid"), F.col("page_w").cast("double").alias("w"), "page_h",
-        ends_sentence(F.col("text")).alias("ends"),
+    slim = boxes.select(
+        page, F.col("y").cast("double").alias("y"), F.col(pos).alias("pos"), F.col("h").cast("double").alias("h"),
+        ends_sentence(F.col("text")).alias("ends"), F.col("page_w").cast("double").alias("w"), "page_h",
     )
-    small, hot = split_hot(prepared, [page], limit)
+    small, hot = split_hot(slim, [page], limit)
     lists = small.groupBy(page).agg(
-        F.array_sort(F.collect_list(F.struct("at", "bottom", "gap", "mid", "w", "ends"))).alias("_b"),
-        F.first("page_h").alias("page_h"),
+        F.array_sort(F.collect_list(F.struct("y", "pos", "h", "ends"))).alias("_b"),
+        F.first("w").alias("w"), F.first("page_h").alias("page_h"),
     )
     zero = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("cuts"))
+    # every box together with the top of the next one
+    paired = F.zip_with(
+        F.slice("_b", F.lit(1), F.greatest(F.size("_b") - 1, F.lit(0))), F.slice("_b", F.lit(2), F.size("_b")),
+        lambda a, b: F.struct((a.y + a.h).alias("bottom"), b.y.alias("next_y"), a.ends.alias("ends")),
+    )
 
     def step(acc: Column, box: Column) -> Column:
+        mid = (box["bottom"] + box["next_y"]) / 2
         return F.when(
-            _rule(acc["last"], box),
-            F.struct(box["mid"].alias("last"), F.concat(acc["cuts"], F.array(box["mid"])).alias("cuts")),
+            _rule(acc["last"], box["bottom"], box["next_y"] - box["bottom"], F.col("w"), box["ends"]),
+            F.struct(mid.alias("last"), F.concat(acc["cuts"], F.array(mid)).alias("cuts")),
         ).otherwise(acc)
 
-    found = lists.select(page, "page_h", F.explode_outer(F.aggregate("_b", zero, step)["cuts"]).alias("t"))
+    found = lists.select(page, "page_h", F.explode_outer(F.aggregate(paired, zero, step)["cuts"]).alias("t"))
     if hot is not None:
-        found = found.unionByName(_hot_story(durable(hot), page))
+        found = found.unionByName(_hot_story(hot, page))
     return found.where("t > 8 and t < page_h - 8").select(page, "t").distinct()
 
 
 def _hot_story(boxes: DataFrame, page: str) -> DataFrame:
+    """The next cut of every image, round by round; a box never leaves its partition as part of a list."""
+    boxes = durable(
+        gaps(boxes, page, "pos").where("next_y is not null").select(
+            page, F.struct("y", "pos").alias("at"), (F.col("y") + F.col("h")).alias("bottom"), "gap", "mid", "w", "ends", "page_h"
+        )
+    )
     state = boxes.groupBy(page).agg(
         F.lit(0.0).alias("last"), F.struct(F.lit(float("-inf")).alias("y"), F.lit(-(2**63) + 1).cast("bigint").alias("pos")).alias("after"),
     )
     out = None
     while True:
-        box = F.struct("bottom", "gap", "w", "ends")
         state = durable(
             boxes.join(state, page)
             .where((F.col("at.y") > F.col("after.y")) | ((F.col("at.y") == F.col("after.y")) & (F.col("at.pos") > F.col("after.pos"))))
-            .where(_rule(F.col("last"), box))
+            .where(_rule(*[F.col(c) for c in ("last", "bottom", "gap", "w", "ends")]))
             .groupBy(page)
             .agg(F.min_by(F.struct("mid", "page_h", "at"), "at").alias("c"))
             .select(page, F.col("c.mid").alias("last"), F.col("c.at").alias("after"), F.col("c.page_h").alias("page_h"))

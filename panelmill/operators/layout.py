@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
-from .ordering import running, split_hot
+from .ordering import BLOCK, block_totals, running, split_hot
 
 # Defaults of the stitching and canvas jobs.
 TARGET_SEGMENTS = 5
@@ -39,20 +39,24 @@ def rescale(pages: DataFrame, widths: DataFrame, rule: str = "stitch", key: str
     return out
 
 
-def page_offsets(pages: DataFrame, key: str = "chapter", seq: str = "seq", block: int | None = None) -> DataFrame:
+def page_offsets(pages: DataFrame, key: str = "chapter", seq: str = "seq", block: int = BLOCK) -> DataFrame:
     """Add ``top``: the row at which each page starts in the stacked chapter."""
-    extra = {} if block is None else {"block": block}
-    return running(pages, [key], seq, {"top": F.col("new_h")}, **extra)
+    return running(pages, [key], seq, {"top": F.col("new_h")}, block)
 
 
 def stitch_plan(
-    pages: DataFrame, target: int = TARGET_SEGMENTS, max_height: int = MAX_HEIGHT, key: str = "chapter"
+    pages: DataFrame, target: int = TARGET_SEGMENTS, max_height: int = MAX_HEIGHT, key: str = "chapter",
+    seq: str = "seq", block: int = BLOCK,
 ) -> DataFrame:
-    """(chapter, total_h, n_seg, seg_h) from rescaled pages."""
+    """(chapter, total_h, n_seg, seg_h) from rescaled pages.
+
+    Built on the block sums that the page offsets use, so one shuffle serves both.
+    """
     total = F.col("total_h")
     return (
-        pages.groupBy(key)
-        .agg(F.sum("new_h").alias("total_h"))
+        block_totals(pages, [key], seq, {"top": F.col("new_h")}, block)
+        .groupBy(key)
+        .agg(F.sum("_t_top").alias("total_h"))
         .withColumn("n_seg", F.greatest(F.lit(target), F.ceil(total / max_height)).cast("bigint"))
         .withColumn("seg_h", F.ceil(total / F.col("n_seg")).cast("bigint"))
     )

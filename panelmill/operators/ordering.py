@@ -15,6 +15,19 @@ from ..session import durable
 BLOCK = 1 << 18
 
 
+def block_totals(
+    df: DataFrame, keys: list[str], seq: str, sums: dict[str, Column], block: int = BLOCK
+) -> DataFrame:
+    """(keys, _blk, _t_<name>…): sums per block of ``seq``, combined per task before the shuffle.
+
+    Callers that need both totals and running sums build both on this, so that Spark
+    shuffles and computes it once.
+    """
+    return df.groupBy(*keys, F.expr(f"{seq} div {block}").alias("_blk")).agg(
+        *[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()]
+    )
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -27,19 +40,15 @@ def running(
     ``sums`` maps new column names to the summed expressions. ``seq`` is unique per group;
     gaps are fine.
     """
-    named = df.withColumn("_blk", F.expr(f"{seq} div {block}"))
-    for out, value in sums.items():
-        named = named.withColumn(f"_v_{out}", value)
-    totals = named.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{o}").alias(f"_t_{o}") for o in sums])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = block_totals(df, keys, seq, sums, block).select(
         *keys, "_blk", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums]
     )
     local = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    out = named.join(offsets, [*keys, "_blk"])
-    for o in sums:
-        out = out.withColumn(o, F.col(f"_o_{o}") + F.coalesce(F.sum(f"_v_{o}").over(local), F.lit(0)))
-    return out.drop("_blk", *[f"_v_{o}" for o in sums], *[f"_o_{o}" for o in sums])
+    out = df.withColumn("_blk", F.expr(f"{seq} div {block}")).join(offsets, [*keys, "_blk"])
+    for o, value in sums.items():
+        out = out.withColumn(o, F.col(f"_o_{o}") + F.coalesce(F.sum(value).over(local), F.lit(0)))
+    return out.drop("_blk", *[f"_o_{o}" for o in sums])
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "n", start: int = 1) -> DataFrame:
@@ -74,3 +83,15 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
     if hot.isEmpty():
         return df, None
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
+def rank_rows(
+    df: DataFrame, keys: list[str], order: list[Column | str], out: str = "n", start: int = 1, limit: int = 1 << 17
+) -> DataFrame:
+    """Add a dense row number per key group: a plain window for groups of up to ``limit`` rows,
+    ``ordinal`` for larger ones. ``order`` must be total inside a group."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    small, hot = split_hot(df, keys, limit)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("bigint") + F.lit(start - 1)
+    ranked = small.withColumn(out, place)
+    return ranked if hot is None else ranked.unionByName(ordinal(hot, keys, order, out, start))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import (
     flag_names, has_script, js_escape, KHMER, numbered_lines, parse_posts, script_ratio, strip, strip_names,
 )
-from .ordering import ordinal, running
+from .ordering import rank_rows, running
 
 # What counts as Hangul text, and the least confidence for it on an English page.
 HANGUL_SHARE = 0.3
@@ -54,21 +54,31 @@ def route_script(df: DataFrame, lang: str = "en") -> DataFrame:
     )
 
 
+def _page_offsets(items: DataFrame, key: str, page: str) -> DataFrame:
+    """(chapter, page, _off): items of the chapter before each page. Only page totals are summed up."""
+    totals = items.groupBy(key, page).agg(F.count("*").alias("_c"))
+    return running(totals, [key], page, {"_off": F.col("_c")}).select(key, page, "_off")
+
+
 def number_items(
-    items: DataFrame, order: list[str] | None = None, key: str = "chapter", page: str = "page"
+    items: DataFrame, order: list[str] | None = None, key: str = "chapter", page: str = "page", limit: int = 1 << 17
 ) -> DataFrame:
-    """Chapter-wide item number ``n`` from 1 in (page, y, x, input position) order."""
-    return ordinal(items, [key], [page, *(order or ["y", "x", "item"])], "n")
+    """Chapter-wide item number ``n`` from 1 in (page, y, x, input position) order; pages are integers.
+
+    Items are ranked inside their page only. A page of more than ``limit`` items is ranked
+    by range, so neither a long chapter nor a crowded page lands in one task.
+    """
+    ranked = rank_rows(items, [key, page], order or ["y", "x", "item"], "_r", limit=limit)
+    return ranked.join(_page_offsets(items, key, page), [key, page]).withColumn(
+        "n", F.col("_off") + F.col("_r")
+    ).drop("_off", "_r")
 
 
 def number_items_by_page(items: DataFrame, key: str = "chapter", page: str = "page", pos: str = "item") -> DataFrame:
-    """The same number when ``pos`` is already the place in the page (dense from 0) and pages are integers.
-
-    Only page totals are summed up; the items themselves are not sorted.
-    """
-    totals = items.groupBy(key, page).agg(F.count("*").alias("_c"))
-    offsets = running(totals, [key], page, {"_off": F.col("_c")}).select(key, page, "_off")
-    return items.join(offsets, [key, page]).withColumn("n", F.col("_off") + F.col(pos) + 1).drop("_off")
+    """The same number when ``pos`` is already the place in the page, dense from 0."""
+    return items.join(_page_offsets(items, key, page), [key, page]).withColumn(
+        "n", F.col("_off") + F.col(pos) + 1
+    ).drop("_off")
 
 
 # -- replies ----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
-from ..operators.ordering import ordinal
+from ..operators.ordering import ordinal, rank_rows
 from ..sources.fixtures import ctes, view
 from . import query
 
@@ -145,6 +145,12 @@ def box_gaps(spark, sf):
 
 @query("reading_order", LINES + "SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x, box_id) AS n FROM lines")
 def reading_order(spark, sf):
+    return rank_rows(_lines(spark, sf).select("image_id", "box_id", "x", "y"), ["image_id"], ["y", "x", "box_id"]).select("image_id", "box_id", "n")
+
+
+@query("reading_order_by_range", LINES + "SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY y, x, box_id) AS n FROM lines")
+def reading_order_by_range(spark, sf):
+    """The same order by the method that serves pages of any size."""
     return ordinal(_lines(spark, sf).select("image_id", "box_id", "x", "y"), ["image_id"], ["y", "x", "box_id"]).select("image_id", "box_id", "n")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import natural_key
 from ..functions.urls import FOLDER_EXTS, has_ext
-from ..operators.ordering import ordinal
+from ..operators.ordering import rank_rows
 
 
 def base_name(path: Column) -> Column:
@@ -32,7 +32,7 @@ def scan_images(spark: SparkSession, path: str, exts=FOLDER_EXTS, content: bool
 def in_reading_order(files: DataFrame, key: str = "chapter", name: str = "fname") -> DataFrame:
     """Add ``seq`` from 1 by natural name order inside each folder; the exact name breaks ties."""
     keyed = files.withColumn("_k", natural_key(F.col(name)))
-    return ordinal(keyed, [key], ["_k", name], "seq").drop("_k")
+    return rank_rows(keyed, [key], ["_k", name], "seq").drop("_k")
 
 
 def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
