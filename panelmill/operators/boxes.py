@@ -142,9 +142,8 @@ def in_any_box(points: DataFrame, boxes: DataFrame, page: str = "image_id", cell
     can be null, so both joins read their sides in the same form and share the shuffles.
     """
     spots = points.withColumns({c: F.coalesce(c, F.lit(-(2**31))) for c in ("cx", "cy")})
-    spots = spots.withColumn("gx", F.floor(F.col("cx") / cell).cast("int")).withColumn(
-        "gy", F.floor(F.col("cy") / cell).cast("int")
-    )
+    row_of = lambda c: F.coalesce(F.floor(F.col(c) / cell).cast("int"), F.lit(0))
+    spots = spots.withColumns({"gx": row_of("cx"), "gy": row_of("cy")})
     s, b = spots.alias("s"), _clipped(boxes, page, cell).alias("b")
     match = (
         F.col(f"s.{page}").eqNullSafe(F.col(f"b.{page}")) & (F.col("s.gx") == F.col("b.gx")) & (F.col("s.gy") == F.col("b.gy"))

@@ -86,13 +86,14 @@ def elapsed(control: DataFrame, key: str = "job_id") -> DataFrame:
     resumes alternate, so the paused time is a difference of two sums and no ordering is
     needed; a job paused at its end counts until the pause.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))  # whole numbers: the sums stay exact
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, at)), F.lit(0))
+    # wide whole numbers: the sums stay exact and cannot overflow
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, at)), F.lit(0).cast("decimal(30,0)"))
     open_pause = F.count_if(F.col("kind") == "pause") - F.count_if(F.col("kind") == "resume")
     end = F.max(F.when(F.col("kind") == "end", at))
     start = F.min(F.when(F.col("kind") == "start", at))
     paused = of("resume") - of("pause") + open_pause * end
-    return control.groupBy(key).agg(((end - start - paused) / 1_000_000).alias("seconds"))
+    return control.groupBy(key).agg(((end - start - paused).cast("bigint") / 1_000_000).alias("seconds"))
 
 
 def upsert_recent(log: DataFrame, key: str = "layout", keep: int = 30) -> DataFrame:
