@@ -228,3 +228,12 @@ b AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY CASE WHEN c >=
 SELECT chapter, CASE WHEN c > 0 THEN tier END AS tier, c AS n_pages FROM b WHERE r = 1""")
 def tier_choice(spark, sf):
     return links.choose_tier(view(spark, sf, "fx_attempts"))
+
+
+@query("ordered_sources", FX + f""", t AS (SELECT page_id, url, {Q.tags('html', 'a')} AS tags FROM fx_html),
+r AS (SELECT page_id, url, pos, {Q.attr('tag', 'href')} AS raw FROM (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM t) x)
+SELECT page_id, pos, u AS link, 0 AS src_rank FROM loose UNION ALL SELECT page_id, pos, {Q.join('url', 'ref')}, 1 FROM (SELECT *, {Q.strip('raw')} AS ref FROM r WHERE raw <> '') y""")
+def ordered_sources(spark, sf):
+    html = view(spark, sf, "fx_html")
+    images = links.loose_urls(html).select("page_id", "pos", F.col("img").alias("link"))
+    return links.ordered_union(images, links.page_links(html).select("page_id", "pos", "link"))

@@ -78,7 +78,7 @@ NUMBERED = FX + """, items AS (
 
 def _items(spark, sf):
     raw = view(spark, sf, "fx_transcript").selectExpr("*", "item * 10 as x", "item * 40 as y", "100 + item as w", "30 as h", "0.5D as conf")
-    return T.number_items_by_page(raw)
+    return T.number_items(raw, ["item"])
 
 
 @query("numbered_items", NUMBERED + "SELECT chapter, page, item, n FROM items")
@@ -88,7 +88,7 @@ def numbered_items(spark, sf):
 
 @query("numbered_items_by_page", NUMBERED + "SELECT chapter, page, item, n FROM items")
 def numbered_items_by_page(spark, sf):
-    return _items(spark, sf).select("chapter", "page", "item", "n")
+    return T.number_items_by_page(view(spark, sf, "fx_transcript")).select("chapter", "page", "item", "n")
 
 
 LINE = "SELECT chapter, {p} AS part, {page} AS page, {s} AS sub, {n} AS n, {text} AS line FROM {t}"
@@ -217,3 +217,35 @@ def translated_pages(spark, sf):
     empty = items.where("item = 0").selectExpr("-1 - page as page", "0 as chapter", "'empty.png' as image")
     flagged = T.is_translated(pages.unionByName(empty), items, ["page"], ((0xE0, 0xEF),))
     return T.route_export(flagged).select("page", "translated", "status", "target", "in_book")
+
+
+LAYOUT_ITEMS = NUMBERED.rstrip() + """, segs AS (SELECT chapter, page AS pack, printf('canvas_%03d.png', page) AS image, 700 AS width, CAST(900 + page AS INT) AS height FROM items GROUP BY chapter, page),
+s AS (SELECT *, min(pack) OVER (PARTITION BY chapter) AS fp FROM segs), i AS (SELECT *, min(n) OVER (PARTITION BY chapter, page) AS fn FROM items)
+"""
+
+
+@query("layout_json", LAYOUT_ITEMS + _union(
+    dict(p=0, page=0, s=0, n=0, text="""'{"chapter":"' || CAST(chapter AS VARCHAR) || '","lang":"en","segments": ['""", t="(SELECT DISTINCT chapter FROM items) c"),
+    dict(p=1, page="pack", s=1, n=0, text="""CASE WHEN pack = fp THEN '' ELSE ',' END || '{"image":"' || image || '","width":' || CAST(width AS VARCHAR) || ',"height":' || CAST(height AS VARCHAR) || ',"items": ['""", t="s"),
+    dict(p=1, page="page", s=2, n="n", text="""CASE WHEN n = fn THEN '' ELSE ',' END || '{"n":' || CAST(n AS VARCHAR) || ',"bbox":[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ',' || CAST(w AS VARCHAR)
+      || ',' || CAST(h AS VARCHAR) || '],"src":' || CAST(to_json(text) AS VARCHAR) || ',"kind":"' || kind || '"}'""", t="i"),
+    dict(p=1, page="pack", s=3, n=0, text="']}'", t="s"),
+    dict(p=4, page=0, s=4, n=0, text="']}'", t="(SELECT DISTINCT chapter FROM items) c"),
+))
+def layout_json(spark, sf):
+    items = _items(spark, sf).withColumn("pack", F.col("page"))
+    segs = items.select("chapter", "pack").distinct().selectExpr(
+        "chapter", "pack", "format_string('canvas_%03d.png', pack) as image", "700 as width", "cast(900 + pack as int) as height"
+    )
+    return T.layout_json_lines(segs, items)
+
+
+@query("saved_projects", FX + """, segs AS (SELECT chapter, page, count(*) AS c FROM fx_transcript GROUP BY chapter, page)
+SELECT chapter, '{"layout":"layout.json","name":"p","seg_idx":0,"post_groups":[[1,4],[5,9]],"segments":[' || string_agg('{"image":"c' || CAST(page AS VARCHAR) || '.png","state":[{"n":' || CAST(c AS VARCHAR) || '}]'
+  || CASE WHEN c > 5 THEN ',"work":"c' || CAST(page AS VARCHAR) || '_work.png"' ELSE '' END || '}', ',' ORDER BY page) || ']}' AS doc FROM segs GROUP BY chapter""")
+def saved_projects(spark, sf):
+    segs = view(spark, sf, "fx_transcript").groupBy("chapter", "page").agg(F.count("*").alias("c")).selectExpr(
+        "chapter", "page as pos", "'layout.json' as layout", "'p' as name", "0 as seg_idx", "array(array(1, 4), array(5, 9)) as post_groups",
+        "concat('c', cast(page as string), '.png') as image", "array(named_struct('n', c)) as state", "c > 5 as differs",
+    )
+    return T.project_json(segs)

@@ -67,7 +67,7 @@ def main():
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     names = sys.argv[2:]
-    spark, sf_dir = local_session(), f"/root/testdata/sf{sf}"
+    spark, sf_dir = local_session(), sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     con, queries, oracles = connect(sf_dir), entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
