@@ -98,3 +98,11 @@ def image_size(content: Column) -> Column:
         return pd.DataFrame([_size(c) for c in files], columns=["w", "h"])
 
     return F.pandas_udf(sizes, "w int, h int")(content)
+
+
+def write_table(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write results below ``path``, one folder per key; a folder that is written again loses its old files.
+
+    Only the folders in ``df`` are replaced, so a re-run of one chapter leaves the others alone.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -185,3 +185,11 @@ def test_panels_from_canvases(spark):
     out = cut_canvases(frame(spark, {1: img}), boxes, canvases).orderBy("n").collect()
     assert np.array_equal(np.vstack([array(r) for r in out]), img)
     assert out[0].height in range(60, 66) and [r.name for r in out[:2]] == ["panel_0001.jpg", "panel_0002.jpg"]
+
+
+def test_rerun_replaces_only_its_own_output(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "chapter string, n int")
+    S.write_table(df, out, ["chapter"])
+    S.write_table(spark.createDataFrame([("a", 9)], df.schema), out, ["chapter"])
+    assert sorted((r.chapter, r.n) for r in spark.read.parquet(out).collect()) == [("a", 9), ("b", 3)]
