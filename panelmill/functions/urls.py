@@ -141,32 +141,42 @@ def _resolve_path(base: Column, ref: Column) -> Column:
     return F.when(merged.rlike("/\\.{1,2}(/|$)|//"), let(parts, tidy)).otherwise(merged)
 
 
-def url_join(base: Column, ref: Column) -> Column:
-    """Resolve a link against the address of its page."""
+def base_parts(base: Column) -> Column:
+    """What a page address contributes to its links; compute it once per page."""
+    site = F.concat(scheme(base), F.lit(":"), F.regexp_extract(base, URI, 2))
+    return F.struct(
+        base.alias("url"), scheme(base).alias("scheme"), site.alias("site"), path(base).alias("path"),
+        F.when(query_string(base) != "", F.regexp_extract(base, URI, 5)).otherwise(F.lit("")).alias("query"),
+    )
+
 
-    def part(u: Column, i: int) -> Column:
-        return F.regexp_extract(u, URI, i)
+def join_parts(base: Column, ref: Column) -> Column:
+    """Resolve a link against ``base_parts`` of its page."""
 
-    def build(b: Column, r: Column) -> Column:
-        own_scheme = part(r, 1)
-        foreign = (own_scheme != "") & (F.lower(own_scheme) != scheme(b))
-        lead = F.concat(scheme(b), F.lit(":"))
-        site = F.concat(lead, part(b, 2))
-        tail = F.concat(part(r, 5), part(r, 7))
+    def build(r: Column) -> Column:
+        part = lambda i: F.regexp_extract(r, URI, i)
+        # a bare "?" or "#" adds nothing
+        own_query = F.when(part(6) != "", part(5)).otherwise(F.lit(""))
+        anchor = F.when(part(8) != "", part(7)).otherwise(F.lit(""))
+        tail = F.concat(own_query, anchor)
+        query = F.when(part(6) != "", part(5)).otherwise(base["query"])
+        # the common case first: a plain path from the root
+        plain = r.startswith("/") & ~r.rlike("//|/\\.|[?#]")
         return (
-            F.when(r == "", b)
-            .when(foreign, r)
-            .when(part(r, 2) != "", F.concat(lead, part(r, 2), part(r, 4), tail))
-            .when(
-                part(r, 4) == "",
-                F.concat(
-                    site, part(b, 4), F.when(part(r, 6) != "", part(r, 5)).otherwise(part(b, 5)), part(r, 7)
-                ),
-            )
-            .otherwise(F.concat(site, _resolve_path(part(b, 4), part(r, 4)), tail))
+            F.when(plain, F.concat(base["site"], r))
+            .when(r == "", base["url"])
+            .when((part(1) != "") & (F.lower(part(1)) != base["scheme"]), r)
+            .when(part(2) != "", F.concat(base["scheme"], F.lit(":"), part(2), part(4), tail))
+            .when(part(4) == "", F.concat(base["site"], base["path"], query, anchor))
+            .otherwise(F.concat(base["site"], _resolve_path(base["path"], part(4)), tail))
         )
 
-    return let(F.struct(base.alias("b"), ref.alias("r")), lambda x: build(x.b, x.r))
+    return let(ref, build)
+
+
+def url_join(base: Column, ref: Column) -> Column:
+    """Resolve a link against the address of its page."""
+    return let(base_parts(base), lambda b: join_parts(b, ref))
 
 
 def is_image_url(u: Column) -> Column:
@@ -239,21 +249,22 @@ def extract_tags(html: Column, name: str) -> Column:
     )
 
 
+def _raw_attr(tag: Column, name: str) -> Column:
+    at = F.size(tag["keys"]) - F.array_position(F.reverse(tag["keys"]), name)
+    return F.when(F.array_contains(tag["keys"], name), F.get(tag["vals"], at.cast("int")))
+
+
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute of an extracted tag (empty when absent; the last one wins)."""
-    at = F.size(tag["keys"]) - F.array_position(F.reverse(tag["keys"]), name)
-    return F.when(
-        F.array_contains(tag["keys"], name), _unquote(F.get(tag["vals"], at.cast("int")))
-    ).otherwise(F.lit(""))
+    return F.coalesce(_unquote(_raw_attr(tag, name)), F.lit(""))
 
 
 def pick_attr(tag: Column, base: Column) -> Column:
-    """The image address of a tag: first usable attribute, resolved; null when none."""
-    usable = F.filter(
-        F.transform(F.array(*[attr(tag, a) for a in IMAGE_ATTRS]), lambda v: F.struct(v.alias("raw"), strip(v).alias("v"))),
-        lambda x: (x.raw != "") & ~x.v.startswith("data:"),
-    )
-    return let(F.get(usable, F.lit(0)), lambda x: F.when(x.isNotNull(), url_join(base, x.v)))
+    """The image address of a tag: first usable attribute, resolved against ``base_parts``; null when none."""
+    present = F.array_compact(F.array(*[_raw_attr(tag, a) for a in IMAGE_ATTRS]))
+    values = F.transform(present, lambda v: let(_unquote(v), lambda u: F.struct(u.alias("raw"), strip(u).alias("v"))))
+    usable = F.filter(values, lambda x: (x.raw != "") & ~x.v.startswith("data:"))
+    return let(F.get(usable, F.lit(0)), lambda x: F.when(x.isNotNull(), join_parts(base, x.v)))
 
 
 def is_reader_img(tag: Column) -> Column:

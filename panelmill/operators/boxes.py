@@ -184,7 +184,7 @@ def _gridded(rects: DataFrame, cell: int, inside: int | None = None) -> DataFram
     return rects
 
 
-def overlap_pairs(lines: DataFrame, page: str = "image_id", ident: str = "box_id", cell: int = 128) -> DataFrame:
+def overlap_pairs(lines: DataFrame, page: str = "image_id", ident: str = "box_id", cell: int = 256) -> DataFrame:
     """Pairs (page, a, b), a < b, of lines whose reaches touch (closed rectangles).
 
     A pair is reported only by the cell that holds the corner of its intersection, so no
@@ -219,10 +219,12 @@ def merge_intervals(df: DataFrame, key: str = "image_id", lo: str = "a", hi: str
 # -- clusters of text lines -------------------------------------------------
 
 
-def _batch_components(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    """Component label (an index) of every rectangle, for a whole Arrow batch of small pages at once."""
-    sizes = x1.map(len).to_numpy()
-    x1, y1, x2, y2 = (np.concatenate(c.to_list()) for c in (x1, y1, x2, y2))
+def _batch_components(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+    """Component label (an index) of every line, for a whole Arrow batch of small pages at once."""
+    sizes = x.map(len).to_numpy()
+    x, y, w, h = (np.concatenate(c.to_list()) for c in (x, y, w, h))
+    mx, my = GROW[0] * h, GROW[1] * h
+    x1, y1, x2, y2 = x - mx, y - my, x + w + mx, y + h + my
     ends = np.cumsum(sizes)
     first = ends - sizes
     # every rectangle against the rectangles of its own page
@@ -259,15 +261,12 @@ def _small_labels(lines: DataFrame, page: str) -> DataFrame:
     so nothing has to be joined back, and the output is still partitioned by page.
     """
     kernel = F.pandas_udf(_batch_components, "array<bigint>")
-    lists = grown(lines).groupBy(page).agg(
-        F.array_sort(F.collect_list(F.struct(*_FIELDS, "gx1", "gy1", "gx2", "gy2"))).alias("_r")
-    )
-    sides = [F.col(f"_r.{c}") for c in ("gx1", "gy1", "gx2", "gy2")]
-    labelled = lists.withColumn("_l", kernel(*sides)).select(page, "_r", F.posexplode_outer("_l").alias("_i", "_k"))
-    one = F.get("_r", F.col("_i"))
-    return labelled.select(
-        page, *[one[c].alias(c) for c in _FIELDS], F.get("_r", F.col("_k").cast("int"))["box_id"].alias("label")
+    lists = lines.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("_r"))
+    labelled = lists.withColumn("_l", kernel(*[F.col(f"_r.{c}") for c in ("x", "y", "w", "h")]))
+    rows = F.transform(
+        "_r", lambda r, i: F.struct(r.alias("r"), F.get("_r", F.get("_l", i).cast("int"))["box_id"].alias("label"))
     )
+    return labelled.select(page, F.explode_outer(rows).alias("p")).select(page, "p.r.*", "p.label")
 
 
 def sparse_edges(rects: DataFrame, page: str = "image_id", sizes=(256, 32, 4), crowded: int = 48) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import ends_sentence
+from ..functions.text import ends_sentence, let
 from ..session import durable
 from .boxes import gaps, merge_intervals
 from .ordering import running, split_hot
@@ -90,10 +90,12 @@ def detail_rows(rows: DataFrame, px: str = "px") -> DataFrame:
         return F.transform(a, lambda v, i: F.when((i == 0) | (i == n - 1), F.lit(0)).otherwise(F.get(a, i + 1) - F.get(a, i - 1)))
 
     def down(a: Column, b: Column) -> Column:
-        step = F.zip_with(b, a, lambda q, p: q - p)
         left = lambda i: F.when(i == 0, F.lit(1)).otherwise(i - 1)
         right = lambda i: F.when(i == n - 1, n - 2).otherwise(i + 1)
-        return F.transform(step, lambda v, i: F.get(step, left(i)) + 2 * v + F.get(step, right(i)))
+        return let(
+            F.zip_with(b, a, lambda q, p: q - p),
+            lambda step: F.transform(step, lambda v, i: F.get(step, left(i)) + 2 * v + F.get(step, right(i))),
+        )
 
     def strong(gx: Column, gy: Column | None = None) -> Column:
         mag = F.transform(gx, F.abs) if gy is None else F.zip_with(gx, gy, lambda a, b: F.abs(a) + F.abs(b))

@@ -24,20 +24,22 @@ def _numbered(df: DataFrame, keep: list[str], urls: Column, name: str = "img") -
 
 def page_links(pages: DataFrame, tag: str = "a", attribute: str = "href") -> DataFrame:
     """(page_id, pos, raw, link): a tag's attribute in document order, resolved against the page."""
-    tags = _numbered(pages, ["page_id", "url"], U.extract_tags(F.col("html"), tag), "tag")
+    based = pages.select("page_id", U.base_parts(F.col("url")).alias("base"), "html")
+    tags = _numbered(based, ["page_id", "base"], U.extract_tags(F.col("html"), tag), "tag")
     raw = U.attr(F.col("tag"), attribute)
-    return tags.select("page_id", "pos", "url", raw.alias("raw")).where("raw <> ''").select(
-        "page_id", "pos", "raw", U.url_join(F.col("url"), strip(F.col("raw"))).alias("link")
+    return tags.select("page_id", "pos", "base", raw.alias("raw")).where("raw <> ''").select(
+        "page_id", "pos", "raw", U.join_parts(F.col("base"), strip(F.col("raw"))).alias("link")
     )
 
 
 def _found(pages: DataFrame) -> DataFrame:
     """Row-local candidate lists: ``reader`` (marked page images) and ``loose`` (all tags, then script text)."""
-    tagged = pages.select(
+    based = pages.select("page_id", "html", U.base_parts(F.col("url")).alias("base"))
+    tagged = based.select(
         "page_id", "html",
         F.transform(
             U.extract_tags(F.col("html"), "img"),
-            lambda t: F.struct(U.is_reader_img(t).alias("reader"), U.pick_attr(t, F.col("url")).alias("u")),
+            lambda t: F.struct(U.is_reader_img(t).alias("reader"), U.pick_attr(t, F.col("base")).alias("u")),
         ).alias("tags"),
     )
     good = lambda urls: F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & U.is_image_url(u)))

@@ -138,7 +138,7 @@ SELECT page_id, pos, u AS img, {Q.is_image('u')} AS is_image,
   contains(cls, 'chapter-img') AS is_reader FROM img_picked""")
 def link_tests(spark, sf):
     tags = view(spark, sf, "fx_html").select("page_id", "url", F.posexplode_outer(U.extract_tags(F.col("html"), "img")).alias("pos", "tag"))
-    img = tags.select("page_id", (F.col("pos") + 1).alias("pos"), U.pick_attr(F.col("tag"), F.col("url")).alias("img"), U.is_reader_img(F.col("tag")).alias("is_reader"))
+    img = tags.select("page_id", (F.col("pos") + 1).alias("pos"), U.pick_attr(F.col("tag"), U.base_parts(F.col("url"))).alias("img"), U.is_reader_img(F.col("tag")).alias("is_reader"))
     return img.where("img is not null").select(
         "page_id", "pos", "img", U.is_image_url(F.col("img")).alias("is_image"), U.looks_like_page(F.col("img")).alias("is_page"), "is_reader"
     )
@@ -169,8 +169,8 @@ w AS (SELECT page_id, CASE WHEN nd >= 3 OR (na < 3 AND nd >= na) THEN 'd' ELSE '
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS pos, u AS img FROM (
   SELECT d.* FROM d JOIN w USING (page_id) WHERE w = 'd' UNION ALL SELECT a.* FROM a JOIN w USING (page_id) WHERE w = 'a') z""")
 def rendered_images(spark, sf):
-    picked = F.transform(U.extract_tags(F.col("html"), "img"), lambda t: U.pick_attr(t, F.col("url")))
-    seen = view(spark, sf, "fx_html").select(
+    picked = F.transform(U.extract_tags(F.col("html"), "img"), lambda t: U.pick_attr(t, F.col("base")))
+    seen = view(spark, sf, "fx_html").withColumn("base", U.base_parts(F.col("url"))).select(
         "page_id", F.filter(picked, lambda u: u.isNotNull()).alias("dom"), F.array().cast("array<string>").alias("srcset"),
         U.extract_urls(F.col("html")).alias("api"), F.array().cast("array<string>").alias("net"),
     )
