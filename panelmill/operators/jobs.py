@@ -56,11 +56,13 @@ def require_any(results: DataFrame, keys: list[str], message: str = "every page
     return tally.where(F.when(F.col("good") == 0, F.raise_error(F.lit(message))).otherwise(F.lit(True)))
 
 
-def run_batch(chapters: DataFrame, process: Callable[[str], tuple[str | None, int]]) -> DataFrame:
+def run_batch(chapters: DataFrame, process: Callable[[str], tuple[str | None, int]], tasks: int | None = None) -> DataFrame:
     """Call ``process(chapter_url) -> (folder, pages)`` for every chapter; errors become rows.
 
-    Output: (chapter_url, ch, folder, pages, error, status).
+    Output: (chapter_url, ch, folder, pages, error, status). Chapters are few rows of much
+    work, so they are spread over ``tasks`` (by default every core) whatever their size.
     """
+    tasks = tasks or chapters.sparkSession.sparkContext.defaultParallelism
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,7 +75,7 @@ def run_batch(chapters: DataFrame, process: Callable[[str], tuple[str | None, in
                     rows.append((url, ch, None, 0, str(exc)))
             yield pd.DataFrame(rows, columns=["chapter_url", "ch", "folder", "pages", "error"])
 
-    done = chapters.select("chapter_url", "ch").mapInPandas(
+    done = chapters.select("chapter_url", "ch").repartition(tasks).mapInPandas(
         work, "chapter_url string, ch bigint, folder string, pages bigint, error string"
     )
     return done.withColumn("status", outcome(F.col("pages"), F.col("error")))

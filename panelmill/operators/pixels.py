@@ -124,27 +124,30 @@ def linear_resize(img: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def rescale_images(images: DataFrame, rule: str = "stitch") -> DataFrame:
-    """Bring images to (new_w, new_h); equal sizes pass through without touching Python.
+    """Bring images to (new_w, new_h).
 
-    ``stitch`` averages areas when shrinking and is bilinear when growing; ``canvas`` is bilinear.
+    ``stitch`` averages areas when shrinking and is bilinear when growing; ``canvas`` is
+    bilinear. The pixel table is read once, and only bytes that change go to Python: for
+    images of the right size the kernel sees a null.
     """
-    same = "width = new_w and height = new_h"
-    keep = [c for c in images.columns if c not in ("height", "width", "data", "new_w", "new_h")]
-    fixed = images.where(same).select(*keep, "height", "width", "data")
-    todo = images.where(f"not ({same})").select(*keep, "height", "width", "data", "new_w", "new_h")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = []
-            for h, w, d, nw, nh in zip(pdf["height"], pdf["width"], pdf["data"], pdf["new_w"], pdf["new_h"]):
-                shrink = rule == "stitch" and nw <= w and nh <= h
-                fn = area_resize if shrink else linear_resize
-                data.append(fn(as_array(d, h, w), int(nw), int(nh)).tobytes())
-            out = pdf[keep].copy()
-            out["height"], out["width"], out["data"] = pdf["new_h"].astype("int32"), pdf["new_w"].astype("int32"), data
-            yield out
-
-    return fixed.unionByName(todo.mapInPandas(work, fixed.schema))
+    def resize(data: pd.Series, h: pd.Series, w: pd.Series, nh: pd.Series, nw: pd.Series) -> pd.Series:
+        out = []
+        for d, h0, w0, h1, w1 in zip(data, h, w, nh, nw):
+            if d is None:
+                out.append(None)
+                continue
+            fn = area_resize if rule == "stitch" and w1 <= w0 and h1 <= h0 else linear_resize
+            out.append(fn(as_array(d, h0, w0), int(w1), int(h1)).tobytes())
+        return pd.Series(out, dtype=object)
+
+    moved = (F.col("width") != F.col("new_w")) | (F.col("height") != F.col("new_h"))
+    changed = F.pandas_udf(resize, "binary")(F.when(moved, F.col("data")), "height", "width", "new_h", "new_w")
+    keep = [c for c in images.columns if c not in ("height", "width", "data", "new_w", "new_h")]
+    return images.select(
+        *keep, F.col("new_h").cast("int").alias("height"), F.col("new_w").cast("int").alias("width"),
+        F.coalesce(changed, F.col("data")).alias("data"),
+    )
 
 
 # -- masks --------------------------------------------------------------------

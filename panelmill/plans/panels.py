@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cuts as C, pixels as P
+from ..session import durable
 
 MODES = ("auto", "heuristic", "visual")
 
@@ -34,15 +35,21 @@ def cut_canvases(
     """Numbered panels with their pixels: (chapter, image_id, k, n, name, height, width, data).
 
     ``images`` is the pixel table, ``canvases`` (chapter, seq, image_id), ``boxes`` the text
-    boxes (image_id, box_id, n, y, h, text, page_w, page_h). Pixels are read once for the
-    row table and once for the final crops.
+    boxes (image_id, box_id, n, y, h, text, page_w, page_h). The pixels of canvases that need
+    cutting are read once for the row table, which is written down because two joins read
+    it, and all pixels once more for the final crops.
     """
-    table = P.row_table(images)
     sizes = images.select("image_id", F.col("height").alias("h"), F.col("width").alias("w"))
+    targets = story_targets(boxes, ends, mode)
+    long = sizes.where(F.col("h") > F.floor(F.col("w") * C.MAX_RATIO)).select("image_id")
+    if targets is not None:
+        targets = durable(targets)
+        long = long.unionByName(targets.select("image_id")).distinct()
+    table = durable(P.row_table(images.join(long, "image_id", "left_semi")))
     protect = boxes.select("image_id", F.col("y").alias("y0"), (F.col("y") + F.col("h")).alias("y1"))
     slices = C.split_panels(
         C.smooth(table.select("image_id", "y", "cost")), table.select("image_id", "y", "width", "mid", "top", "bot"),
-        sizes, C.forbidden(protect, sizes), story_targets(boxes, ends, mode),
+        sizes, C.forbidden(protect, sizes), targets,
     )
     numbered = C.number_panels(slices, canvases)
     return numbered.join(images.select("image_id", "width", "data"), "image_id").select(

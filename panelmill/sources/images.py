@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -47,21 +48,18 @@ def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def three_channels(images: DataFrame) -> DataFrame:
-    """Bring grey and alpha images to three colour bytes per pixel; colour images are not touched."""
-    colour = images.where("n_channels = 3")
-    other = images.where("n_channels <> 3")
-
-    def work(batches):
-        import numpy as np
-
-        for pdf in batches:
-            out = []
-            for h, w, n, data in zip(pdf["height"], pdf["width"], pdf["n_channels"], pdf["data"]):
-                px = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                out.append((np.repeat(px, 3, axis=2) if n == 1 else px[:, :, :3]).tobytes())
-            yield pdf.assign(data=out, n_channels=3)
-
-    return colour.unionByName(other.mapInPandas(work, images.schema))
+    """Bring grey and alpha images to three colour bytes per pixel; colour images never leave the JVM."""
+
+    def spread(data: pd.Series, h: pd.Series, w: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for d, rows, cols, k in zip(data, h, w, n):
+            px = None if d is None else np.frombuffer(d, np.uint8).reshape(rows, cols, k)
+            out.append(None if d is None else (np.repeat(px, 3, axis=2) if k == 1 else px[:, :, :3]).tobytes())
+        return pd.Series(out, dtype=object)
+
+    odd = F.when(F.col("n_channels") != 3, F.col("data"))
+    changed = F.pandas_udf(spread, "binary")(odd, "height", "width", "n_channels")
+    return images.withColumn("data", F.coalesce(changed, F.col("data"))).withColumn("n_channels", F.lit(3))
 
 
 def require_readable(images: DataFrame) -> DataFrame:

@@ -46,6 +46,13 @@ def test_folder_scan_order_and_decode(spark, tmp_path):
         S.require_readable(good.limit(0))
 
 
+def test_grey_and_alpha_become_three_channels(spark):
+    rows = [("g", 1, 2, 1, bytearray([7, 9])), ("a", 1, 1, 4, bytearray([1, 2, 3, 255])), ("c", 1, 1, 3, bytearray([4, 5, 6]))]
+    df = spark.createDataFrame(rows, "origin string, height int, width int, n_channels int, data binary")
+    got = {r.origin: (r.n_channels, list(bytes(r.data))) for r in S.three_channels(df).collect()}
+    assert got == {"g": (3, [7, 7, 7, 9, 9, 9]), "a": (3, [1, 2, 3]), "c": (3, [4, 5, 6])}
+
+
 def test_header_sizes(spark):
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x0b\x08\x00\x07\x00\x09\x03xxxxxx"
     gif, bmp = b"GIF89a\x05\x00\x06\x00", b"BM" + b"\0" * 16 + b"\x08\0\0\0\xf7\xff\xff\xff"
