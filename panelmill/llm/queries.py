@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, quality, tokens, topk
+from . import licenses, mixing, neardup, packing, pii, quality, repeats, tokens, topk
 from . import query
 from .common import table
 
@@ -49,6 +49,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+@query(
+    "op4_odd_sketch",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), common AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, a.n AS n, b.n AS m, count(*) AS c FROM x a JOIN x b USING (t) WHERE a.doc_id < b.doc_id
+  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL
+), link AS (
+  SELECT i, j FROM common WHERE 100 * c >= 85 * (n + m - c)
+), edge AS (
+  SELECT i, j FROM link UNION ALL SELECT j, i FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS node FROM s UNION SELECT reach.doc_id, edge.j FROM reach JOIN edge ON reach.node = edge.i
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85)
+
+
 @query("op5_domain_mix")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +84,39 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate", "copies")
 
 
+@query(
+    "op7_run_length_index",
+    """
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT i, doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT i, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d) u
+), early AS (
+  SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)
+), bad AS (
+  SELECT i, p FROM g JOIN early USING (s) WHERE doc_id > least
+), steps AS (
+  SELECT i, p, p > lag(p) OVER (PARTITION BY i ORDER BY p) + 50 IS NOT FALSE AS opens FROM bad
+), runs AS (
+  SELECT i, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT i, p, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY p) AS run FROM steps) r
+  GROUP BY i, run
+), gaps AS (
+  SELECT i, lo, hi, coalesce(lag(hi) OVER (PARTITION BY i ORDER BY lo), 0) AS since FROM runs
+), kept AS (
+  SELECT i, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k,
+    sum(hi - lo) AS n, count(*) AS spans FROM gaps JOIN d USING (i) GROUP BY i
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (i)""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    removed = F.reduce("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 LINE = r"regexp_replace(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[ \x09-\x0D]+|[ \x09-\x0D]+$', '', 'g'), '[ \x09-\x0D]+', ' ', 'g')"
 
 
