@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, pii, quality, repeats, tokens, topk
+from . import licenses, lm, mixing, neardup, packing, pii, quality, repeats, tokens, topk
 from . import query
 from .common import table
 
@@ -84,6 +84,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate", "copies")
 
 
+@query("op6_pitman_yor")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     "op7_run_length_index",
     """
