@@ -14,7 +14,7 @@ EPOCH, DAYS, DAYS_A, DAYS_B = "1800-01-01", 146_097, 189, 773
 #: What is looked for, in this order at each place.
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[0-9]{0,63}[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "address": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?\p{N})",
     "iso": r"(?<![\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{N}]|-\p{N})",
     "dotted": r"(?<![\p{N}.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\.?\p{N})",
