@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, WORD, free_name
+from .common import LOWER, SPACE, UPPER, WORD, free_name, written
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 GAPS = re.compile(r"[ \t-\r]")
@@ -38,6 +40,14 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - len(GAPS.findall(text)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeat_words(words)
 
 
+def text_lines(text: str | None) -> tuple[int, int, list[int], list[int]]:
+    """A 128-bit name of a text's normalised lines, then their codes (those of ``line_code``) and words, in order."""
+    lines = [b" ".join(x.split()).lower() for x in (text or "").encode("utf-8", "replace").split(b"\n") if x.strip()]
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(b"\n".join(lines)), np.int64)
+    codes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in lines), np.uint64, len(lines))
+    return int(a), int(b), codes.view(np.int64).tolist(), [x.count(b" ") + 1 for x in lines]
+
+
 def normal(line: Column) -> Column:
     """A line without outer white space, inner runs as one space, A-Z in lower case."""
     return F.translate(F.regexp_replace(F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+", " "), UPPER, LOWER)
@@ -80,23 +90,26 @@ def quality_rules(
     def counted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_counts(t) for t in texts], columns=names, dtype="int64")
 
-    split = F.filter(F.split(column, "\n"), lambda x: x.rlike(WORD))
+    @F.pandas_udf("a long, b long, h array<long>, n array<long>")
+    def lined(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_lines(t) for t in texts], columns=["a", "b", "h", "n"])
+
     base = docs.withColumn(body, counted(column))
     base = base.withColumns({n: F.col(f"{body}.{n}") for n in names}).drop(body)
     base = base.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat))
 
     host_key = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
-    keyed = docs.select(host_key.alias(who), F.coalesce(F.transform(split, lambda x: F.struct(line_code(x).alias("h"), (F.size(F.split(normal(x), " "))).cast("long").alias("n"))), F.array()).alias(lines))
-    keyed = keyed.withColumn(content, F.struct(F.xxhash64(lines).alias("a"), F.hash(lines).alias("b"), F.size(lines).alias("n")))
-    texts = keyed.groupBy(who, content).agg(F.first(lines).alias(lines))
+    name = F.struct(F.col(f"{lines}.a"), F.col(f"{lines}.b"))
+    keyed = docs.select(host_key.alias(who), lined(column).alias(lines))
+    texts = keyed.groupBy(who, name.alias(content)).agg(F.first(F.arrays_zip(F.col(f"{lines}.h").alias("h"), F.col(f"{lines}.n").alias("n"))).alias(lines))
+    texts = written(texts)
     hosts = texts.groupBy(who).agg(F.count("*").alias(total))
     each = texts.select(who, content, F.explode(lines).alias("x")).groupBy(who, content, F.col("x.h").alias("h")).agg(F.sum("x.n").alias(words))
     share = each.groupBy(who, "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(hosts, who)
     share = share.where(F.col("n") > F.col(total) * max_share).select(who, "h")
     hit = each.join(share, [who, "h"]).groupBy(who, content).agg(F.sum(words).alias(gone), F.collect_set("h").alias(found))
 
-    left = base.withColumn(who, host_key).withColumn(lines, F.coalesce(F.transform(split, lambda x: F.struct(line_code(x).alias("h"), (F.size(F.split(normal(x), " "))).cast("long").alias("n"))), F.array()))
-    left = left.withColumn(content, F.struct(F.xxhash64(lines).alias("a"), F.hash(lines).alias("b"), F.size(lines).alias("n"))).drop(lines)
+    left = base.withColumns({who: host_key, lines: lined(column)}).withColumn(content, name).drop(lines)
     hit = hit.withColumnsRenamed({who: k1, content: k2})
     out = left.join(hit, (F.col(who) == F.col(k1)) & (F.col(content) == F.col(k2)), "left")
     rest = F.col("n_words") - F.coalesce(F.col(gone), F.lit(0))
