@@ -75,22 +75,32 @@ POSTS = "POSTS?\\s*:\\s*([0-9\\-\\s|,]+)"
 _KHMER_DIGITS = "".join(chr(0x17E0 + d) for d in range(10))
 
 
+def ascii_number(digits: Column) -> Column:
+    """A run of ASCII or Khmer digits as ``plain_number``; '' for a run with other digits."""
+    text = plain_number(F.translate(digits, _KHMER_DIGITS, "0123456789"))
+    return F.when(text.rlike("^[0-9]+$"), text).otherwise("")
+
+
+def plain_number(digits: Column) -> Column:
+    """A run of digits without leading zeros, as text: it has no largest value."""
+    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
+
+
 def numbered_lines(c: Column) -> Column:
-    """array<struct<pos, n, text>> of the usable lines of one reply, in order."""
+    """array<struct<pos, n, text>> of the usable lines of one reply, in order; ``n`` is a number written as ``plain_number``."""
     parsed = F.transform(
         split_lines(c),
         lambda line, pos: F.struct(
             pos.alias("pos"),
-            F.translate(F.regexp_extract(line, "(?U)" + NUMBERED, 1), _KHMER_DIGITS, "0123456789")
-            .try_cast("int").alias("n"),
+            ascii_number(F.regexp_extract(line, "(?U)" + NUMBERED, 1)).alias("n"),
             strip(F.regexp_extract(line, "(?U)" + NUMBERED, 2)).alias("text"),
         ),
     )
-    return F.filter(parsed, lambda r: r.n.isNotNull() & (r.text != ""))
+    return F.filter(parsed, lambda r: (r.n != "") & (r.text != ""))
 
 
 def parse_posts(c: Column) -> Column:
-    """array<struct<lo, hi>> of the first post list in a reply; other parts are ignored."""
+    """array<struct<lo, hi>> of the first post list in a reply, as ``plain_number``; other parts are ignored."""
     body = F.regexp_extract(c, "(?iU)" + POSTS, 1)
     pairs = F.transform(
         F.split(body, "[|,]"),
@@ -100,8 +110,8 @@ def parse_posts(c: Column) -> Column:
                 F.regexp_extract(part, "(?U)^\\s*(\\d+)\\s*-\\s*(\\d+)", 2).alias("hi"),
                 F.regexp_extract(part, "(?U)^\\s*(\\d+)\\s*$", 1).alias("one"),
             ),
-            lambda m: F.when(m.lo != "", F.struct(m.lo.try_cast("int").alias("lo"), m.hi.try_cast("int").alias("hi")))
-            .when(m.one != "", F.struct(m.one.try_cast("int").alias("lo"), m.one.try_cast("int").alias("hi"))),
+            lambda m: F.when(m.lo != "", F.struct(plain_number(m.lo).alias("lo"), plain_number(m.hi).alias("hi")))
+            .when(m.one != "", F.struct(plain_number(m.one).alias("lo"), plain_number(m.one).alias("hi"))),
         ),
     )
     return F.filter(pairs, lambda p: p.isNotNull())
@@ -118,7 +128,8 @@ def natural_key(c: Column) -> Column:
         tokens,
         lambda t: F.struct(
             t.rlike("^\\d").alias("is_num"),
-            F.when(t.rlike("^\\d"), t.try_cast("decimal(38,0)")).alias("num"),
+            # longer numbers are larger, equally long ones compare digit by digit
+            F.when(t.rlike("^\\d"), F.struct(F.length(plain_number(t)).alias("size"), plain_number(t).alias("digits"))).alias("num"),
             F.when(~t.rlike("^\\d"), t).alias("txt"),
         ),
     )

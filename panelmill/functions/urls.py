@@ -77,7 +77,10 @@ def name_from_url(u: Column) -> Column:
 
 
 def detect_chapter(u: Column) -> Column:
-    """struct<n, start, stop> of the chapter number in a URL (0-based span), or null."""
+    """struct<n, start, stop> of the chapter number in a URL (0-based span), or null.
+
+    ``n`` is null for a run of more than 38 digits, which no exact number type holds; its span is still given.
+    """
 
     def found(match: Column) -> Column:
         digits = match.digits
@@ -85,7 +88,7 @@ def detect_chapter(u: Column) -> Column:
         return F.when(
             digits != "",
             F.struct(
-                digits.try_cast("bigint").alias("n"),
+                F.when(F.length(digits) <= 38, digits.try_cast("decimal(38,0)")).alias("n"),
                 start.alias("start"),
                 (start + F.length(digits)).alias("stop"),
             ),

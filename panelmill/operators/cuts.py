@@ -135,49 +135,66 @@ def argmin_row(profile: DataFrame, score: str = "cost") -> DataFrame:
 # -- cut search ---------------------------------------------------------------
 
 
-def _cheapest(cost: np.ndarray, free: np.ndarray, lo: int, hi: int, aim: float, pull: float) -> int | None:
-    """Row of least cost in [lo, hi) with a pull toward ``aim``; None when no row is free."""
-    rows = np.flatnonzero(free[lo:hi])
-    if rows.size == 0:
-        return None
-    c = cost[lo:hi][rows]
-    spread = float(c.max() - c.min()) or 1.0
-    away = np.abs(rows + lo - aim) / max(1, hi - lo)
-    return lo + int(rows[np.argmin(c + pull * spread * away)])
-
-
-def _walk(cost, free, height, low, ideal, high) -> list[int]:
-    """Cuts by size: each panel ends at the best row of its height window."""
-    cuts, pos = [], 0
-    while height - pos > high:
-        lo, hi = pos + low, min(pos + high, height - low)
-        if hi <= lo:
-            break
-        best = _cheapest(cost, free, lo, hi, pos + ideal, 0.25)
-        if best is None:
-            below = np.flatnonzero(free[hi:])
-            if below.size == 0:
-                break
-            best = hi + int(below[0])
-        if best <= pos:
-            best = min(pos + high, height)
-        cuts.append(best)
-        pos = best
-    return cuts
-
-
-def _snap(cost, free, height, width, targets) -> list[int]:
-    """Cuts by story: each target slides to the best row nearby."""
-    reach, cuts, pos = max(60, int(width * 0.45)), [], 0
-    for t in sorted({int(t) for t in targets}):
-        if t <= pos + EDGE or t >= height - EDGE:
-            continue
-        lo, hi = max(pos + EDGE, t - reach), min(height - EDGE, t + reach)
-        best = _cheapest(cost, free, lo, hi, t, 0.6) if hi > lo else None
-        if best is not None and best > pos + EDGE:
-            cuts.append(best)
-            pos = best
-    return cuts
+class _Rows:
+    """The allowed rows of one image with their costs, in row order: a window of rows is a slice found by bisection."""
+
+    def __init__(self, cost: np.ndarray, free: np.ndarray):
+        self.y = np.flatnonzero(free)
+        self.cost = cost[self.y]
+
+    def cheapest(self, lo: int, hi: int, aim: float, pull: float) -> int | None:
+        """Row of least cost in [lo, hi) with a pull toward ``aim``; None when the window holds no allowed row."""
+        part = slice(*np.searchsorted(self.y, (lo, hi)))
+        y, cost = self.y[part], self.cost[part]
+        if not y.size:
+            return None
+        bias = pull * (float(np.ptp(cost)) or 1.0) / max(1, hi - lo)
+        return int(y[np.argmin(cost + bias * np.abs(y - aim))])
+
+    def next_from(self, lo: int) -> int | None:
+        at = np.searchsorted(self.y, lo)
+        return int(self.y[at]) if at < self.y.size else None
+
+
+def _chain(link, start: int = 0) -> list[int]:
+    """Follow ``link`` (a boundary to the next one, or None) from a start."""
+    out, at = [], link(start)
+    while at is not None:
+        out.append(at)
+        at = link(at)
+    return out
+
+
+def _size_link(rows: _Rows, height: int, low: int, ideal: int, high: int):
+    """The boundary after a given one when panels are cut by size: the best row that leaves both sides high enough, else the first
+    allowed row below; none where the rest fits one panel."""
+
+    def link(at: int) -> int | None:
+        stop = min(at + high, height - low)
+        if height - at <= high or stop <= at + low:
+            return None
+        best = rows.cheapest(at + low, stop, at + ideal, 0.25)
+        return rows.next_from(stop) if best is None else best
+
+    return link
+
+
+def _story_link(rows: _Rows, height: int, width: int, targets):
+    """The boundary after a given one when panels follow story cuts: that of the first target below it with an allowed row in reach.
+
+    A target is used once, as the boundary it gave may lie above it.
+    """
+    aims = np.unique(np.asarray(targets).astype(np.int64))
+    aims, reach = aims[aims < height - EDGE], max(60, int(width * 0.45))
+
+    left = iter(aims.tolist())
+
+    def link(at: int) -> int | None:
+        floor = at + EDGE
+        near = (rows.cheapest(max(floor, t - reach), min(height - EDGE, t + reach), t, 0.6) for t in left if t > floor)
+        return next((y for y in near if y is not None and y > floor), None)
+
+    return link
 
 
 def _absorb(bounds: list[int], rows: dict[str, np.ndarray], width: int, low: int) -> list[int]:
@@ -217,19 +234,22 @@ def _absorb(bounds: list[int], rows: dict[str, np.ndarray], width: int, low: int
     return [s[0] for s in spans] + [spans[-1][1]]
 
 
-def panel_bounds(width, height, rows, targets, max_h=None, ideal_h=None, min_h=None, merge=True) -> list[int]:
+def panel_window(width: int, max_h=None, ideal_h=None, min_h=None) -> tuple[int, int, int]:
+    """(least, ideal, most) panel height for an image width, each at most the next."""
+    most = int(max_h or width * MAX_RATIO)
+    least = min(max(1, int(min_h or width * MIN_RATIO)), max(1, most))
+    return least, int(np.clip(int(ideal_h or width * IDEAL_RATIO), least, max(least, most))), most
+
+
+def panel_bounds(width, height, rows, targets, merge=True, **window) -> list[int]:
     """Slice boundaries of one image from its row table."""
-    high = int(max_h or width * MAX_RATIO)
-    ideal, low = int(ideal_h or width * IDEAL_RATIO), int(min_h or width * MIN_RATIO)
-    low = max(1, min(low, high))
-    ideal = max(low, min(ideal, high))
-    if targets is not None and len(targets):
-        cuts = _snap(rows["cost"], rows["free"], height, width, targets)
-    elif height <= high:
+    low, ideal, high = panel_window(width, **window)
+    table = _Rows(rows["cost"], rows["free"])
+    told = targets is not None and len(targets) > 0
+    if not told and height <= high:
         return [0, height]
-    else:
-        cuts = _walk(rows["cost"], rows["free"], height, low, ideal, high)
-    bounds = [0, *cuts, height]
+    link = _story_link(table, height, width, targets) if told else _size_link(table, height, low, ideal, high)
+    bounds = [0, *_chain(link), height]
     return _absorb(bounds, rows, width, low) if merge else bounds
 
 
@@ -242,12 +262,12 @@ def split_panels(
     merge: bool = True,
     **window,
 ) -> DataFrame:
-    """Panels (image_id, k, y0, y1), k from 0, that cover every image without gaps.
+    """Panels (image_id, k, y0, y1, searched), k from 0, that cover every image without gaps.
 
     ``profile`` is the smoothed cost, ``detail`` the edge counts, ``ranges`` the merged
     forbidden rows, ``targets`` (image_id, t) the story cuts: images that have any snap to
     them, the others are cut by size. Images short enough to stay whole never reach the
-    search.
+    search; an image that should be cut but has no rows in the table stays whole too, with ``searched`` false.
     """
     high = F.lit(int(window["max_h"])) if window.get("max_h") else F.floor(F.col("w") * MAX_RATIO)
     wanted = images
@@ -257,12 +277,13 @@ def split_panels(
     else:
         wanted = wanted.withColumn("aims", F.lit(None).cast("array<int>"))
     whole = wanted.where((F.col("h") <= high) & F.col("aims").isNull()).select(
-        "image_id", F.lit(0).alias("k"), F.lit(0).alias("y0"), F.col("h").cast("int").alias("y1")
+        "image_id", F.lit(0).alias("k"), F.lit(0).alias("y0"), F.col("h").cast("int").alias("y1"), F.lit(True).alias("searched")
     )
     taken = ranges.select("image_id", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("y"), F.lit(False).alias("free"))
+    tall = wanted.where((F.col("h") > high) | F.col("aims").isNotNull()).select("image_id", "w", "h", "aims")
     rows = (
         profile.join(detail, ["image_id", "y"])
-        .join(wanted.where((F.col("h") > high) | F.col("aims").isNotNull()).select("image_id", "w", "h", "aims"), "image_id")
+        .join(tall, "image_id", "right")
         .join(taken, ["image_id", "y"], "left")
         .select(
             "image_id", "y", "cost", "w", "h", "aims", F.coalesce("free", F.lit(True)).alias("free"),
@@ -272,13 +293,15 @@ def split_panels(
     kind = images.schema["image_id"].dataType.simpleString()
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y")
         head = pdf.iloc[0]
+        if pd.isna(head["y"]):
+            return pd.DataFrame({"image_id": [head["image_id"]], "k": [0], "y0": [0], "y1": [int(head["h"])], "searched": [False]})
+        pdf = pdf.sort_values("y")
         table = {c: pdf[c].to_numpy() for c in ("cost", "free", "mid", "top", "bot")}
         b = panel_bounds(int(head["w"]), int(head["h"]), table, head["aims"], merge=merge, **window)
-        return pd.DataFrame({"image_id": head["image_id"], "k": range(len(b) - 1), "y0": b[:-1], "y1": b[1:]})
+        return pd.DataFrame({"image_id": head["image_id"], "k": range(len(b) - 1), "y0": b[:-1], "y1": b[1:], "searched": True})
 
-    cut = rows.groupBy("image_id").applyInPandas(search, f"image_id {kind}, k int, y0 int, y1 int")
+    cut = rows.groupBy("image_id").applyInPandas(search, f"image_id {kind}, k int, y0 int, y1 int, searched boolean")
     return whole.unionByName(cut)
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
-from ..session import durable
 from .ordering import running
 
 WINDOW = 10
@@ -19,25 +16,32 @@ WINDOW = 10
 def expand_batch(sources: DataFrame, start: int | None = None, end: int | None = None, strict: bool = True) -> DataFrame:
     """One row per chapter address: start..end, by default the detected number and the nine after it.
 
-    An end before the start still gives one chapter. A source without a chapter number is an
-    error (``strict``) or dropped.
+    An end before the start still gives one chapter. A source without a chapter number, or with
+    one of more than 38 digits, is an error (``strict``) or dropped.
     """
     found = sources.withColumn("_d", U.detect_chapter(F.col("url")))
     if strict:
         message = F.concat(F.lit("no chapter number in "), F.col("url"))
-        found = found.withColumn("_d", F.when(F.col("_d").isNull(), F.raise_error(message)).otherwise(F.col("_d")))
-    found = found.where("_d is not null")
-    first = F.col("_d.n") if start is None else F.lit(start).cast("bigint")
-    last = first + (WINDOW - 1) if end is None else F.lit(end).cast("bigint")
-    spread = F.sequence(first, F.greatest(first, last))
+        found = found.withColumn("_d", F.when(F.col("_d.n").isNull(), F.raise_error(message)).otherwise(F.col("_d")))
+    found = found.where("_d.n is not null")
+    first = F.col("_d.n") if start is None else F.lit(start).cast("decimal(38,0)")
+    last = first + (WINDOW - 1) if end is None else F.lit(end).cast("decimal(38,0)")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), last - first).cast("bigint"))
     return (
-        found.withColumn("ch", F.explode_outer(spread))
+        found.withColumn("_k", F.explode_outer(steps))
+        .withColumn("ch", (first + F.col("_k")).cast("decimal(38,0)"))
         .withColumn("chapter_url", U.make_url(F.col("url"), F.col("_d"), F.col("ch")))
-        .withColumn("bundle", F.format_string("chapter_%04d.zip", F.col("ch")))
-        .drop("_d")
+        .withColumn("bundle", F.concat(F.lit("chapter_"), padded(F.col("ch")), F.lit(".zip")))
+        .drop("_d", "_k")
     )
 
 
+def padded(n: Column) -> Column:
+    """A whole number with four digits at least."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(4)), "0")
+
+
 def outcome(pages: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), "failed").when(pages > 0, "done").otherwise("skipped")
 
@@ -75,8 +79,9 @@ def run_batch(chapters: DataFrame, process: Callable[[str], tuple[str | None, in
                     rows.append((url, ch, None, 0, str(exc)))
             yield pd.DataFrame(rows, columns=["chapter_url", "ch", "folder", "pages", "error"])
 
+    kind = chapters.schema["ch"].dataType.simpleString()
     done = chapters.select("chapter_url", "ch").repartition(tasks).mapInPandas(
-        work, "chapter_url string, ch bigint, folder string, pages bigint, error string"
+        work, f"chapter_url string, ch {kind}, folder string, pages bigint, error string"
     )
     return done.withColumn("status", outcome(F.col("pages"), F.col("error")))
 
@@ -139,81 +144,12 @@ def progress(events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
 
 # -- bundles ----------------------------------------------------------------
 
-_DOS_TIME, _DOS_DATE = 0, 0x21  # fixed values: midnight of the format's first day
-
-
-def _deflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compress each file and put its archive header in front."""
-    for pdf in batches:
-        body, crc, packed = [], [], []
-        for name, data in zip(pdf["name"], pdf["data"]):
-            squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
-            stream = squeeze.compress(data) + squeeze.flush()
-            raw = name.encode()
-            check = zlib.crc32(data)
-            crc.append(check)
-            packed.append(len(stream))
-            body.append(
-                struct.pack("<IHHHHHIIIHH", 0x04034B50, 20, 0x800, 8, _DOS_TIME, _DOS_DATE, check, len(stream), len(data), len(raw), 0)
-                + raw + stream
-            )
-        yield pd.DataFrame({
-            "chapter": pdf["chapter"], "seq": pdf["seq"], "name": pdf["name"], "crc": crc, "packed": packed,
-            "size": pdf["data"].map(len), "piece": body, "piece_len": [len(b) for b in body],
-        })
-
-
-def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The closing directory entry of each file; far offsets use the long form."""
-    for pdf in batches:
-        out = []
-        for name, crc, packed, size, at in zip(pdf["name"], pdf["crc"], pdf["packed"], pdf["size"], pdf["at"]):
-            raw, far = name.encode(), at >= 0xFFFFFFFF
-            extra = struct.pack("<HHQ", 1, 8, at) if far else b""
-            out.append(
-                struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, 45, 45 if far else 20, 0x800, 8, _DOS_TIME, _DOS_DATE, crc,
-                            packed, size, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if far else at) + raw + extra
-            )
-        yield pd.DataFrame({"chapter": pdf["chapter"], "seq": pdf["seq"], "piece": out, "piece_len": [len(b) for b in out]})
-
-
-def _closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The end record of each archive; big archives add the long form."""
-    for pdf in batches:
-        out = []
-        for n, at, size in zip(pdf["n"], pdf["at"], pdf["size"]):
-            end = b""
-            if n >= 0xFFFF or at >= 0xFFFFFFFF or size >= 0xFFFFFFFF:
-                end = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, n, n, size, at)
-                end += struct.pack("<IIQI", 0x07064B50, 0, at + size, 1)
-            end += struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(at, 0xFFFFFFFF), 0)
-            out.append(end)
-        yield pd.DataFrame({"chapter": pdf["chapter"], "piece": out})
-
-
-def bundle(files: DataFrame) -> DataFrame:
-    """Zip archives per chapter as ordered pieces: (chapter, part, seq, archive, piece).
-
-    Input: (chapter string, ch int, seq bigint, name, data). The pieces of a chapter,
-    joined in (part, seq) order, are its archive. Files compress in parallel and only
-    their sizes are summed up along the order, so no task ever holds a whole chapter.
+
+def bundle_files(files: DataFrame) -> DataFrame:
+    """What each chapter's archive holds, in order: (chapter, archive, seq, name, size, at).
+
+    Input: (chapter string, ch, seq bigint, name, size). ``at`` is the number of bytes before a file. Only sizes move and are
+    summed in blocks along the order; an archiver reads the files themselves.
     """
-    # written once: its bytes and its sizes are both read below
-    body = durable(files.select("chapter", "seq", "name", "data").mapInPandas(
-        _deflated, "chapter string, seq bigint, name string, crc bigint, packed bigint, size bigint, piece binary, piece_len bigint"
-    ))
-    sizes = running(body.drop("piece"), ["chapter"], "seq", {"at": F.col("piece_len")})
-    entries = sizes.select("chapter", "seq", "name", "crc", "packed", "size", "at").mapInPandas(
-        _directory, "chapter string, seq bigint, piece binary, piece_len bigint"
-    )
-    ends = body.groupBy("chapter").agg(F.sum("piece_len").alias("at"), F.count("*").alias("n"))
-    ends = ends.join(entries.groupBy("chapter").agg(F.sum("piece_len").alias("size")), "chapter").mapInPandas(
-        _closing, "chapter string, piece binary"
-    )
-    pieces = (
-        body.select("chapter", F.lit(0).alias("part"), "seq", "piece")
-        .unionByName(entries.select("chapter", F.lit(1).alias("part"), "seq", "piece"))
-        .unionByName(ends.select("chapter", F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("seq"), "piece"))
-    )
-    names = files.groupBy("chapter").agg(F.format_string("chapter_%04d.zip", F.max("ch")).alias("archive"))
-    return pieces.join(names, "chapter")
+    placed = running(files.select("chapter", "ch", "seq", "name", "size"), ["chapter"], "seq", {"at": F.col("size")})
+    return placed.select("chapter", F.concat(F.lit("chapter_"), padded(F.col("ch")), F.lit(".zip")).alias("archive"), "seq", "name", "size", "at")

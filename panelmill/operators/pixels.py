@@ -7,7 +7,7 @@ stacked or painted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .cuts import EDGE_THRESHOLD
 
-# Stroke and colour mask settings.
-STROKE = 15
-STROKE_LEVEL = 30
-COLOUR_LEVEL = 16
-WHOLE_BOX = 0.10
-HALO = 3
 # Grey weights (blue, green, red) in 1/32768.
 GREY = (3735, 19235, 9798)
 
@@ -150,235 +144,10 @@ def rescale_images(images: DataFrame, rule: str = "stitch") -> DataFrame:
     )
 
 
-# -- masks --------------------------------------------------------------------
-
-
-def ellipse(size: int) -> np.ndarray:
-    """Filled ellipse in a size×size window, row by row from the circle equation."""
-    r, c = size // 2, size // 2
-    out = np.zeros((size, size), bool)
-    for i in range(size):
-        half = int(np.rint(c * np.sqrt(max(0.0, (r * r - (i - r) ** 2)) / (r * r)))) if r else 0
-        out[i, max(c - half, 0) : min(c + half + 1, size)] = True
-    return out
-
+# -- overlays ---------------------------------------------------------------
 
-def _shifted(a: np.ndarray, kernel: np.ndarray, pick, border: int) -> np.ndarray:
-    """Extreme value under a window, one window offset at a time over the whole image."""
-    kh, kw = kernel.shape
-    py, px = kh // 2, kw // 2
-    wide = np.pad(a, ((py, kh - 1 - py), (px, kw - 1 - px)), constant_values=border)
-    out, h, w = None, *a.shape
-    for dy in range(kh):
-        for dx in np.flatnonzero(kernel[dy]):
-            part = wide[dy : dy + h, dx : dx + w]
-            out = part.copy() if out is None else pick(out, part, out=out)
-    return out
 
-
-def dilate(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    return _shifted(a, kernel, np.maximum, 0)
-
-
-def erode(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    return _shifted(a, kernel, np.minimum, 255)
-
-
-def close(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    return erode(dilate(a, kernel), kernel)
-
-
-def _inside(shape, boxes) -> np.ndarray:
-    out = np.zeros(shape, bool)
-    for x1, y1, x2, y2 in boxes:
-        out[max(y1, 0) : y2 + 1, max(x1, 0) : x2 + 1] = True
-    return out
-
-
-def stroke_mask(img: np.ndarray, boxes) -> np.ndarray:
-    """Glyph strokes inside boxes: bright or dark detail thinner than the window."""
-    if not len(boxes):
-        return np.zeros(img.shape[:2], np.uint8)
-    g, el = grey(img).astype(np.int16), ellipse(STROKE)
-    opened, closed = dilate(erode(g, el), el), erode(dilate(g, el), el)
-    strokes = np.maximum(g - opened, closed - g)
-    mask = np.where((strokes > STROKE_LEVEL) & _inside(g.shape, boxes), 255, 0).astype(np.uint8)
-    return dilate(close(mask, np.ones((3, 3), bool)), ellipse(2 * HALO + 1))
-
-
-def _lab(img: np.ndarray) -> np.ndarray:
-    """Lightness and colour opponents on the 0..255 scale, rounded."""
-    c = img[..., ::-1].astype(np.float64) / 255
-    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
-    m = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
-    xyz = c @ m.T / np.array([0.950456, 1.0, 1.088754])
-    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
-    light = np.where(xyz[..., 1] > 0.008856, 116 * f[..., 1] - 16, 903.3 * xyz[..., 1])
-    out = np.stack([light * 255 / 100, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], axis=-1)
-    return np.rint(out)
-
-
-def _blur(a: np.ndarray, size: int) -> np.ndarray:
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    r = size // 2
-    k = np.exp(-((np.arange(size) - r) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    for axis in (0, 1):
-        pad = [(0, 0)] * a.ndim
-        pad[axis] = (r, r)
-        wide = np.pad(a, pad, mode="reflect" if a.shape[axis] > r else "symmetric")
-        a = sum(k[i] * np.take(wide, np.arange(i, i + a.shape[axis]), axis=axis) for i in range(size))
-    return a
-
-
-def colour_mask(img: np.ndarray, boxes) -> np.ndarray:
-    """Strokes that differ from their surroundings by colour; a box with too few is taken whole."""
-    shape = img.shape[:2]
-    out = np.zeros(shape, np.uint8)
-    if not len(boxes):
-        return out
-    lab = _lab(img)
-    far = np.sqrt(((lab - _blur(lab, STROKE * 3 | 1)) ** 2).sum(axis=2)) > COLOUR_LEVEL
-    strokes = close(np.where(far, 255, 0).astype(np.uint8), ellipse(9))
-    for box in boxes:
-        inside = _inside(shape, [box])
-        part, area = inside & (strokes > 0), int(inside.sum())
-        if area and part.sum() / area < WHOLE_BOX:
-            part = inside
-        out[part] = 255
-    return dilate(out, ellipse(2 * HALO + 1))
-
-
-def mask_runs(mask: np.ndarray) -> list[tuple[int, int, int]]:
-    """(y, x0, x1) of every horizontal run, x1 exclusive."""
-    edge = np.diff(np.pad((mask > 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    ys, x0 = np.nonzero(edge == 1)
-    _, x1 = np.nonzero(edge == -1)
-    return list(zip(ys.tolist(), x0.tolist(), x1.tolist()))
-
-
-def _by_class(boxes: list[dict] | None, include_sfx: bool):
-    boxes = [] if boxes is None else list(boxes)
-    of = lambda c: [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes if b["class"] == c]
-    return of("text_bubble"), of("text_free") if include_sfx else []
-
-
-def build_mask(img: np.ndarray, talk, loose) -> np.ndarray:
-    return np.maximum(stroke_mask(img, talk), colour_mask(img, loose))
-
-
-def with_boxes(images: DataFrame, boxes: DataFrame, include_sfx: bool = True) -> DataFrame:
-    """Attach each page's distinct target boxes as one array (masks are unions, so repeats add nothing).
-
-    Distinct boxes on one page are bounded by its pixels; the image bytes are the larger side.
-    """
-    wanted = ["text_bubble", "text_free"] if include_sfx else ["text_bubble"]
-    lists = (
-        boxes.where(F.col("class").isin(*wanted)).select("image_id", "class", "x1", "y1", "x2", "y2").distinct()
-        .groupBy("image_id").agg(F.collect_list(F.struct("class", "x1", "y1", "x2", "y2")).alias("boxes"))
-    )
-    return images.join(lists, "image_id", "left")
-
-
-def text_mask(images: DataFrame, boxes: DataFrame, include_sfx: bool = True) -> DataFrame:
-    """Mask runs (image_id, y, x0, x1) of the text to erase."""
-    kind = images.schema["image_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for image, h, w, data, found in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], pdf["boxes"]):
-                runs = mask_runs(build_mask(as_array(data, h, w), *_by_class(found, include_sfx)))
-                out = pd.DataFrame(runs, columns=["y", "x0", "x1"])
-                out.insert(0, "image_id", image)
-                yield out
-
-    joined = with_boxes(images, boxes, include_sfx).where("boxes is not null")
-    return joined.select("image_id", "height", "width", "data", "boxes").mapInPandas(
-        work, f"image_id {kind}, y int, x0 int, x1 int"
-    )
-
-
-def first_that_loads(makers: list[tuple[str, Callable[[], Callable]]]) -> tuple[str, Callable]:
-    """The first backend whose factory works, with its name; later ones are fallbacks."""
-    problems = []
-    for name, make in makers:
-        try:
-            return name, make()
-        except Exception as exc:
-            problems.append(f"{name}: {exc}")
-    raise RuntimeError("no backend available (" + "; ".join(problems) + ")")
-
-
-def sticky_fallback(fast: Callable, safe: Callable) -> Callable:
-    """Run ``fast`` until it fails once, then ``safe`` for good."""
-    state = {"fn": fast}
-
-    def call(*args):
-        if state["fn"] is safe:
-            return safe(*args)
-        try:
-            return fast(*args)
-        except Exception:
-            state["fn"] = safe
-            return safe(*args)
-
-    return call
-
-
-def clean_pages(
-    images: DataFrame,
-    detectors: list[tuple[str, Callable[[], Callable]]],
-    fills: list[tuple[str, Callable[[], Callable]]],
-    include_sfx: bool = True,
-    min_score: float = 0.3,
-    tile: tuple[int, int] = (1600, 200),
-) -> DataFrame:
-    """Erase text from pages: (image_id, height, width, data, n_boxes, detector, backend, error).
-
-    ``detectors`` and ``fills`` are ordered (name, factory) lists: the first that loads is
-    used, once per task. A detector maps an image part to rows (label, x1, y1, x2, y2,
-    score); a fill maps (image, mask) to an image. A page that fails keeps its error and no
-    pixels, and does not stop the job.
-    """
-    kind = images.schema["image_id"].dataType.simpleString()
-    named = {1: "text_bubble", 0: "bubble"}
-
-    def found(img: np.ndarray, detect: Callable) -> list[dict]:
-        h, w = img.shape[:2]
-        height, overlap = tile
-        starts = [0] if h <= height else range(0, h - overlap, height - overlap)
-        out = []
-        for y in starts:
-            part = img[y : y + height]
-            for label, x1, y1, x2, y2, score in detect(part):
-                box = [int(np.rint(v)) for v in (x1, y1, x2, y2)]
-                box = [max(0, box[0]), max(0, box[1]), min(w, box[2]), min(len(part), box[3])]
-                if score >= min_score and box[2] - box[0] >= 2 and box[3] - box[1] >= 2:
-                    out.append({"class": named.get(int(label), "text_free"), "x1": box[0], "y1": box[1] + y, "x2": box[2], "y2": box[3] + y})
-        return out
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector, detect = first_that_loads(detectors)
-        backend, fill = first_that_loads(fills)
-        grow = ellipse(7)
-        for pdf in batches:
-            rows = []
-            for image, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"]):
-                try:
-                    img = as_array(data, h, w)
-                    talk, loose = _by_class(found(img, detect), include_sfx)
-                    mask = build_mask(img, talk, loose)
-                    n = 0
-                    if mask.any():
-                        img, n = fill(img, dilate(mask, grow)), len(talk) + len(loose)
-                    rows.append((image, h, w, img.tobytes(), n, detector, backend, None))
-                except Exception as exc:
-                    rows.append((image, h, w, None, 0, detector, backend, str(exc)))
-            yield pd.DataFrame(rows, columns=["image_id", "height", "width", "data", "n_boxes", "detector", "backend", "error"])
-
-    return images.select("image_id", "height", "width", "data").mapInPandas(
-        work, f"image_id {kind}, height int, width int, data binary, n_boxes int, detector string, backend string, error string"
-    )
+RED = (0, 0, 255)
 
 
 def overlay_boxes(images: DataFrame, items: DataFrame) -> DataFrame:
@@ -394,9 +163,14 @@ def overlay_boxes(images: DataFrame, items: DataFrame) -> DataFrame:
                 img = as_array(data, h, w).copy()
                 for b in [] if boxes is None else boxes:
                     x1, y1, x2, y2 = b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]
-                    outer = _inside((h, w), [(x1 - 1, y1 - 1, x2, y2)])
-                    inner = _inside((h, w), [(x1 + 1, y1 + 1, x2 - 2, y2 - 2)])
-                    img[outer & ~inner] = (0, 0, 255)
+                    rows, cols = slice(max(0, y1 - 1), max(0, y2 + 1)), slice(max(0, x1 - 1), max(0, x2 + 1))
+                    if x2 - x1 <= 2 or y2 - y1 <= 2:  # no room inside
+                        img[rows, cols] = RED
+                        continue
+                    for a, b in ((y1 - 1, y1 + 1), (y2 - 1, y2 + 1)):
+                        img[max(0, a) : max(0, b), cols] = RED
+                    for a, b in ((x1 - 1, x1 + 1), (x2 - 1, x2 + 1)):
+                        img[rows, max(0, a) : max(0, b)] = RED
                 drawn.append(img.tobytes())
             yield pd.DataFrame({"image_id": pdf["image_id"], "height": pdf["height"], "width": pdf["width"], "data": drawn})
 

@@ -101,14 +101,20 @@ def posts_of(replies: DataFrame, key: str = "chapter", text: str = "text") -> Da
     )
 
 
+def _by_number(items: DataFrame, table: DataFrame, how: str, key: str) -> DataFrame:
+    """Join on (chapter, n), where the table's ``_n`` is a number written as text."""
+    other = table.withColumnRenamed(key, "_key")
+    return items.join(other, (items[key] == other["_key"]) & (items["n"].cast("string") == other["_n"].cast("string")), how).drop("_key")
+
+
 def fill(items: DataFrame, table: DataFrame, how: str = "left", key: str = "chapter") -> DataFrame:
     """Join translated lines by number.
 
     ``inner`` keeps matched items only; ``left`` keeps the old text where nothing matches.
     Adds ``filled`` and ``styled`` (a name marker was present: bold and italic).
     """
-    new = table.select(key, "n", F.col("text").alias("_raw"))
-    joined = items.join(new, [key, "n"], how)
+    new = table.select(key, F.col("n").alias("_n"), F.col("text").alias("_raw"))
+    joined = _by_number(items, new, how, key).drop("_n")
     matched = F.col("_raw").isNotNull()
     return (
         joined.withColumn("text", F.when(matched, strip_names(F.col("_raw"))).otherwise(F.col("text")))
@@ -121,8 +127,8 @@ def fill(items: DataFrame, table: DataFrame, how: str = "left", key: str = "chap
 def cut_after(boxes: DataFrame, posts: DataFrame, key: str = "chapter") -> DataFrame:
     """Boxes whose number ends any post but the chapter's last one."""
     last = posts.groupBy(key).agg(F.max("k").alias("_last"))
-    ends = posts.join(last, key).where("k < _last").select(key, F.col("hi").alias("n")).distinct()
-    return boxes.join(ends, [key, "n"], "left_semi")
+    ends = posts.join(last, key).where("k < _last").select(key, F.col("hi").alias("_n")).distinct()
+    return _by_number(boxes, ends, "left_semi", key)
 
 
 def is_translated(canvases: DataFrame, items: DataFrame, keys: list[str], blocks=KHMER) -> DataFrame:
@@ -236,61 +242,30 @@ def layout_json_lines(segments: DataFrame, items: DataFrame, lang: str = "en", k
     ])
 
 
-def project_json(segments: DataFrame, key: str = "chapter", max_segments: int = 100_000) -> DataFrame:
-    """One saved project per chapter: {layout, name, seg_idx, post_groups, segments:[{image, state, work}]}.
+def project_lines(segments: DataFrame, key: str = "chapter") -> DataFrame:
+    """Lines of one saved project per chapter: {layout, name, seg_idx, post_groups, segments:[{image, state, work}]}.
 
-    Input: one row per segment with (chapter, pos, layout, name, seg_idx, post_groups, image,
-    state, differs). The work image is named only where it differs from the original.
-    The document has one entry per canvas of up to 16,000 rows; a chapter of more than
-    ``max_segments`` canvases is refused rather than built in one task.
+    Input: one row per segment with (chapter, pos, layout, name, seg_idx, post_groups, image, state, differs). The work image is named
+    only where it differs from the original. A segment is a line of its own, so a project may have any number of them.
     """
     work = F.when(F.col("differs"), F.concat(F.regexp_replace("image", "(?<=[^.])\\.[^.]*$", ""), F.lit("_work.png")))
-    entry = F.struct("pos", "image", "state", work.alias("work"))
-    return (
-        segments.join(segments.groupBy(key).agg(F.count("*").alias("_c")), key)
-        .where(F.when(F.col("_c") > max_segments, F.raise_error(F.lit("too many canvases for one project"))).otherwise(True))
-        .groupBy(key, "layout", "name", "seg_idx", "post_groups")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-        .select(
-            key,
-            F.to_json(F.struct(
-                "layout", "name", "seg_idx", "post_groups",
-                F.transform("_e", lambda e: F.struct(e.image.alias("image"), e.state.alias("state"), e.work.alias("work"))).alias("segments"),
-            )).alias("doc"),
-        )
-    )
-
-
-# Fixed value: what a page script starts with; it defines addText(text, x, y, w, h, name).
-SCRIPT_HEADER = "\n".join((
-    "#target photoshop",
-    "app.preferences.rulerUnits = Units.PIXELS;",
-    "var doc = app.activeDocument;",
-    'var FONT = "%s";',
-    "function addText(s, x, y, w, h, name) {",
-    "  var layer = doc.artLayers.add();",
-    "  layer.kind = LayerKind.TEXT;",
-    "  layer.name = name;",
-    "  var item = layer.textItem;",
-    "  item.kind = TextType.PARAGRAPHTEXT;",
-    '  item.position = [new UnitValue(x, "px"), new UnitValue(y, "px")];',
-    '  item.width = new UnitValue(Math.max(24, w), "px");',
-    '  item.height = new UnitValue(Math.max(24, h), "px");',
-    "  item.justification = Justification.CENTER;",
-    "  try { item.font = FONT; } catch (e) {}",
-    '  item.size = new UnitValue(Math.max(10, Math.round(h * 0.30)), "px");',
-    "  item.contents = s;",
-    "}",
-    "",
-))
+    first = segments.groupBy(key, "layout", "name", "seg_idx", "post_groups").agg(F.min("pos").alias("_p"))
+    head = F.concat(F.regexp_replace(F.to_json(F.struct("layout", "name", "seg_idx", "post_groups")), "\\}$", ""), F.lit(',"segments":['))
+    rows = segments.join(first.select(key, "_p"), key)
+    body = F.to_json(F.struct("image", "state", work.alias("work")))
+    return _stack([
+        _line(first, [key], 0, head),
+        _line(rows, [key], 2, F.concat(F.when(F.col("pos") == F.col("_p"), "").otherwise(","), body), F.col("pos")),
+        _line(first, [key], 4, F.lit("]}")),
+    ])
 
 
 def page_script_lines(
-    items: DataFrame, table: DataFrame, kinds=("bubble", "sfx"), font: str = "KhmerSangamMN", key: str = "chapter"
+    items: DataFrame, table: DataFrame, header: str, kinds=("bubble", "sfx"), key: str = "chapter"
 ) -> DataFrame:
-    """Lines of one script per page: a header, then one call per translated item.
+    """Lines of one script per page: the caller's header, then one call per translated item.
 
-    A page without a match keeps its header. Items without text are left out.
+    The header opens the document and defines ``addText(text, x, y, w, h, name)`` for the program that will run it. A page without a match keeps its header. Items without text are left out.
     """
     pages = items.select(key, "page").distinct()
     hit = fill_raw(items.where(F.col("kind").isin(*kinds)), table, key)
@@ -300,14 +275,15 @@ def page_script_lines(
         F.lit(', "kh_'), F.col("n").cast("string"), F.lit("_"), F.col("kind"), F.lit('");'),
     )
     return _stack([
-        _line(pages, [key], 1, F.lit(SCRIPT_HEADER % font), F.col("page")),
+        _line(pages, [key], 1, F.lit(header), F.col("page")),
         _line(hit, [key], 2, call, F.col("page"), F.col("n")),
     ])
 
 
 def fill_raw(items: DataFrame, table: DataFrame, key: str = "chapter") -> DataFrame:
     """Inner join by number that keeps markers as they are, in ``new_text``."""
-    return items.join(table.select(key, "n", F.col("text").alias("new_text")), [key, "n"]).where("new_text <> ''")
+    new = table.select(key, F.col("n").alias("_n"), F.col("text").alias("new_text"))
+    return _by_number(items, new, "inner", key).drop("_n").where("new_text <> ''")
 
 
 def script_counts(items: DataFrame, table: DataFrame, kinds=("bubble", "sfx"), key: str = "chapter") -> DataFrame:

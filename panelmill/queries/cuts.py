@@ -114,7 +114,7 @@ WALK = BARRED.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """, walk AS (
       (SELECT min(f.y) FROM free f WHERE f.image_id = w.image_id AND f.y >= least(w.pos + 80, w.h - 22))) AS nxt
     FROM walk w WHERE w.h - w.pos > 80 AND least(w.pos + 80, w.h - 22) > w.pos + 22) s WHERE nxt IS NOT NULL
 )
-SELECT image_id, CAST(k AS INT) AS k, pos AS y0, coalesce(lead(pos) OVER (PARTITION BY image_id ORDER BY k), h) AS y1 FROM walk"""
+SELECT image_id, CAST(k AS INT) AS k, pos AS y0, coalesce(lead(pos) OVER (PARTITION BY image_id ORDER BY k), h) AS y1, true AS searched FROM walk"""
 
 
 @query("size_cuts", WALK)
@@ -135,7 +135,7 @@ SNAP = BARRED.replace("WITH", "WITH RECURSIVE", 1).rstrip() + f""", tgt AS (
         * abs(f.y - t.t) / greatest(1, least(s.h - 8, t.t + 60) - greatest(s.last + 8, t.t - 60)), f.y)) FROM free f WHERE f.image_id = s.image_id AND f.y >= greatest(s.last + 8, t.t - 60) AND f.y < least(s.h - 8, t.t + 60)) END AS best
     FROM snap s JOIN tgt t ON t.image_id = s.image_id AND t.r = s.r + 1) q
 ), cuts AS (SELECT image_id, cut FROM snap WHERE cut > 0 UNION ALL SELECT image_id, 0 FROM images)
-SELECT c.image_id, CAST(row_number() OVER (PARTITION BY c.image_id ORDER BY cut) - 1 AS INT) AS k, cut AS y0, coalesce(lead(cut) OVER (PARTITION BY c.image_id ORDER BY cut), h) AS y1
+SELECT c.image_id, CAST(row_number() OVER (PARTITION BY c.image_id ORDER BY cut) - 1 AS INT) AS k, cut AS y0, coalesce(lead(cut) OVER (PARTITION BY c.image_id ORDER BY cut), h) AS y1, true AS searched
 FROM cuts c JOIN images i ON i.image_id = c.image_id"""
 
 
@@ -148,7 +148,30 @@ def story_snapped_cuts(spark, sf):
     return _split(spark, sf, _targets(spark, sf), merge=False)
 
 
-@query("panels")
+# Merging from the front: the first slice that is short or holds no drawing joins the neighbour with more of it, until none is left.
+# Row values are prefix sums in lists, so that a slice's score is a difference.
+MERGE = WALK[: WALK.rindex("SELECT image_id, CAST(k")].rstrip() + DETAIL.rstrip() + """, seen AS (
+  SELECT i.image_id, d.y, CASE WHEN t.y IS NULL THEN 1 ELSE 0 END AS f, CASE WHEN t.y IS NULL THEN coalesce(mid, 0) ELSE 0 END AS mid,
+    CASE WHEN t.y IS NULL THEN coalesce(top, 0) ELSE 0 END AS top, CASE WHEN t.y IS NULL THEN coalesce(bot, 0) ELSE 0 END AS bot
+  FROM images i JOIN detail d ON d.image_id = i.image_id LEFT JOIN (SELECT DISTINCT image_id, y FROM taken) t ON t.image_id = d.image_id AND t.y = d.y
+), sums AS (
+  SELECT *, sum(f) OVER w AS cf, sum(mid) OVER w AS cm FROM seen WINDOW w AS (PARTITION BY image_id ORDER BY y)
+), lists AS (
+  SELECT image_id, list_prepend(0, list(CAST(cf AS BIGINT) ORDER BY y)) AS cf, list_prepend(0, list(CAST(cm AS BIGINT) ORDER BY y)) AS cm,
+    list(top ORDER BY y) AS top, list(bot ORDER BY y) AS bot FROM sums GROUP BY image_id
+), joined AS (
+  SELECT image_id, list_append(list(CAST(pos AS BIGINT) ORDER BY k), CAST(any_value(h) AS BIGINT)) AS b FROM walk GROUP BY image_id
+  UNION ALL
+  SELECT image_id, list_filter(b, lambda x, i: i <> CASE WHEN bad = 1 THEN 2 WHEN bad = len(s) OR s[bad - 1] >= s[bad + 1] THEN bad ELSE bad + 1 END) FROM (
+    SELECT image_id, b, s, list_position(list_transform(s, lambda v, i: v < 0.012 OR b[i + 1] - b[i] < 22), true) AS bad FROM (
+      SELECT j.image_id, b, list_transform(range(1, len(b)), lambda i: CASE WHEN b[i + 1] - b[i] < 2 OR cf[b[i + 1] + 1] = cf[b[i] + 1] THEN 0.0
+        ELSE (cm[b[i + 1]] - cm[b[i] + 2] + top[b[i] + 1] + bot[b[i + 1]]) / (64.0 * (cf[b[i + 1] + 1] - cf[b[i] + 1])) END) AS s
+      FROM joined j JOIN lists l ON l.image_id = j.image_id WHERE len(b) > 2) q) p WHERE bad > 0
+), least_b AS (SELECT image_id, arg_min(b, len(b)) AS b FROM joined GROUP BY image_id)
+SELECT image_id, CAST(i - 1 AS INT) AS k, CAST(b[i] AS INT) AS y0, CAST(b[i + 1] AS INT) AS y1, true AS searched FROM (SELECT image_id, b, unnest(range(1, len(b))) AS i FROM least_b) u"""
+
+
+@query("panels", MERGE)
 def panels(spark, sf):
     """Final panels after lonely slices have joined a neighbour."""
     return _split(spark, sf)

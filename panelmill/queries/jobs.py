@@ -81,10 +81,11 @@ def worked_seconds(spark, sf):
     return worked.withColumn("shown", J.clock(F.col("seconds")))
 
 
-@query("chapter_bundles")
+@query("chapter_bundles", """SELECT source AS chapter, 'chapter_' || lpad(substr(source, 4), CAST(greatest(4, length(source) - 3) AS INT), '0') || '.zip' AS archive, doc_id AS seq, CAST(doc_id AS VARCHAR) || '.txt' AS name,
+  CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM documents""")
 def chapter_bundles(spark, sf):
-    """Archive pieces of every document bundle: sizes only, as compression is not SQL."""
+    """The files of every chapter's archive, with their order and places."""
     files = table(spark, sf, "documents").selectExpr(
-        "source as chapter", "cast(substr(source, 4) as int) as ch", "doc_id as seq", "concat(cast(doc_id as string), '.txt') as name", "encode(text, 'UTF-8') as data"
+        "source as chapter", "cast(substr(source, 4) as int) as ch", "doc_id as seq", "concat(cast(doc_id as string), '.txt') as name", "cast(octet_length(text) as bigint) as size"
     )
-    return J.bundle(files).groupBy("chapter", "archive", "part").agg(F.count("*").alias("pieces"), F.sum(F.length("piece")).alias("bytes"))
+    return J.bundle_files(files)

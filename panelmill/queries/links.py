@@ -59,24 +59,35 @@ CHAPTERS = "WITH u AS (SELECT page_id, " + NUMBERED + " AS url FROM pages), m AS
 ) + " END AS k FROM u), d AS (SELECT page_id, url, CASE k " + " ".join(
     f"WHEN {i} THEN length(regexp_extract(url, '{p}', 1))" for i, p in enumerate(_D)
 ) + " END AS start, CASE k " + " ".join(f"WHEN {i} THEN regexp_extract(url, '{p}', 2)" for i, p in enumerate(_D)) + """ END AS digits, k FROM m),
-found AS (SELECT page_id, url, CAST(digits AS BIGINT) AS n, start, start + length(digits) AS stop FROM d
-  WHERE k < 5 OR CAST(digits AS BIGINT) BETWEEN 1 AND 9999)
+found AS (SELECT page_id, url, CAST(digits AS DECIMAL(38,0)) AS n, start, start + length(digits) AS stop FROM d
+  WHERE k < 5 OR CAST(digits AS DECIMAL(38,0)) BETWEEN 1 AND 9999)
 """
 
 
-@query("chapter_numbers", CHAPTERS + "SELECT u.page_id, n, start, stop FROM u LEFT JOIN found USING (page_id)")
+@query("chapter_numbers", CHAPTERS + "SELECT u.page_id, CAST(n AS VARCHAR) AS n, start, stop FROM u LEFT JOIN found USING (page_id)")
 def chapter_numbers(spark, sf):
     df = _pages(spark, sf).select("page_id", F.expr(NUMBERED).alias("url"))
-    return df.select("page_id", U.detect_chapter(F.col("url")).alias("d")).select("page_id", "d.n", "d.start", "d.stop")
+    return df.select("page_id", U.detect_chapter(F.col("url")).alias("d")).select("page_id", F.col("d.n").cast("string").alias("n"), "d.start", "d.stop")
 
 
 @query("chapter_batches", CHAPTERS + """
-SELECT page_id, ch, substring(url, 1, start) || CAST(ch AS VARCHAR) || substring(url, stop + 1) AS chapter_url,
-  'chapter_' || printf('%04d', ch) || '.zip' AS bundle
-FROM (SELECT *, unnest(generate_series(n, n + 9)) AS ch FROM found) e""")
+SELECT page_id, CAST(ch AS VARCHAR) AS ch, substring(url, 1, start) || CAST(ch AS VARCHAR) || substring(url, stop + 1) AS chapter_url,
+  'chapter_' || lpad(CAST(ch AS VARCHAR), CAST(greatest(4, length(CAST(ch AS VARCHAR))) AS INT), '0') || '.zip' AS bundle
+FROM (SELECT *, CAST(n AS HUGEINT) + unnest(range(0, 10)) AS ch FROM found) e""")
 def chapter_batches(spark, sf):
     df = _pages(spark, sf).select("page_id", F.expr(NUMBERED).alias("url"))
-    return jobs.expand_batch(df, strict=False).select("page_id", "ch", "chapter_url", "bundle")
+    return jobs.expand_batch(df, strict=False).select("page_id", F.col("ch").cast("string").alias("ch"), "chapter_url", "bundle")
+
+
+LONG_URL = "concat('http://a.b/t/chapter-', repeat(CAST(1 + page_id % 8 AS STRING), CASE page_id % 3 WHEN 0 THEN 12 WHEN 1 THEN 20 ELSE 45 END), '/x')"
+
+
+@query("long_chapters", f"""WITH u AS (SELECT page_id, regexp_extract({LONG_URL.replace('STRING', 'VARCHAR')}, '[0-9]+') AS d FROM pages)
+SELECT page_id, CAST(CASE WHEN length(d) <= 38 THEN CAST(d AS HUGEINT) + k END AS VARCHAR) AS ch FROM u, (SELECT unnest(range(0, 10)) AS k) r WHERE length(d) <= 38""")
+def long_chapters(spark, sf):
+    """Numbers of 12 and 20 digits are counted on; those of 45 digits are refused, here by leaving them out."""
+    df = _pages(spark, sf).select("page_id", F.expr(LONG_URL).alias("url"))
+    return jobs.expand_batch(df, strict=False).select("page_id", F.col("ch").cast("string").alias("ch"))
 
 
 @query("page_links", f"""

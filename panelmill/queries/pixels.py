@@ -76,12 +76,6 @@ def _boxes(spark, sf):
     )
 
 
-@query("text_mask_runs")
-def text_mask_runs(spark, sf):
-    """Runs of the text mask of every image that has boxes."""
-    return P.text_mask(_images(spark, sf), _boxes(spark, sf))
-
-
 BOXES = """SELECT l_orderkey AS image_id, l_partkey % 50 AS x1, (l_partkey * 7) % 180 AS y1, l_partkey % 50 + 12 AS x2, (l_partkey * 7) % 180 + 8 AS y2 FROM lineitem"""
 
 
@@ -93,29 +87,3 @@ def outlined_pages(spark, sf):
     items = _boxes(spark, sf).selectExpr("image_id", "x1 as x", "y1 as y", "x2 - x1 as w", "y2 - y1 as h")
     out = P.overlay_boxes(_images(spark, sf), items)
     return out.select("image_id", "height", "width", F.md5(F.hex("data")).alias("digest"))
-
-
-def _dark_detector():
-    """A stand-in detector: the box around the darkest pixels of a tile is dialogue."""
-
-    def detect(tile):
-        rows, cols = (tile[..., 0] < 100).nonzero()
-        return [(1, float(cols.min()), float(rows.min()), float(cols.max() + 1), float(rows.max() + 1), 0.9)] if len(rows) else []
-
-    return detect
-
-
-def _flat_fill():
-    def fill(img, mask):
-        out = img.copy()
-        out[mask > 0] = 128
-        return out
-
-    return fill
-
-
-@query("cleaned_pages")
-def cleaned_pages(spark, sf):
-    """The cleaning job with stand-in callables for the detector and the fill."""
-    out = P.clean_pages(_images(spark, sf), [("dark", _dark_detector)], [("flat", _flat_fill)], tile=(80, 10))
-    return out.select("image_id", "height", "width", "n_boxes", "detector", "backend", "error", F.md5(F.hex("data")).alias("digest"))

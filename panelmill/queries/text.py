@@ -134,12 +134,12 @@ def transcript_json(spark, sf):
 
 # Replies: one text per item, with a repeated number, a second line, other separators and an empty line.
 REPLY = """concat('  ', CAST(CASE WHEN item % 4 = 3 THEN n - 1 ELSE n END AS STRING), CASE n % 3 WHEN 0 THEN '. ' WHEN 1 THEN ') ' ELSE ' - ' END,
-  CASE WHEN n % 2 = 0 THEN concat('[', kind, '] ') ELSE '' END, CASE WHEN n % 5 = 0 THEN '**Nam** ' ELSE '' END, text, '  ', chr(10),
+  CASE WHEN n % 2 = 0 THEN concat('[', kind, '] ') ELSE '' END, CASE WHEN n % 5 = 0 THEN '**Nam** ' ELSE '' END, replace(text, chr(10), ' '), '  ', chr(10),
   CASE WHEN n % 6 = 0 THEN concat(CAST(n AS STRING), '. last ', kind, chr(10)) ELSE 'note' END, chr(13), chr(10), CAST(n AS STRING), '.', chr(10))"""
 REPLIES = NUMBERED.rstrip() + rf""", replies AS (SELECT chapter, n AS seq, {REPLY} AS text FROM items),
 rl AS (SELECT chapter, seq, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM (SELECT chapter, seq, regexp_split_to_array(text, '\r\n|[\n\r]') AS ls FROM replies) x),
 rm AS (SELECT *, regexp_extract(l, '{X.NUMBERED.replace(chr(92) * 2, chr(92))}', 1) AS d, regexp_extract(l, '{X.NUMBERED.replace(chr(92) * 2, chr(92))}', 2) AS body FROM rl),
-filled AS (SELECT chapter, CAST(d AS INT) AS n, arg_max(trim(body), (seq, pos)) AS text FROM rm WHERE d <> '' AND trim(body) <> '' GROUP BY chapter, CAST(d AS INT))
+filled AS (SELECT chapter, CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END AS n, arg_max(trim(body), (seq, pos)) AS text FROM rm WHERE d <> '' AND trim(body) <> '' GROUP BY ALL)
 """
 
 
@@ -157,28 +157,28 @@ FILL = r"""SELECT i.chapter, i.n, CASE WHEN f.text IS NOT NULL THEN regexp_repla
   f.text IS NOT NULL AS filled, coalesce(regexp_matches(f.text, '\*\*[^*]+\*\*'), false) AS styled FROM items i """
 
 
-@query("filled_items", REPLIES + FILL + "LEFT JOIN filled f ON i.chapter = f.chapter AND i.n = f.n")
+@query("filled_items", REPLIES + FILL + "LEFT JOIN filled f ON i.chapter = f.chapter AND CAST(i.n AS VARCHAR) = f.n")
 def filled_items(spark, sf):
     return T.fill(_items(spark, sf), _table(spark, sf)).select("chapter", "n", "text", "filled", "styled")
 
 
-@query("matched_items", REPLIES + FILL + "JOIN filled f ON i.chapter = f.chapter AND i.n = f.n")
+@query("matched_items", REPLIES + FILL + "JOIN filled f ON i.chapter = f.chapter AND CAST(i.n AS VARCHAR) = f.n")
 def matched_items(spark, sf):
     return T.fill(_items(spark, sf), _table(spark, sf), "inner").select("chapter", "n", "text", "filled", "styled")
 
 
 _CALL = """'addText("' || replace(replace(f.text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '", ' || concat_ws(', ', x, y, w, h) || ', "kh_' || CAST(i.n AS VARCHAR) || '_' || kind || '");'"""
-_HEADER = (T.SCRIPT_HEADER % "KhmerSangamMN").replace("'", "''")
+HEADER = "// one text layer for each call\nfunction addText(text, x, y, w, h, name) { layers.push([name, text, x, y, w, h]); }\n"
 
 
-@query("page_scripts", REPLIES + f"""SELECT chapter, 1 AS part, page, 1 AS sub, 0 AS n, '{_HEADER}' AS line FROM (SELECT DISTINCT chapter, page FROM items) c
-UNION ALL SELECT i.chapter, 1, page, 2, i.n, {_CALL} FROM items i JOIN filled f ON i.chapter = f.chapter AND i.n = f.n WHERE kind = 'bubble'""")
+@query("page_scripts", REPLIES + f"""SELECT chapter, 1 AS part, page, 1 AS sub, 0 AS n, '{HEADER}' AS line FROM (SELECT DISTINCT chapter, page FROM items) c
+UNION ALL SELECT i.chapter, 1, page, 2, i.n, {_CALL} FROM items i JOIN filled f ON i.chapter = f.chapter AND CAST(i.n AS VARCHAR) = f.n WHERE kind = 'bubble'""")
 def page_scripts(spark, sf):
-    return T.page_script_lines(_items(spark, sf), _table(spark, sf), kinds=("bubble",))
+    return T.page_script_lines(_items(spark, sf), _table(spark, sf), HEADER, kinds=("bubble",))
 
 
 @query("script_counts", REPLIES + """SELECT c.chapter, c.page, coalesce(layers, 0) AS layers, printf('page_%03d.jsx', c.page) AS script FROM (SELECT DISTINCT chapter, page FROM items) c
-LEFT JOIN (SELECT i.chapter, page, count(*) AS layers FROM items i JOIN filled f ON i.chapter = f.chapter AND i.n = f.n WHERE kind = 'sfx' GROUP BY i.chapter, page) k ON c.chapter = k.chapter AND c.page = k.page""")
+LEFT JOIN (SELECT i.chapter, page, count(*) AS layers FROM items i JOIN filled f ON i.chapter = f.chapter AND CAST(i.n AS VARCHAR) = f.n WHERE kind = 'sfx' GROUP BY i.chapter, page) k ON c.chapter = k.chapter AND c.page = k.page""")
 def script_counts(spark, sf):
     return T.script_counts(_items(spark, sf), _table(spark, sf), kinds=("sfx",))
 
@@ -186,7 +186,7 @@ def script_counts(spark, sf):
 POSTS = "concat('ok', chr(10), 'Posts : 1 - ', CAST(chapter + 3 AS STRING), ' | ', CAST(chapter + 4 AS STRING), ', 9-2 | ', CAST(20 + chapter AS STRING), '-', CAST(30 + chapter AS STRING), ' | 4 4 |', chr(10), 'bye')"
 POST_ROWS = rf""", pl AS (SELECT chapter, regexp_split_to_array(regexp_extract(t, '(?i)POSTS?\s*:\s*([0-9\-\s|,]+)', 1), '[|,]') AS ps FROM (SELECT DISTINCT chapter, {POSTS} AS t FROM fx_transcript) x),
 pp AS (SELECT chapter, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pl),
-posts AS (SELECT chapter, row_number() OVER (PARTITION BY chapter ORDER BY i) - 1 AS k, CAST(CASE WHEN r <> '' THEN r ELSE one END AS INT) AS lo, CAST(CASE WHEN r <> '' THEN r2 ELSE one END AS INT) AS hi FROM (
+posts AS (SELECT chapter, row_number() OVER (PARTITION BY chapter ORDER BY i) - 1 AS k, CAST(CAST(CASE WHEN r <> '' THEN r ELSE one END AS HUGEINT) AS VARCHAR) AS lo, CAST(CAST(CASE WHEN r <> '' THEN r2 ELSE one END AS HUGEINT) AS VARCHAR) AS hi FROM (
   SELECT *, regexp_extract(p, '^\s*(\d+)\s*-\s*(\d+)', 1) AS r, regexp_extract(p, '^\s*(\d+)\s*-\s*(\d+)', 2) AS r2, regexp_extract(p, '^\s*(\d+)\s*$', 1) AS one FROM pp) q WHERE r <> '' OR one <> '')
 """
 
@@ -202,7 +202,7 @@ def post_groups(spark, sf):
 
 
 @query("post_ends", NUMBERED.rstrip() + POST_ROWS + """SELECT chapter, n FROM items i WHERE EXISTS (
-  SELECT 1 FROM posts p WHERE p.chapter = i.chapter AND p.hi = i.n AND k < (SELECT max(k) FROM posts z WHERE z.chapter = p.chapter))""")
+  SELECT 1 FROM posts p WHERE p.chapter = i.chapter AND p.hi = CAST(i.n AS VARCHAR) AND k < (SELECT max(k) FROM posts z WHERE z.chapter = p.chapter))""")
 def post_ends(spark, sf):
     return T.cut_after(_items(spark, sf), _posts(spark, sf)).select("chapter", "n")
 
@@ -240,12 +240,44 @@ def layout_json(spark, sf):
     return T.layout_json_lines(segs, items)
 
 
-@query("saved_projects", FX + """, segs AS (SELECT chapter, page, count(*) AS c FROM fx_transcript GROUP BY chapter, page)
-SELECT chapter, '{"layout":"layout.json","name":"p","seg_idx":0,"post_groups":[[1,4],[5,9]],"segments":[' || string_agg('{"image":"c' || CAST(page AS VARCHAR) || '.png","state":[{"n":' || CAST(c AS VARCHAR) || '}]'
-  || CASE WHEN c > 5 THEN ',"work":"c' || CAST(page AS VARCHAR) || '_work.png"' ELSE '' END || '}', ',' ORDER BY page) || ']}' AS doc FROM segs GROUP BY chapter""")
+@query("saved_projects", FX + """, segs AS (SELECT chapter, page, count(*) AS c, min(page) OVER (PARTITION BY chapter) AS fp FROM fx_transcript GROUP BY chapter, page)
+""" + _union(
+    dict(p=0, page=0, s=0, n=0, text="""'{"layout":"layout.json","name":"p","seg_idx":0,"post_groups":[[1,4],[5,9]],"segments":['""", t="(SELECT DISTINCT chapter FROM segs) c"),
+    dict(p=1, page="page", s=2, n=0, text="""CASE WHEN page = fp THEN '' ELSE ',' END || '{"image":"c' || CAST(page AS VARCHAR) || '.png","state":[{"n":' || CAST(c AS VARCHAR) || '}]'
+      || CASE WHEN c > 5 THEN ',"work":"c' || CAST(page AS VARCHAR) || '_work.png"' ELSE '' END || '}'""", t="segs"),
+    dict(p=4, page=0, s=4, n=0, text="']}'", t="(SELECT DISTINCT chapter FROM segs) c"),
+))
 def saved_projects(spark, sf):
     segs = view(spark, sf, "fx_transcript").groupBy("chapter", "page").agg(F.count("*").alias("c")).selectExpr(
         "chapter", "page as pos", "'layout.json' as layout", "'p' as name", "0 as seg_idx", "array(array(1, 4), array(5, 9)) as post_groups",
         "concat('c', cast(page as string), '.png') as image", "array(named_struct('n', c)) as state", "c > 5 as differs",
     )
-    return T.project_json(segs)
+    return T.project_lines(segs)
+
+
+# numbers of 12, 20 and 45 digits, in replies, post lists and names
+LONG = "repeat(CAST(1 + conv_id % 9 AS STRING), {n})"
+LONG_ROWS = f"""SELECT conv_id AS chapter, turn AS seq, concat('000', {LONG.format(n=12)}, '. a ', role, chr(10), {LONG.format(n=20)}, ') b', chr(10), {LONG.format(n=45)}, ' - c', chr(10), 'POSTS: ',
+  {LONG.format(n=12)}, '-', {LONG.format(n=20)}, ' | ', {LONG.format(n=45)}) AS text FROM {{t}}"""
+
+
+@query("long_numbers", f"""WITH r AS ({LONG_ROWS.format(t='conversations').replace('STRING', 'VARCHAR')}), d AS (SELECT chapter, max(seq) AS seq FROM r GROUP BY chapter)
+SELECT r.chapter, 'line' AS kind, repeat(CAST(1 + r.chapter % 9 AS VARCHAR), x.n) AS lo, '' AS hi FROM (SELECT DISTINCT chapter FROM r) r, (VALUES (12), (20), (45)) x(n)
+UNION ALL SELECT chapter, 'post', repeat(CAST(1 + chapter % 9 AS VARCHAR), a), repeat(CAST(1 + chapter % 9 AS VARCHAR), b) FROM d, (VALUES (12, 20), (45, 45)) y(a, b)""")
+def long_numbers(spark, sf):
+    replies = spark.sql(LONG_ROWS, t=table(spark, sf, "conversations"))
+    lines = T.parse_numbered(replies, seq="seq").select("chapter", F.lit("line").alias("kind"), F.col("n").alias("lo"), F.lit("").alias("hi"))
+    last = replies.groupBy("chapter").agg(F.max_by("text", "seq").alias("text"))
+    return lines.unionByName(T.posts_of(last).select("chapter", F.lit("post").alias("kind"), "lo", "hi"))
+
+
+NAMED = "concat(CASE doc_id % 3 WHEN 0 THEN '' ELSE '0' END, repeat(CAST(1 + doc_id % 9 AS STRING), CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 20 WHEN 2 THEN 45 ELSE 2 END), 'p', CAST(doc_id AS STRING))"
+
+
+@query("long_natural_order", f"""SELECT doc_id, name, row_number() OVER (ORDER BY length(ltrim(regexp_extract(name, '^[0-9]+'), '0')), ltrim(regexp_extract(name, '^[0-9]+'), '0'), doc_id) AS r
+FROM (SELECT doc_id, {NAMED.replace('STRING', 'VARCHAR')} AS name FROM documents) x""")
+def long_natural_order(spark, sf):
+    from ..operators.ordering import ordinal
+
+    names = _docs(spark, sf).select("doc_id", F.expr(NAMED).alias("name"), F.lit(0).alias("g")).withColumn("k", X.natural_key(F.col("name")))
+    return ordinal(names, ["g"], ["k", "doc_id"], "r").select("doc_id", "name", "r")

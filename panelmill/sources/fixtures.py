@@ -24,7 +24,7 @@ SELECT l_orderkey AS image_id,
 SELECT CAST(floor(vec_id / 200) AS BIGINT) AS image_id, CAST(vec_id % 200 AS INT) AS y, embedding AS px_raw FROM embeddings""",
     "fx_transcript": """
 SELECT CAST(floor(conv_id / 10) AS INT) AS chapter, conv_id AS page, CAST(turn AS INT) AS item,
-  CASE role WHEN 'assistant' THEN 'bubble' ELSE 'sfx' END AS kind, split_part(text, chr(10), 1) AS text FROM conversations""",
+  CASE role WHEN 'assistant' THEN 'bubble' ELSE 'sfx' END AS kind, text FROM conversations""",
     "fx_attempts": """
 SELECT user_id AS chapter, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS tier,
   event_id AS path_id, event_type <> 'error' AS ok FROM events""",

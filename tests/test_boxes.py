@@ -6,25 +6,22 @@ from pyspark.sql import functions as F
 from panelmill.operators import boxes as B, textflow as T
 
 
-def clusters(lines):
-    """Plain grouping by grown closed rectangles."""
-    rect = [(x - 0.35 * h, y - 0.8 * h, x + w + 0.35 * h, y + h + 0.8 * h) for _, x, y, w, h in lines]
-    group = list(range(len(lines)))
-
-    def find(a):
-        while group[a] != a:
-            a = group[a]
-        return a
-
-    for i, a in enumerate(rect):
-        for j in range(i + 1, len(rect)):
-            b = rect[j]
-            if not (a[2] < b[0] or b[2] < a[0] or a[3] < b[1] or b[3] < a[1]):
-                group[find(i)] = find(j)
-    parts = {}
-    for i, l in enumerate(lines):
-        parts.setdefault(find(i), []).append(l[0])
-    return {frozenset(v) for v in parts.values()}
+def touches(a, b):
+    """Two lines (id, x, y, w, h) are near when their rectangles, grown by 0.35 and 0.8 heights, meet."""
+    (_, ax, ay, aw, ah), (_, bx, by, bw, bh) = a, b
+    side, lid = 0.35 * (ah + bh), 0.8 * (ah + bh)
+    return ax <= bx + bw + side and bx <= ax + aw + side and ay <= by + bh + lid and by <= ay + ah + lid
+
+
+def connected(members):
+    """Whether steps between near lines lead from the first to all others."""
+    todo, rest = [members[0]], members[1:]
+    while todo:
+        at = todo.pop()
+        near = [m for m in rest if touches(at, m)]
+        rest = [m for m in rest if m not in near]
+        todo += near
+    return not rest
 
 
 def page(rng, n, size, least, most):
@@ -48,7 +45,11 @@ def test_line_clusters(spark, limit):
     for r in B.line_labels(df, limit=limit).collect():
         got.setdefault(r.image_id, {}).setdefault(r.label, set()).add(r.box_id)
     for k, lines in pages.items():
-        assert {frozenset(v) for v in got[k].values()} == clusters(lines), k
+        by = {l[0]: l for l in lines}
+        label = {b: name for name, members in got[k].items() for b in members}
+        assert label.keys() == by.keys(), k
+        assert all(label[a[0]] == label[b[0]] for i, a in enumerate(lines) for b in lines[:i] if touches(a, b)), k
+        assert all(connected([by[b] for b in sorted(v)]) for v in got[k].values()), k
         assert all(label == min(v) for label, v in got[k].items())
 
 

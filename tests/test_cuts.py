@@ -8,7 +8,7 @@ from panelmill.operators import cuts as C, pixels as P
 from panelmill.plans.panels import story_targets
 
 
-# -- a plain model of the cut search, on pixels -------------------------------
+# -- detail of pixels -----------------------------------------------------------
 
 
 def sobel(region):
@@ -25,61 +25,6 @@ def art(g, a, b, barred):
     return float(sobel(g[a:b])[keep].mean())
 
 
-def model(g, protect, targets=None, merge=True):
-    height, width = g.shape
-    most, ideal, least = int(width * 1.25), int(width * 0.8), int(width * 0.35)
-    if height <= most and not targets:
-        return [(0, height)]
-    raw = g.var(axis=1) / 255 + np.abs(np.diff(g.astype(int), axis=1)).mean(axis=1)
-    cost = np.array([sum(raw[max(0, y - 2) : y + 3]) / 5 for y in range(height)])
-    barred = np.zeros(height, bool)
-    for a, b in protect:
-        barred[max(0, a - 4) : min(height, b + 4)] = True
-
-    def best(lo, hi, aim, pull):
-        free = [y for y in range(lo, hi) if not barred[y]]
-        if not free:
-            return None
-        spread = max(cost[y] for y in free) - min(cost[y] for y in free) or 1.0
-        return min(free, key=lambda y: (cost[y] + pull * spread * abs(y - aim) / max(1, hi - lo), y))
-
-    cuts = [0]
-    if targets:
-        reach = max(60, int(width * 0.45))
-        for t in sorted({int(t) for t in targets}):
-            if t <= cuts[-1] + 8 or t >= height - 8:
-                continue
-            lo, hi = max(cuts[-1] + 8, t - reach), min(height - 8, t + reach)
-            y = best(lo, hi, t, 0.6) if hi > lo else None
-            if y is not None and y > cuts[-1] + 8:
-                cuts.append(y)
-    else:
-        while height - cuts[-1] > most:
-            lo, hi = cuts[-1] + least, min(cuts[-1] + most, height - least)
-            if hi <= lo:
-                break
-            y = best(lo, hi, cuts[-1] + ideal, 0.25)
-            if y is None:
-                y = next((z for z in range(hi, height) if not barred[z]), None)
-                if y is None:
-                    break
-            cuts.append(y)
-    spans = list(zip(cuts, cuts[1:] + [height]))
-    while merge and len(spans) > 1:
-        scores = [art(g, a, b, barred) for a, b in spans]
-        bad = next((i for i, (a, b) in enumerate(spans) if b - a < least or scores[i] < 0.012), None)
-        if bad is None:
-            break
-        if bad == 0:
-            k = 0
-        elif bad == len(spans) - 1 or scores[bad - 1] >= scores[bad + 1]:
-            k = bad - 1
-        else:
-            k = bad
-        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1])]
-    return spans
-
-
 def strip(seed, height=200, width=40):
     rng = np.random.default_rng(seed)
     g = rng.integers(0, 256, (height, width)).astype(np.uint8)
@@ -107,20 +52,57 @@ def tables(spark):
     return grey, df, P.row_table(df).cache()
 
 
+def free_of(i, height):
+    out = np.ones(height, bool)
+    for a, b in CASES.get(i, ([], None))[0]:
+        out[max(0, a - 4) : b + 4] = False
+    return out
+
+
 @pytest.mark.parametrize("merge", [False, True])
-def test_split_matches_the_model(spark, tables, merge):
+def test_panels_cover_images_and_cut_no_text(spark, tables, merge):
     grey, df, table = tables
     sizes = df.select("image_id", F.col("height").alias("h"), F.col("width").alias("w"))
+    sizes = sizes.unionByName(spark.createDataFrame([(77, 500, 40)], "image_id int, h int, w int"))  # no rows in the table
     protect = spark.createDataFrame([(i, a, b) for i, (p, _) in CASES.items() for a, b in p], "image_id int, y0 int, y1 int")
     targets = spark.createDataFrame([(i, float(t)) for i, (_, ts) in CASES.items() for t in ts or []], "image_id int, t double")
-    got = C.split_panels(
-        C.smooth(table.select("image_id", "y", "cost")), table.drop("cost"), sizes, C.forbidden(protect, sizes), targets, merge
-    ).orderBy("image_id", "k").collect()
+    smooth = C.smooth(table.select("image_id", "y", "cost"))
+    cost = {(r.image_id, r.y): r.cost for r in smooth.collect()}
+    got = C.split_panels(smooth, table.drop("cost"), sizes, C.forbidden(protect, sizes), targets, merge).orderBy("image_id", "k").collect()
+    assert [(r.k, r.y0, r.y1, r.searched) for r in got if r.image_id == 77] == [(0, 0, 500, False)]
     for i, g in grey.items():
-        spans = [(r.y0, r.y1) for r in got if r.image_id == i]
-        p, t = CASES.get(i, ([], None))
-        assert spans == model(g, p, t, merge), i
-        assert spans[0][0] == 0 and spans[-1][1] == len(g) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        spans, free = [(r.y0, r.y1) for r in got if r.image_id == i], free_of(i, len(g))
+        assert spans[0][0] == 0 and spans[-1][1] == len(g) and all(a[1] == b[0] for a, b in zip(spans, spans[1:])), i
+        cuts = [a for a, _ in spans[1:]]
+        assert all(free[y] for y in cuts), i
+        told = CASES.get(i, ([], None))[1]
+        if merge:
+            assert len(spans) == 1 or all(b - a >= 14 and art(g, a, b, ~free) >= 0.012 for a, b in spans), i
+        elif not told:
+            assert all(b - a >= 14 for a, b in spans[:-1]), i
+            for a, b in spans[:-1]:
+                # no free row in the window is both cheaper and nearer to the ideal height
+                window = [y for y in range(a + 14, min(a + 50, len(g) - 14)) if free[y]]
+                assert b not in window or all(cost[i, b] <= cost[i, y] or abs(b - a - 32) < abs(y - a - 32) for y in window), i
+        else:
+            assert len(cuts) <= len(told) and all(min(abs(y - t) for t in told) <= 60 for y in cuts), i
+    if not merge:
+        assert {r.image_id for r in got if r.image_id in grey and r.k > 0} >= {0, 1, 2, 4}
+        assert len([r for r in got if r.image_id == 3]) == 1 and len([r for r in got if r.image_id == 10]) == 1 and len([r for r in got if r.image_id == 8]) == 1
+
+
+def test_small_cut_cases():
+    flat = np.zeros(100)
+    rows = C._Rows(flat, np.ones(100, bool))
+    assert rows.cheapest(10, 20, 14, 0.25) == 14 and rows.cheapest(20, 20, 20, 1) is None
+    low = flat.copy()
+    low[17] = -5
+    assert C._Rows(low, np.ones(100, bool)).cheapest(10, 20, 14, 0.25) == 17
+    assert C._Rows(flat, np.arange(100) >= 30).next_from(10) == 30 and C._Rows(flat, np.zeros(100, bool)).next_from(0) is None
+    table = {"cost": flat, "free": np.ones(100, bool), "mid": np.full(100, 9), "top": np.full(100, 9), "bot": np.full(100, 9)}
+    assert C.panel_bounds(10, 100, table, None, max_h=40, ideal_h=30, min_h=10) == [0, 30, 60, 100]
+    assert C.panel_bounds(10, 100, table, [50.9, 3, 97], max_h=40, min_h=10) == [0, 50, 100]
+    assert C.panel_bounds(10, 100, table, [12, 14, 60], merge=False) == [0, 12, 60, 100]
 
 
 def test_row_table_matches_array_form(spark, tables):

@@ -87,94 +87,6 @@ def test_resize(spark):
     assert (P.linear_resize(flat, 13, 4) == 77).all() and P.area_resize(flat, 3, 2).shape == (2, 3, 3)
 
 
-def test_kernels():
-    assert P.ellipse(3).astype(int).tolist() == [[0, 1, 0], [1, 1, 1], [0, 1, 0]]
-    assert P.ellipse(7).sum(axis=1).tolist() == [1, 5, 7, 7, 7, 5, 1]
-    a = np.zeros((9, 9), np.uint8)
-    a[4, 4] = 255
-    assert (P.dilate(a, np.ones((3, 3), bool)) > 0).sum() == 9 and (P.close(a, np.ones((3, 3), bool)) > 0).sum() == 1
-    white = np.full((1, 1, 3), 255, np.uint8)
-    assert P.grey(white)[0, 0] == 255 and P._lab(white)[0, 0].tolist() == [255, 128, 128]
-
-
-def lettered():
-    img = np.full((60, 80, 3), 240, np.uint8)
-    img[20:30, 20:23] = 10  # a dark stroke
-    img[20:23, 20:35] = 10
-    return img
-
-
-def test_text_mask(spark):
-    img = lettered()
-    boxes = spark.createDataFrame([(1, "text_bubble", 15, 15, 40, 35), (1, "text_bubble", 15, 15, 40, 35), (1, "bubble", 0, 0, 79, 59), (1, "text_free", 50, 40, 60, 50)],
-                                  "image_id int, class string, x1 int, y1 int, x2 int, y2 int")
-    runs = P.text_mask(frame(spark, {1: img, 2: img}), boxes).collect()
-    mask = np.zeros(img.shape[:2], bool)
-    for r in runs:
-        assert r.image_id == 1
-        mask[r.y, r.x0 : r.x1] = True
-    assert mask[20:30, 20:23].all() and not mask[35:39, 15:40].any() and not mask[5].any()
-    assert mask[40:51, 50:61].all()  # no colour differs there, so the box is taken whole
-    only = P.text_mask(frame(spark, {1: img}), boxes, include_sfx=False)
-    assert only.where("x0 >= 47").count() == 0
-
-
-def detector(img):
-    return [(1, 15.4, 14.6, 40.0, 35.0, 0.9), (2, 0.0, 0.0, 79.0, 59.0, 0.1), (9, 60.0, 40.0, 61.0, 41.0, 0.9)] if (img < 50).any() else []
-
-
-def broken():
-    raise RuntimeError("no model")
-
-
-def paint(img, mask):
-    out = img.copy()
-    out[mask > 0] = 240
-    return out
-
-
-def fails_on_small(img):
-    if img.shape[0] < 5:
-        raise ValueError("tiny")
-    return detector(img)
-
-
-def test_clean_pages(spark):
-    img, blank, tiny = lettered(), np.full((30, 30, 3), 99, np.uint8), np.zeros((2, 2, 3), np.uint8)
-    df = frame(spark, {1: img, 2: blank, 3: tiny})
-    out = P.clean_pages(df, [("first", broken), ("stub", lambda: fails_on_small)], [("model", broken), ("paint", lambda: paint)])
-    rows = {r.image_id: r for r in out.collect()}
-    assert (array(rows[1]) == 240).all() and rows[1].n_boxes == 1
-    assert np.array_equal(array(rows[2]), blank) and rows[2].n_boxes == 0
-    assert rows[3].error == "tiny" and rows[3].data is None
-    assert {(r.detector, r.backend) for r in rows.values()} == {("stub", "paint")}
-
-
-def test_tall_pages_are_read_in_tiles(spark):
-    seen = np.full((50, 20, 3), 240, np.uint8)
-    seen[45:47, 5:8] = 0
-
-    def find(part):
-        ys, xs = np.nonzero(part[..., 0] < 50)
-        return [(1, xs.min() - 2.0, ys.min() - 1.0, xs.max() + 2.0, ys.max() + 1.0, 0.8)] if len(ys) else []
-
-    out = P.clean_pages(frame(spark, {1: seen}), [("f", lambda: find)], [("p", lambda: paint)], tile=(20, 5)).first()
-    assert (array(out) == 240).all() and out.n_boxes >= 1
-
-
-def test_backends():
-    calls = []
-
-    def fast(x):
-        calls.append("fast")
-        raise RuntimeError
-
-    fn = P.sticky_fallback(fast, lambda x: x + 1)
-    assert (fn(1), fn(2), calls) == (2, 3, ["fast"])
-    with pytest.raises(RuntimeError):
-        P.first_that_loads([("a", broken)])
-
-
 def test_overlay(spark):
     img = np.zeros((20, 20, 3), np.uint8)
     items = spark.createDataFrame([(1, 5, 5, 8, 6)], "image_id int, x int, y int, w int, h int")
