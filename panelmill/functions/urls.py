@@ -43,7 +43,8 @@ def host(u: Column) -> Column:
 
 
 def path(u: Column) -> Column:
-    return F.regexp_extract(u, URI, 4)
+    """Path without the parameters that may follow its last part after a semicolon."""
+    return F.regexp_replace(F.regexp_extract(u, URI, 4), ";[^/]*$", "")
 
 
 def query_string(u: Column) -> Column:

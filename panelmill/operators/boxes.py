@@ -219,8 +219,22 @@ def merge_intervals(df: DataFrame, key: str = "image_id", lo: str = "a", hi: str
 # -- clusters of text lines -------------------------------------------------
 
 
+PAIRS_AT_ONCE = 1 << 20
+
+
 def _batch_components(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-    """Component label (an index) of every line, for a whole Arrow batch of small pages at once."""
+    """Component label (an index) of every line, for an Arrow batch of small pages.
+
+    Runs of pages are taken together as long as they have PAIRS_AT_ONCE pairs of lines at most (a page alone may have more),
+    so memory does not grow with the batch.
+    """
+    turn = np.cumsum(x.map(len).to_numpy().astype(np.int64) ** 2) // PAIRS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(x)]
+    runs = [_run_components(*(c.iloc[a:b] for c in (x, y, w, h))) for a, b in zip(cuts, cuts[1:]) if b > a]
+    return pd.concat(runs, ignore_index=True) if runs else pd.Series([], dtype=object)
+
+
+def _run_components(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     sizes = x.map(len).to_numpy()
     x, y, w, h = (np.concatenate(c.to_list()) for c in (x, y, w, h))
     mx, my = GROW[0] * h, GROW[1] * h

@@ -10,18 +10,26 @@ from ..session import durable
 MODES = ("auto", "heuristic", "visual")
 
 
-def story_targets(boxes: DataFrame, ends: DataFrame | None = None, mode: str = "auto") -> DataFrame | None:
+def story_targets(
+    boxes: DataFrame, ends: DataFrame | None = None, mode: str = "auto", grouped: DataFrame | None = None
+) -> DataFrame | None:
     """Rows where the story wants a cut.
 
-    ``visual`` asks for none; post groups (``ends``) win in ``auto``; otherwise the reading
-    rhythm decides.
+    ``visual`` asks for none; post groups (``ends``) win in ``auto``; otherwise the reading rhythm decides. ``grouped`` (image_id) lists the
+    images of chapters that have post groups at all, as a chapter of one post has groups but no ends: the rhythm then decides for
+    all other images. Without it, post groups are taken to speak for every image.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if mode == "visual":
         return None
     if ends is not None and mode == "auto":
-        return C.group_cuts(boxes, ends)
+        told = C.group_cuts(boxes, ends)
+        if grouped is None:
+            return told
+        told = told.join(grouped.select("image_id").distinct(), "image_id", "left_semi")
+        free = C.story_cuts(boxes.join(grouped.select("image_id").distinct(), "image_id", "left_anti"))
+        return told.unionByName(free.select(*told.columns))
     return C.story_cuts(boxes)
 
 
@@ -31,6 +39,7 @@ def cut_canvases(
     canvases: DataFrame,
     ends: DataFrame | None = None,
     mode: str = "auto",
+    grouped: DataFrame | None = None,
 ) -> DataFrame:
     """Numbered panels with their pixels: (chapter, image_id, k, n, name, height, width, data).
 
@@ -40,7 +49,7 @@ def cut_canvases(
     it, and all pixels once more for the final crops.
     """
     sizes = images.select("image_id", F.col("height").alias("h"), F.col("width").alias("w"))
-    targets = story_targets(boxes, ends, mode)
+    targets = story_targets(boxes, ends, mode, grouped)
     long = sizes.where(F.col("h") > F.floor(F.col("w") * C.MAX_RATIO)).select("image_id")
     if targets is not None:
         targets = durable(targets)

@@ -220,3 +220,17 @@ def group_cuts(spark, sf):
     boxes = _canvas(spark, sf).withColumn("n", F.expr("x1 % 4"))
     ends = boxes.select("image_id", F.expr("cast(image_id % 4 as int)").alias("n"))
     return story_targets(boxes, ends, mode="auto")
+
+
+CHAPTERS = ctes("fx_boxes").replace("WITH", "WITH RECURSIVE", 1) + STORY[STORY.index(", c AS ("):STORY.rindex("SELECT DISTINCT image_id")] + """, g AS (
+  SELECT image_id, box_id, (y + h + lead(y) OVER (PARTITION BY image_id ORDER BY y, box_id)) / 2.0 AS t, x1 % 4 AS n FROM c)
+SELECT image_id, t FROM g WHERE n = image_id % 4 AND t > 8 AND t < 3592 AND image_id % 3 = 0
+UNION ALL SELECT DISTINCT image_id, cut FROM s WHERE cut > 8 AND cut < 3592 AND image_id % 3 <> 0"""
+
+
+@query("chapter_story_cuts", CHAPTERS)
+def chapter_story_cuts(spark, sf):
+    """Every third image has post groups; the others follow the reading rhythm."""
+    boxes = _canvas(spark, sf).withColumn("n", F.expr("x1 % 4"))
+    ends = boxes.select("image_id", F.expr("cast(image_id % 4 as int)").alias("n"))
+    return story_targets(boxes, ends, grouped=boxes.where("image_id % 3 = 0").select("image_id"))

@@ -46,11 +46,11 @@ def live_projects(spark, sf):
 
 
 @query("resumed_segments", ctes("fx_images", "fx_recents") + """, saved AS (
-  SELECT CAST(substr(layout, 4, length(layout) - 15) AS BIGINT) AS image_id, chapter AS state, arrival FROM fx_recents)
-SELECT i.image_id, i.fname, state FROM fx_images i LEFT JOIN (SELECT image_id, arg_max(state, arrival) AS state FROM saved GROUP BY image_id) s USING (image_id)""")
+  SELECT CAST(substr(layout, 4, length(layout) - 15) AS BIGINT) AS image_id, chapter AS state, arrival FROM fx_recents WHERE chapter <> 'view')
+SELECT i.image_id, i.fname, state, CAST(CASE WHEN seq > 7 THEN 7 ELSE seq END AS BIGINT) AS at FROM fx_images i LEFT JOIN (SELECT image_id, arg_max(state, arrival) AS state FROM saved GROUP BY image_id) s USING (image_id)""")
 def resumed_segments(spark, sf):
-    saved = view(spark, sf, "fx_recents").selectExpr("cast(substr(layout, 4, length(layout) - 15) as bigint) as image_id", "chapter as state", "arrival")
-    layout = view(spark, sf, "fx_images").select("image_id", "fname")
+    saved = view(spark, sf, "fx_recents").selectExpr("cast(substr(layout, 4, length(layout) - 15) as bigint) as image_id", "case chapter when 'view' then '' else chapter end as state", "arrival")
+    layout = view(spark, sf, "fx_images").select("image_id", "fname", T.clamp_index(F.col("seq"), F.lit(8)).cast("bigint").alias("at"))
     return T.project_merge(layout, saved, ["image_id"], "arrival")
 
 

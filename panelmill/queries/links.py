@@ -200,6 +200,16 @@ def host_guard(spark, sf):
     return df.select("page_id", U.host(F.col("url")).alias("asked"), U.host(F.col("final")).alias("final_host"), U.host_moved(F.col("url"), F.col("final")).alias("moved"))
 
 
+PARAMS = "concat('http://h.example.com/a;b/', CAST(page_id AS STRING), CASE page_id % 4 WHEN 0 THEN '.jpg;v=2' WHEN 1 THEN ';x/c.PNG;a;b?q=1' WHEN 2 THEN '.webp' ELSE ';d.gif' END)"
+
+
+@query("parameter_urls", """SELECT page_id, page_id % 4 <> 3 AS is_image, CASE page_id % 4 WHEN 1 THEN '.png' WHEN 2 THEN '.webp' ELSE '.jpg' END AS ext FROM pages""")
+def parameter_urls(spark, sf):
+    """Parameters after a semicolon belong to no path."""
+    u = F.expr(PARAMS)
+    return _pages(spark, sf).select("page_id", U.is_image_url(u).alias("is_image"), U.url_ext(u).alias("ext"))
+
+
 SRCSET = "concat(' /b/', CAST(page_id AS STRING), '/1.jpg 1x, /b/', CAST(page_id AS STRING), '/2.jpg 2x,, ,', url)"
 
 

@@ -69,8 +69,15 @@ def join(b: str, r: str) -> str:
     )
 
 
+def bare_path(u: str) -> str:
+    """Path whose last part ends before its first semicolon."""
+    full = part(u, 4)
+    last = f"string_split({full}, '/')[-1]"
+    return f"(left({full}, length({full}) - length({last})) || string_split({last}, ';')[1])"
+
+
 def is_image(u: str) -> str:
-    p = f"lower({part(u, 4)})"
+    p = f"lower({bare_path(u)})"
     return (
         rf"(regexp_matches({p}, '\.(?:jpg|jpeg|png|webp|gif)$') AND NOT regexp_matches({p}, '-\d+x\d+\.(?:jpg|jpeg|png|webp|gif)$'))"
     )
@@ -81,7 +88,7 @@ def directory(u: str) -> str:
 
 
 def url_ext(u: str) -> str:
-    return rf"lower(regexp_extract({part(u, 4)}, '[^/.][^/]*?(\.[^./]*)$', 1))"
+    return rf"lower(regexp_extract({bare_path(u)}, '[^/.][^/]*?(\.[^./]*)$', 1))"
 
 
 # tags of fx_html with their position, base address and picked attribute

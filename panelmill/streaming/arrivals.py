@@ -68,15 +68,20 @@ def current_plans(spark: SparkSession, plans: str) -> DataFrame:
     return rows.join(newest, ["chapter", "batch"])
 
 
-def progress_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running (job_id, stage, done, last_ts) for an update-mode sink."""
-    return events.withWatermark("ts", delay).groupBy("job_id", "stage").agg(
-        F.count("*").alias("done"), F.max("ts").alias("last_ts")
-    )
+def progress_stream(events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Running (job_id, stage, done, last_ts) for an update-mode sink; with ``totals`` (job_id, total) also total and share.
+
+    The state is one row for each job and stage.
+    """
+    done = events.groupBy("job_id", "stage").agg(F.count("*").alias("done"), F.max("ts").alias("last_ts"))
+    if totals is None:
+        return done
+    return done.join(totals.select("job_id", "total"), "job_id", "left").withColumn("share", F.round(F.col("done") / F.col("total"), 6))
 
 
 def first_seen(links_: DataFrame, ts: str = "ts", keys=("page_id", "img"), delay: str = "1 day") -> DataFrame:
-    """Drop repeated links of a page as they arrive; a link is remembered for ``delay`` of event time."""
+    """Drop repeated links of a page as they arrive. A link is remembered for ``delay`` of event time only: one that comes back
+    later is given again, so a reader that must never see it twice merges the output into a table by its keys."""
     return links_.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -44,6 +44,9 @@ def test_progress(spark, tmp_path):
     events = spark.readStream.schema("job_id bigint, stage string, ts timestamp").parquet(str(tmp_path / "e"))
     memory(A.progress_stream(events), "prog", "update", tmp_path)
     assert {(r.job_id, r.stage, r.done) for r in spark.table("prog").collect()} == {(1, "clean", 2), (1, "stitch", 1), (2, "clean", 1)}
+    totals = spark.createDataFrame([(1, 4)], "job_id bigint, total bigint")
+    memory(A.progress_stream(events, totals), "shared", "update", tmp_path)
+    assert {(r.job_id, r.stage, r.total, r.share) for r in spark.table("shared").collect()} == {(1, "clean", 4, 0.5), (1, "stitch", 4, 0.25), (2, "clean", None, None)}
 
 
 def test_first_seen(spark, tmp_path):
