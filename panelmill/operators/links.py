@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
-from ..functions.text import LINE_END, strip
+from ..functions.text import LINE_END, natural_key, strip
+from .ordering import rank_rows
 
 
 def _numbered(df: DataFrame, keep: list[str], urls: Column, name: str = "img") -> DataFrame:
@@ -148,6 +149,24 @@ def order_from_log(logs: DataFrame, key: str = "chapter") -> DataFrame:
     return _numbered(logs, [key], files, "file")
 
 
+def order_files(logs: DataFrame, listing: DataFrame, key: str = "chapter") -> DataFrame:
+    """(chapter, pos, file): the files that are there, in the order of the download tool's log.
+
+    ``listing`` (chapter, file) holds the paths found. A logged name means the file at that path or else the one with that base
+    name; what is not there is left out. A chapter without any hit falls back to the natural order of its file names.
+    """
+    base = lambda c: F.substring_index(c, "/", -1)
+    there = listing.select(key, F.col("file").alias("_path"), base(F.col("file")).alias("_base")).distinct()
+    named = order_from_log(logs, key).withColumn("_base", base(F.col("file")))
+    hits = named.join(there, [key, "_base"]).groupBy(key, "pos").agg(
+        F.min_by("_path", F.struct((F.col("_path") != F.col("file")).alias("other"), "_path")).alias("file")
+    )
+    first = hits.groupBy(key, "file").agg(F.min("pos").alias("_at"))
+    told = rank_rows(first, [key], ["_at"], "pos").select(key, "pos", "file")
+    rest = there.join(told.select(key).distinct(), key, "left_anti").withColumn("_k", natural_key(F.col("_base")))
+    return told.unionByName(rank_rows(rest, [key], ["_k", "_path"], "pos").select(key, "pos", F.col("_path").alias("file")))
+
+
 def output_names(urls: DataFrame, strict: bool = False) -> DataFrame:
     """Download target of every link: three digits and the link's suffix."""
     return urls.withColumn("name", F.concat(F.format_string("%03d", F.col("pos")), U.url_ext(F.col("img"), strict)))

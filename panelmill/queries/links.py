@@ -234,6 +234,18 @@ def log_order(spark, sf):
     return links.order_from_log(df, "page_id")
 
 
+LISTED = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN e ELSE f END AS file FROM (SELECT page_id, url, concat('/x/', CAST(page_id AS STRING), '.JPG') AS f, '/e/10.png' AS e FROM {t}
+  UNION ALL SELECT page_id, url, '/d/b.png', '/e/9.png' FROM {t} UNION ALL SELECT page_id, url, '/e/zz.png', '/e/Zz.png' FROM {t}) x"""
+
+
+@query("logged_files", """SELECT page_id, pos, file FROM (SELECT page_id, unnest([1, 2, 3]) AS pos, CASE WHEN page_id % 4 = 0 THEN unnest(['/e/9.png', '/e/10.png', '/e/Zz.png'])
+  ELSE unnest(['/x/' || CAST(page_id AS VARCHAR) || '.JPG', '/d/b.png', NULL]) END AS file FROM pages) x WHERE file IS NOT NULL""")
+def logged_files(spark, sf):
+    """Every fourth page's log names no file that is there; its files stand in natural order."""
+    logs = _pages(spark, sf).select("page_id", F.expr(LOG).alias("log"))
+    return links.order_files(logs, spark.sql(LISTED.replace("{t}", "{pages}"), pages=_pages(spark, sf)), "page_id")
+
+
 @query("first_seen_links", f"""
 WITH t AS (SELECT page_id, {Q.tags('html', 'a')} AS tags FROM pages),
 r AS (SELECT page_id, pos, {Q.attr('tag', 'href')} AS raw FROM (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM t) x)
