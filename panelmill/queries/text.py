@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import textflow as T
+from ..sources import documents as D
 from ..sources.fixtures import ctes, table, view
 from . import query
 
@@ -281,3 +282,56 @@ def long_natural_order(spark, sf):
 
     names = _docs(spark, sf).select("doc_id", F.expr(NAMED).alias("name"), F.lit(0).alias("g")).withColumn("k", X.natural_key(F.col("name")))
     return ordinal(names, ["g"], ["k", "doc_id"], "r").select("doc_id", "name", "r")
+
+
+# Documents as texts, written by SQL from the given tables; the checking SQL reads them with its own JSON functions.
+TRANSCRIPTS = """SELECT concat('{"chapter": "c', CAST(conv_id AS STRING), '", "lang": "en", "pages": [{"page": ', CAST(conv_id AS STRING), ', "items": [{"n": ', CAST(turn AS STRING), ', "kind": "', role,
+  '", "bbox": [1, 2, ', CAST(turn AS STRING), ', 4], "text": "a\\u00e9 ', role, '", "conf": 0.5}]}, {"page": 9, "items": []}', CASE WHEN turn = 3 THEN '' ELSE ']}' END) AS text FROM {t}"""
+
+
+def _texts(spark, sf, sql, name):
+    table(spark, sf, name).createOrReplaceTempView("given_rows")
+    return spark.sql(sql.replace("{t}", "given_rows"))
+
+
+def _docs_sql(sql: str, name: str) -> str:
+    return sql.replace("AS STRING", "AS VARCHAR").replace("{t}", name)
+
+
+@query("parsed_transcripts", f"""WITH d AS ({_docs_sql(TRANSCRIPTS, 'conversations')}),
+p AS (SELECT text->>'chapter' AS chapter, unnest(CAST(text->'pages' AS JSON[])) AS p FROM d WHERE json_valid(text)),
+i AS (SELECT chapter, CAST(p->>'page' AS BIGINT) AS page, unnest(CASE WHEN json_array_length(p->'items') = 0 THEN [NULL] ELSE CAST(p->'items' AS JSON[]) END) AS i FROM p)
+SELECT chapter, page, CAST(i->>'n' AS INT) AS n, i->>'kind' AS kind, CAST(i->'bbox'->>2 AS INT) AS w, i->>'text' AS text, CAST(i->>'conf' AS DOUBLE) AS conf FROM i""")
+def parsed_transcripts(spark, sf):
+    return D.parse_transcripts(_texts(spark, sf, TRANSCRIPTS, "conversations")).select("chapter", "page", "n", "kind", "w", "text", "conf")
+
+
+LAYOUTS = """SELECT concat('{"chapter": "', source, '", "lang": "', lang, '", "segments": [{"image": "a', CAST(doc_id AS STRING), '.png", "width": 700, "height": ', CAST(n_chars AS STRING),
+  ', "items": [{"n": 1, "bbox": [0, 1, 2, 3], "src": "x", "kind": "sfx"}]}, {"image": "b.png", "width": 1, "height": 2, "items": []}]', CASE doc_id % 5 WHEN 0 THEN '' ELSE '}' END) AS text FROM {t}"""
+
+
+@query("parsed_layouts", f"""WITH d AS ({_docs_sql(LAYOUTS, 'documents')}),
+s AS (SELECT text->>'chapter' AS chapter, text->>'lang' AS lang, unnest([1, 2]) AS pack, unnest(CAST(text->'segments' AS JSON[])) AS s FROM d WHERE json_valid(text))
+SELECT chapter, lang, pack, s->>'image' AS image, CAST(s->>'width' AS INT) AS width, CAST(s->>'height' AS INT) AS height FROM s""")
+def parsed_layouts(spark, sf):
+    return D.parse_layouts(_texts(spark, sf, LAYOUTS, "documents"))[0]
+
+
+PROJECTS = """SELECT CAST(c_custkey AS STRING) AS source, concat('{"layout": "l', CAST(c_nationkey AS STRING), '.json", "name": "p", "seg_idx": ', CAST(c_nationkey AS STRING), ', "post_groups": [[1, ', CAST(c_nationkey AS STRING),
+  '], [5, 9]], "segments": [{"image": "a.png", "state": [{"kind": "text", "n": ', CAST(c_custkey AS STRING), ', "text": "t", "x": 1.5}], "work": null}]}') AS text FROM {t}"""
+
+
+@query("parsed_projects", f"""WITH d AS ({_docs_sql(PROJECTS, 'customer')})
+SELECT source, k, CAST(text->'post_groups'->k->>0 AS INT) AS lo, CAST(text->'post_groups'->k->>1 AS INT) AS hi, CAST(text->'segments'->0->'state'->0->>'n' AS INT) AS n FROM d, (SELECT unnest([0, 1]) AS k) r""")
+def parsed_projects(spark, sf):
+    _, segments, posts = D.parse_projects(_texts(spark, sf, PROJECTS, "customer"))
+    return posts.join(D.text_boxes(segments).select("source", "n"), "source").select("source", "k", "lo", "hi", "n")
+
+
+RECENTS = """SELECT concat('[{"layout": "/p/', CAST(o_orderkey AS STRING), '.json", "chapter": "c", "saved_at": ', CAST(1700000000 + o_orderkey AS STRING), '.5}, {"chapter": "none"}, {"layout": "old", "thumb": "t.png", "saved_at": 0}]') AS text FROM {t}"""
+
+
+@query("parsed_recents", f"""WITH d AS ({_docs_sql(RECENTS, 'orders')}), r AS (SELECT unnest([0, 2]) AS i)
+SELECT text->i->>'layout' AS layout, coalesce(text->i->>'chapter', '') AS chapter, coalesce(text->i->>'thumb', '') AS thumb, make_timestamp(CAST(CAST(text->i->>'saved_at' AS DOUBLE) * 1000000 AS BIGINT)) AS saved_at, CAST(-i AS BIGINT) AS arrival FROM d, r""")
+def parsed_recents(spark, sf):
+    return D.parse_recents(_texts(spark, sf, RECENTS, "orders"))

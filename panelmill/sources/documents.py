@@ -27,32 +27,40 @@ PROJECT = (
 RECENT = "layout string, chapter string, thumb string, saved_at double"
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per readable JSON file; a corrupt file gives no row."""
-    docs = (
-        spark.read.schema(schema + ", _bad string").option("multiLine", "true").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").json(path)
-        .withColumn("source", F.col("_metadata.file_path"))
-    )
-    return docs.where("_bad is null").drop("_bad")
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text): whole files below ``path``."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+
+
+def _parsed(texts: DataFrame, schema: str) -> DataFrame:
+    """The documents in column ``text`` with the other columns beside; a text that is no such document gives no row."""
+    doc = F.from_json("text", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rest = [c for c in texts.columns if c != "text"]
+    rows = texts.where("text is not null").select(*rest, doc.alias("_d"))
+    return rows.where("_d is not null and _d._bad is null").select(*rest, "_d.*").drop("_bad")
 
 
 def _bbox():
     return [F.get("i.bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")]
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(chapter, lang, page, item, n, kind, x, y, w, h, text, conf); pages without items keep one row with null n."""
-    docs = _documents(spark, path, TRANSCRIPT)
+def parse_transcripts(texts: DataFrame) -> DataFrame:
+    """Documents in column ``text``: (chapter, lang, page, item, n, kind, x, y, w, h, text, conf); pages without items keep one row with null n."""
+    docs = _parsed(texts.select("text"), TRANSCRIPT)
     pages = docs.select("chapter", "lang", F.explode("pages").alias("p")).select("chapter", "lang", "p.page", "p.items")
     return pages.select("chapter", "lang", "page", F.posexplode_outer("items").alias("item", "i")).select(
         "chapter", "lang", "page", "item", "i.n", "i.kind", *_bbox(), "i.text", "i.conf"
     )
 
 
-def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Segments (chapter, lang, pack, image, width, height) and items (chapter, pack, n, x, y, w, h, text, kind)."""
-    segs = _documents(spark, path, LAYOUT).select("chapter", "lang", F.posexplode("segments").alias("pos", "s"))
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_transcripts(read_texts(spark, path))
+
+
+def parse_layouts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents in column ``text``: segments (chapter, lang, pack, image, width, height) and items (chapter, pack, n, x, y, w, h, text, kind)."""
+    segs = _parsed(texts.select("text"), LAYOUT).select("chapter", "lang", F.posexplode("segments").alias("pos", "s"))
     segs = segs.select("chapter", "lang", (F.col("pos") + 1).alias("pack"), "s.*")
     items = segs.select("chapter", "pack", F.explode("items").alias("i")).select(
         "chapter", "pack", "i.n", *_bbox(), F.col("i.src").alias("text"), "i.kind"
@@ -60,9 +68,13 @@ def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return segs.drop("items"), items
 
 
-def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Projects (source, layout, name, seg_idx), their segments (source, pos, image, state, work), and post groups (source, k, lo, hi)."""
-    docs = _documents(spark, path, PROJECT)
+def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return parse_layouts(read_texts(spark, path))
+
+
+def parse_projects(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents in column ``text``, named by ``source``: projects (source, layout, name, seg_idx), their segments (source, pos, image, state, work), and post groups (source, k, lo, hi)."""
+    docs = _parsed(texts.select("source", "text"), PROJECT)
     segs = docs.select("source", F.posexplode("segments").alias("pos", "s")).select("source", "pos", "s.*")
     posts = docs.select("source", F.posexplode("post_groups").alias("k", "g")).select(
         "source", "k", F.get("g", F.lit(0)).alias("lo"), F.get("g", F.lit(1)).alias("hi")
@@ -70,6 +82,10 @@ def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return docs.select("source", "layout", "name", "seg_idx"), segs, posts
 
 
+def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return parse_projects(read_texts(spark, path))
+
+
 def text_boxes(segments: DataFrame) -> DataFrame:
     """Saved text boxes of project segments, one row each."""
     return segments.select("source", "image", F.posexplode("state").alias("item", "b")).where("b.kind = 'text'").select(
@@ -88,25 +104,26 @@ def image_boxes(segments: DataFrame) -> DataFrame:
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """(chapter, source, text): whole reply files; the chapter is the folder name."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    source = F.col("_metadata.file_path")
-    return files.select(folder_name(source).alias("chapter"), source.alias("source"), F.col("value").alias("text"))
+    return read_texts(spark, path).select(folder_name(F.col("source")).alias("chapter"), "source", "text")
 
 
-def read_recents(spark: SparkSession, path: str) -> DataFrame:
-    """Registry rows (layout, chapter, thumb, saved_at timestamp, arrival); a corrupt file gives none.
+def parse_recents(texts: DataFrame) -> DataFrame:
+    """Registries in column ``text`` as rows (layout, chapter, thumb, saved_at timestamp, arrival); a corrupt one gives none.
 
     ``arrival`` grows toward the front of the list, as the newest entry comes first.
     """
-    raw = spark.read.text(path, wholetext=True)
-    rows = F.from_json("value", f"array<struct<{RECENT.replace(' string', ':string').replace(' double', ':double')}>>")
-    return raw.select(F.posexplode(rows).alias("pos", "r")).where("r.layout is not null").select(
+    rows = F.from_json("text", f"array<struct<{RECENT.replace(' string', ':string').replace(' double', ':double')}>>")
+    return texts.select(F.posexplode(rows).alias("pos", "r")).where("r.layout is not null").select(
         "r.layout", F.coalesce("r.chapter", F.lit("")).alias("chapter"), F.coalesce("r.thumb", F.lit("")).alias("thumb"),
         F.timestamp_micros((F.col("r.saved_at") * 1_000_000).cast("bigint")).alias("saved_at"),
         (-F.col("pos")).cast("bigint").alias("arrival"),
     )
 
 
+def read_recents(spark: SparkSession, path: str) -> DataFrame:
+    return parse_recents(read_texts(spark, path))
+
+
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Crawled pages (page_id, url, html)."""
     return spark.read.parquet(path).select("page_id", "url", "html")
