@@ -5,10 +5,12 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.ipc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +103,42 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def chunk_of(chunks: int):
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+
+
+def deal(docs: DataFrame, chunks: int):
+    """Documents (doc_id, text) dealt into chunks by a hash, grouped by chunk: (chunk, data), a compressed part for each batch."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column(2).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))[: len(order)]
+            rows = [order[a:b] for a, b in zip(first, np.append(first[1:], len(order)), strict=False)]
+            data = [packed(batch.select(["doc_id", "text"]).take(pa.array(x))) for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[order[first]], pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+
+    own = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").withColumn("chunk", chunk_of(chunks))
+    return own.mapInArrow(pack, "chunk int, data binary").groupBy("chunk")
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(rows: pa.Table) -> pa.Table:
+    """The documents (doc_id, text) of a chunk."""
+    tables = [pa.ipc.open_stream(x).read_all() for x in rows["data"].to_pylist()]
+    if not tables:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    return pa.concat_tables(tables).combine_chunks()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Label the nodes of ``edges`` (a, b) with the smallest node they can reach: (node, label).
 

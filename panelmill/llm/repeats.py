@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, width
+from .common import chunk_of, deal, mix, unpacked, width
 
 ANCHOR = 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 EDGE = 0xFF  # never a byte of UTF-8
 SLICE = 1 << 20
 SHARD_WINDOWS = 30_000
+SETTLE_ROWS = 500_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -95,6 +97,25 @@ def raw_texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches as parts of about ``rows`` rows, none of which ends inside a run of equal first columns."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows:
+            h = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(h, held[-1].column(0)[-1].as_py(), "right"))
+            if cut < batch.num_rows:
+                yield pa.concat_batches([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` in the order of their suffixes, by at least ``depth`` bytes and then by place."""
     n = len(text)
@@ -206,7 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
     the input and never cross documents. ``spans`` lists the maximal removed runs as (start, end) in bytes; ``kept`` is what remains, in bytes.
 
     1. Every string of ``length`` bytes holds an anchor, chosen by its content. Anchors that two documents hold are found by exchanging
-       their hashes, packed. 2. A window is all bytes that strings around an anchor can cover. Equal windows are one, with their smallest
+       packed hashes. 2. A window is all bytes that strings around an anchor can cover. Equal windows are one, with their smallest
        document, so groups of copies shrink to one row for each chunk of documents before they move; what a document shares whole windows
        of is settled by that. 3. Windows that share an anchor but differ are fetched once each and go, by anchor, into run-length indexes
        (``first_owners``), which find the first owner of every string. 4. Answers go back to the chunks of documents, which are dealt out by a hash;
@@ -219,56 +240,64 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
         raise ValueError(f"repeats must have {ANCHOR + 8} bytes or more")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(width(docs), -(-total // chunk_bytes))
+    # some two million anchors: 32 bits of a hash tell them apart well enough, a chance match costs a row
     buckets = max(width(docs), -(-total // (32 << 20)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    own = own.withColumn("chunk", chunk_of(chunks))
+
+    def bucketed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key of 48-bit hashes."""
+        h = mix(h)
+        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             texts = Texts(raw_texts(batch.column(1)), length)
-            at, h, doc = texts.anchors()
+            _, h, doc = texts.anchors()
             chunk = batch.column(2).to_numpy()[doc].astype(np.int64)
-            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((doc, h, chunk, bucket))
-            h, doc, chunk, bucket = h[order], doc[order], chunk[order], bucket[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
-            h, chunk, bucket = h[new], chunk[new], bucket[new]
-            cut = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])))[: len(h)]
-            ends = np.append(cut[1:], len(h))
-            six = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            data = [six[a:b].tobytes() for a, b in zip(cut, ends, strict=False)] if len(h) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut][: len(data)], pa.int32()), pa.array(chunk[cut][: len(data)], pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "h"])
-
-    def six_bytes(parts: list[bytes]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
-        return np.pad(raw, ((0, 0), (0, 2))).view("<u8").ravel()
+            bucket, key = bucketed(h)
+            order = np.lexsort((doc, key, chunk, bucket))
+            key, doc, chunk, bucket = key[order], doc[order], chunk[order], bucket[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+            key, chunk, bucket = key[new], chunk[new], bucket[new]
+            run = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])))[: len(key)]
+            size = np.diff(np.append(run, len(key)))
+            # one row for each bucket: its keys by chunk, and how many there are of each chunk
+            cut = np.flatnonzero(np.append(True, np.diff(bucket[run]) != 0))[: len(run)]
+            rows = list(zip(cut, np.append(cut[1:], len(run)), strict=False))
+            at = np.append(run, len(key))
+            data = [[key[at[a] : at[b]].tobytes() for a, b in rows], [chunk[run[a:b]].astype(np.int32).tobytes() for a, b in rows], [size[a:b].astype(np.int32).tobytes() for a, b in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[run[cut]], pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["bucket", "keys", "chunks", "sizes"])
 
     def shared(rows: pa.Table) -> pa.Table:
-        chunk, parts = rows["chunk"].to_numpy(), rows["h"].to_pylist()
-        h = six_bytes(parts)
-        whose = np.repeat(chunk, [len(x) // 6 for x in parts])
-        order = np.argsort(h, kind="stable")
-        h, whose = h[order], whose[order]
-        same = h[1:] == h[:-1]
-        twice = np.append(same, False) | np.append(False, same) if len(h) else np.zeros(0, bool)
-        pair = np.unique(np.stack([whose[twice].astype(np.uint64), h[twice]], axis=1), axis=0) if twice.any() else np.zeros((0, 2), np.uint64)
-        who, first = np.unique(pair[:, 0], return_index=True)
-        ends = np.append(first[1:], len(pair))
-        return pa.table({"chunk": pa.array(who.astype(np.int32), pa.int32()), "h": pa.array([pair[a:b, 1].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
-
-    asked = own.select("doc_id", "text", "chunk").mapInArrow(ask, "bucket int, chunk int, h binary")
-    known = asked.groupBy("bucket").applyInArrow(shared, "chunk int, h binary")
+        """For each chunk, the keys of a bucket that two documents or more hold."""
+        key, whose, size = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("keys", np.uint32), ("chunks", np.int32), ("sizes", np.int32)))
+        whose = np.repeat(whose, size)
+        order = np.argsort(key, kind="stable")
+        key, whose = key[order], whose[order]
+        same = key[1:] == key[:-1]
+        twice = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+        pair = np.unique(whose[twice].astype(np.uint64) << np.uint64(32) | key[twice])
+        who, first = np.unique(pair >> np.uint64(32), return_index=True)
+        data = [pair[a:b].astype(np.uint32).tobytes() for a, b in zip(first, np.append(first[1:], len(pair)), strict=False)]
+        return pa.table({"chunk": pa.array(who.astype(np.int32), pa.int32()), "bucket": pa.array([rows["bucket"][0].as_py()] * len(who), pa.int32()), "keys": pa.array(data, pa.binary())})
+
+    asked = own.select("doc_id", "text", "chunk").mapInArrow(ask, "bucket int, keys binary, chunks binary, sizes binary")
+    known = asked.groupBy("bucket").applyInArrow(shared, "chunk int, bucket int, keys binary")
+    dealt = deal(own.select("doc_id", "text"), chunks)
 
     def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        """A row for each distinct window of a chunk around a shared anchor, with its first document there."""
+        chunk, mine = mine["chunk"][0].as_py() if mine.num_rows else 0, unpacked(mine)
         mine = mine.filter(mine["doc_id"].is_valid())
-        wanted = np.unique(np.frombuffer(b"".join(theirs["h"].to_pylist()), np.uint64)) if theirs.num_rows else np.zeros(0, np.uint64)
+        wanted = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(theirs["bucket"].to_pylist(), theirs["keys"].to_pylist(), strict=True)]
+        wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         texts = Texts(raw_texts(mine["text"]), length)
         at, h, doc = texts.anchors()
-        if len(wanted):
-            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-        else:
-            hit = np.zeros(len(h), bool)
+        bucket, key = bucketed(h)
+        key = bucket.astype(np.uint64) << np.uint64(32) | key
+        hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(h), bool)
         at, h, doc = at[hit], h[hit], doc[hit]
         code, ids = texts.codes(at), mine["doc_id"].to_numpy()
         who = ids[doc] if len(doc) else np.zeros(0, np.int64)
@@ -277,97 +306,96 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)]
         more = np.maximum.reduceat(who, first) > who[first] if len(first) else np.zeros(0, bool)
         return pa.table({
-            "h": (h[first] >> np.uint64(16)).astype(np.int64).astype(np.int32) if len(first) else pa.array([], pa.int32()),
-            "code": code[first].view(np.int64), "chunk": pa.array(np.full(len(first), mine["chunk"][0].as_py() if mine.num_rows else 0), pa.int32()),
+            "h": pa.array((h[first] >> np.uint64(16)).astype(np.uint32).view(np.int32), pa.int32()),
+            "code": pa.array(code[first].view(np.int64), pa.int64()), "chunk": pa.array(np.full(len(first), chunk), pa.int32()),
             "low": pa.array(who[first], pa.int64()), "at": pa.array(at[first] - texts.starts[doc[first]], pa.int32()), "more": pa.array(more),
         })
 
-    dealt = own.groupBy("chunk")
     rows = dealt.cogroup(known.groupBy("chunk")).applyInArrow(meet, "h int, code long, chunk int, low long, at int, more boolean")
-    rows = rows.repartition(width(docs), "h", "code")
-    firsts = rows.groupBy("h", "code").agg(F.min_by(F.struct("low", "chunk", "at"), F.struct("low", "chunk")).alias("f"), F.count("*").alias("n"))
-    firsts = firsts.select("h", "code", "f.low", "f.chunk", "f.at")
-    several = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    apart = firsts.join(several, "h")
+    rows = rows.repartition(max(width(docs), -(-total // (16 << 20))), "h").sortWithinPartitions("h", "code", "low", "chunk")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers that need no index (the first document of a window), and one row for each window that shares an anchor with another."""
+        for t in whole_groups(batches, SETTLE_ROWS):
+            h, code, chunk, low, at, more = (t.column(i).to_numpy() if i < 5 else t.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            new = np.append(True, (h[1:] != h[:-1]) | (code[1:] != code[:-1]))
+            first = low[np.flatnonzero(new)][np.cumsum(new) - 1]
+            group = np.append(True, h[1:] != h[:-1])
+            several = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(group)) > 1)[np.cumsum(group) - 1]
+            for index, take in ((False, (first < low) | more), (True, new & several)):
+                yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (np.full(len(h), index), h, code, chunk, first, at)], ["index", "h", "code", "chunk", "first", "at"])
+
+    told = rows.mapInArrow(settle, "index boolean, h int, code long, chunk int, first long, at int")
 
     def fetch(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine = unpacked(mine)
         raw, ids = raw_texts(mine["text"]), mine["doc_id"].to_pylist()
         texts = Texts(raw, length)
         place: dict[int, list[int]] = {}
         for i, d in enumerate(ids):
             place.setdefault(d, []).append(i)
-        low, at, code = theirs["low"].to_pylist(), theirs["at"].to_numpy(), theirs["code"].to_numpy()
+        first, at, code = theirs["first"].to_pylist(), theirs["at"].to_numpy(), theirs["code"].to_numpy()
         where, what = [], []
-        for k, d in enumerate(low):
+        for k, d in enumerate(first):
             for i in place.get(d, ()):
                 if at[k] + ANCHOR <= len(raw[i]):
                     where.append(int(texts.starts[i] + at[k])), what.append(k)
         where, what = np.array(where, np.int64), np.array(what, np.int64)
         right = texts.codes(where).view(np.int64) == code[what] if len(where) else np.zeros(0, bool)
-        what, first = np.unique(what[right], return_index=True)
-        data = texts.windows(where[right][first]) if len(first) else np.zeros((0, 1), np.uint8)
+        what, one = np.unique(what[right], return_index=True)
+        data = texts.windows(where[right][one]) if len(one) else np.zeros((0, 1), np.uint8)
         took = theirs.take(pa.array(what, pa.int64()))
-        return pa.table({"h": took["h"], "code": took["code"], "low": took["low"], "window": pa.array([x.tobytes() for x in data], pa.binary())})
+        return pa.table({"h": took["h"], "code": took["code"], "chunk": took["chunk"], "first": took["first"], "window": pa.array([x.tobytes() for x in data], pa.binary())})
 
-    texts_of = dealt.cogroup(apart.groupBy("chunk")).applyInArrow(fetch, "h int, code long, low long, window binary")
-    sharded = texts_of.repartition(max(width(docs), int(-(-total // (8 << 20)))), "h").sortWithinPartitions("h")
+    apart = told.where("index").select("h", "code", "chunk", "first", "at")
+    windows = dealt.cogroup(apart.groupBy("chunk")).applyInArrow(fetch, "h int, code long, chunk int, first long, window binary")
+    windows = windows.repartition(max(width(docs), -(-total // (8 << 20))), "h").sortWithinPartitions("h")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            group, low = t["h"].to_numpy(), t["low"].to_numpy()
-            windows = np.frombuffer(b"".join(t["window"].to_pylist()), np.uint8).reshape(len(group), -1)
-            good = np.flatnonzero(promising(windows, group, length))
-            best = first_owners(windows[good], low[good], length) if len(good) else np.zeros((0, 1), np.int64)
-            less = (best < low[good][:, None]).any(axis=1)
-            took = t.take(pa.array(good[less], pa.int64()))
-            return pa.RecordBatch.from_arrays([took["h"].combine_chunks(), took["code"].combine_chunks(), pa.array([x.tobytes() for x in best[less]], pa.binary())], ["h", "code", "best"])
-
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # windows of one anchor stay together: all before the batch's last anchor are complete
-            h = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            if n >= SHARD_WINDOWS and held[-1].column(0)[-1].as_py() != h[0]:
-                yield solve(held)
-                held, n = [], 0
-            if n + cut >= SHARD_WINDOWS and cut:
-                yield solve([*held, batch.slice(0, cut)])
-                held, n, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            n += batch.num_rows
-        if held:
-            yield solve(held)
-
-    solved = sharded.mapInArrow(index, "h int, code long, best binary")
-    answers = rows.join(firsts.select("h", "code", F.col("low").alias("first")), ["h", "code"]).join(solved, ["h", "code"], "left")
-    answers = answers.where("first < low or more or best is not null").select("chunk", "code", "first", "best")
+        for t in whole_groups(batches, SHARD_WINDOWS):
+            group, low = t.column(0).to_numpy(), t.column(3).to_numpy()
+            data = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(group), -1)
+            good = np.flatnonzero(promising(data, group, length))
+            best = first_owners(data[good], low[good], length) if len(good) else np.zeros((0, 1), np.int64)
+            less = best < low[good][:, None]
+            some = np.flatnonzero(less.any(axis=1))
+            took = t.take(pa.array(good[some], pa.int64()))
+            blob = [np.packbits(less[i]).tobytes() + best[i][less[i]].tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([took.column(2), took.column(1), took.column(3), pa.array(blob, pa.binary())], ["chunk", "code", "first", "best"])
+
+    solved = windows.mapInArrow(index, "chunk int, code long, first long, best binary")
+    answers = told.where("not index").select("chunk", "code", "first", F.lit(None).cast("binary").alias("best")).unionByName(solved)
 
     def remove(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine = unpacked(mine)
         raw, ids = raw_texts(mine["text"]), mine["doc_id"]
         texts = Texts(raw, length)
         cover = np.zeros(len(texts.bytes) + 1, np.int32)
         if theirs.num_rows:
             at, _, doc = texts.anchors()
-            code = texts.codes(at).view(np.int64)
-            answer = theirs.sort_by("code")
-            keys, first, best = answer["code"].to_numpy(), answer["first"].to_numpy(), answer["best"].combine_chunks()
-            row = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            hit = keys[row] == code
-            who = ids.fill_null(0).to_numpy()[doc]
-            hit &= np.array(ids.is_valid().to_pylist(), bool)[doc]
-            at, row, doc, who = at[hit], row[hit], doc[hit], who[hit]
-            lo = np.maximum(at - texts.pad, texts.starts[doc])
-            hi = np.minimum(at + length, texts.starts[doc] + texts.sizes[doc])
-            full = (who > first[row]) & (hi - lo >= length)
-            np.add.at(cover, lo[full], 1), np.add.at(cover, hi[full], -1)
-            some = best.is_valid().to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(~full & some[row]):
-                blob = best[int(row[k])].as_py()
-                j = np.flatnonzero(np.frombuffer(blob, np.int64) < who[k]) + at[k] - texts.pad
-                np.add.at(cover, j, 1), np.add.at(cover, j + length, -1)
+            named = np.array(ids.is_valid().to_pylist(), bool)[doc]
+            at, doc = at[named], doc[named]
+            code, who = texts.codes(at).view(np.int64), ids.fill_null(0).to_numpy()[doc]
+            indexed = theirs["best"].is_valid()
+            for some in (theirs.filter(indexed), theirs.filter(pa.compute.invert(indexed))):
+                if not some.num_rows or not len(at):
+                    continue
+                some = some.sort_by("code")
+                keys, first = some["code"].to_numpy(), some["first"].to_numpy()
+                row = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                hit = keys[row] == code
+                lo = np.maximum(at - texts.pad, texts.starts[doc])
+                hi = np.minimum(at + length, texts.starts[doc] + texts.sizes[doc])
+                full = hit & (who > first[row]) & (hi - lo >= length)
+                np.add.at(cover, lo[full], 1), np.add.at(cover, hi[full], -1)
+                if some["best"].null_count:
+                    continue
+                best, bits = some["best"].combine_chunks(), -(-(texts.pad + 1) // 8)
+                for k in np.flatnonzero(hit & (who <= first[row])):
+                    blob = best[int(row[k])].as_py()
+                    j = np.flatnonzero(np.unpackbits(np.frombuffer(blob[:bits], np.uint8)))
+                    j = j[np.frombuffer(blob[bits:], np.int64) < who[k]] + at[k] - texts.pad
+                    np.add.at(cover, j, 1), np.add.at(cover, j + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
         spans, digests, kept = [], [], []
         for i, data in enumerate(raw):
