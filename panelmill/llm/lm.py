@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, per_process, width, word_codes, words_of, written, Codes
+from .common import Codes, deal, mix, per_process, unpacked, width, word_codes, words_of, written
 
 DEPTH = 5  # bytes of context; a gram has one more
 GRAM = (1 << 8 * (DEPTH + 1)) - 1
 END = b"\n"
 SLICE = 1 << 21
-FLUSH = 3_000_000
 BYTES, WORDS = 0, 1
 
 
@@ -51,9 +50,6 @@ class Stream:
                 own[max(0, s - lo) : max(0, s + DEPTH - lo)] = False
             yield lo, code, own
 
-    def distinct(self) -> np.ndarray:
-        return merged([np.unique(code[own]) for _, code, own in self.grams()])[0]
-
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
@@ -214,44 +210,52 @@ def rng_of(seed: int, bucket: int) -> np.random.Generator:
     return np.random.default_rng([seed, bucket])
 
 
-def fit(docs: DataFrame, buckets: int) -> tuple[DataFrame, int, int]:
-    """Counts of the grams and words of the training texts, a row for each kind and bucket, with the tokens and distinct words."""
+class Part:
+    """Some documents of a chunk: distinct grams and words, and where the places of the texts point among them."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {BYTES: ([], []), WORDS: ([], [])}
-
-        def emit() -> pa.RecordBatch:
-            rows = []
-            for kind, (keys, counts) in held.items():
-                k, n = merged(keys, counts)
-                rows += [(kind, bucket, k[at].tobytes(), n[at].tobytes()) for bucket, at in by_bucket(kind, k, buckets)]
-                keys.clear(), counts.clear()
-            names, kinds = ["kind", "bucket", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-        for batch in batches:
-            texts = [t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(d)]
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
-                for _, code, own in Stream(part).grams():
-                    k, n = np.unique(code[own], return_counts=True)
-                    held[BYTES][0].append(k), held[BYTES][1].append(n)
-                k, n = np.unique(all_words(part), return_counts=True)
-                held[WORDS][0].append(k), held[WORDS][1].append(n)
-                for keys, counts in held.values():
-                    if sum(map(len, keys)) > FLUSH:
-                        k, n = merged(keys, counts)
-                        keys[:], counts[:] = [k], [n]
-                if any(sum(map(len, keys)) > FLUSH // 2 for keys, _ in held.values() if len(keys) == 1):
-                    yield emit()
-        yield emit()
+    def __init__(self, texts: list[str | None]):
+        self.stream, words = Stream(texts), all_words(texts)
+        self.grams = [(lo, own, u, i.astype(np.int32)) for lo, code, own in self.stream.grams() for u, i in [np.unique(code, return_inverse=True)]]
+        self.words, self.place = np.unique(words, return_inverse=True)
+        self.tokens = np.array([len(words_of(t)) + 1 for t in texts])
+
+
+def parts_of(texts: list[str | None]) -> tuple[list[tuple[int, np.ndarray]], list[Part]]:
+    """The parts of a chunk and its distinct keys of each kind."""
+    parts = [Part(texts[at : at + 1000]) for at in range(0, len(texts), 1000)]
+    return [(BYTES, merged([g[2] for p in parts for g in p.grams])[0]), (WORDS, merged([p.words for p in parts])[0])], parts
+
+
+def tally(docs: pa.Table, buckets: int, chunk: int) -> pa.Table:
+    """A row for each kind and bucket with the distinct keys of a chunk, and how often its training texts hold them."""
+    both, parts = parts_of(docs["text"].to_pylist())
+    learnt = np.array([not held_out(d) for d in docs["doc_id"].to_pylist()], bool)
+    rows = []
+    for kind, keys in both:
+        counts, at = np.zeros(len(keys), np.int64), 0
+        for p in parts:
+            mine = learnt[at : at + len(p.tokens)]
+            at += len(p.tokens)
+            if kind == WORDS:
+                counts[np.searchsorted(keys, p.words)] += np.bincount(p.place, np.repeat(mine, p.tokens), len(p.words)).astype(np.int64)
+                continue
+            teach = np.repeat(mine, p.stream.ends - p.stream.starts)
+            for lo, own, u, i in p.grams:
+                counts[np.searchsorted(keys, u)] += np.bincount(i[own & teach[lo : lo + len(i)]], minlength=len(u))
+        rows += [(kind, bucket, keys[x].tobytes(), counts[x].astype(np.int32).tobytes()) for bucket, x in by_bucket(kind, keys, buckets)]
+    names, kinds = ["kind", "bucket", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names).append_column("chunk", pa.array([chunk] * len(rows), pa.int32()))
+
+
+def fit(tallies: DataFrame) -> tuple[DataFrame, int, int]:
+    """Counts of the grams and words of the training texts, a row for each kind and bucket, with the tokens and distinct words."""
 
     def add(rows: pa.Table) -> pa.Table:
-        part = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()]
-        k, n = merged(*part)
+        k, n = merged([np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"].to_pylist()])
+        k, n = k[n > 0], n[n > 0]
         return pa.table({"kind": rows["kind"][:1], "bucket": rows["bucket"][:1], "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "total": pa.array([int(n.sum())]), "types": pa.array([len(k)])})
 
-    parts = docs.select("doc_id", "text").mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
+    parts = tallies.select("kind", "bucket", "keys", "counts")
     model = written(parts.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, keys binary, counts binary, total long, types long"))
     words = model.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("types")).first()
     return model, words[0] or 0, words[1] or 0
@@ -306,25 +310,17 @@ def score(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, see
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(width(docs), -(-total // (64 << 20)))
-    model, tokens, types = fit(docs, buckets)
-    root = fit_root(model, rounds, samples, burn, seed)
     chunks = max(width(docs), -(-total // chunk_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).groupBy("chunk")
-
-    def keys_of(texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
-        grams, words = [], []
-        for at in range(0, len(texts), 1000):
-            part = texts[at : at + 1000]
-            grams.append(Stream(part).distinct()), words.append(np.unique(all_words(part)))
-        return [(BYTES, merged(grams)[0]), (WORDS, merged(words)[0])]
-
-    def ask(mine: pa.Table) -> pa.Table:
-        rows = [(k, b, x[at].tobytes()) for k, x in keys_of(mine["text"].to_pylist()) for b, at in by_bucket(k, x, buckets)]
-        return pa.table({
-            "kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
-            "chunk": pa.array([mine["chunk"][0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()),
-        })
+    dealt = deal(docs.select("doc_id", "text"), chunks)
+
+    def count(mine: pa.Table) -> pa.Table:
+        return tally(unpacked(mine), buckets, mine["chunk"][0].as_py())
+
+    # one pass counts and asks: a chunk's distinct keys with their counts in training texts
+    tallies = written(dealt.applyInArrow(count, "kind int, bucket int, keys binary, counts binary, chunk int"))
+    model, tokens, types = fit(tallies)
+    root = fit_root(model, rounds, samples, burn, seed)
 
     def reply(known: pa.Table, asked: pa.Table) -> pa.Table:
         asks = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
@@ -351,40 +347,33 @@ def score(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, see
         return asked.select(["chunk", "kind", "bucket"]).append_column("values", pa.array(out, pa.binary()))
 
     def total_up(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        ids, texts = mine["doc_id"], mine["text"].to_pylist()
+        mine = unpacked(mine)
+        ids, (both, parts) = mine["doc_id"], parts_of(mine["text"].to_pylist())
         table = {}
-        for which, keys in keys_of(texts):
+        for which, keys in both:
             value = np.zeros(len(keys), np.float32 if which == BYTES else np.int64)
             got = {b: v for k, b, v in zip(*[theirs[c].to_pylist() for c in ("kind", "bucket", "values")], strict=True) if k == which}
             for b, at in by_bucket(which, keys, buckets):
                 value[at] = np.frombuffer(got[b], value.dtype)
             table[which] = keys, value
         out = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
-        for at in range(0, len(texts), 1000):
-            part = texts[at : at + 1000]
-            stream = Stream(part)
+        for p in parts:
             keys, value = table[BYTES]
-            sums = np.zeros(len(part))
-            for lo, code, own in stream.grams():
-                order = np.argsort(code)
-                logp = np.empty(len(code))
-                logp[order] = value[np.minimum(np.searchsorted(keys, code[order]), len(keys) - 1)]
-                logp[~own] = 0
-                doc = np.searchsorted(stream.ends, np.array([lo, lo + len(code) - 1]), "right")
-                cuts = np.maximum(stream.starts[doc[0] : doc[1] + 1], lo) - lo
-                sums[doc[0] : doc[1] + 1] += np.add.reduceat(logp, cuts)
+            ends, starts, sums = p.stream.ends, p.stream.starts, np.zeros(len(p.tokens))
+            for lo, own, u, i in p.grams:
+                logp = np.where(own, value[np.searchsorted(keys, u)].astype(np.float64)[i], 0.0)
+                doc = np.searchsorted(ends, np.array([lo, lo + len(i) - 1]), "right")
+                sums[doc[0] : doc[1] + 1] += np.add.reduceat(logp, np.maximum(starts[doc[0] : doc[1] + 1], lo) - lo)
             keys, count = table[WORDS]
-            codes = all_words(part)
-            n = np.array([len(words_of(t)) + 1 for t in part])
-            c = count[np.searchsorted(keys, codes)]
-            first = np.cumsum(n) - n
-            out["n_tokens"] += n.tolist()
-            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
-            out["base"] += np.add.reduceat(np.log10(c + 1.0), first).tolist()
+            c = count[np.searchsorted(keys, p.words)]
+            first = np.cumsum(p.tokens) - p.tokens
+            out["n_tokens"] += p.tokens.tolist()
+            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64)[p.place], first).tolist()
+            out["base"] += np.add.reduceat(np.log10(c + 1.0)[p.place], first).tolist()
             out["score"] += sums.tolist()
         return pa.table({"doc_id": ids, "held_out": pa.array([held_out(d) for d in ids.to_pylist()]), **{c: pa.array(v, pa.float64() if c in ("base", "score") else pa.int64()) for c, v in out.items()}})
 
-    asked = dealt.applyInArrow(ask, "kind int, bucket int, chunk int, keys binary")
+    asked = tallies.select("kind", "bucket", "chunk", "keys")
     replies = model.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(reply, "chunk int, kind int, bucket int, values binary")
     scored = dealt.cogroup(replies.groupBy("chunk")).applyInArrow(total_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     weight = float(np.log10(tokens + types + 1))
