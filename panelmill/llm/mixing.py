@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, word_codes, words_of, written
+from .common import free_name, mix, word_codes, written
 
 BITS = 18
 #: Domains of the labelled table and the shares of all tokens that each shall have.
 DOMAINS = ("clean", "junk", "toxic")
 TARGETS = (0.985, 0.015, 0.0)
+SIGNS = "#*$%&|<>!"
 #: Deviations from chance at which a feature counts.
 DEVIATION = 8.0
 
@@ -27,17 +28,9 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when((toxic == 0) & (quality == 0), 1).when((toxic == 0) & (quality == 1), 0)
 
 
-def slots(text: str | None) -> np.ndarray:
-    """Hashed features of a text: its words, and the shapes of words with other characters than letters."""
-    words = words_of(text)
-    h = mix(word_codes(text))
-    shape = [b"%d%d" % (w[-1:].isalnum() or w[-1] > 127, len(w) > 1 and (w[:-1].isalnum())) for w in words]
-    s = np.fromiter((65536 + hash_shape(x) for x in shape), np.int64, len(shape))
-    return np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64), s & ((1 << BITS) - 1)])
-
-
-def hash_shape(x: bytes) -> int:
-    return int.from_bytes(x, "big") * 2_654_435_761 & 0xFFFF
+def slots(codes: np.ndarray) -> np.ndarray:
+    """Hashed features of a text, its distinct words."""
+    return np.unique((mix(codes) >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -47,18 +40,22 @@ class Classifier:
     weights: np.ndarray
     layer: np.ndarray
 
-    def inputs(self, text: str | None) -> np.ndarray:
-        """The features' sums by domain, damped, with a text's length and its share of words with other characters."""
-        s = slots(text)
-        n = len(s) // 2
-        z = self.weights[:, np.unique(s)].sum(axis=1, dtype=np.float64) if n else np.zeros(len(self.weights))
-        odd = sum(not w.isalnum() for w in words_of(text)) / max(1, n)
-        return np.concatenate([[1.0], np.sign(z) * np.log1p(np.abs(z)), [math.log1p(n) / 5, odd]])
+    def inputs(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The features' sums by domain, damped, with a text's length and its signs for each word; and the number of words."""
+        codes = word_codes(text)
+        z = self.weights[:, slots(codes)].sum(axis=1, dtype=np.float64)
+        signs = sum(map(text.count, SIGNS)) / len(codes) if len(codes) else 0.0
+        return np.concatenate([[1.0], np.sign(z) * np.log1p(np.abs(z)), [math.log1p(len(codes)) / 5, min(1.0, signs)]]), len(codes)
 
     def posterior(self, text: str | None) -> np.ndarray:
-        z = self.layer @ self.inputs(text)
+        return self.member(text)[0]
+
+    def member(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Posterior of the domains, and the number of words."""
+        x, n = self.inputs(text)
+        z = self.layer @ x
         p = np.exp(z - z.max())
-        return p / p.sum()
+        return p / p.sum(), n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, steps: int = 500) -> np.ndarray:
@@ -98,7 +95,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000) ->
         total, docs_in = np.zeros((k, 1 << BITS), np.int64), np.zeros(k, np.int64)
         for b in batches:
             for text, domain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[domain, np.unique(slots(text))] += 1
+                total[domain, slots(word_codes(text))] += 1
                 docs_in[domain] += 1
         for d in np.flatnonzero(docs_in):
             at = np.flatnonzero(total[d])
@@ -118,7 +115,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000) ->
 
     @F.pandas_udf("array<double>")
     def inputs(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.inputs(t).tolist() for t in texts])
+        return pd.Series([model.inputs(t)[0].tolist() for t in texts])
 
     held = rows.where("held").select(inputs("text").alias("x"), "domain").toPandas()
     x = np.array(held["x"].tolist()).reshape(len(held), k + 3)
@@ -159,13 +156,11 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], ridge: float, roun
                 p = b.column(1).flatten().to_numpy().reshape(-1, k)
                 now = rates_after(past, p, step, ridge)
                 out += (b.column(0).to_numpy() * (now[1] if len(past) else now)) @ p
-            yield pa.RecordBatch.from_pydict({"k": np.arange(k), "s": out})
+            yield pa.RecordBatch.from_pydict({f"s{i}": [x] for i, x in enumerate(out)})
 
-        # a job's task sums one number per domain; they are added on the executors
-        s = members.select("n_tokens", "p").mapInArrow(sums, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        residual = np.zeros(k)
-        for r in s:
-            residual[r["k"]] = r["s"]
+        # a row for each task, added up on the executors
+        s = members.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.sum(f"s{i}") for i in range(k)]).first()
+        residual = np.array([x or 0.0 for x in s])
         residual = residual / total - goal
         done = len(history) and np.abs(residual - history[-1]).max() < tolerance
         history = np.vstack([history, residual])
@@ -180,12 +175,13 @@ def mix_sources(
     targets: tuple[float, ...] = TARGETS,
     ridge: float = 0.01,
     rounds: int = 80,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-5,
     sample: int = 20_000,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Rates at which documents should be taken so that domains reach their target shares of all tokens.
 
-    Returns the columns of ``docs`` with n_tokens (words between ASCII white space), p_clean, p_junk, p_toxic (the classifier's posterior),
+    Returns the columns of ``docs`` (or those in ``carry``, with doc_id) with n_tokens (words between ASCII white space), p_clean, p_junk, p_toxic (the classifier's posterior),
     rate (nonnegative, fitted) and copies, the rate rounded up or down by a hash of the row so that totals are met in expectation.
     Null or empty texts have no tokens, the prior's posterior and rate zero copies; a null id is rounded like any other value; equal
     rows get equal results; an empty table gives no rows. Columns with the names of the results are replaced.
@@ -196,12 +192,17 @@ def mix_sources(
 
     @F.pandas_udf("n_tokens long, p array<double>")
     def member(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"n_tokens": [len(words_of(t)) for t in texts], "p": [model.posterior(t).tolist() for t in texts]})
+        rows = [model.member(t) for t in texts]
+        return pd.DataFrame({"n_tokens": [n for _, n in rows], "p": [p.tolist() for p, _ in rows]})
 
     named = docs.withColumn(made, member(F.col("text")))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS))]
+    wanted = docs.columns if carry is None else ["doc_id", *(c for c in carry if c != "doc_id")]
+    rest = [F.col(f"`{c}`") for c in wanted if c.lower() not in ("n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS))]
     held = written(named.select(*rest, F.col(f"{made}.n_tokens").alias("n_tokens"), F.col(f"{made}.p").alias(p)))
-    history = fit_rates(held.select("n_tokens", F.col(p).alias("p")), targets, ridge, rounds, tolerance)
+    # the steps read a narrow table in few parts, not one task for each file of texts
+    narrow = held.select("n_tokens", F.col(p).alias("p")).where("n_tokens > 0")
+    narrow = written(narrow.repartition(max(1, narrow.count() // 500_000)))
+    history = fit_rates(narrow, targets, ridge, rounds, tolerance)
 
     @F.pandas_udf("double")
     def rated(ps: pd.Series) -> pd.Series:

@@ -80,7 +80,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_domain_mix")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = mixing.mix_sources(docs, table(spark, sf_dir, "labels"))
+    out = mixing.mix_sources(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("doc_id", "n_tokens", "p_clean", "p_junk", "p_toxic", "rate", "copies")
 
 
