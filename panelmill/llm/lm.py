@@ -215,7 +215,8 @@ class Part:
 
     def __init__(self, texts: list[str | None]):
         self.stream, words = Stream(texts), all_words(texts)
-        self.grams = [(lo, own, u, i.astype(np.int32)) for lo, code, own in self.stream.grams() for u, i in [np.unique(code, return_inverse=True)]]
+        # a place that predicts nothing spans two texts: it must not tell in which order a chunk's texts came
+        self.grams = [(lo, own, u, i.astype(np.int32)) for lo, code, own in self.stream.grams() for u, i in [np.unique(np.where(own, code, 0), return_inverse=True)]]
         self.words, self.place = np.unique(words, return_inverse=True)
         self.tokens = np.array([len(words_of(t)) + 1 for t in texts])
 

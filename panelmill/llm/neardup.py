@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingle_set, written
+from .common import components, mix, shingle_set, width, written
 
 SAMPLES, ROWS = 125, 5  # 25 bands of 5: at a similarity of 0.8, 1 of 20,000 links has no band; at 0.85, 1 of 2 million
 BITS = 512
@@ -93,16 +93,18 @@ def forest(linked) -> list[tuple[int, int]]:
 
 
 def in_blocks(df: DataFrame, group: str) -> DataFrame:
-    """Give the rows of each group to the pairs of its blocks: columns i <= j of the pair, and the row's own block.
+    """Give the rows of each group of two or more to the pairs of its blocks: columns i <= j of the pair.
 
-    A group of up to BLOCK rows is one pair (0, 0). A larger one is split, and a row goes to each pair with its block: tasks stay small.
+    A group of up to BLOCK rows is one pair (0, 0). A larger one is split, and a row goes to each pair with its block. The pairs are dealt
+    out one by one, so those of a crowded group do not meet in one task.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_m"))
     sized = df.join(sizes.where("_m > 1"), group)
     parts = F.ceil(F.col("_m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j")))
-    return sized.withColumn("_own", own).withColumn("_pair", F.explode(pairs)).select("*", "_pair.i", "_pair.j").drop("_m", "_pair")
+    dealt = sized.withColumn("_own", own).withColumn("_pair", F.explode(pairs)).select(*df.columns, "_pair.i", "_pair.j")
+    return dealt.repartition(width(df), group, "i", "j")
 
 
 def alike(apart: int):

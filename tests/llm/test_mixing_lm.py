@@ -137,3 +137,12 @@ def test_seating_follows_the_expected_number_of_tables(n, p):
         open_ = state * a / (a + j - d * t + 1e-300)
         state = state - open_ + np.append(0, open_[:-1])
     assert math.isclose(got, (state * t).sum(), rel_tol=0.06)
+
+
+def test_keys_of_a_chunk_do_not_depend_on_the_order_of_its_texts():
+    texts = ["a b c" * i for i in range(30)] + [None, "", "x" * 100, "été sea"]
+    want = lm.parts_of(texts)[0]
+    for seed in range(5):
+        random.Random(seed).shuffle(texts)
+        for (_, a), (_, b) in zip(want, lm.parts_of(texts)[0]):
+            assert (a == b).all()
