@@ -61,7 +61,7 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = code
         return code
 

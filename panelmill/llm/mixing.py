@@ -190,10 +190,10 @@ def mix_sources(
     p, made, lot = free_name(docs, "p", "_made", "_lot")
     k = len(DOMAINS)
 
-    @F.pandas_udf("n_tokens long, p array<double>")
-    def member(texts: pd.Series) -> pd.DataFrame:
-        rows = [model.member(t) for t in texts]
-        return pd.DataFrame({"n_tokens": [n for _, n in rows], "p": [p.tolist() for p, _ in rows]})
+    @F.arrow_udf("n_tokens long, p array<double>")
+    def member(texts: pa.Array) -> pa.Array:
+        rows = [model.member(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([n for _, n in rows], pa.int64()), pa.array([p.tolist() for p, _ in rows], pa.list_(pa.float64()))], ["n_tokens", "p"])
 
     named = docs.withColumn(made, member(F.col("text")))
     wanted = docs.columns if carry is None else ["doc_id", *(c for c in carry if c != "doc_id")]

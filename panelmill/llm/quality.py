@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,13 +86,17 @@ def quality_rules(
     column = F.col(f"`{text}`")
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
-    @F.pandas_udf(COUNTS)
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_counts(t) for t in texts], columns=names, dtype="int64")
-
-    @F.pandas_udf("a long, b long, h array<long>, n array<long>")
-    def lined(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_lines(t) for t in texts], columns=["a", "b", "h", "n"])
+    # texts leave a batch one by one: a second copy of all of them would be most of a worker's memory
+    @F.arrow_udf(COUNTS)
+    def counted(texts: pa.Array) -> pa.Array:
+        rows = [text_counts(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+
+    @F.arrow_udf("a long, b long, h array<long>, n array<long>")
+    def lined(texts: pa.Array) -> pa.Array:
+        rows = [text_lines(t.as_py()) for t in texts]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["a", "b", "h", "n"])
 
     base = docs.withColumn(body, counted(column))
     base = base.withColumns({n: F.col(f"{body}.{n}") for n in names}).drop(body)
