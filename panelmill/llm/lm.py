@@ -217,7 +217,8 @@ class Part:
         self.stream, words = Stream(texts), all_words(texts)
         # a place that predicts nothing spans two texts: it must not tell in which order a chunk's texts came
         self.grams = [(lo, own, u, i.astype(np.int32)) for lo, code, own in self.stream.grams() for u, i in [np.unique(np.where(own, code, 0), return_inverse=True)]]
-        self.words, self.place = np.unique(words, return_inverse=True)
+        self.words, place = np.unique(words, return_inverse=True)
+        self.place = place.astype(np.int32)
         self.tokens = np.array([len(words_of(t)) + 1 for t in texts])
 
 
@@ -293,7 +294,7 @@ def fit_root(model: DataFrame, rounds: int, samples: int, sweeps: int, seed: int
     return root
 
 
-def score(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, seed: int = 11, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, seed: int = 11, chunk_bytes: int = 10 << 20) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text): (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are the words between ASCII white space with A-Z in lower case, then one end. ``score`` is the log10 probability of the text's
