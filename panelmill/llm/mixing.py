@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import free_name, mix, word_codes, written
 
 BITS = 18
-#: Domains of the labelled table and the shares of all tokens that each shall have.
+#: Domains of the labelled table and the shares of all tokens that each shall have; junk that has less is not asked for more (``goals``).
 DOMAINS = ("clean", "junk", "toxic")
 TARGETS = (0.985, 0.015, 0.0)
+#: Most by which a domain above its target lowers the rate of a document that surely belongs to it; one takes it to zero.
+PULL = 1.5
 SIGNS = "#*$%&|<>!"
 #: Deviations from chance at which a feature counts.
 DEVIATION = 8.0
@@ -123,47 +125,63 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000) ->
 
 
 def rates_after(history: np.ndarray, p: np.ndarray, step: float, ridge: float) -> np.ndarray:
-    """Document rates and their look-ahead after the steps whose residuals are in ``history``; rates start at one."""
+    """Document rates, their look-ahead and the last step's move after the steps whose residuals are in ``history``; rates start at one."""
     rate = ahead = np.ones(len(p))
-    momentum = 1.0
+    moved, momentum = np.zeros(len(p)), 1.0
     for residual in history:
         new = np.maximum(0.0, ahead - step * (p @ residual + ridge * (ahead - 1)))
         t = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        moved = new - ahead
         ahead, rate, momentum = new + (momentum - 1) / t * (new - rate), new, t
-    return rate if not len(history) else np.stack([rate, ahead])
+    return rate if not len(history) else np.stack([rate, ahead, moved])
 
 
-def fit_rates(members: DataFrame, targets: tuple[float, ...], ridge: float, rounds: int, tolerance: float) -> np.ndarray:
-    """Residuals of the steps of an accelerated projected gradient for
+def goals(shares: np.ndarray) -> np.ndarray:
+    """``TARGETS``, but junk keeps its share where that is smaller, and clean gets the rest: so clean is never asked for less than it has."""
+    junk = min(TARGETS[1], shares[1])
+    return np.array([1 - junk - TARGETS[2], junk, TARGETS[2]])
 
-        min over r >= 0 of  1/2 sum_k (sum_d w_d r_d p_dk - target_k)^2 + ridge / 2 sum_d w_d (r_d - 1)^2,   w_d = tokens_d / tokens.
 
-    In the metric of the weights w the gradient is p_d . residual + ridge (r_d - 1), with a Lipschitz constant of 1 + ridge at any size.
-    A step is one distributed aggregate of a number per domain. Documents' rates are functions of the residuals so far, so no
+def fit_rates(members: DataFrame, targets: tuple[float, ...] | None, ridge: float, rounds: int, tolerance: float, relative: bool = False) -> np.ndarray:
+    """Residuals, times c_k and bounded, of the steps of an accelerated projected gradient for
+
+        min over r >= 0 of  1/2 sum_k c_k (sum_d w_d r_d p_dk - target_k)^2 + ridge / 2 sum_d w_d (r_d - 1)^2,   w_d = tokens_d / tokens.
+
+    c_k is 1, or with ``relative`` one over the domain's share sum_d w_d p_dk: then the ridge holds a rare domain back no more than a
+    common one (a target of 0 leaves a rate of ridge / (1 + ridge) at any share of a domain that is told apart surely). The square of a
+    domain's excess goes on as a straight line where it would lower rates by more than ``PULL`` p_dk: a target below what uncertain
+    posteriors add up to would otherwise take the documents that hardly belong to the domain.
+    In the metric of the weights w the gradient is p_d . (c residual) + ridge (r_d - 1), with a Lipschitz constant of at most 1 + ridge at
+    any size (with ``relative`` the rows of sum_d w_d p_dj p_dk c_j add up to 1). Steps end when the last one moved the rates by less than
+    ``tolerance`` on the average of every domain, so a rare domain counts as much as a common one. Without targets they are the ``goals``.
+    A step is one distributed aggregate of two numbers per domain. Documents' rates are functions of the residuals so far, so no
     state of the documents is kept between steps and a lost executor loses nothing.
     """
-    k, step = len(targets), 1 / (1 + ridge)
+    k, step = len(DOMAINS if targets is None else targets), 1 / (1 + ridge)
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return np.zeros((0, k))
-    goal, history = np.array(targets, float), np.zeros((0, k))
+    history, shares = np.zeros((0, k)), None
     for _ in range(rounds):
         past = history
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
+            out = np.zeros(2 * k)
             for b in batches:
                 p = b.column(1).flatten().to_numpy().reshape(-1, k)
-                now = rates_after(past, p, step, ridge)
-                out += (b.column(0).to_numpy() * (now[1] if len(past) else now)) @ p
+                now, n = rates_after(past, p, step, ridge), b.column(0).to_numpy()
+                out += np.concatenate([(n * (now[1] if len(past) else now)) @ p, (n * abs(now[2])) @ p if len(past) else np.zeros(k)])
             yield pa.RecordBatch.from_pydict({f"s{i}": [x] for i, x in enumerate(out)})
 
         # a row for each task, added up on the executors
-        s = members.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.sum(f"s{i}") for i in range(k)]).first()
-        residual = np.array([x or 0.0 for x in s])
-        residual = residual / total - goal
-        done = len(history) and np.abs(residual - history[-1]).max() < tolerance
-        history = np.vstack([history, residual])
+        s = members.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*[F.sum(f"s{i}") for i in range(2 * k)]).first()
+        now = np.array([x or 0.0 for x in s]) / total
+        if shares is None:  # rates are one before the first step
+            shares = now[:k]
+            goal = goals(shares) if targets is None else np.array(targets, float)
+            scale = np.divide(1.0, shares, out=np.zeros(k), where=shares > 0) if relative else np.ones(k)
+        done = len(history) and (now[k:] <= tolerance * shares).all()
+        history = np.vstack([history, np.minimum(scale * (now[:k] - goal), PULL * ridge if relative else np.inf)])
         if done:
             break
     return history
@@ -172,14 +190,14 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...], ridge: float, roun
 def mix_sources(
     docs: DataFrame,
     labels: DataFrame,
-    targets: tuple[float, ...] = TARGETS,
+    targets: tuple[float, ...] | None = None,
     ridge: float = 0.01,
     rounds: int = 80,
     tolerance: float = 1e-5,
     sample: int = 20_000,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Rates at which documents should be taken so that domains reach their target shares of all tokens.
+    """Rates at which documents should be taken so that domains reach their target shares of all tokens, by default the ``goals``.
 
     Returns the columns of ``docs`` (or those in ``carry``, with doc_id) with n_tokens (words between ASCII white space), p_clean, p_junk, p_toxic (the classifier's posterior),
     rate (nonnegative, fitted) and copies, the rate rounded up or down by a hash of the row so that totals are met in expectation.
@@ -202,7 +220,7 @@ def mix_sources(
     # the steps read a narrow table in few parts, not one task for each file of texts
     narrow = held.select("n_tokens", F.col(p).alias("p")).where("n_tokens > 0")
     narrow = written(narrow.repartition(max(1, narrow.count() // 500_000)))
-    history = fit_rates(narrow, targets, ridge, rounds, tolerance)
+    history = fit_rates(narrow, targets, ridge, rounds, tolerance, relative=True)
 
     @F.pandas_udf("double")
     def rated(ps: pd.Series) -> pd.Series:

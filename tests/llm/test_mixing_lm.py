@@ -69,6 +69,22 @@ def test_mixing_meets_targets_and_tells_toxic_texts(spark):
     assert math.isclose(even["p_clean"], 1 / 3, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("junk,toxic", [(0.1, 0.01), (0.015, 0.0001), (0.005, 0.001)])
+def test_rare_domains_reach_their_targets_and_clean_rates_stay_at_one_or_more(spark, monkeypatch, junk, toxic):
+    class Sure:
+        def member(self, text):
+            words = (text or "").split()
+            return np.array([float(words[0] == d) for d in ("clean", "junk", "toxic")]), len(words)
+
+    monkeypatch.setattr(mixing, "fit_classifier", lambda *_: Sure())
+    parts = {"clean": round(20_000 * (1 - junk - toxic)), "junk": round(20_000 * junk), "toxic": round(20_000 * toxic)}
+    df = spark.createDataFrame([(i, f"{d} " * n) for i, (d, n) in enumerate(parts.items()) if n], "doc_id long, text string")
+    rate = {mixing.DOMAINS[r["doc_id"]]: r["rate"] for r in mixing.mix_sources(df, df).collect()}
+    assert rate["clean"] >= 1 - 1e-9 and rate.get("toxic", 0) < 0.02
+    if junk:
+        assert math.isclose(rate["junk"], min(1, 0.015 / junk), abs_tol=0.02)
+
+
 def test_heldout_domains_on_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
