@@ -10,6 +10,8 @@ from .common import free_name
 ROUNDS = 8
 #: A cycle of the calendar, 400 years of 146097 = 189 * 773 days. Fixed values.
 EPOCH, DAYS, DAYS_A, DAYS_B = "1800-01-01", 146_097, 189, 773
+#: Its 4800 months have 88497 = 9 * 9833 days after the twelfth.
+MONTHS, LATE_A, LATE_B = 4800, 9, 9833
 
 #: What is looked for, in this order at each place.
 SHAPES = {
@@ -20,7 +22,8 @@ SHAPES = {
     "dotted": r"(?<![\p{N}.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\.?\p{N})",
     "slashed": r"(?<![\p{N}/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?!/?\p{N})",
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\p{N})",
-    "social": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}]|-\p{N})",
+    "national": r"(?<![\p{L}\p{N}+.-])(?![0-9](?:[ -]?[0-9]){12,18}(?![\p{N}]))(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![.-]?\p{N})",
+    "social": r"(?<![\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{N}]|-\p{N})",
     "card": r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{N}])",
 }
 DATES = {"iso": "yyyy-MM-dd", "dotted": "dd.MM.yyyy", "slashed": "MM/dd/yyyy"}
@@ -101,6 +104,43 @@ def date(value: Column, pattern: str, key: str, back: bool = False) -> Column:
     return F.when(at.between(0, DAYS - 1), new).otherwise(value)
 
 
+def day_first(value: Column, key: str, back: bool = False) -> Column:
+    """Permute the days of 400 years that come after a month's twelfth, written dd/MM/yyyy; what is no such day stays as it is.
+
+    Only these cannot be read as MM/dd/yyyy; they stay among themselves, so that the result is read in the same way.
+    """
+    day = F.to_date(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")))
+    epoch = F.lit(EPOCH).cast("date")
+    start = lambda m: F.datediff(F.add_months(epoch, m), epoch) - m * 12
+    month = (F.year(day) - int(EPOCH[:4])) * 12 + F.month(day) - 1
+    at = start(month) + F.dayofmonth(day) - 13
+    s = feistel(F.floor(at / LATE_B), F.pmod(at, F.lit(LATE_B)), F.lit(LATE_A), F.lit(LATE_B), key, F.lit("day first"), back)
+
+    def written_out(s: Column) -> Column:
+        r = (s["l"] * LATE_B + s["r"]).cast("int")
+        near = F.floor(r * MONTHS / (LATE_A * LATE_B)).cast("int")
+        m = F.array_max(F.filter(F.sequence(near - 2, near + 2), lambda m: start(m) <= r))
+        return F.reduce(F.array(m), F.lit(""), lambda _, m: F.date_format(F.date_add(F.add_months(epoch, m), r - start(m) + 12), "dd/MM/yyyy"))
+
+    new = F.reduce(F.array(s), F.lit(""), lambda _, x: written_out(x))
+    return F.when((F.dayofmonth(day) > 12) & month.between(0, MONTHS - 1), new).otherwise(value)
+
+
+def social(digits: Column, key: str, back: bool = False) -> Column:
+    """Permute the valid social security numbers: area 1 to 899 but 666, group from 1, serial from 1."""
+    part = lambda at, n: F.substring(digits, F.lit(at), F.lit(n)).cast("long")
+    area = part(1, 3)
+    area = F.when(area > 666, area - 2).otherwise(area - 1)
+    s = feistel(area * 99 + part(4, 2) - 1, part(6, 4) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("social"), back)
+
+    def written_out(s: Column) -> Column:
+        area = F.floor(s["l"] / 99)
+        area = F.when(area > 664, area + 2).otherwise(area + 1)
+        return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (s["l"] % 99 + 1, 2), (s["r"] + 1, 4))])
+
+    return F.reduce(F.array(s), F.lit(""), lambda _, x: written_out(x))
+
+
 def address(value: Column, key: str, back: bool = False) -> Column:
     """Permute the IPv4 addresses."""
     p = F.split(value, r"\.")
@@ -136,9 +176,10 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
         .when(kind == "address", address(value, key, back))
         .when(kind == "iso", date(value, DATES["iso"], key, back))
         .when(kind == "dotted", date(value, DATES["dotted"], key, back))
+        .when((kind == "slashed") & F.try_to_timestamp(value, F.lit(DATES["slashed"])).isNull(), day_first(value, key, back))
         .when(kind == "slashed", date(value, DATES["slashed"], key, back))
-        .when(kind == "phone", F.concat(lead, refill(tail, number(digits_of(tail), key, "phone", back))))
-        .when(kind == "social", refill(value, number(digits_of(value), key, "social", back)))
+        .when(kind.isin("phone", "national"), F.concat(lead, refill(tail, number(digits_of(tail), key, "phone", back))))
+        .when(kind == "social", refill(value, social(digits_of(value), key, back)))
         .when(kind == "card", refill(value, card(digits_of(value), key, back)))
         .otherwise(value)
     )
@@ -147,8 +188,9 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """Replace personal data in ``text`` by keyed pseudonyms and add n_numbers, n_dates and n_names.
 
-    Found: mailboxes, hexadecimal secrets, IPv4 addresses, calendar dates, phone, social security and card numbers (13 to 19
-    digits; validity by check digit is preserved). Numbers, addresses and dates go through a Feistel permutation of their own format,
+    Found: mailboxes, hexadecimal secrets, IPv4 addresses, calendar dates (slashes as month first, or day first where that is no day),
+    phone numbers with a plus or as 3-3-4 digits, social security numbers in their valid ranges, and card numbers (any 13 to 19
+    digits, as ids are not told from mistyped cards; validity by check digit is preserved). Numbers, addresses and dates go through a Feistel permutation of their own format,
     so equal values stay linked across documents and none collide. Row-local column expressions: no shuffle and no Python.
 
     A null text stays null with counts 0; an empty text stays empty. Digits that are no such value (a date that does not exist,
@@ -164,5 +206,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     turned = F.transform(F.col(found), lambda x: pseudonym(x["v"], x["k"], key, back))
     woven = F.array_join(F.zip_with(F.split(column, ANY, -1), turned, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     many = lambda *kinds: F.size(F.filter(F.col(found), lambda x: x["k"].isin(*kinds))).cast("long")
-    counts = {"n_numbers": many("address", "phone", "social", "card"), "n_dates": many(*DATES), "n_names": many("email", "secret")}
+    counts = {"n_numbers": many("address", "phone", "national", "social", "card"), "n_dates": many(*DATES), "n_names": many("email", "secret")}
     return out.withColumns(counts | {text: F.when(F.size(found) > 0, woven).otherwise(column)}).drop(found)

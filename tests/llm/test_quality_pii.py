@@ -85,6 +85,22 @@ def test_numbers_keep_their_format_and_turn_back(spark):
     assert turned(spark, texts, "other")[0] != out
 
 
+def test_national_phones_days_first_and_social_ranges(spark):
+    days = [(datetime.date(1800, 1, 1) + datetime.timedelta(d)) for d in range(0, 146_097, 11)]
+    days = [d.strftime("%d/%m/%Y") for d in days if d.day > 12] + ["31/12/2199", "13/01/1800"]
+    valid = [f"{a:03d}-{b:02d}-{c:04d}" for a in (1, 123, 665, 667, 899) for b in (1, 45, 99) for c in (1, 6789, 9999)]
+    odd = ["000-12-3456", "666-12-3456", "901-12-3456", "123-00-4567", "123-45-0000", "30/02/2020", "31/13/2020", "32/12/2020"]
+    phones = ["(013) 555-9871", "013-555-9871", "call 013.555.9871 2 times.", "+1 (013) 555-9871"]
+    texts = phones + odd + valid + sorted(set(days))
+    out, counts = turned(spark, texts)
+    assert out[4:12] == odd and all(a != b for a, b in zip(texts[:4] + texts[40:], out[:4] + out[40:]))
+    assert len({re.sub(r"\D", "", x)[-11:][:10] if "call" in x else re.sub(r"\D", "", x)[-10:] for x in out[:4]}) == 1
+    assert all(n == (1, 0, 0) for n in counts[:4]) and out[2].endswith(" 2 times.") and out[0][0] == "("
+    assert all(datetime.datetime.strptime(x, "%d/%m/%Y").day > 12 for x in out[12 + len(valid):]) and len(set(out)) == len(set(texts))
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out[12:12 + len(valid)])
+    assert turned(spark, out, back=True)[0] == texts
+
+
 def test_permutations_are_one_to_one(spark):
     days = [(datetime.date(1800, 1, 1) + datetime.timedelta(d)).isoformat() for d in range(0, 146_097, 37)]
     out, _ = turned(spark, days)
