@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lm, mixing, neardup, packing, pii, quality, repeats, tokens, topk
+from . import align, licenses, lm, mixing, neardup, packing, pii, quality, repeats, tokens, topk
 from . import query
 from .common import table
 
@@ -16,6 +16,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
@@ -205,3 +211,8 @@ SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_licenses, license, dice FROM d L
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_licenses", "license", "dice")
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), pieces())
