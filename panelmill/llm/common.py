@@ -166,3 +166,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     labels = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+
+
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Rows with the columns of ``known``, which has one row for each of the keys that the rows have (left join).
+
+    A key with many rows is dealt over salts, taken from the columns ``by``: each salt that occurs fetches its own copy of the key's row.
+    """
+    salt, = free_name(rows, "_salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(width(rows))).cast("int"))
+    each = dealt.groupBy(*keys, salt).agg(F.lit(1).alias("_one")).drop("_one").join(known, keys)
+    return dealt.join(each, [*keys, salt], "left").drop(salt)

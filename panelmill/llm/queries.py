@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, licenses, lm, mixing, neardup, packing, pii, quality, repeats, tokens, topk
+from . import align, licenses, lm, mixing, neardup, packing, passages, pii, quality, repeats, tokens, topk
 from . import query
 from .common import table
 
@@ -216,3 +216,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), pieces())
+
+
+@query(
+    "op13_fm_index",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT i, doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT i, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d) u
+), early AS (
+  SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)
+), bad AS (
+  SELECT i, list(p) AS ps FROM g JOIN early USING (s) WHERE doc_id > least GROUP BY i
+), gone AS (
+  SELECT i, list_distinct(flatten(list_transform(ps, lambda x: range(x, x + 50)))) AS gone FROM bad
+), kept AS (
+  SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+    lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS kept
+  FROM d LEFT JOIN gone USING (i)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    removed = F.reduce("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), "kept_sha256")
