@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, licenses, lm, mixing, neardup, packing, passages, pii, quality, repeats, tokens, topk
+from . import align, licenses, lm, mixing, neardup, packing, passages, pii, quality, repeats, tokens, topk, turntrie
 from . import query
 from .common import table
 
@@ -218,6 +218,57 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), pieces())
 
 
+def _crc_table() -> list[int]:
+    """Remainders of single bytes by the CRC-32 polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+@query(
+    "op12_turn_trie",
+    rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t) ids
+), m AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM m
+), p AS (
+  SELECT conv_id, depth, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY depth) AS k,
+    len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c
+), q AS (
+  SELECT conv_id, depth, sha256(array_to_string(k, ',')) AS k, words, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+), path AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS pk FROM q
+), n AS (
+  SELECT depth, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM path GROUP BY depth, k
+), kids AS (
+  SELECT depth - 1 AS depth, pk AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), node AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, k)
+), sub AS (
+  SELECT q.depth, q.k, sum(own) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM node JOIN q ON q.conv_id = node.conv_id AND q.depth <= node.depth GROUP BY ALL
+)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM node a JOIN sub USING (depth, k) LEFT JOIN node b ON b.depth = a.depth - 1 AND b.k = a.pk""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turntrie.ordered(table(spark, sf_dir, "conversations"))
+    return turntrie.prefix_trie(turntrie.with_openings(turns), turns.select("conv_id"))
+
+
 @query(
     "op13_fm_index",
     r"""
