@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let
 from ..session import durable
-from .ordering import split_hot
+from .graphs import components
+from .ordering import look_up, split_hot
 
 # Detector classes, and the one used for unknown labels.
 CLASSES = {0: "bubble", 1: "text_bubble", 2: "text_free"}
@@ -184,22 +185,64 @@ def _gridded(rects: DataFrame, cell: int, inside: int | None = None) -> DataFram
     return rects
 
 
-def overlap_pairs(lines: DataFrame, page: str = "image_id", ident: str = "box_id", cell: int = 256) -> DataFrame:
+def overlap_pairs(lines: DataFrame, page: str = "image_id", ident: str = "box_id", cell: int = 256, crowd: int = 2048) -> DataFrame:
     """Pairs (page, a, b), a < b, of lines whose reaches touch (closed rectangles).
 
-    A pair is reported only by the cell that holds the corner of its intersection, so no
-    ``distinct`` is needed.
+    A pair is reported only by the cell that holds the corner of its intersection, so no ``distinct`` is needed. The lines of
+    a cell with more than ``crowd`` of them are dealt into blocks, and each pair of blocks is swept by itself.
     """
+    where = [page, "cx", "cy"]
     g = _gridded(grown(lines).select(page, ident, "gx1", "gy1", "gx2", "gy2"), cell)
-    a, b = g.alias("a"), g.alias("b")
+    small, hot = split_hot(g, where, crowd)
+    a, b = small.alias("a"), small.alias("b")
     left, top = F.greatest("a.gx1", "b.gx1"), F.greatest("a.gy1", "b.gy1")
-    return a.join(
+    pairs = a.join(
         b,
         (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
         & (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
         & (left <= F.least("a.gx2", "b.gx2")) & (top <= F.least("a.gy2", "b.gy2"))
         & (F.floor(left / cell) == F.col("a.cx")) & (F.floor(top / cell) == F.col("a.cy")),
     ).select(F.col(f"a.{page}").alias(page), F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"))
+    return pairs if hot is None else pairs.unionByName(_crowded_pairs(hot, page, ident, cell, crowd))
+
+
+def block_pairs(rows: DataFrame, keys: list[str], ident: str, size: int) -> DataFrame:
+    """Rows of a group dealt into blocks of about ``size`` rows and copied to each pair (i, j), i <= j, of its blocks, with their own block ``mine``."""
+    spread = F.pmod(F.xxhash64(ident), F.lit(1 << 30))
+    count = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_of"))
+    dealt = look_up(rows, count, keys, F.pmod(F.xxhash64(ident), F.lit(64)))
+    dealt = dealt.withColumn("mine", (spread % F.col("_of")).cast("int"))
+    other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    return other.withColumn("i", F.least("mine", "_other")).withColumn("j", F.greatest("mine", "_other")).drop("_of", "_other")
+
+
+def _crowded_pairs(g: DataFrame, page: str, ident: str, cell: int, crowd: int) -> DataFrame:
+    where = [page, "cx", "cy"]
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rectangles by left edge: each meets those that start before it ends."""
+        pdf = pdf.sort_values("gx1", kind="stable")
+        x1, x2, y1, y2 = (pdf[c].to_numpy(float) for c in ("gx1", "gx2", "gy1", "gy2"))
+        ids, mine = pdf[ident].to_numpy(), pdf["mine"].to_numpy()
+        first, both = np.arange(1, len(x1) + 1), pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        count = np.searchsorted(x1, x2, "right") - first
+        out = []
+        for lo in range(0, len(x1), 256):
+            n = np.maximum(count[lo : lo + 256], 0)
+            a = np.repeat(np.arange(lo, lo + len(n)), n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[a]
+            top = np.maximum(y1[a], y1[b])
+            hit = top <= np.minimum(y2[a], y2[b])
+            hit &= (np.floor(x1[b] / cell) == pdf["cx"].iloc[0]) & (np.floor(top / cell) == pdf["cy"].iloc[0])
+            if both:
+                hit &= mine[a] != mine[b]
+            a, b = ids[a[hit]], ids[b[hit]]
+            out.append(pd.DataFrame({page: [pdf[page].iloc[0]] * len(a), "a": np.minimum(a, b), "b": np.maximum(a, b)}))
+        return pd.concat(out, ignore_index=True)
+
+    kinds = {c: g.schema[c].dataType.simpleString() for c in (page, ident)}
+    dealt = block_pairs(g, where, ident, crowd)
+    return dealt.groupBy(*where, "i", "j").applyInPandas(sweep, f"{page} {kinds[page]}, a {kinds[ident]}, b {kinds[ident]}")
 
 
 def merge_intervals(df: DataFrame, key: str = "image_id", lo: str = "a", hi: str = "b") -> DataFrame:
@@ -325,32 +368,13 @@ def sparse_edges(rects: DataFrame, page: str = "image_id", sizes=(256, 32, 4), c
 
 
 def _hot_labels(rects: DataFrame, page: str) -> DataFrame:
-    """(page, box_id, label) for pages of any size: sparse edges, then labels that spread and jump."""
+    """(page, box_id, label) for pages of any size: sparse edges, then star contraction."""
     shape = [page, "gx1", "gy1", "gx2", "gy2"]
     # equal rectangles are one node
     nodes = durable(rects.groupBy(*shape).agg(F.min("box_id").alias("box_id")))
-    edges = sparse_edges(nodes, page)
-    edges = durable(edges.unionByName(edges.select(page, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = nodes.select(page, F.col("box_id").alias("id"), F.col("box_id").alias("label"))
-    while True:
-        near = (
-            edges.join(labels.withColumnRenamed("id", "b"), [page, "b"])
-            .groupBy(page, F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        )
-        spread = labels.join(near, [page, "id"], "left").select(
-            page, "id", "label", F.least("label", "near").alias("low")
-        )
-        jump = labels.select(page, F.col("id").alias("low"), F.col("label").alias("far"))
-        step = durable(
-            spread.join(jump, [page, "low"]).select(
-                page, "id", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")
-            )
-        )
-        labels = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    named = nodes.withColumnRenamed("box_id", "id").join(labels, [page, "id"]).drop("id")
-    return rects.join(named, shape).select(page, "box_id", "label")
+    labels, _ = components(sparse_edges(nodes, page), [page])
+    named = nodes.join(labels.withColumnRenamed("id", "box_id"), [page, "box_id"], "left").withColumn("label", F.coalesce("label", "box_id"))
+    return rects.join(named.drop("box_id"), shape).select(page, "box_id", "label")
 
 
 def line_labels(lines: DataFrame, page: str = "image_id", limit: int = 256) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.text import ends_sentence, let
 from ..session import durable
 from .boxes import gaps, merge_intervals
 from .ordering import running, split_hot
+from .rhythm import cuts_along
 
 # Panel heights relative to the width, margins and thresholds.
 MAX_RATIO = 1.25
@@ -342,9 +343,8 @@ def story_cuts(boxes: DataFrame, page: str = "image_id", pos: str = "box_id", li
     since the last cut is long enough and a sentence ends or a wide gap follows, or when
     it grows too long. Input: (image_id, box_id, y, h, text, page_w, page_h).
 
-    Images of up to ``limit`` boxes fold as one array, with one shuffle. On larger ones
-    each round finds the next cut of every image with one aggregate; the number of rounds
-    is the number of cuts.
+    Images of up to ``limit`` boxes fold as one array, with one shuffle. On larger ones every box links to the next
+    cut, and links are composed in rounds whose number grows with the logarithm of the image's blocks.
     """
     slim = boxes.select(
         page, F.col("y").cast("double").alias("y"), F.col(pos).alias("pos"), F.col("h").cast("double").alias("h"),
@@ -376,28 +376,9 @@ def story_cuts(boxes: DataFrame, page: str = "image_id", pos: str = "box_id", li
 
 
 def _hot_story(boxes: DataFrame, page: str) -> DataFrame:
-    """The next cut of every image, round by round; a box never leaves its partition as part of a list."""
-    boxes = durable(
-        gaps(boxes, page, "pos").where("next_y is not null").select(
-            page, F.struct("y", "pos").alias("at"), (F.col("y") + F.col("h")).alias("bottom"), "gap", "mid", "w", "ends", "page_h"
-        )
-    )
-    state = boxes.groupBy(page).agg(
-        F.lit(0.0).alias("last"), F.struct(F.lit(float("-inf")).alias("y"), F.lit(-(2**63) + 1).cast("bigint").alias("pos")).alias("after"),
+    """Cuts of images with any number of boxes, from links to the next cut."""
+    ready = gaps(boxes, page, "pos").where("next_y is not null").select(
+        page, "y", "pos", (F.col("y") + F.col("h")).alias("bottom"), "mid", "w", (F.col("ends") | (F.col("gap") > F.col("w") * 0.5)).alias("free"), "page_h"
     )
-    out = None
-    while True:
-        state = durable(
-            boxes.join(state, page)
-            .where((F.col("at.y") > F.col("after.y")) | ((F.col("at.y") == F.col("after.y")) & (F.col("at.pos") > F.col("after.pos"))))
-            .where(_rule(*[F.col(c) for c in ("last", "bottom", "gap", "w", "ends")]))
-            .groupBy(page)
-            .agg(F.min_by(F.struct("mid", "page_h", "at"), "at").alias("c"))
-            .select(page, F.col("c.mid").alias("last"), F.col("c.at").alias("after"), F.col("c.page_h").alias("page_h"))
-        )
-        if state.isEmpty():
-            break
-        found = state.select(page, "page_h", F.col("last").alias("t"))
-        out = found if out is None else out.unionByName(found)
-        state = state.drop("page_h")
-    return out if out is not None else boxes.limit(0).select(page, "page_h", F.lit(0.0).alias("t"))
+    found, _ = cuts_along(ready, page, IDEAL_RATIO, MAX_RATIO)
+    return found.select(page, "page_h", F.col("mid").alias("t"))

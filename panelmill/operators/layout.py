@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
-from .ordering import BLOCK, block_totals, running, split_hot
+from .ordering import BITS, block, block_totals, look_up, running, split_hot
 
 # Defaults of the stitching and canvas jobs.
 TARGET_SEGMENTS = 5
 MAX_HEIGHT = 12000
 CANVAS_HEIGHT = 16000
 
+# a chapter's row is copied to each block of 2 ** COPY_BITS pages
+COPY_BITS = 16
+
 
 def modal_width(pages: DataFrame, key: str = "chapter", width: str = "w", seq: str = "seq") -> DataFrame:
     """Most frequent width per chapter, the first seen on ties: (chapter, width)."""
@@ -23,12 +26,15 @@ def modal_width(pages: DataFrame, key: str = "chapter", width: str = "w", seq: s
     )
 
 
-def rescale(pages: DataFrame, widths: DataFrame, rule: str = "stitch", key: str = "chapter") -> DataFrame:
+def rescale(
+    pages: DataFrame, widths: DataFrame, rule: str = "stitch", key: str = "chapter", seq: str = "seq", bits: int = COPY_BITS
+) -> DataFrame:
     """Add ``width`` and ``new_h``: the page height once brought to the chapter's width.
 
-    ``stitch`` keeps at least one row; ``canvas`` has no lower bound. Rounding is half-even.
+    ``stitch`` keeps at least one row; ``canvas`` has no lower bound. Rounding is half-even. A chapter's width is copied to
+    each block of its pages, so the join spreads a long chapter.
     """
-    out = pages.join(widths, key)
+    out = look_up(pages, widths, [key], block(seq, bits))
     scaled = F.rint(F.col("h") * F.col("width") / F.col("w")).cast("bigint")
     if rule == "stitch":
         scaled = F.when(F.col("w") == F.col("width"), F.col("h").cast("bigint")).otherwise(F.greatest(F.lit(1), scaled))
@@ -39,14 +45,14 @@ def rescale(pages: DataFrame, widths: DataFrame, rule: str = "stitch", key: str
     return out
 
 
-def page_offsets(pages: DataFrame, key: str = "chapter", seq: str = "seq", block: int = BLOCK) -> DataFrame:
+def page_offsets(pages: DataFrame, key: str = "chapter", seq: str = "seq", bits: int = BITS) -> DataFrame:
     """Add ``top``: the row at which each page starts in the stacked chapter."""
-    return running(pages, [key], seq, {"top": F.col("new_h")}, block)
+    return running(pages, [key], seq, {"top": F.col("new_h")}, bits)
 
 
 def stitch_plan(
     pages: DataFrame, target: int = TARGET_SEGMENTS, max_height: int = MAX_HEIGHT, key: str = "chapter",
-    seq: str = "seq", block: int = BLOCK,
+    seq: str = "seq", bits: int = BITS,
 ) -> DataFrame:
     """(chapter, total_h, n_seg, seg_h) from rescaled pages.
 
@@ -54,7 +60,7 @@ def stitch_plan(
     """
     total = F.col("total_h")
     return (
-        block_totals(pages, [key], seq, {"top": F.col("new_h")}, block)
+        block_totals(pages, [key], seq, {"top": F.col("new_h")}, bits)
         .groupBy(key)
         .agg(F.sum("_t_top").alias("total_h"))
         .withColumn("n_seg", F.greatest(F.lit(target), F.ceil(total / max_height)).cast("bigint"))
@@ -62,22 +68,23 @@ def stitch_plan(
     )
 
 
-def segment_pages(placed: DataFrame, plan: DataFrame, key: str = "chapter") -> DataFrame:
+def segment_pages(
+    placed: DataFrame, plan: DataFrame, key: str = "chapter", seq: str = "seq", bits: int = COPY_BITS, pages: DataFrame | None = None
+) -> DataFrame:
     """Which rows of which page go to which stitched segment.
 
     Every page lists the segments it touches, so no chapter is expanded in one task and
-    no range join is needed. Rows: (chapter, seq, segment, y0, y1, src0, src1), where
+    no range join is needed; the chapter's plan is copied to each block of its pages (of ``pages``, where those come cheaper). Rows: (chapter, seq, segment, y0, y1, src0, src1), where
     y0..y1 is the segment's span and src0..src1 the rows taken from the page.
     """
-    seg = F.explode(
+    touched = F.explode(
         F.sequence(F.expr("top div seg_h"), F.expr("(top + new_h - 1) div seg_h"))
     ).alias("segment")
     y0 = F.col("segment") * F.col("seg_h")
     y1 = F.least((F.col("segment") + 1) * F.col("seg_h"), F.col("total_h"))
     return (
-        placed.where("new_h > 0")
-        .join(plan, key)
-        .select("*", seg)
+        look_up(placed.where("new_h > 0"), plan, [key], block(seq, bits), source=pages)
+        .select("*", touched)
         .withColumn("y0", y0)
         .withColumn("y1", y1)
         .withColumn("src0", F.greatest(F.col("top"), y0) - F.col("top"))
@@ -96,6 +103,9 @@ def recut(seg_pages: DataFrame, key: str = "chapter") -> DataFrame:
 
 # -- greedy packing ---------------------------------------------------------
 
+# stands for "no further page"; no page has this number
+END = -(2**63)
+
 
 def _pack_arrays(pages: DataFrame, cap: int, key: str, seq: str) -> DataFrame:
     """Packing of chapters of bounded length: one ordered fold per chapter."""
@@ -162,7 +172,7 @@ def _pack_blocks(pages: DataFrame, cap: int, key: str, seq: str, stretch: int, f
             return none.set_axis([key, "blk", "entry", "leave", "opened"], axis=1)
         nxt = _next_starts(top, end, cap)
         n_own = int(own.sum())
-        leave = np.full(n_own, -1, np.int64)
+        leave = np.full(n_own, END, np.int64)
         opened = np.ones(n_own, np.int64)
         for i in range(n_own - 1, -1, -1):
             j = nxt[i]
@@ -229,7 +239,7 @@ def _pack_blocks(pages: DataFrame, cap: int, key: str, seq: str, stretch: int, f
         seqs = rows["seq"].to_numpy()
         pack = np.zeros(len(rows), np.int64)
         if not head.empty:
-            at = int(np.searchsorted(seqs, head["entry"].iloc[0]))
+            at = len(rows) if head["over"].iloc[0] else int(np.searchsorted(seqs, head["entry"].iloc[0]))
             count, nxt = int(head["opened"].iloc[0]), _next_starts(top, end, cap)
             pack[:at] = count
             while at < len(rows):
@@ -246,7 +256,7 @@ def _pack_blocks(pages: DataFrame, cap: int, key: str, seq: str, stretch: int, f
     filled = filled.join(total, key)
     after = F.coalesce(F.last("opened", ignorenulls=True).over(carry), F.col("_all"))
     filled = filled.select(
-        key, "blk", F.coalesce("entry", F.lit(2**62)).alias("entry"), F.coalesce("opened", after).alias("opened")
+        key, "blk", F.col("entry").isNull().alias("over"), F.coalesce("entry", F.lit(0)).alias("entry"), F.coalesce("opened", after).alias("opened")
     )
     rows = base.toDF(*base.columns)  # fresh columns: both sides stem from the same pages
     return filled.groupBy(key, "blk").cogroup(rows.groupBy(key, "blk")).applyInPandas(

@@ -1,8 +1,7 @@
 """Ordered work that stays parallel inside one hot group.
 
-A plain window over ``partitionBy(chapter)`` puts a whole chapter into one task. The
-helpers here cut a group into value blocks, combine per block first, and carry only
-block totals across: each window sees a bounded number of rows, whatever the skew.
+A plain window over ``partitionBy(chapter)`` puts a whole chapter into one task. The helpers here cut a group into blocks of bounded
+size and carry block totals across, so each window sees a bounded number of rows, whatever the skew and however sparse the order is.
 """
 
 from __future__ import annotations
@@ -11,21 +10,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
 
-# rows per local window when the order column is a unique integer per group
-BLOCK = 1 << 18
+# a block spans 2 ** BITS values of the order column, and 2 ** BITS blocks make a larger one: three levels span 64 bits,
+# and a window of so many narrow rows still sorts in one task
+BITS = 22
+
+
+def block(seq: str, bits: int = BITS) -> Column:
+    """The block of a row: at most 2 ** bits rows of a group share one."""
+    return F.shiftright(F.col(seq).cast("bigint"), bits)
+
+
+def look_up(
+    rows: DataFrame, known: DataFrame, keys: list[str], part: Column, how: str = "inner", source: DataFrame | None = None
+) -> DataFrame:
+    """Rows joined to ``known``, which has one row per key, without meeting on the bare key.
+
+    ``part`` cuts a key's rows into parts of bounded size. The known row is copied to the parts that occur, and the join is on
+    (keys, part), so a key with a third of all rows fills many tasks. ``source`` may name the parts where that is cheaper than ``rows``.
+    """
+    named = (rows if source is None else source).select(*keys, part.alias("_part"))
+    copies = named.groupBy(*keys, "_part").agg(F.lit(1).alias("_one")).drop("_one").join(known, keys)
+    return rows.withColumn("_part", part).join(copies, [*keys, "_part"], how).drop("_part")
 
 
 def block_totals(
-    df: DataFrame, keys: list[str], seq: str, sums: dict[str, Column], block: int = BLOCK
+    df: DataFrame, keys: list[str], seq: str, sums: dict[str, Column], bits: int = BITS
 ) -> DataFrame:
     """(keys, _blk, _t_<name>…): sums per block of ``seq``, combined per task before the shuffle.
 
     Callers that need both totals and running sums build both on this, so that Spark
     shuffles and computes it once.
     """
-    return df.groupBy(*keys, F.expr(f"{seq} div {block}").alias("_blk")).agg(
-        *[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()]
-    )
+    return df.groupBy(*keys, block(seq, bits).alias("_blk")).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
 
 
 def running(
@@ -33,22 +49,37 @@ def running(
     keys: list[str],
     seq: str,
     sums: dict[str, Column],
-    block: int = BLOCK,
+    bits: int = BITS,
 ) -> DataFrame:
-    """Add exclusive running sums along the integer column ``seq`` inside each key group.
+    """Add exclusive running sums along the 64-bit integer column ``seq`` inside each key group.
 
-    ``sums`` maps new column names to the summed expressions. ``seq`` is unique per group;
-    gaps are fine.
+    ``sums`` maps new column names to the summed expressions. ``seq`` is unique per group; it may be negative and have
+    gaps of any size.
+
+    A scan over a tree: rows fall into blocks, blocks into larger blocks, until 64 bits are used up. Totals go up the
+    tree, offsets come down, and no window at any level holds more than 2 ** bits rows of a group.
     """
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = block_totals(df, keys, seq, sums, block).select(
-        *keys, "_blk", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums]
-    )
-    local = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_blk", F.expr(f"{seq} div {block}")).join(offsets, [*keys, "_blk"])
-    for o, value in sums.items():
-        out = out.withColumn(o, F.col(f"_o_{o}") + F.coalesce(F.sum(value).over(local), F.lit(0)))
-    return out.drop("_blk", *[f"_o_{o}" for o in sums])
+    names = list(sums)
+    levels = [block_totals(df, keys, seq, sums, bits)]
+    while bits * (len(levels) + 1) < 64:
+        up = levels[-1].groupBy(*keys, F.shiftright("_blk", bits).alias("_blk"))
+        levels.append(up.agg(*[F.sum(f"_t_{o}").alias(f"_t_{o}") for o in names]))
+
+    def before(w: Window, value: Column | str) -> Column:
+        return F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    offsets = None
+    for level in reversed(levels):
+        level = level.withColumn("_up", F.shiftright("_blk", bits))
+        inside = Window.partitionBy(*keys, *(["_up"] if offsets is not None else [])).orderBy("_blk")
+        level = level.select(*keys, "_blk", "_up", *[before(inside, f"_t_{o}").alias(f"_o_{o}") for o in names])
+        if offsets is not None:
+            level = level.join(offsets.withColumnsRenamed({"_blk": "_up"} | {f"_o_{o}": f"_p_{o}" for o in names}), [*keys, "_up"])
+            level = level.withColumns({f"_o_{o}": F.col(f"_o_{o}") + F.col(f"_p_{o}") for o in names})
+        offsets = level.select(*keys, "_blk", *[f"_o_{o}" for o in names])
+    local = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    out = df.withColumn("_blk", block(seq, bits)).join(offsets, [*keys, "_blk"])
+    return out.withColumns({o: F.col(f"_o_{o}") + before(local, v) for o, v in sums.items()}).drop("_blk", *[f"_o_{o}" for o in names])
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "n", start: int = 1) -> DataFrame:

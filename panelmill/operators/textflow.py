@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import (
     flag_names, has_script, js_escape, KHMER, numbered_lines, parse_posts, script_ratio, strip, strip_names,
 )
-from .ordering import rank_rows, running
+from .ordering import block, look_up, ordinal, running, split_hot
 
 # What counts as Hangul text, and the least confidence for it on an English page.
 HANGUL_SHARE = 0.3
@@ -68,15 +68,18 @@ def number_items(
     Items are ranked inside their page only. A page of more than ``limit`` items is ranked
     by range, so neither a long chapter nor a crowded page lands in one task.
     """
-    ranked = rank_rows(items, [key, page], order or ["y", "x", "item"], "_r", limit=limit)
-    return ranked.join(_page_offsets(items, key, page), [key, page]).withColumn(
-        "n", F.col("_off") + F.col("_r")
-    ).drop("_off", "_r")
+    order, offsets = order or ["y", "x", "item"], _page_offsets(items, key, page)
+    small, hot = split_hot(items, [key, page], limit)
+    place = F.row_number().over(Window.partitionBy(key, page).orderBy(*order)).cast("bigint")
+    ranked = small.withColumn("_r", place).join(offsets, [key, page])
+    if hot is not None:
+        ranked = ranked.unionByName(look_up(ordinal(hot, [key, page], order, "_r"), offsets, [key, page], block("_r")))
+    return ranked.withColumn("n", F.col("_off") + F.col("_r")).drop("_off", "_r")
 
 
 def number_items_by_page(items: DataFrame, key: str = "chapter", page: str = "page", pos: str = "item") -> DataFrame:
     """The same number when ``pos`` is already the place in the page, dense from 0."""
-    return items.join(_page_offsets(items, key, page), [key, page]).withColumn(
+    return look_up(items, _page_offsets(items, key, page), [key, page], block(pos)).withColumn(
         "n", F.col("_off") + F.col(pos) + 1
     ).drop("_off")
 

@@ -19,7 +19,7 @@ def stitch_manifest(pages: DataFrame, segments: int = 5, max_height: int = 12000
     """
     placed, sized = _placed(pages)
     plan = L.stitch_plan(sized, segments, max_height)
-    return L.recut(L.segment_pages(placed, plan))
+    return L.recut(L.segment_pages(placed, plan, pages=pages))
 
 
 def stitch_images(pages: DataFrame, images: DataFrame, segments: int = 5, max_height: int = 12000) -> DataFrame:
@@ -31,7 +31,7 @@ def stitch_images(pages: DataFrame, images: DataFrame, segments: int = 5, max_he
     """
     placed, sized = _placed(pages)
     plan = L.stitch_plan(sized, segments, max_height)
-    parts = L.segment_pages(placed, plan).select("chapter", "segment", "seq", "image_id", "src0", "src1")
+    parts = L.segment_pages(placed, plan, pages=pages).select("chapter", "segment", "seq", "image_id", "src0", "src1")
     sizes = sized.select("image_id", F.col("width").cast("int").alias("new_w"), F.col("new_h").cast("int").alias("new_h"))
     ready = P.rescale_images(images.select("image_id", "height", "width", "data").join(sizes, "image_id"))
     cut = parts.join(ready, "image_id").select(

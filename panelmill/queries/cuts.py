@@ -184,6 +184,15 @@ def numbered_panels(spark, sf):
     return C.number_panels(_split(spark, sf, merge=False), images).select("image_id", "k", "n", "name")
 
 
+@query("sparse_numbered_panels", WALK.replace("SELECT image_id, CAST(k AS INT) AS k, pos AS y0", ", slices AS (SELECT image_id, (image_id % 2) * 9000000000000000000 - image_id AS seq, CAST(k AS INT) AS k, pos AS y0", 1) + """)
+SELECT image_id, k, row_number() OVER (ORDER BY seq, k) AS n, printf('panel_%04d.jpg', row_number() OVER (ORDER BY seq, k)) AS name FROM slices""")
+def sparse_numbered_panels(spark, sf):
+    """Panel numbers over images whose numbers lie far apart."""
+    far = F.expr("(image_id % 2) * 9000000000000000000 - image_id").cast("bigint")
+    images = _images(_rows(spark, sf)).select(F.lit("all").alias("chapter"), far.alias("seq"), "image_id")
+    return C.number_panels(_split(spark, sf, merge=False), images).select("image_id", "k", "n", "name")
+
+
 CANVAS = """SELECT image_id, box_id, x1, y1 * 8 AS y, y2 - y1 AS h, concat('t', CAST(box_id AS STRING), CASE label WHEN 1 THEN '.' ELSE '' END) AS text,
   400 AS page_w, 3600 AS page_h FROM fx_boxes"""
 STORY = ctes("fx_boxes").replace("WITH", "WITH RECURSIVE", 1) + f""", c AS ({CANVAS}),

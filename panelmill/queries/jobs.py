@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as J, textflow as T
 from ..sources.fixtures import ctes, table, view
 from . import query
+from .layout import SPARSE
 
 
 @query("chapter_ledger", ctes("fx_attempts") + """
@@ -81,11 +82,23 @@ def worked_seconds(spark, sf):
     return worked.withColumn("shown", J.clock(F.col("seconds")))
 
 
-@query("chapter_bundles", """SELECT source AS chapter, 'chapter_' || lpad(substr(source, 4), CAST(greatest(4, length(source) - 3) AS INT), '0') || '.zip' AS archive, doc_id AS seq, CAST(doc_id AS VARCHAR) || '.txt' AS name,
-  CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM documents""")
-def chapter_bundles(spark, sf):
-    """The files of every chapter's archive, with their order and places."""
+BUNDLES = """SELECT source AS chapter, 'chapter_' || lpad(substr(source, 4), CAST(greatest(4, length(source) - 3) AS INT), '0') || '.zip' AS archive, {seq} AS seq, CAST(doc_id AS VARCHAR) || '.txt' AS name,
+  CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY {seq} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM documents"""
+
+
+def _bundles(spark, sf, seq):
     files = table(spark, sf, "documents").selectExpr(
-        "source as chapter", "cast(substr(source, 4) as int) as ch", "doc_id as seq", "concat(cast(doc_id as string), '.txt') as name", "cast(octet_length(text) as bigint) as size"
+        "source as chapter", "cast(substr(source, 4) as int) as ch", f"{seq} as seq", "concat(cast(doc_id as string), '.txt') as name", "cast(octet_length(text) as bigint) as size"
     )
     return J.bundle_files(files)
+
+
+@query("chapter_bundles", BUNDLES.format(seq="doc_id"))
+def chapter_bundles(spark, sf):
+    """The files of every chapter's archive, with their order and places."""
+    return _bundles(spark, sf, "doc_id")
+
+
+@query("sparse_chapter_bundles", BUNDLES.format(seq=SPARSE))
+def sparse_chapter_bundles(spark, sf):
+    return _bundles(spark, sf, SPARSE)

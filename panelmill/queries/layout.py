@@ -31,8 +31,21 @@ WIDTHS = """, widths AS (
 FX = ctes("fx_images") + WIDTHS
 
 
-def _sized(spark, sf, rule="stitch"):
+# page numbers far apart, some negative, whose order is not that of the ids
+SPARSE = "(doc_id % 1000) * CAST(9000000000000000 AS BIGINT) + doc_id - CAST(4000000000000000000 AS BIGINT)"
+
+
+def _pages(spark, sf, sparse):
     pages = view(spark, sf, "fx_images")
+    return pages.withColumn("seq", F.expr(SPARSE.replace("doc_id", "image_id"))) if sparse else pages
+
+
+def _sparse(sql):
+    return sql.replace("doc_id AS seq", SPARSE + " AS seq", 1)
+
+
+def _sized(spark, sf, rule="stitch", sparse=False):
+    pages = _pages(spark, sf, sparse)
     return L.rescale(pages, L.modal_width(pages), rule)
 
 
@@ -42,6 +55,13 @@ def stitch_manifest(spark, sf):
     return stitch_flow(view(spark, sf, "fx_images"))
 
 
+@query("sparse_stitch_manifest", _sparse(FX) + """SELECT chapter, segment, y0, y1, printf('%02d', segment + 1) || '.jpg' AS name, count(*) AS n_pages
+FROM parts GROUP BY chapter, segment, y0, y1""")
+def sparse_stitch_manifest(spark, sf):
+    """The manifest of chapters whose page numbers lie far apart."""
+    return stitch_flow(_pages(spark, sf, True))
+
+
 @query("modal_width", FX + "SELECT chapter, width FROM widths")
 def modal_width(spark, sf):
     return L.modal_width(view(spark, sf, "fx_images"))
@@ -52,6 +72,11 @@ def page_offsets(spark, sf):
     return L.page_offsets(_sized(spark, sf)).select("chapter", "seq", "new_h", "top")
 
 
+@query("sparse_page_offsets", _sparse(FX) + "SELECT chapter, seq, new_h, top FROM placed")
+def sparse_page_offsets(spark, sf):
+    return L.page_offsets(_sized(spark, sf, sparse=True)).select("chapter", "seq", "new_h", "top")
+
+
 @query("stitch_plan", FX + "SELECT chapter, total_h, n_seg, seg_h FROM plan")
 def stitch_plan(spark, sf):
     return L.stitch_plan(_sized(spark, sf))
@@ -94,6 +119,12 @@ def canvas_packing_blocks(spark, sf):
     return L.pack(_sized(spark, sf, "canvas"), limit=0, stretch=64_000, fan_in=4).select("chapter", "seq", "pack")
 
 
+@query("sparse_canvas_packing", _sparse(PACK) + "SELECT chapter, seq, pack FROM packed")
+def sparse_canvas_packing(spark, sf):
+    """Packing by the block walk when page numbers lie far apart."""
+    return L.pack(_sized(spark, sf, "canvas", sparse=True), limit=0, stretch=64_000, fan_in=4).select("chapter", "seq", "pack")
+
+
 @query("canvases", PACK + """SELECT chapter, pack, width, CAST(sum(dh) AS BIGINT) AS height, count(*) AS n_pages,
   'canvas_' || printf('%03d', pack) || '.png' AS image FROM packed GROUP BY chapter, pack, width""")
 def canvases(spark, sf):

@@ -92,6 +92,17 @@ def numbered_items_by_page(spark, sf):
     return T.number_items_by_page(view(spark, sf, "fx_transcript")).select("chapter", "page", "item", "n")
 
 
+# pages far apart, some negative
+FAR = "(page % 10) * CAST(900000000000000000 AS BIGINT) + page - CAST(4000000000000000000 AS BIGINT)"
+
+
+@query("sparse_numbered_items", f"""{FX}, far AS (SELECT chapter, {FAR} AS page, item FROM fx_transcript)
+SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY page, item) AS n FROM far""")
+def sparse_numbered_items(spark, sf):
+    far = view(spark, sf, "fx_transcript").select("chapter", F.expr(FAR).alias("page"), "item")
+    return T.number_items(far, ["item"]).select("chapter", "page", "item", "n")
+
+
 LINE = "SELECT chapter, {p} AS part, {page} AS page, {s} AS sub, {n} AS n, {text} AS line FROM {t}"
 _PROMPT = T.TRANSCRIPT_PROMPT.replace("'", "''")
 _CLIP = (T.CLIPBOARD_PROMPT.rstrip("\n") + "\n").replace("'", "''")

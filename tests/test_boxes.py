@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import boxes as B, textflow as T
+from panelmill.operators import boxes as B, graphs, textflow as T
 
 
 def touches(a, b):
@@ -116,3 +116,32 @@ def test_detector_repeats_are_kept(spark):
     df = spark.createDataFrame([(1, 0, 1450, 9, 1500, 0), (1, 0, 50, 9, 100, 1400)], "image_id int, x1 int, y1 int, x2 int, y2 int, tile_y0 int")
     assert [(r.y1, r.y2) for r in B.untile(df).collect()] == [(1450, 1500)] * 2
     assert B.untile(df).where(F.col("y1") == 1450).count() == 2
+
+
+def test_crowded_cell_is_swept_in_block_pairs(spark):
+    rng = random.Random(3)
+    rows = [(1, i, rng.randint(0, 200), rng.randint(0, 200), rng.randint(1, 20), rng.randint(1, 12)) for i in range(700)]
+    rows += [(1, 800, 250, 250, 40, 20), (1, 801, 255, 255, 5, 5), (2, 1, 0, 0, 9, 9), (2, 2, 3, 3, 9, 9)]
+    df = spark.createDataFrame(rows, "image_id int, box_id int, x int, y int, w int, h int")
+    reach = {(p, i): (x - 0.35 * h, y - 0.8 * h, x + w + 0.35 * h, y + h + 0.8 * h) for p, i, x, y, w, h in rows}
+    want = sorted((p, i, j) for p, i in reach for q, j in reach if p == q and i < j for a, b in [(reach[p, i], reach[p, j])] if max(a[0], b[0]) <= min(a[2], b[2]) and max(a[1], b[1]) <= min(a[3], b[3]))
+    assert sorted(tuple(r) for r in B.overlap_pairs(df, cell=256, crowd=100).collect()) == want
+    dealt = B.block_pairs(df, ["image_id"], "box_id", 100)
+    sizes = [r["count"] for r in dealt.groupBy("image_id", "i", "j").count().collect()]
+    assert max(sizes) < 400 and len(sizes) > 20
+
+
+def test_long_chain_settles_in_few_rounds(spark):
+    """A page whose boxes form one chain, each touching only the next, among loose ones."""
+    n = 10_000
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    chain = [(1, order[i] + 5, i * 30, (i % 2) * 3, 25, 10) for i in range(n)]
+    loose = [(1, n + 10 + i, 40 * i, 5000, 5, 5) for i in range(50)]
+    df = spark.createDataFrame(chain + loose, "image_id int, box_id int, x int, y int, w int, h int")
+    rects = B.grown(df).select("image_id", "box_id", "gx1", "gy1", "gx2", "gy2")
+    edges = B.sparse_edges(rects)
+    labels, rounds = graphs.components(edges, ["image_id"], most=20)
+    assert rounds <= 20 and {r.label for r in labels.collect()} == {5}
+    got = {r.box_id: r.label for r in B._hot_labels(rects, "image_id").collect()}
+    assert all(got[b] == 5 for _, b, *_ in chain) and all(got[b] == b for _, b, *_ in loose)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import cuts as C, pixels as P
+from panelmill.operators import cuts as C, pixels as P, rhythm
 from panelmill.plans.panels import story_targets
 
 
@@ -137,30 +137,63 @@ def test_numbers_run_on_over_images(spark):
                    (7, 0): "panel_0001.jpg", (7, 1): "panel_0002.jpg", (7, 2): "panel_0003.jpg"}
 
 
-def rhythm(boxes, width, height):
-    boxes = sorted(boxes, key=lambda b: (b[1], b[0]))
-    out, last = [], 0.0
-    for (_, y, h, text), (_, ny, _, _) in zip(boxes, boxes[1:]):
-        bottom = y + h
-        grown, gap = bottom - last, ny - bottom
-        if (grown >= width * 0.8 and (text.strip()[-1:] in tuple(".!?…។៕") or gap > width * 0.5)) or grown >= width * 1.25:
-            last = (bottom + ny) / 2
-            out.append(last)
-    return sorted({t for t in out if 8 < t < height - 8})
+def strips(rng):
+    strips = {i: [(k, rng.randint(20, 3000), rng.choice([10, 30, 200, 900]), rng.choice(["a.", "b", "", "c! "])) for k in range(n)] for i, n in enumerate((1, 2, 25, 60, 400))}
+    strips[9] = [(k, 500, 300 + k, "x.") for k in range(40)]  # many boxes at one height
+    strips[10] = [(k, 40 * k + 20, 5, "y") for k in range(50)] + [(99, 700, 2900, "deep")]
+    return strips
+
+
+def check_rhythm(boxes, cuts):
+    """Each cut is halfway to the next box; the stretch it ends is long enough, and no box before it would have ended that stretch."""
+    tops = sorted((y, k, y + h, text) for k, y, h, text in boxes)
+    ends = [(bottom, (bottom + below[0]) / 2, text.strip().endswith((".", "!")) or below[0] - bottom > 150) for (_, _, bottom, text), below in zip(tops, tops[1:])]
+    fits = lambda i, last: ends[i][0] - last >= (240 if ends[i][2] else 375)
+    last, done = 0.0, 0
+    while True:
+        after = [i for i in range(done, len(ends)) if ends[i][1] in cuts and fits(i, last)]
+        stop = after[0] if after else len(ends)
+        assert not any(fits(i, last) for i in range(done, stop))
+        if not after:
+            break
+        last, done = ends[stop][1], stop + 1
+        cuts = cuts - {last} if not any(ends[i][1] == last for i in range(done, len(ends))) else cuts
+    assert cuts <= {m for _, m, _ in ends}
 
 
 @pytest.mark.parametrize("limit", [1000, 0, 30])
 def test_story_cuts(spark, limit):
-    rng = random.Random(4)
-    canvases = {i: [(k, rng.randint(0, 3000), rng.choice([10, 30, 200, 900]), rng.choice(["a.", "b", "", "c! "])) for k in range(n)] for i, n in enumerate((1, 2, 25, 60))}
-    canvases[9] = [(k, 500, 300 + k, "x.") for k in range(40)]  # many boxes at one height
-    rows = [(i, *b, 300, 3200) for i, bs in canvases.items() for b in bs]
+    boxes = strips(random.Random(4))
+    rows = [(i, *b, 300, 10_000) for i, bs in boxes.items() for b in bs]
     df = spark.createDataFrame(rows, "image_id int, box_id bigint, y int, h int, text string, page_w int, page_h int")
     got = {}
     for r in C.story_cuts(df, limit=limit).collect():
-        got.setdefault(r.image_id, []).append(r.t)
-    for i, boxes in canvases.items():
-        assert sorted(got.get(i, [])) == rhythm(boxes, 300, 3200), i
+        got.setdefault(r.image_id, set()).add(r.t)
+    assert 1 not in got or len(got[1]) < 2
+    for i, bs in boxes.items():
+        check_rhythm(bs, got.get(i, set()))
+
+
+def test_story_cuts_fixed(spark):
+    rows = [(1, 1, 0, 250, "a."), (1, 2, 260, 100, "b"), (1, 3, 380, 100, "c."), (1, 4, 500, 40, "d"), (1, 5, 900, 40, "e"), (1, 6, 1000, 10, "f")]
+    df = spark.createDataFrame([(*r, 300, 2000) for r in rows], "image_id int, box_id bigint, y int, h int, text string, page_w int, page_h int")
+    for limit in (100, 0):  # a sentence after 250; a wide gap after 540; the length alone does it nowhere
+        assert sorted(r.t for r in C.story_cuts(df, limit=limit).collect()) == [255.0, 720.0]
+
+
+def test_links_over_blocks(spark):
+    """Blocks of few boxes give the cuts of the fold, and the rounds of the walk grow with the logarithm of the blocks."""
+    rng = random.Random(11)
+    boxes = strips(rng) | {20: [(k, 13 * k + rng.randint(0, 40), rng.choice([4, 30, 60]), rng.choice(["a.", "b"])) for k in range(2000)]}
+    rows = [(i, float(y), k, float(h), text, 300.0) for i, bs in boxes.items() for k, y, h, text in bs]
+    df = spark.createDataFrame(rows, "image_id int, y double, pos bigint, h double, text string, w double")
+    gap = C.gaps(df.withColumn("page_h", F.lit(99_999)), "image_id", "pos").where("next_y is not null")
+    ready = gap.select("image_id", "y", "pos", (F.col("y") + F.col("h")).alias("bottom"), "mid", "w", (F.col("text").endswith(".") | (F.col("gap") > 150)).alias("free"))
+    got, rounds = rhythm.cuts_along(ready, "image_id", 0.8, 1.25, step=8, blocks=1000)
+    got = sorted({(r.image_id, r.mid) for r in got.collect()})
+    plain, few = rhythm.cuts_along(ready, "image_id", 0.8, 1.25)
+    assert got == sorted({(r.image_id, r.mid) for r in plain.collect()})
+    assert few <= 1 and 3 <= rounds <= 9 and len([1 for i, _ in got if i == 20]) > 60
 
 
 def test_modes(spark):

@@ -44,8 +44,8 @@ def test_running_and_ordinal_over_blocks(spark):
     rng = random.Random(1)
     rows = [(k, s, rng.randint(0, 9)) for k in "ab" for s in rng.sample(range(1000), 300)]
     df = spark.createDataFrame(rows, "k string, s int, v int")
-    for block in (7, 100, 1 << 18):
-        got = {(r.k, r.s): r.t for r in O.running(df, ["k"], "s", {"t": F.col("v")}, block).collect()}
+    for bits in (11, 21, 32):
+        got = {(r.k, r.s): r.t for r in O.running(df, ["k"], "s", {"t": F.col("v")}, bits).collect()}
         for k in "ab":
             total = 0
             for _, s, v in sorted(r for r in rows if r[0] == k):
@@ -57,6 +57,41 @@ def test_running_and_ordinal_over_blocks(spark):
             assert got[k, s] == i + 1
 
 
+def test_sparse_order_fills_no_window(spark):
+    """Sparse 64-bit places: the sums are right, and no block at any level holds the group."""
+    rng = random.Random(2)
+    rows = [("hot", rng.randrange(-(2**63), 2**63), rng.randint(0, 9)) for _ in range(3000)] + [("hot", 2**63 - 1, 4), ("hot", -(2**63), 5), ("one", 7, 1)]
+    df = spark.createDataFrame(rows, "k string, s bigint, v int")
+    got = {(r.k, r.s): r.t for r in O.running(df, ["k"], "s", {"t": F.col("v")}, bits=9).collect()}
+    total = 0
+    for _, s, v in sorted(r for r in rows if r[0] == "hot"):
+        assert got["hot", s] == total
+        total += v
+    for bits in (9, O.BITS):
+        places = {s for k, s, _ in rows if k == "hot"}
+        while places:  # what each window of a level holds: the children of one block
+            inside = {}
+            for p in places:
+                inside.setdefault(p >> bits, []).append(p)
+            assert max(map(len, inside.values())) <= 2**bits
+            places = set(inside) if len(inside) > 2 else set()
+
+
+def test_hot_key_look_up_is_spread(spark):
+    rows = spark.range(40_000).select(F.lit("hot").alias("k"), F.col("id").alias("s")).unionByName(spark.createDataFrame([("b", 1), ("c", 2)], "k string, s bigint"))
+    known = spark.createDataFrame([("hot", 5), ("b", 6), ("d", 7)], "k string, w int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = O.look_up(rows, known, ["k"], O.block("s", 8))
+        parts = [len(p) for p in out.select("s").rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(parts) == 40_001 and max(parts) < 20_000
+    assert {(r.k, r.w) for r in out.select("k", "w").distinct().collect()} == {("hot", 5), ("b", 6)}
+
+
 def test_split_hot(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "k string")
     small, hot = O.split_hot(df, ["k"], 3)
