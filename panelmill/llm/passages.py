@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, chunk_of, deal, looked_up, mix, per_process, unpacked, width
+from .common import Codes, chunk_of, deal, looked_up, mix, per_process, unpacked, width, written
 from .fmindex import FMIndex
 from .repeats import slide, whole_groups
 
@@ -22,6 +22,8 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE = 2 << 20
 SHARD_PIECES = 12_000
+#: Passages under an anchor that more chunks hold are counted before they go on.
+MANY_CHUNKS = 24
 #: Distinct passages of one name that go to a shard by themselves; of more, each goes by its own words.
 HOT_PASSAGES = 100_000
 
@@ -104,7 +106,7 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
 
     1. A passage is named by its anchor, the gram of GRAM words with the least code in it. One pass counts which anchors two texts hold,
     and which texts two documents hold; of equal texts only the first document's goes on, the others lose all passages. 2. Passages under
-    a shared anchor are counted by a code of their words; a passage that a single text holds goes no further. 3. What is left goes, as pieces of
+    an anchor that many chunks hold are counted by a code of their words; a passage that a single text holds goes no further. 3. What is left goes, as pieces of
     neighbouring passages under one anchor, to shards by anchor: equal passages meet. Each shard builds a compressed full-text index
     (``FMIndex``) of its distinct pieces' words and streams the pieces through it; a match of ``length`` words or more has the smallest document of its
     interval as owner. 4. Each chunk of documents gets the owners of its pieces back. An anchor with more than HOT_PASSAGES distinct passages is
@@ -138,10 +140,11 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), copy)), pa.array(k), pa.array(c.astype(np.int32)), pa.array(low), pa.array(high)], ["copy", "h", "chunk", "low", "high"])
 
     named = own.withColumn("chunk", chunk_of(chunks)).mapInArrow(name, "copy boolean, h long, chunk int, low long, high long")
-    # a chunk's rows of a key are one before the key's rows meet
-    named = named.groupBy("copy", "h", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high")).repartition(parts, "copy", "h")
-    common = named.groupBy("copy", "h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("copy", "h", "low")
-    asked = named.select("copy", "h", "chunk").join(common, ["copy", "h"]).select("chunk", "copy", "h", "low")
+    # a chunk's rows of a key are one before the key's rows meet, so a window holds a row for each chunk at most
+    named = named.groupBy("copy", "h", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    one = Window.partitionBy("copy", "h")
+    asked = named.select("copy", "h", F.col("chunk").alias("of"), F.min("low").over(one).alias("low"), F.max("high").over(one).alias("high"), (F.count("*").over(one) > MANY_CHUNKS).alias("many"))
+    asked = written(asked.where("low < high").drop("high"))
     dealt = deal(own, chunks)
 
     class Chunk:
@@ -151,9 +154,9 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             self.rows = unpacked(mine)
             self.ids, self.texts = self.rows["doc_id"].to_pylist(), self.rows["text"].to_pylist()
             self.code = [text_code(t) for t in self.texts]
-            copies = theirs.filter(theirs["copy"])
+            copies, anchors = theirs.filter(theirs["copy"]), theirs.filter(pa.compute.invert(theirs["copy"])).sort_by("h")
             self.first = dict(zip(copies["h"].to_pylist(), copies["low"].to_pylist(), strict=True))
-            self.shared = np.unique(theirs.filter(pa.compute.invert(theirs["copy"]))["h"].to_numpy())
+            self.shared, self.many = anchors["h"].to_numpy(), anchors["many"].to_numpy()
 
         def leads(self) -> list[int]:
             """Documents to look at: one for each text."""
@@ -164,36 +167,39 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
                     out.append(i)
             return out
 
-        def passages(self) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-            """Windows under shared anchors, by slices: words, text codes, first words, anchors' places and codes."""
-            lead = self.leads() if len(self.shared) else []
+        def passages(self, crowded: bool = False) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            """Windows under shared anchors, by slices: words, documents, first words, anchors' places and codes, and which anchors many
+            chunks hold (only those if ``crowded``)."""
+            lead = self.leads() if len(self.shared) and (self.many.any() or not crowded) else []
             texts = [self.texts[i] for i in lead]
             for a, b in sliced(texts):
                 words = Words(texts[a:b], length)
                 place, h = words.anchors()
                 h = h.view(np.int64)
-                hit = self.shared[np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)] == h
-                yield words, np.array(lead[a:b]), words.at[hit], place[hit], h[hit]
+                row = np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)
+                hit = (self.shared[row] == h) & (self.many[row] | (not crowded))
+                yield words, np.array(lead[a:b]), words.at[hit], place[hit], h[hit], self.many[row[hit]]
 
     def count(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        """Distinct passages of a chunk under shared anchors, with the least and highest text that holds each."""
+        """Distinct passages of a chunk under anchors that many chunks hold, with the least and highest text that has each."""
         chunk, held = mine["chunk"][0].as_py() if mine.num_rows else 0, Chunk(mine, theirs)
         out = []
-        for words, lead, at, _, h in held.passages():
+        for words, lead, at, _, h, _ in held.passages(crowded=True):
             code = np.array([held.code[i] for i in lead], np.int64)[np.searchsorted(words.starts, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
             (w, a), low, high = spread((words.hashes(at).view(np.int64), h), code, code)
             out.append(pa.table({"w": w, "anchor": a, "chunk": pa.array(np.full(len(w), chunk), pa.int32()), "low": low, "high": high}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("w", pa.int64()), ("anchor", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("high", pa.int64()))})
 
-    ask = asked.withColumnRenamed("chunk", "of").groupBy("of")
-    counted = dealt.cogroup(ask).applyInArrow(count, "w long, anchor long, chunk int, low long, high long").repartition(parts, "w")
-    again = counted.groupBy("w").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("anchor").alias("anchor")).where("low < high").select("w", "anchor")
-    crowd = again.groupBy("anchor").count().where(F.col("count") > HOT_PASSAGES).select("anchor", F.lit(True).alias("hot"))
-    again = looked_up(again, crowd, ["anchor"], ["w"]).select("w", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = counted.select("w", F.col("chunk").alias("of")).join(again, "w")
+    counted = dealt.cogroup(asked.groupBy("of")).applyInArrow(count, "w long, anchor long, chunk int, low long, high long")
+    one = Window.partitionBy("w")
+    again = counted.select("w", "anchor", F.col("chunk").alias("of"), F.min("low").over(one).alias("low"), F.max("high").over(one).alias("high")).where("low < high")
+    again = written(again.select("of", "w", "anchor"))
+    crowd = again.groupBy("anchor").agg(F.approx_count_distinct("w").alias("n")).where(F.col("n") > HOT_PASSAGES).select("anchor", F.lit(True).alias("hot"))
+    again = looked_up(again, written(crowd), ["anchor"], ["w"]).select("of", "w", F.coalesce("hot", F.lit(False)).alias("hot"))
+    none = lambda t: F.lit(None).cast(t)
     # what a chunk asked for in the first round goes with it into the second
-    wanted = wanted.select("of", F.lit(None).cast("boolean").alias("copy"), F.col("w").alias("h"), F.lit(None).cast("long").alias("low"), "hot").unionByName(
-        asked.select(F.col("chunk").alias("of"), "copy", "h", "low", F.lit(False).alias("hot"))
+    wanted = again.select("of", none("boolean").alias("copy"), F.col("w").alias("h"), none("long").alias("low"), none("boolean").alias("many"), "hot").unionByName(
+        asked.withColumn("hot", none("boolean"))
     )
 
     def cut(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -202,12 +208,15 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
         first = theirs["copy"].is_valid()
         held, windows = Chunk(mine, theirs.filter(first)), theirs.filter(pa.compute.invert(first)).sort_by("h")
         w, hot = windows["h"].to_numpy(), windows["hot"].to_numpy()
+        if not len(w):
+            w, hot = np.zeros(1, np.int64), np.zeros(1, bool)
         pieces: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        for words, lead, at, place, h in held.passages():
+        for words, lead, at, place, h, many in held.passages():
             code = words.hashes(at).view(np.int64)
             row = np.minimum(np.searchsorted(w, code), len(w) - 1)
-            hit = w[row] == code if len(w) else np.zeros(len(at), bool)
-            at, place, h, code, alone = at[hit], place[hit], h[hit], code[hit], hot[row[hit]] if len(w) else hit[:0]
+            known = w[row] == code
+            hit = known | ~many
+            at, place, h, code, alone = at[hit], place[hit], h[hit], code[hit], (hot[row] & known & many)[hit]
             doc = np.searchsorted(words.starts, at, "right") - 1
             key = np.where(alone, mix(code.view(np.uint64)).view(np.int64), h)
             new = np.append(True, (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | alone[1:] | alone[:-1])[: len(at)]
@@ -244,8 +253,8 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             yield pa.RecordBatch.from_arrays([t.column(3), t.column(4), pa.array([owners[i] for i in row], pa.binary())], ["of", "refs", "owners"])
 
     found = pieces.mapInArrow(index, "of int, refs binary, owners binary")
-    answers = asked.where("copy").select(F.col("chunk").alias("of"), F.col("h").alias("code"), "low", F.lit(None).cast("binary").alias("refs"), F.lit(None).cast("binary").alias("owners")).unionByName(
-        found.select("of", F.lit(None).cast("long").alias("code"), F.lit(None).cast("long").alias("low"), "refs", "owners")
+    answers = asked.where("copy").select("of", F.col("h").alias("code"), "low", none("binary").alias("refs"), none("binary").alias("owners")).unionByName(
+        found.select("of", none("long").alias("code"), none("long").alias("low"), "refs", "owners")
     )
 
     def remove(mine: pa.Table, theirs: pa.Table) -> pa.Table:

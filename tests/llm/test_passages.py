@@ -59,6 +59,7 @@ def test_removed_words_equal_brute_force(spark, length):
 
 def test_small_shards_and_crowded_anchors(spark, monkeypatch):
     monkeypatch.setattr(passages, "SHARD_PIECES", 5)
+    monkeypatch.setattr(passages, "MANY_CHUNKS", 1)
     monkeypatch.setattr(passages, "HOT_PASSAGES", 3)
     monkeypatch.setattr(passages, "SLICE", 700)
     rows = corpus(random.Random(3), 12)
