@@ -126,7 +126,7 @@ class FMIndex:
             ranks.append(rank.astype(np.int32))
             key = rank << 32
             key[: n - k] |= rank[k:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
