@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import ends_sentence, let
 from ..session import durable
 from .boxes import gaps, merge_intervals
-from .ordering import running, split_hot
+from .graphs import path
+from .ordering import look_up, running, split_hot
 from .rhythm import cuts_along
 
 # Panel heights relative to the width, margins and thresholds.
@@ -50,10 +51,17 @@ def row_profile(rows: DataFrame, px: str = "px") -> DataFrame:
     return rows.select("image_id", "y", row_cost(F.col(px)).alias("cost"))
 
 
-def smooth(profile: DataFrame) -> DataFrame:
+def _in_parts(rows: DataFrame, reach: int, bits: int = 16) -> DataFrame:
+    """Rows cut into parts of 2 ** bits rows of an image (_blk); rows near a border are copied to the part beyond it (not _own)."""
+    of = lambda by: F.shiftright(F.col("y") + by, bits)
+    parts = rows.withColumn("_blk", F.explode(F.array_distinct(F.array(of(0), of(-reach), of(reach)))))
+    return parts.withColumn("_own", F.col("_blk") == of(0))
+
+
+def smooth(profile: DataFrame, bits: int = 16) -> DataFrame:
     """Mean of five rows, counting rows outside the image as zero."""
-    w = Window.partitionBy("image_id").orderBy("y").rowsBetween(-2, 2)
-    return profile.withColumn("cost", F.sum("cost").over(w) / 5.0)
+    w = Window.partitionBy("image_id", "_blk").orderBy("y").rowsBetween(-2, 2)
+    return _in_parts(profile, 2, bits).withColumn("cost", F.sum("cost").over(w) / 5.0).where("_own").drop("_blk", "_own")
 
 
 def forbidden(protect: DataFrame, images: DataFrame, margin: int = MARGIN) -> DataFrame:
@@ -73,17 +81,17 @@ def free_rows(profile: DataFrame, ranges: DataFrame) -> DataFrame:
     return profile.join(taken, ["image_id", "y"], "left_anti")
 
 
-def detail_rows(rows: DataFrame, px: str = "px") -> DataFrame:
+def detail_rows(rows: DataFrame, px: str = "px", bits: int = 16) -> DataFrame:
     """(image_id, y, width, mid, top, bot): pixels with strong edges per row.
 
     ``mid`` counts with both neighbour rows; ``top`` and ``bot`` count as if the row were
     the first or last of a slice (the edge is mirrored there), so that the detail of any
     slice is a sum over this table.
     """
-    w = Window.partitionBy("image_id").orderBy("y")
-    around = rows.select(
-        "image_id", "y", F.col(px).alias("c"), F.lag(px).over(w).alias("u"), F.lead(px).over(w).alias("d"),
-    )
+    w = Window.partitionBy("image_id", "_blk").orderBy("y")
+    around = _in_parts(rows, 1, bits).select(
+        "image_id", "y", F.col(px).alias("c"), F.lag(px).over(w).alias("u"), F.lead(px).over(w).alias("d"), "_own",
+    ).where("_own")
     n = F.size("c")
 
     def across(a: Column) -> Column:
@@ -137,11 +145,11 @@ def argmin_row(profile: DataFrame, score: str = "cost") -> DataFrame:
 
 
 class _Rows:
-    """The allowed rows of one image with their costs, in row order: a window of rows is a slice found by bisection."""
+    """The allowed rows of one image, or of a part that starts at row ``base``, with their costs: a window of rows is a slice found by bisection."""
 
-    def __init__(self, cost: np.ndarray, free: np.ndarray):
-        self.y = np.flatnonzero(free)
-        self.cost = cost[self.y]
+    def __init__(self, cost: np.ndarray, free: np.ndarray, base: int = 0):
+        at = np.flatnonzero(free)
+        self.y, self.cost = at + base, cost[at]
 
     def cheapest(self, lo: int, hi: int, aim: float, pull: float) -> int | None:
         """Row of least cost in [lo, hi) with a pull toward ``aim``; None when the window holds no allowed row."""
@@ -198,41 +206,55 @@ def _story_link(rows: _Rows, height: int, width: int, targets):
     return link
 
 
-def _absorb(bounds: list[int], rows: dict[str, np.ndarray], width: int, low: int) -> list[int]:
-    """Merge slices that are short or hold no drawing into the neighbour with more of it."""
-    free = rows["free"]
-    mid = np.concatenate([[0], np.cumsum(np.where(free, rows["mid"], 0))])
-    clear = np.concatenate([[0], np.cumsum(free)])
+def slice_sums(bounds: list[int], rows: dict[str, np.ndarray]) -> pd.DataFrame:
+    """What merging needs of each slice: edge counts of all its rows, of its first and last one, and its free rows."""
+    b = np.asarray(bounds)
+    first, last = b[:-1], b[1:] - 1
+    held = {c: np.where(rows["free"], rows[c], 0).astype(np.int64) for c in ("mid", "top", "bot")}
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[b])
+    return pd.DataFrame({
+        "y0": first, "y1": last + 1, "inner": total(held["mid"]), "clear": total(np.asarray(rows["free"], np.int64)),
+        "mid0": held["mid"][first], "mid1": held["mid"][last], "top0": held["top"][first], "bot1": held["bot"][last],
+    })
 
-    def art(a: int, b: int) -> float:
-        n = clear[b] - clear[a]
-        if b - a < 2 or n == 0:
+
+def absorbed(slices: pd.DataFrame, width: int, low: int) -> list[int]:
+    """Merge slices (in order, as from ``slice_sums``) that are short or hold no drawing into the neighbour with more of it.
+
+    The slices are a linked list, and a merged one is looked at again, so a merge costs a constant.
+    """
+    cell = {c: slices[c].tolist() for c in slices.columns}
+    n = len(slices)
+    back, on = list(range(-1, n - 1)), [*range(1, n), -1]
+
+    def art(i: int) -> float:
+        rows, clear = cell["y1"][i] - cell["y0"][i], cell["clear"][i]
+        if rows < 2 or clear == 0:
             return 0.0
-        inner = mid[b - 1] - mid[a + 1]
-        ends = (rows["top"][a] if free[a] else 0) + (rows["bot"][b - 1] if free[b - 1] else 0)
-        return float(inner + ends) / float(n * width)
-
-    spans = list(zip(bounds[:-1], bounds[1:]))
-    scores = [art(a, b) for a, b in spans]
-    i = 0
-    while i < len(spans) and len(spans) > 1:
-        a, b = spans[i]
-        if b - a >= low and scores[i] >= ART_MIN:
-            i += 1
+        return float(cell["inner"][i] - cell["mid0"][i] - cell["mid1"][i] + cell["top0"][i] + cell["bot1"][i]) / float(clear * width)
+
+    score = [art(i) for i in range(n)]
+    at = 0
+    while at >= 0:
+        fine = cell["y1"][at] - cell["y0"][at] >= low and score[at] >= ART_MIN
+        if fine or back[at] == on[at] == -1:
+            at = on[at]
             continue
-        if i == 0:
-            j = 1
-        elif i == len(spans) - 1 or scores[i - 1] >= scores[i + 1]:
-            j = i - 1
-        else:
-            j = i + 1
-        k = min(i, j)
-        joined = (spans[k][0], spans[k + 1][1])
-        spans[k : k + 2] = [joined]
-        scores[k : k + 2] = [art(*joined)]
-        # only the joined slice changed: everything before it was already fine
-        i = k
-    return [s[0] for s in spans] + [spans[-1][1]]
+        up, down = back[at], on[at]
+        at, gone = (at, down) if up < 0 or (down >= 0 and score[up] < score[down]) else (up, at)
+        for c in ("y1", "mid1", "bot1"):
+            cell[c][at] = cell[c][gone]
+        for c in ("inner", "clear"):
+            cell[c][at] += cell[c][gone]
+        on[at] = on[gone]
+        if on[at] >= 0:
+            back[on[at]] = at
+        score[at] = art(at)
+    out, at = [], 0
+    while at >= 0:
+        out.append(cell["y0"][at])
+        at = on[at]
+    return [*out, cell["y1"][-1]]
 
 
 def panel_window(width: int, max_h=None, ideal_h=None, min_h=None) -> tuple[int, int, int]:
@@ -251,7 +273,7 @@ def panel_bounds(width, height, rows, targets, merge=True, **window) -> list[int
         return [0, height]
     link = _story_link(table, height, width, targets) if told else _size_link(table, height, low, ideal, high)
     bounds = [0, *_chain(link), height]
-    return _absorb(bounds, rows, width, low) if merge else bounds
+    return absorbed(slice_sums(bounds, rows), width, low) if merge else bounds
 
 
 def split_panels(
@@ -261,6 +283,8 @@ def split_panels(
     ranges: DataFrame,
     targets: DataFrame | None = None,
     merge: bool = True,
+    limit: int = 1 << 17,
+    block: int = 1 << 16,
     **window,
 ) -> DataFrame:
     """Panels (image_id, k, y0, y1, searched), k from 0, that cover every image without gaps.
@@ -269,6 +293,9 @@ def split_panels(
     forbidden rows, ``targets`` (image_id, t) the story cuts: images that have any snap to
     them, the others are cut by size. Images short enough to stay whole never reach the
     search; an image that should be cut but has no rows in the table stays whole too, with ``searched`` false.
+
+    An image of up to ``limit`` rows is searched as one Arrow group. A taller one that is cut by size is searched in blocks of
+    ``block`` rows; its slices, not its rows, meet for merging. Story cuts depend on the cut before, so such an image is one group.
     """
     high = F.lit(int(window["max_h"])) if window.get("max_h") else F.floor(F.col("w") * MAX_RATIO)
     wanted = images
@@ -282,6 +309,8 @@ def split_panels(
     )
     taken = ranges.select("image_id", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("y"), F.lit(False).alias("free"))
     tall = wanted.where((F.col("h") > high) | F.col("aims").isNotNull()).select("image_id", "w", "h", "aims")
+    huge = tall.where((F.col("h") > limit) & F.col("aims").isNull())
+    tall = tall.where((F.col("h") <= limit) | F.col("aims").isNotNull())
     rows = (
         profile.join(detail, ["image_id", "y"])
         .join(tall, "image_id", "right")
@@ -303,7 +332,93 @@ def split_panels(
         return pd.DataFrame({"image_id": head["image_id"], "k": range(len(b) - 1), "y0": b[:-1], "y1": b[1:], "searched": True})
 
     cut = rows.groupBy("image_id").applyInPandas(search, f"image_id {kind}, k int, y0 int, y1 int, searched boolean")
-    return whole.unionByName(cut)
+    table = profile.join(detail, ["image_id", "y"]).join(taken, ["image_id", "y"], "left")
+    table = table.select("image_id", "y", "cost", F.coalesce("free", F.lit(True)).alias("free"), *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("mid", "top", "bot")])
+    blocks = split_blocks(table, huge.drop("aims"), merge, block, window)
+    return whole.unionByName(cut) if blocks is None else whole.unionByName(cut).unionByName(blocks)
+
+
+def split_blocks(table: DataFrame, images: DataFrame, merge: bool, block: int, window: dict) -> DataFrame | None:
+    """Panels of images (image_id, w, h) of any height from their row table, by blocks of rows; None without images.
+
+    The best row after a boundary lies within a panel's greatest height below it, so a block with that many rows of the next one
+    finds all links from the boundaries it may hold: those that its uppermost rows lead to. Where no row is free, a link seeks the
+    first free row that the blocks below have beyond this one's reach. The walk from row 0 then takes a few rounds (``graphs.path``).
+    """
+    if images.isEmpty():
+        return None
+    images = durable(images)
+    kind = images.schema["image_id"].dataType.simpleString()
+    most = F.lit(int(window["max_h"])) if window.get("max_h") else F.floor(F.col("w") * MAX_RATIO)
+    sizes = images.withColumn("_high", most.cast("bigint")).withColumn("_s", F.greatest(F.lit(block), 4 * F.col("_high")))
+    rows = look_up(table, sizes, ["image_id"], F.shiftright("y", 16))
+    own = F.expr("cast(y div _s as bigint)")
+    near = F.when((own > 0) & (F.col("y") % F.col("_s") < F.col("_high")), F.array(own, own - 1)).otherwise(F.array(own))
+    parts = rows.withColumn("blk", F.explode(near))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y")
+        head = pdf.iloc[0]
+        blk, s, h, high = (int(head[c]) for c in ("blk", "_s", "h", "_high"))
+        base, end = int(head["y"]), min((blk + 1) * s, h)
+        table = _Rows(pdf["cost"].to_numpy(), pdf["free"].to_numpy(bool), base)
+        low, ideal, _ = panel_window(int(head["w"]), **window)
+        step = _size_link(table, h, low, ideal, high)
+        seek, links = -(blk + 1), {}
+        # what the block above may lead to: its uppermost rows, and the first free row below them
+        near = table.y[(table.y >= blk * s) & (table.y < min(blk * s + high, end))].tolist()
+        far = table.next_from(blk * s + high)
+        if blk:
+            links[seek] = far if far is not None else seek - 1 if end < h else None
+        todo = [0] if not blk else near if far is None else [*near, far]
+        for at in todo:
+            while at is not None and at < end and at not in links:
+                to = step(at)
+                if to is None and h - at > high and min(at + high, h - low) > at + low and end < h:
+                    to = seek - 1  # a free row may follow in the blocks below
+                links[at] = to
+                at = to if to is not None and to >= 0 else None
+        found = [(a, t, t // s if t >= 0 else -t - 1) for a, t in links.items() if t is not None]
+        at, to, in_blk = zip(*found) if found else ((), (), ())
+        return pd.DataFrame({"image_id": [head["image_id"]] * len(at), "blk": [blk] * len(at), "at": at, "to": to, "to_blk": in_blk})
+
+    links = durable(parts.groupBy("image_id", "blk").applyInPandas(search, f"image_id {kind}, blk bigint, at bigint, to bigint, to_blk bigint"))
+    zero = F.lit(0).cast("bigint")
+    held = rows.select("image_id").distinct()
+    starts = held.select("image_id", zero.alias("at"), zero.alias("blk"))
+    walk, _ = path(links, starts, "image_id")
+    bounds = walk.where("at > 0").join(images.select("image_id", "h"), "image_id").where("at < h").select("image_id", "at", "h")
+    bounds = bounds.unionByName(held.join(images, "image_id").select("image_id", zero.alias("at"), "h"))
+    # a row for each slice of an image, not for each of its rows
+    order = Window.partitionBy("image_id").orderBy("at")
+    slices = bounds.select(
+        "image_id", (F.row_number().over(order) - 1).alias("k"), F.col("at").cast("int").alias("y0"),
+        F.coalesce(F.lead("at").over(order), "h").cast("int").alias("y1"),
+    )
+    if merge:
+        slices = _merged(slices, table, images, kind, window)
+    missing = images.join(held, "image_id", "left_anti").select("image_id", F.lit(0).alias("k"), F.lit(0).alias("y0"), F.col("h").cast("int").alias("y1"), F.lit(False).alias("searched"))
+    return slices.withColumn("searched", F.lit(True)).unionByName(missing)
+
+
+def _merged(slices: DataFrame, table: DataFrame, images: DataFrame, kind: str, window: dict) -> DataFrame:
+    """Slices after merging: their sums are collected by rows, then one narrow row per slice meets in its image."""
+    slices = durable(slices)
+    free = lambda c, where=None: F.when(F.col("free") if where is None else F.col("free") & where, F.col(c)).otherwise(F.lit(0)).cast("bigint")
+    first, last = F.col("y") == F.col("y0"), F.col("y") == F.col("y1") - 1
+    listed = slices.select("image_id", "k", "y0", "y1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
+    sums = listed.join(table, ["image_id", "y"]).groupBy("image_id", "k", "y0", "y1").agg(
+        F.sum(free("mid")).alias("inner"), F.count_if("free").alias("clear"), F.sum(free("mid", first)).alias("mid0"),
+        F.sum(free("mid", last)).alias("mid1"), F.sum(free("top", first)).alias("top0"), F.sum(free("bot", last)).alias("bot1"),
+    )
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        width = int(pdf["w"].iloc[0])
+        b = absorbed(pdf, width, panel_window(width, **window)[0])
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "k": range(len(b) - 1), "y0": b[:-1], "y1": b[1:]})
+
+    return sums.join(images.select("image_id", "w"), "image_id").groupBy("image_id").applyInPandas(merge, f"image_id {kind}, k int, y0 int, y1 int")
 
 
 def number_panels(panels: DataFrame, images: DataFrame, key: str = "chapter", seq: str = "seq") -> DataFrame:

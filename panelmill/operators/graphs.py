@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
@@ -55,3 +57,42 @@ def walked(links: DataFrame, starts: DataFrame, keys: list[str]) -> tuple[DataFr
         onward = links.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far"))
         links = durable(links.join(onward, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")))
     return seen, rounds
+
+
+def path(links: DataFrame, starts: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Places (key, at) on the walks from ``starts`` (key, at, blk) along ``links`` (key, blk, at, to, to_blk), and the rounds taken.
+
+    Every place lies in a block. Links are cut short to those that leave a block; the walk over these takes about log2(blocks)
+    rounds, and each block then follows its own links from where the walk enters it. Links never lead back.
+    """
+    kind = links.schema[key].dataType.simpleString()
+    inner = links.select(key, "blk", "at", "to")
+
+    def leaving(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        at, to = rows["at"].to_numpy(), rows["to"].to_numpy()
+        while True:
+            row = np.minimum(np.searchsorted(at, to), len(at) - 1)
+            stays = at[row] == to
+            if not stays.any():
+                return pd.DataFrame({key: rows[key], "at": at, "to": to})
+            to = np.where(stays, to[row], to)
+
+    doors = links.where("to_blk <> blk").select(key, F.col("to").alias("at"), F.col("to_blk").alias("blk"))
+    doors = durable(doors.unionByName(starts.select(key, "at", "blk")).distinct())
+    hops = inner.groupBy(key, "blk").applyInPandas(leaving, f"{key} {kind}, at bigint, to bigint")
+    seen, rounds = walked(hops.join(doors.select(key, "at"), [key, "at"], "left_semi"), starts, [key])
+    entered = seen.join(doors, [key, "at"])
+    entered = entered.toDF(*entered.columns)  # fresh columns: both sides stem from the same links
+
+    def follow(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        link, seen = dict(zip(rows["at"], rows["to"])), {}
+        for at in entries["at"]:
+            while at is not None and at not in seen:
+                seen[at] = True
+                at = link.get(at)
+        # the last place may lie in a later block, which then reports it again
+        return pd.DataFrame({key: [entries[key].iloc[0]] * len(seen) if len(entries) else [], "at": np.array(list(seen), np.int64)})
+
+    found = entered.groupBy(key, "blk").cogroup(inner.groupBy(key, "blk")).applyInPandas(follow, f"{key} {kind}, at bigint")
+    return found.distinct(), rounds

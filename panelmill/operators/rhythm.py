@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .graphs import walked
+from .graphs import path
 from .ordering import look_up, ordinal
 
 # A block holds STEP boxes, or more on images that would have over BLOCKS of them.
@@ -105,50 +103,10 @@ def cut_links(boxes: DataFrame, page: str, ideal: float, most: float, step: int
 
 
 def cuts_along(boxes: DataFrame, page: str, ideal: float, most: float, step: int = STEP, blocks: int = BLOCKS) -> tuple[DataFrame, int]:
-    """The boxes after which a cut falls, and the rounds that the walk took.
-
-    Links are cut short to those that leave a block; the walk over these takes about log2(blocks) rounds, and each block then
-    follows its own links from where the walk enters it.
-    """
+    """The boxes after which a cut falls, and the rounds that the walk took."""
     numbered, links = cut_links(boxes, page, ideal, most, step, blocks)
-    kind = boxes.schema[page].dataType.simpleString()
-
-    def leaving(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        at, to = rows["at"].to_numpy(), rows["to"].to_numpy()
-        while True:
-            row = np.minimum(np.searchsorted(at, to), len(at) - 1)
-            stays = at[row] == to
-            if not stays.any():
-                return pd.DataFrame({page: rows[page], "at": at, "to": to})
-            to = np.where(stays, to[row], to)
-
-    # links of a block's own boxes end inside it or at a place that has no link there
-    hops = links.groupBy(page, "blk").applyInPandas(leaving, f"{page} {kind}, at bigint, to bigint")
-    own = numbered.select(page, F.col("n").alias("to"), F.col("blk").alias("_in"))
-    doors = links.join(own, [page, "to"]).where("_in <> blk").select(page, F.col("to").alias("at")).distinct()
-    starts = numbered.select(page).distinct().select(page, F.lit(0).cast("bigint").alias("at"))
-    hops = hops.join(doors.unionByName(starts), [page, "at"], "left_semi")
-    seen, rounds = walked(hops, starts, [page])
-    entered = seen.join(numbered.select(page, F.col("n").alias("at"), "blk"), [page, "at"], "left").withColumn("blk", F.coalesce("blk", F.lit(0)))
-    entered = entered.toDF(*entered.columns)
-
-    def follow(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        link = dict(zip(rows["at"], rows["to"]))
-
-        def steps() -> Iterator[int]:
-            seen: set[int] = set()
-            for at in entries["at"]:
-                while at not in seen:
-                    seen.add(at)
-                    if at:
-                        yield at
-                    if at not in link:
-                        break
-                    at = link[at]
-
-        n = np.array(list(steps()), np.int64)
-        return pd.DataFrame({page: [entries[page].iloc[0]] * len(n) if len(entries) else [], "n": n})
-
-    cuts = entered.groupBy(page, "blk").cogroup(links.groupBy(page, "blk")).applyInPandas(follow, f"{page} {kind}, n bigint")
-    return numbered.join(cuts.distinct(), [page, "n"], "left_semi"), rounds
+    own = numbered.select(page, F.col("n").alias("to"), F.col("blk").alias("to_blk"))
+    zero = F.lit(0).cast("bigint")
+    starts = numbered.select(page).distinct().select(page, zero.alias("at"), zero.alias("blk"))
+    cuts, rounds = path(links.join(own, [page, "to"]), starts, page)
+    return numbered.join(cuts.withColumnRenamed("at", "n"), [page, "n"], "left_semi"), rounds

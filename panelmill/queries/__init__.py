@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import boxes, cuts, jobs, layout, links, pixels, text  # noqa: F401
+    from . import boxes, cuts, jobs, layout, links, pixels, strips, text  # noqa: F401

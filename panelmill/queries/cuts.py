@@ -86,15 +86,22 @@ def detail_rows(spark, sf):
     return C.detail_rows(_rows(spark, sf))
 
 
-@query("art_scores", BARRED.rstrip() + DETAIL.rstrip() + """, slices AS (SELECT image_id, k, k * 30 AS y0, least(k * 30 + 30, h) AS y1 FROM (
+ART = (BARRED.rstrip() + DETAIL.rstrip() + """, slices AS (SELECT image_id, k, k * 30 AS y0, least(k * 30 + 30, h) AS y1 FROM (
   SELECT image_id, h, CAST(unnest(generate_series(0, (h - 1) // 30)) AS INT) AS k FROM images) s)
 SELECT s.image_id, s.k, round(coalesce(sum(CASE WHEN d.y = y0 THEN top WHEN d.y = y1 - 1 THEN bot ELSE mid END) / (64 * count(d.y)), 0), 9) AS art
 FROM slices s LEFT JOIN (SELECT d.* FROM detail d ANTI JOIN taken t ON d.image_id = t.image_id AND d.y = t.y) d ON d.image_id = s.image_id AND d.y >= y0 AND d.y < y1 AND y1 - y0 >= 2 GROUP BY s.image_id, s.k""")
+
+
+def thirties(rows):
+    """Slices of 30 rows."""
+    slices = _images(rows).select("image_id", "h", F.explode(F.expr("sequence(0, cast((h - 1) div 30 as int))")).alias("k"))
+    return slices.select("image_id", "k", F.expr("k * 30").alias("y0"), F.expr("least(k * 30 + 30, h)").alias("y1"))
+
+
+@query("art_scores", ART)
 def art_scores(spark, sf):
     rows = _rows(spark, sf)
-    slices = _images(rows).select("image_id", "h", F.explode(F.expr("sequence(0, cast((h - 1) div 30 as int))")).alias("k"))
-    slices = slices.select("image_id", "k", F.expr("k * 30").alias("y0"), F.expr("least(k * 30 + 30, h)").alias("y1"))
-    scored = C.art_scores(slices, C.detail_rows(rows), _ranges(spark, sf, rows))
+    scored = C.art_scores(thirties(rows), C.detail_rows(rows), _ranges(spark, sf, rows))
     return scored.select("image_id", "k", F.round("art", 9).alias("art"))
 
 
@@ -177,8 +184,11 @@ def panels(spark, sf):
     return _split(spark, sf)
 
 
-@query("numbered_panels", WALK.replace("SELECT image_id, CAST(k AS INT) AS k, pos AS y0", ", slices AS (SELECT image_id, CAST(k AS INT) AS k, pos AS y0", 1) + """)
-SELECT image_id, k, row_number() OVER (ORDER BY image_id, k) AS n, printf('panel_%04d.jpg', row_number() OVER (ORDER BY image_id, k)) AS name FROM slices""")
+NUMBERS = WALK.replace("SELECT image_id, CAST(k AS INT) AS k, pos AS y0", ", slices AS (SELECT image_id, CAST(k AS INT) AS k, pos AS y0", 1) + """)
+SELECT image_id, k, row_number() OVER (ORDER BY image_id, k) AS n, printf('panel_%04d.jpg', row_number() OVER (ORDER BY image_id, k)) AS name FROM slices"""
+
+
+@query("numbered_panels", NUMBERS)
 def numbered_panels(spark, sf):
     images = _images(_rows(spark, sf)).select(F.lit("all").alias("chapter"), F.col("image_id").alias("seq"), "image_id")
     return C.number_panels(_split(spark, sf, merge=False), images).select("image_id", "k", "n", "name")

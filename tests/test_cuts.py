@@ -206,3 +206,34 @@ def test_modes(spark):
     assert story_targets(boxes, ends.limit(0)).count() == 0
     with pytest.raises(ValueError):
         story_targets(boxes, ends, "other")
+
+
+def test_tall_images_in_blocks(spark):
+    """Blocks of rows give the panels of the whole-image search, also over long stretches without a free row."""
+    rng = np.random.default_rng(3)
+    heights = {1: 3000, 2: 2100, 3: 640, 4: 2500}
+    rows = []
+    for i, h in heights.items():
+        for y in range(h):
+            free = not (i == 2 and 300 < y < 1500) and not (i == 4 and y > 200) and y % 9 != 4
+            drawn = int(rng.integers(0, 30)) if y % 200 > 60 else 0
+            rows.append((i, y, float(rng.integers(0, 50)), drawn, drawn, drawn, free))
+    df = spark.createDataFrame(rows, "image_id int, y int, cost double, mid int, top int, bot int, free boolean")
+    images = spark.createDataFrame([(i, 60, h) for i, h in heights.items()] + [(9, 60, 5000)], "image_id int, w int, h int")
+    taken = df.where("not free").select("image_id", F.col("y").alias("a"), (F.col("y") + 1).alias("b"))
+    for merge in (False, True):
+        got = [
+            sorted(tuple(r) for r in C.split_panels(df.select("image_id", "y", "cost"), df.select("image_id", "y", F.lit(60).alias("width"), "mid", "top", "bot"), images, taken, merge=merge, **more).collect())
+            for more in ({}, {"limit": 0, "block": 320}, {"limit": 1000, "block": 1})
+        ]
+        assert got[0] == got[1] == got[2]
+        assert len([r for r in got[0] if r[0] == 1]) > 20 and (9, 0, 0, 5000, False) in got[0]
+    assert len(got[0]) < len(C.split_panels(df.select("image_id", "y", "cost"), df.select("image_id", "y", F.lit(60).alias("width"), "mid", "top", "bot"), images, taken, merge=False).collect())
+
+
+def test_windows_by_parts(spark):
+    rng = random.Random(1)
+    rows = [(i, y, [rng.randint(0, 255) for _ in range(6)]) for i in (1, 2) for y in range(70)]
+    df = spark.createDataFrame(rows, "image_id int, y int, px array<bigint>")
+    for f in (lambda b: C.smooth(C.row_profile(df), b), lambda b: C.detail_rows(df, bits=b)):
+        assert sorted(f(3).collect()) == sorted(f(16).collect())
