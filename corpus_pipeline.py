@@ -1,17 +1,19 @@
 """The corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents.
+A stage's result must be written before the next stage is called, which removes the tables that the result was computed from.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm import mixing, neardup, packing, pii, quality
-from panelmill.llm.common import free_name, table, written
+from panelmill.llm.common import free_name, noted, removed, table, written
 from panelmill.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,12 +37,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id and its text are one document. Documents without an id cannot be chosen by it and stay; so do those without words.
     """
-    marks = written(neardup.near_duplicates(docs.select("doc_id", "text"), 5, 80))
-    gone = marks.where("not kept").select("doc_id").distinct()
-    twice = marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(twice, "doc_id", "left_anti")
-    more = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    marks = neardup.near_duplicates(docs.select("doc_id", "text"), 5, 80).where("doc_id is not null")
+    ids = marks.groupBy("doc_id").agg(F.bool_and("kept").alias("_stays"), (F.count("*") > 1).alias("_again")).where("not _stays or _again")
+    # one exchange of the texts, planned alike at every size
+    stay, again = free_name(docs, "_stays", "_again")
+    ids = written(ids.withColumnsRenamed({"_stays": stay, "_again": again}))
+    told = docs.join(ids.hint("merge"), "doc_id", "left").where(F.coalesce(stay, F.lit(True)))
+    once = told.where(F.coalesce(~F.col(again), F.lit(True)))
+    more = told.where(again).dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -65,12 +69,28 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, vocabulary(), 2048)
 
 
+#: Tables of the stage that ran last.
+_LAST: list[str] = []
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage that first removes what the stage before it wrote on its way: that one's result is a table by now."""
+
+    @functools.wraps(fn)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, _LAST)
+        with noted(_LAST):
+            return fn(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("personal_data", pii_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("quality_rules", stage(quality_stage)),
+    ("near_duplicates", stage(near_duplicate_stage)),
+    ("personal_data", stage(pii_stage)),
+    ("mixing", stage(mixing_stage)),
+    ("packing", stage(packing_stage)),
 ]
 
 #: SQL can express neither the classifier nor the tokens; tests hold the stages against brute force.
@@ -78,8 +98,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each is written as a table that the next one reads."""
+    """Apply all stages to ``documents``; each is written as a table that the next one reads, and removed when that one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    before: list[str] = []
+    for _, work in STAGES[:-1]:
+        made: list[str] = []
+        out = work(spark, docs, sf_dir)
+        with noted(made):
+            docs = written(out)
+        removed(spark, before)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

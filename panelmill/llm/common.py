@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import sys
 import types
 import uuid
@@ -27,6 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lists that ``written`` adds the tables it makes to, the innermost last.
+_NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` which tables are written inside."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables, and let Spark delete the shuffle files of frames that nobody holds any more."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared checkpoint folder and read on from there.
 
@@ -36,6 +61,8 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _NOTED:
+        _NOTED[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
