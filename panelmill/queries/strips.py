@@ -15,7 +15,7 @@ PX = "SELECT CAST(floor(o_orderkey / 700) AS BIGINT) AS image_id, CAST(o_orderke
 GREY = "CASE WHEN o_orderkey % 700 % 175 < 70 THEN CAST(200 AS BIGINT) ELSE (o_custkey * 31 + x * (o_custkey % 17 + 3) * 7) % 256 END"
 PROTECT = """SELECT CAST(floor(l_orderkey / 700) AS BIGINT) AS image_id, 97 * (l_partkey % 7) + 5 * (l_orderkey % 4) AS y0,
   97 * (l_partkey % 7) + 5 * (l_orderkey % 4) + 6 AS y1 FROM {t}"""
-TARGETS = "SELECT CAST(floor(o_orderkey / 700) AS BIGINT) AS image_id, 45 * (o_custkey % 15) + 11 AS t FROM {t}"
+TARGETS = "SELECT CAST(floor(o_orderkey / 700) AS BIGINT) AS image_id, 95 * (o_custkey % 7) + 20 AS t FROM {t}"
 
 
 def on_strips(sql: str) -> str:

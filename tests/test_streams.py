@@ -26,6 +26,86 @@ def test_pages_are_planned_as_they_arrive(spark, tmp_path):
     assert run() == {("c1", 0): (0, 20, 1), ("c1", 1): (20, 40, 1), ("c2", 0): (0, 4, 0), ("c2", 1): (4, 8, 0)}
 
 
+def test_a_batch_reads_touched_chapters_only(spark, tmp_path):
+    src, table, plans, check = (tmp_path / n for n in ("in", "pages", "plans", "check"))
+    names = [f"c{i}" for i in range(6)]
+
+    def run():
+        A.plan_arrivals(A.arriving_images(spark, str(src)), str(table), str(plans), str(check), segments=2).awaitTermination()
+        return {(r.chapter, r.segment): (r.y0, r.y1) for r in A.current_plans(spark, str(plans)).collect()}
+
+    want = {}
+    for i, name in enumerate(names):
+        write(src / name, "1.png", 10 + 2 * i, 5)
+        want |= {(name, 0): (0, 5 + i), (name, 1): (5 + i, 10 + 2 * i)}
+    assert run() == want
+    write(src / "c1", "2.png", 4, 5)
+    want |= {("c1", 0): (0, 8), ("c1", 1): (8, 16)}
+    assert run() == want
+    write(src / "c2", "2.png", 6, 5)
+    want |= {("c2", 0): (0, 10), ("c2", 1): (10, 20)}
+    assert run() == want
+    of = {r.chapter: r.b for r in spark.createDataFrame([(n,) for n in names], "chapter string").select("chapter", A.bucket_of("chapter", 256).alias("b")).collect()}
+    assert len(set(of.values())) == len(names)
+    # what the third batch read and wrote: the folders of its own chapter
+    read = A.in_buckets(spark, str(table), [of["c2"]], 3)
+    assert [r.chapter for r in read.collect()] == ["c2", "c2"]
+    pruned = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in pruned and "batch" in pruned
+    assert [p.parent.name for p in plans.glob("bucket=*/batch=2")] == [f"bucket={of['c2']}"]
+    # a repeated batch changes nothing
+    for name in ("2", ".2.crc"):
+        (check / "commits" / name).unlink(missing_ok=True)
+    assert run() == want
+
+
+def test_progress_state_ends_with_the_job(spark, tmp_path):
+    src, told = tmp_path / "e", {}
+    schema = "job_id bigint, stage string, ts timestamp"
+
+    def batch(rows):
+        df = spark.createDataFrame(rows, "job_id bigint, stage string, s bigint").select("job_id", "stage", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        events = spark.readStream.schema(schema).parquet(str(src))
+        keep = lambda out, _: told.update({(r.job_id, r.stage): (r.done, r.closed) for r in out.collect()})
+        q = A.closing_progress(events, idle="1 hour").writeStream.foreachBatch(keep).outputMode("update")
+        q = q.option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"], told
+
+    size, rows = batch([(1, "clean", 10), (1, "clean", 20), (2, "stitch", 5), (3, "clean", 6)])
+    assert size == 3 and told == {(1, "clean"): (2, False), (2, "stitch"): (1, False), (3, "clean"): (1, False)}
+    size, rows = batch([(1, "clean", 30), (1, "end", 40), (2, "stitch", 50)])
+    assert size == 2 and rows[1, "clean"] == (3, True) and rows[1, "end"] == (1, True) and rows[2, "stitch"] == (2, False)
+    batch([(4, "clean", 20_000)])  # hours later: the idle jobs close
+    size, rows = batch([(4, "clean", 20_001)])
+    assert size == 1 and rows[4, "clean"] == (2, False)
+
+
+def test_links_are_given_once_for_good(spark, tmp_path):
+    src, seen, out, check = (str(tmp_path / n) for n in ("l", "seen", "out", "check"))
+
+    def again():
+        links = spark.readStream.schema("page_id bigint, img string, ts timestamp").parquet(src)
+        A.first_seen_for_good(links, seen, out, check, buckets=4).awaitTermination()
+        return sorted((r.page_id, r.img, int(r.ts.timestamp())) for r in spark.read.parquet(out).collect())
+
+    def batch(rows):
+        df = spark.createDataFrame(rows, "page_id bigint, img string, s bigint").select("page_id", "img", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        return again()
+
+    year = 365 * 86400
+    assert batch([(1, "a", 2), (1, "a", 1), (1, "b", 3), (2, "a", 4)]) == [(1, "a", 1), (1, "b", 3), (2, "a", 4)]
+    after = [(1, "a", 1), (1, "b", 3), (2, "a", 4), (3, "c", year)]
+    assert batch([(1, "a", year), (3, "c", year)]) == after
+    # a restart repeats the last batch
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    assert again() == after
+    assert batch([(3, "c", 2 * year), (2, "a", 2 * year)]) == after
+
+
 def test_collect_pages(spark, tmp_path):
     write(tmp_path / "in" / "c", "a.png", 3, 2)
     (tmp_path / "in" / "c" / "note.txt").write_text("x")
