@@ -6,7 +6,7 @@ dedupe and grouping stay inside the row: no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
 from ..functions.text import LINE_END, natural_key, strip
@@ -113,14 +113,19 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def largest_group(urls: DataFrame, key: str, min_best: int = 3, keep_if_at_least: int = 3) -> DataFrame:
-    """The fullest-directory rule over a link *table* (key, pos, img), for lists that are not one row."""
-    dirs = urls.withColumn("dir", U.directory(F.col("img")))
-    sizes = dirs.groupBy(key, "dir").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
-    best = sizes.groupBy(key).agg(
-        F.max_by(F.struct("dir", "c"), F.struct("c", (-F.col("p")).alias("q"))).alias("b"), F.sum("c").alias("all")
+    """The fullest-directory rule over a link *table* (key, pos, img), for lists that are not one row.
+
+    The links of a page's directory become one row before directories are compared, so a page is read and shuffled once.
+    """
+    dirs = urls.groupBy(key, U.directory(F.col("img")).alias("_dir")).agg(
+        F.count("*").alias("_c"), F.min("pos").alias("_p"), F.collect_list(F.struct(*[c for c in urls.columns if c != key])).alias("_rows")
     )
-    keep_all = (F.col("b.c") < min_best) & (F.col("all") >= keep_if_at_least)
-    return dirs.join(best, key).where(keep_all | (F.col("dir") == F.col("b.dir"))).select(urls["*"])
+    page = Window.partitionBy(key)
+    best = F.max(F.struct("_c", (-F.col("_p")).alias("q"), "_dir")).over(page)
+    ranked = dirs.withColumn("_best", best).withColumn("_all", F.sum("_c").over(page))
+    keep_all = (F.col("_best._c") < min_best) & (F.col("_all") >= keep_if_at_least)
+    kept = ranked.where(keep_all | F.col("_dir").eqNullSafe(F.col("_best._dir")))
+    return kept.select(key, F.explode("_rows").alias("_r")).select(*[F.col(c) if c == key else F.col(f"_r.`{c}`") for c in urls.columns])
 
 
 def choose_tier(attempts: DataFrame, min_pages: int = 3, key: str = "chapter") -> DataFrame:

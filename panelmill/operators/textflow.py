@@ -220,42 +220,74 @@ def prompt_lines(items: DataFrame, key: str = "chapter") -> DataFrame:
     ])
 
 
+def with_neighbours(items: DataFrame, key: str, of: str, bits: int = 16) -> DataFrame:
+    """Add ``_before`` and ``_after``: ``of`` of the item before and after by ``n`` inside the key, null where there is none.
+
+    Neighbours are found inside blocks of the order; across borders only a block's first and last item are looked at. Numbers may have gaps.
+    """
+    edges = items.groupBy(key, block("n", bits).alias("_blk")).agg(F.min_by(of, "n").alias("_first"), F.max_by(of, "n").alias("_last"))
+    outer, inner = Window.partitionBy(key).orderBy("_blk"), Window.partitionBy(key, "_blk").orderBy("n")
+    edges = edges.select(key, "_blk", F.lag("_last").over(outer).alias("_up"), F.lead("_first").over(outer).alias("_down"))
+    met = items.withColumn("_blk", block("n", bits)).join(edges, [key, "_blk"])
+    met = met.withColumn("_before", F.coalesce(F.lag(of).over(inner), F.col("_up"))).withColumn("_after", F.coalesce(F.lead(of).over(inner), F.col("_down")))
+    return met.drop("_blk", "_up", "_down")
+
+
+def _lines_of(rows: DataFrame, key: str, page: str, lines: list[tuple[Column, int, bool, bool, Column]]) -> DataFrame:
+    """Lines (when, sub, on a page, of an item, text) of each row, by one explode."""
+    zero = F.lit(0).cast("bigint")
+    parts = [
+        F.when(when, F.struct(
+            F.lit(1 if paged else sub).alias("part"), (F.col(page).cast("bigint") if paged else zero).alias("page"), F.lit(sub).alias("sub"),
+            (F.col("n").cast("bigint") if single else zero).alias("n"), text.alias("line"),
+        ))
+        for when, sub, paged, single, text in lines
+    ]
+    return rows.select(key, F.explode(F.array_compact(F.array(*parts))).alias("l")).select(key, "l.*")
+
+
 def transcript_json_lines(items: DataFrame, lang: str = "en", key: str = "chapter") -> DataFrame:
-    """Lines that, in order, form one JSON document per chapter: {chapter, lang, pages:[{page, items:[…]}]}."""
-    first_page = items.groupBy(key).agg(F.min("page").alias("_p"))
-    first_item = items.groupBy(key, "page").agg(F.min("n").alias("_n"))
-    pages = first_item.join(first_page, key)
-    rows = items.join(first_item, [key, "page"])
+    """Lines that, in order, form one JSON document per chapter: {chapter, lang, pages:[{page, items:[…]}]}.
+
+    An item's neighbours say where pages and the document start and end; one explode gives its lines.
+    """
     body = F.to_json(F.struct("n", "kind", F.array("x", "y", "w", "h").alias("bbox"), "text", "conf"))
-    head = F.concat(F.lit('{"chapter": '), F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(f', "lang": "{lang}", "pages": ['))
-    return _stack([
-        _line(first_page, [key], 0, head),
-        _line(pages, [key], 1, F.concat(F.when(F.col("page") == F.col("_p"), "").otherwise(","), F.lit('{"page": '), F.col("page").cast("string"), F.lit(', "items": [')), F.col("page")),
-        _line(rows, [key], 2, F.concat(F.when(F.col("n") == F.col("_n"), "").otherwise(","), body), F.col("page"), F.col("n")),
-        _line(pages, [key], 3, F.lit("]}"), F.col("page")),
-        _line(first_page, [key], 4, F.lit("]}")),
+    rows = with_neighbours(items.select(key, "n", "page", body.alias("_body")), key, "page")
+    first, last = F.col("_before").isNull(), F.col("_after").isNull()
+    opens, closes = first | (F.col("_before") != F.col("page")), last | (F.col("_after") != F.col("page"))
+    comma = lambda at: F.when(at, "").otherwise(",")
+    quoted = F.to_json(F.array(F.col(key).cast("string")))
+    head = F.concat(F.lit('{"chapter": '), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(f', "lang": "{lang}", "pages": ['))
+    return _lines_of(rows, key, "page", [
+        (first, 0, False, False, head),
+        (opens, 1, True, False, F.concat(comma(first), F.lit('{"page": '), F.col("page").cast("string"), F.lit(', "items": ['))),
+        (F.lit(True), 2, True, True, F.concat(comma(opens), F.col("_body"))),
+        (closes, 3, True, False, F.lit("]}")),
+        (last, 4, False, False, F.lit("]}")),
     ])
 
 
 def layout_json_lines(segments: DataFrame, items: DataFrame, lang: str = "en", key: str = "chapter") -> DataFrame:
-    """Lines of one layout document per chapter: {chapter, lang, segments:[{image, width, height, items:[…]}]}."""
-    first_seg = segments.groupBy(key).agg(F.min("pack").alias("_p"))
-    first_item = items.groupBy(key, "pack").agg(F.min("n").alias("_n"))
-    segs = segments.join(first_seg, key)
-    rows = items.join(first_item, [key, "pack"])
+    """Lines of one layout document per chapter: {chapter, lang, segments:[{image, width, height, items:[…]}]}.
+
+    What opens and closes the document comes from the few segments, commas between items from their neighbours.
+    """
+    segs = segments.select(key, F.struct("pack", "image", "width", "height").alias("s")).groupBy(key).agg(F.min("s.pack").alias("_p"), F.max("s.pack").alias("_z"))
+    segs = segments.join(segs, key)
+    body = F.to_json(F.struct("n", F.array("x", "y", "w", "h").alias("bbox"), F.col("text").alias("src"), "kind"))
+    rows = with_neighbours(items.select(key, "n", "pack", body.alias("_body")), key, "pack")
+    opens = F.col("_before").isNull() | (F.col("_before") != F.col("pack"))
     quoted = F.to_json(F.struct(F.col(key).cast("string").alias("chapter"), F.lit(lang).alias("lang")))
     head = F.concat(F.regexp_replace(quoted, "\\}$", ""), F.lit(',"segments": ['))
     seg = F.regexp_replace(F.to_json(F.struct("image", "width", "height")), "\\}$", "")
-    body = F.to_json(F.struct("n", F.array("x", "y", "w", "h").alias("bbox"), F.col("text").alias("src"), "kind"))
-    comma = lambda a, b: F.when(F.col(a) == F.col(b), "").otherwise(",")
-    pack = F.col("pack")
-    return _stack([
-        _line(first_seg, [key], 0, head),
-        _line(segs, [key], 1, F.concat(comma("pack", "_p"), seg, F.lit(',"items": [')), pack),
-        _line(rows, [key], 2, F.concat(comma("n", "_n"), body), pack, F.col("n")),
-        _line(segs, [key], 3, F.lit("]}"), pack),
-        _line(first_seg, [key], 4, F.lit("]}")),
+    comma = lambda at: F.when(at, "").otherwise(",")
+    around = _lines_of(segs.withColumn("n", F.lit(0)), key, "pack", [
+        (F.col("pack") == F.col("_p"), 0, False, False, head),
+        (F.lit(True), 1, True, False, F.concat(comma(F.col("pack") == F.col("_p")), seg, F.lit(',"items": ['))),
+        (F.lit(True), 3, True, False, F.lit("]}")),
+        (F.col("pack") == F.col("_z"), 4, False, False, F.lit("]}")),
     ])
+    return around.unionByName(_lines_of(rows, key, "pack", [(F.lit(True), 2, True, True, F.concat(comma(opens), F.col("_body")))]))
 
 
 def project_lines(segments: DataFrame, key: str = "chapter") -> DataFrame:

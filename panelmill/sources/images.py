@@ -19,12 +19,21 @@ def folder_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)/[^/]*$", 1)
 
 
-def scan_images(spark: SparkSession, path: str, exts=FOLDER_EXTS, content: bool = False) -> DataFrame:
+def folder_of(spark: SparkSession, path: str) -> str:
+    """The folder that a path stands for: itself, or the one that holds a single file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    single = files.exists(place) and files.getFileStatus(place).isFile()
+    return place.getParent().toString() if single else path
+
+
+def scan_images(spark: SparkSession, path: str, exts=FOLDER_EXTS, content: bool = False, alone: bool = False) -> DataFrame:
     """Image files below ``path``: (path, chapter, fname, length[, content]).
 
     Suffixes match in any case. Without ``content`` the file bodies are never read. A
-    single file stands for itself.
+    single file stands for its folder, or for itself if ``alone`` (images to be split one by one).
     """
+    path = path if alone else folder_of(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     keep = ["path", folder_name(F.col("path")).alias("chapter"), base_name(F.col("path")).alias("fname"), "length"]
     return files.where(has_ext(F.col("path"), exts)).select(*keep, *(["content"] if content else []))
@@ -36,15 +45,22 @@ def in_reading_order(files: DataFrame, key: str = "chapter", name: str = "fname"
     return rank_rows(keyed, [key], ["_k", name], "seq").drop("_k")
 
 
+def decode_flagged(spark: SparkSession, path: str) -> DataFrame:
+    """Each file once: (origin, ok, height, width, n_channels, data), three colour bytes per pixel where ``ok``."""
+    img = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    ok = F.col("height") > 0
+    only = {c: F.when(ok, F.col(c)) for c in ("height", "width", "data")} | {"n_channels": F.when(ok, F.col("nChannels"))}
+    return three_channels(img.select("origin", ok.alias("ok"), *[v.alias(k) for k, v in only.items()]))
+
+
 def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Decoded images and undecodable files, as two tables.
 
     The first holds (origin, height, width, n_channels, data); the second (origin), to be
-    reported rather than lost.
+    reported rather than lost. A caller that wants both writes ``decode_flagged`` once instead.
     """
-    img = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
-    good = img.where("height > 0").select("origin", "height", "width", F.col("nChannels").alias("n_channels"), "data")
-    return three_channels(good), img.where("height <= 0").select("origin")
+    img = decode_flagged(spark, path)
+    return img.where("ok").drop("ok").select("origin", "height", "width", "n_channels", "data"), img.where("not ok").select("origin")
 
 
 def three_channels(images: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def test_transcript_json_round_trip(spark, tmp_path):
         (1, 0, 1, "bubble", 1, 4, 'say "hi"', 0.91), (1, 1, 2, "sfx", 5, 8, "ប៊ូម\\", 0.5), (3, 0, 3, "bubble", 0, 1, "end", 1.0)]
 
 
+def test_json_commas_over_gaps_and_blocks(spark):
+    rows = [("c", p, n, "k", 1, 1, 1, 1, f"t{n}", 0.5) for p, n in ((1, 1), (1, 5), (4, 9), (4, 200_000), (4, 5_000_000), (7, 5_000_001))]
+    gappy = spark.createDataFrame(rows, items(spark).schema.simpleString()[7:-1].replace(":", " ").replace("n int", "n bigint"))
+    doc = json.loads(joined(T.transcript_json_lines(gappy), "c"))
+    assert [(p["page"], [i["n"] for i in p["items"]]) for p in doc["pages"]] == [(1, [1, 5]), (4, [9, 200_000, 5_000_000]), (7, [5_000_001])]
+    got = T.with_neighbours(gappy, "chapter", "page", bits=1).orderBy("n").collect()
+    assert [(r["_before"], r["_after"]) for r in got] == [(None, 1), (1, 4), (1, 4), (4, 4), (4, 7), (4, None)]
+
+
 def test_layout_json_round_trip(spark, tmp_path):
     segs = spark.createDataFrame([("c1", 1, "canvas_001.png", 700, 900), ("c1", 2, "canvas_002.png", 700, 50)], "chapter string, pack int, image string, width int, height int")
     its = items(spark).where("chapter = 'c1'").withColumn("pack", F.lit(1))

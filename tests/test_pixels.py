@@ -38,6 +38,11 @@ def test_folder_scan_order_and_decode(spark, tmp_path):
     (folder / "note.txt").write_text("x")
     files = S.in_reading_order(S.scan_images(spark, str(tmp_path)))
     assert [r.fname for r in files.orderBy("seq").collect()] == ["2.png", "10.PNG", "bad.png"]
+    one = str(folder / "2.png")
+    assert S.scan_images(spark, one).count() == 3 and S.scan_images(spark, one, alone=True).count() == 1
+    flagged = S.decode_flagged(spark, str(tmp_path / "*" / "*.[pP][nN][gG]"))
+    assert sorted((r.ok, r.height, r.n_channels) for r in flagged.collect() if r.ok) == [(True, 2, 3), (True, 3, 3)]
+    assert [(r.height, r.data) for r in flagged.where("not ok").collect()] == [(None, None)]
     good, bad = S.decode_images(spark, str(tmp_path / "*" / "*.[pP][nN][gG]"))
     assert bad.count() == 1
     got = {(r.height, r.width): array(r) for r in good.collect()}
