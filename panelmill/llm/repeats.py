@@ -17,8 +17,8 @@ ANCHOR = 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 EDGE = 0xFF  # never a byte of UTF-8
 SLICE = 1 << 20
-SHARD_WINDOWS = 30_000
-SETTLE_ROWS = 500_000
+SHARD_WINDOWS = 12_000
+SETTLE_ROWS = 200_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -200,6 +200,29 @@ def first_owners(windows: np.ndarray, owner: np.ndarray, length: int) -> np.ndar
     return np.where(whole[:, : wide - length + 1], out, far)
 
 
+def owners_by_offset(windows: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """What ``first_owners`` gives, for more windows of one anchor than an index holds.
+
+    Strings that share an anchor have it at the same offset, so each offset is settled by itself: its strings are sorted, and equal ones take
+    their smallest owner. Memory holds one offset's strings.
+    """
+    n, wide = windows.shape
+    far = np.iinfo(np.int64).max
+    out = np.full((n, wide - length + 1), far)
+    for at in range(wide - length + 1):
+        part = np.ascontiguousarray(windows[:, at : at + length])
+        whole = np.flatnonzero((part != EDGE).all(axis=1))
+        if not len(whole):
+            continue
+        part = part[whole].view(f"V{length}").ravel()
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        least = np.minimum.reduceat(owner[whole][order], first)
+        out[whole[order], at] = np.repeat(least, np.diff(np.append(first, len(order))))
+    return out
+
+
 def promising(windows: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Windows that may share a string of ``length`` with another of their group.
 
@@ -220,7 +243,7 @@ def promising(windows: np.ndarray, group: np.ndarray, length: int) -> np.ndarray
     return keep
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Bytes to remove from each document of ``docs`` (doc_id long, text): (doc_id, n_bytes, spans, kept_sha256[, kept]).
 
     A byte is removed when a string of ``length`` bytes that covers it also starts in a document with a smaller id. Strings are judged on
@@ -356,7 +379,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
             group, low = t.column(0).to_numpy(), t.column(3).to_numpy()
             data = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(group), -1)
             good = np.flatnonzero(promising(data, group, length))
-            best = first_owners(data[good], low[good], length) if len(good) else np.zeros((0, 1), np.int64)
+            owners = first_owners if len(good) <= 2 * SHARD_WINDOWS else owners_by_offset
+            best = owners(data[good], low[good], length) if len(good) else np.zeros((0, 1), np.int64)
             less = best < low[good][:, None]
             some = np.flatnonzero(less.any(axis=1))
             took = t.take(pa.array(good[some], pa.int64()))

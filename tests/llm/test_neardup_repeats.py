@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from panelmill.llm import neardup, repeats
@@ -125,3 +126,31 @@ def test_index_is_split_by_anchor(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], sum(s["end"] - s["start"] for s in r["spans"])) for r in repeats.remove_repeats(df).collect()))
     assert got == sorted((r[0], r[2]) for r in removal(rows, 50))
+
+
+def test_one_passage_in_many_documents(spark, monkeypatch):
+    """More windows under one anchor than an index holds: each document goes on in its own way after a common passage."""
+    monkeypatch.setattr(repeats, "SHARD_WINDOWS", 20)
+    rng = random.Random(7)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    own = lambda: "".join(rng.choice("uvwxyz") for _ in range(rng.randint(30, 60)))
+    rows = [(i, own() + common + own()) for i in range(300)] + [(1000 + i, own() + common[:60] + rng.choice(["p" * 20, "q" * 20]) + own()) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], sum(s["end"] - s["start"] for s in r["spans"])) for r in repeats.remove_repeats(df).collect()))
+    assert got == sorted((r[0], r[2]) for r in removal(rows, 50))
+
+
+def test_owners_by_offset_equal_the_index():
+    rng = np.random.default_rng(5)
+    for symbols in (2, 3):
+        windows = rng.integers(97, 97 + symbols, (60, 24)).astype(np.uint8)
+        windows[10:30, 4:] = windows[0, 4:]
+        windows[40:50, 20:] = repeats.EDGE
+        owner = rng.permutation(60)
+        # each offset by itself, as strings of one anchor are
+        got = repeats.owners_by_offset(windows, owner, 12)
+        for i in range(60):
+            for at in range(13):
+                s = windows[i, at : at + 12]
+                same = [owner[k] for k in range(60) if (windows[k, at : at + 12] == s).all()]
+                assert got[i, at] == (min(same) if (s != repeats.EDGE).all() else np.iinfo(np.int64).max)
