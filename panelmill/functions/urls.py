@@ -77,11 +77,50 @@ def name_from_url(u: Column) -> Column:
     return F.coalesce(*named, F.nullif(last, F.lit("")), F.lit("chapter"))
 
 
-def detect_chapter(u: Column) -> Column:
-    """struct<n, start, stop> of the chapter number in a URL (0-based span), or null.
+# digits that are added up as a number; those before them only take a carry
+LOW = 18
 
-    ``n`` is null for a run of more than 38 digits, which no exact number type holds; its span is still given.
-    """
+
+def whole(digits: Column) -> Column:
+    """A run of ASCII digits without leading zeros."""
+    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
+
+
+def _one_more(digits: Column) -> Column:
+    """The next whole number: the last digit that is no nine goes up, nines behind it turn to zero."""
+    nines = F.length(digits) - F.length(F.rtrim(digits, F.lit("9")))
+    kept = F.left(digits, F.length(digits) - nines)
+    last = F.when(kept == "", "1").otherwise((F.right(kept, F.lit(1)).cast("int") + 1).cast("string"))
+    return F.concat(F.left(kept, F.greatest(F.length(kept) - 1, F.lit(0))), last, F.repeat(F.lit("0"), nines))
+
+
+def add_to_digits(digits: Column, k: Column) -> Column:
+    """A whole number of any length, as digits, plus a number from 0 to 10 ** 18 - 1."""
+    low = F.right(digits, F.lit(LOW)).cast("decimal(38,0)") + k.cast("decimal(38,0)")
+    high = F.left(digits, F.greatest(F.length(digits) - LOW, F.lit(0)))
+    top = F.lit(10**LOW)
+    kept = F.lpad(F.when(low >= top, low - top).otherwise(low).cast("decimal(19,0)").cast("string"), LOW, "0")
+    return whole(F.concat(F.when(low >= top, F.when(high == "", "1").otherwise(_one_more(high))).otherwise(high), kept))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """How far the whole number b lies above a (both digits of any length), at least 0; null from 10 ** 18 on."""
+    size = F.greatest(F.length(a), F.length(b), F.lit(LOW))
+    return let(
+        F.struct(F.lpad(a, size, "0").alias("a"), F.lpad(b, size, "0").alias("b")),
+        lambda p: let(
+            F.struct(
+                F.left(p.a, F.length(p.a) - LOW).alias("ha"), F.left(p.b, F.length(p.b) - LOW).alias("hb"),
+                (F.right(p.b, F.lit(LOW)).cast("bigint") - F.right(p.a, F.lit(LOW)).cast("bigint")).alias("low"),
+            ),
+            lambda q: F.when(p.b <= p.a, F.lit(0).cast("bigint")).when(q.ha == q.hb, q.low)
+            .when((_one_more(q.ha) == q.hb) & (q.low < 0), q.low + 10**LOW),
+        ),
+    )
+
+
+def detect_chapter(u: Column) -> Column:
+    """struct<n, start, stop> of the chapter number in a URL (0-based span), or null; ``n`` is its digits without leading zeros, however many."""
 
     def found(match: Column) -> Column:
         digits = match.digits
@@ -89,7 +128,7 @@ def detect_chapter(u: Column) -> Column:
         return F.when(
             digits != "",
             F.struct(
-                F.when(F.length(digits) <= 38, digits.try_cast("decimal(38,0)")).alias("n"),
+                whole(digits).alias("n"),
                 start.alias("start"),
                 (start + F.length(digits)).alias("stop"),
             ),
@@ -107,7 +146,7 @@ def detect_chapter(u: Column) -> Column:
     ladder = [attempt(f"(?is)^(.*?{lead})(\\d+){tail}") for lead, tail in CHAPTER_PATTERNS]
     tail = let(
         attempt("(?s)^([^?#]*[^?#\\d])(\\d{1,4})[^\\d?#]*(?:[?#]|$)"),
-        lambda m: F.when(m.n.between(1, 9999), m),
+        lambda m: F.when(m.n != "0", m),
     )
     return F.coalesce(*ladder, tail)
 

@@ -16,20 +16,21 @@ WINDOW = 10
 def expand_batch(sources: DataFrame, start: int | None = None, end: int | None = None, strict: bool = True) -> DataFrame:
     """One row per chapter address: start..end, by default the detected number and the nine after it.
 
-    An end before the start still gives one chapter. A source without a chapter number, or with
-    one of more than 38 digits, is an error (``strict``) or dropped.
+    Chapter numbers (``ch``) are digits of any length. An end before the start still gives one chapter. A source without a chapter
+    number is an error (``strict``) or dropped; so is, always as an error, a range of 10 ** 18 chapters or more.
     """
     found = sources.withColumn("_d", U.detect_chapter(F.col("url")))
     if strict:
         message = F.concat(F.lit("no chapter number in "), F.col("url"))
-        found = found.withColumn("_d", F.when(F.col("_d.n").isNull(), F.raise_error(message)).otherwise(F.col("_d")))
-    found = found.where("_d.n is not null")
-    first = F.col("_d.n") if start is None else F.lit(start).cast("decimal(38,0)")
-    last = first + (WINDOW - 1) if end is None else F.lit(end).cast("decimal(38,0)")
-    steps = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), last - first).cast("bigint"))
+        found = found.withColumn("_d", F.when(F.col("_d").isNull(), F.raise_error(message)).otherwise(F.col("_d")))
+    found = found.where("_d is not null")
+    first = F.col("_d.n") if start is None else F.lit(str(start))
+    more = F.lit(WINDOW - 1).cast("bigint")
+    if end is not None:
+        more = F.coalesce(U.distance(first, F.lit(str(end))), F.raise_error(F.concat(F.lit("too many chapters for "), F.col("url"))).cast("bigint"))
     return (
-        found.withColumn("_k", F.explode_outer(steps))
-        .withColumn("ch", (first + F.col("_k")).cast("decimal(38,0)"))
+        found.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), more)))
+        .withColumn("ch", U.add_to_digits(first, F.col("_k")))
         .withColumn("chapter_url", U.make_url(F.col("url"), F.col("_d"), F.col("ch")))
         .withColumn("bundle", F.concat(F.lit("chapter_"), padded(F.col("ch")), F.lit(".zip")))
         .drop("_d", "_k")
