@@ -150,11 +150,44 @@ def rescale_images(images: DataFrame, rule: str = "stitch") -> DataFrame:
 RED = (0, 0, 255)
 
 
+WHITE = (255, 255, 255)
+# Digits of five rows with three dots, drawn STROKE pixels a dot, MARGIN pixels inside their tag.
+DIGITS = {
+    "0": "### #.# #.# #.# ###", "1": ".#. ##. .#. .#. ###", "2": "### ..# ### #.. ###", "3": "### ..# .## ..# ###", "4": "#.# #.# ### ..# ..#",
+    "5": "### #.. ### ..# ###", "6": "### #.. ### #.# ###", "7": "### ..# .#. .#. .#.", "8": "### #.# ### #.# ###", "9": "### #.# ### ..# ###",
+}
+STROKE, MARGIN = 3, 3
+
+
+def digit_dots(number: str) -> np.ndarray:
+    """Dots of a number's digits, one dot apart, at STROKE pixels a dot."""
+    rows = [".".join(DIGITS[d].split()[i] for d in number) for i in range(5)]
+    return np.kron(np.array([[c == "#" for c in r] for r in rows]), np.ones((STROKE, STROKE), bool))
+
+
+def draw_number(img: np.ndarray, number: str, x: int, y: int) -> None:
+    """A red tag with white digits on top of the corner (x, y), moved down where the image ends; what lies outside is cut off."""
+    dots = np.pad(digit_dots(number), MARGIN)
+    top, left = max(0, y - dots.shape[0]), max(0, x)
+    place = img[top : top + dots.shape[0], left : left + dots.shape[1]]
+    place[:] = RED
+    place[dots[: place.shape[0], : place.shape[1]]] = WHITE
+
+
 def overlay_boxes(images: DataFrame, items: DataFrame) -> DataFrame:
-    """Draw a two-pixel red outline around every item (x, y, w, h); the numbers stay in the table."""
-    lists = items.select("image_id", "x", "y", "w", "h").distinct().groupBy("image_id").agg(
-        F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes")
-    )
+    """Draw a two-pixel red outline around every item (x, y, w, h), and its number above it where items have ``n``."""
+    shape = ["x", "y", "w", "h", *(["n"] if "n" in items.columns else [])]
+    lists = items.select("image_id", *shape).distinct().groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*reversed(shape)))).alias("boxes"))
+
+    def outline(img: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> None:
+        rows, cols = slice(max(0, y1 - 1), max(0, y2 + 1)), slice(max(0, x1 - 1), max(0, x2 + 1))
+        if x2 - x1 <= 2 or y2 - y1 <= 2:  # no room inside
+            img[rows, cols] = RED
+            return
+        for a in (y1, y2):
+            img[max(0, a - 1) : max(0, a + 1), cols] = RED
+        for a in (x1, x2):
+            img[rows, max(0, a - 1) : max(0, a + 1)] = RED
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,15 +195,9 @@ def overlay_boxes(images: DataFrame, items: DataFrame) -> DataFrame:
             for h, w, data, boxes in zip(pdf["height"], pdf["width"], pdf["data"], pdf["boxes"]):
                 img = as_array(data, h, w).copy()
                 for b in [] if boxes is None else boxes:
-                    x1, y1, x2, y2 = b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]
-                    rows, cols = slice(max(0, y1 - 1), max(0, y2 + 1)), slice(max(0, x1 - 1), max(0, x2 + 1))
-                    if x2 - x1 <= 2 or y2 - y1 <= 2:  # no room inside
-                        img[rows, cols] = RED
-                        continue
-                    for a, b in ((y1 - 1, y1 + 1), (y2 - 1, y2 + 1)):
-                        img[max(0, a) : max(0, b), cols] = RED
-                    for a, b in ((x1 - 1, x1 + 1), (x2 - 1, x2 + 1)):
-                        img[rows, max(0, a) : max(0, b)] = RED
+                    outline(img, b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"])
+                    if "n" in shape and b["n"] is not None:
+                        draw_number(img, str(abs(int(b["n"]))), b["x"], b["y"])
                 drawn.append(img.tobytes())
             yield pd.DataFrame({"image_id": pdf["image_id"], "height": pdf["height"], "width": pdf["width"], "data": drawn})
 

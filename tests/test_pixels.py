@@ -99,6 +99,19 @@ def test_overlay(spark):
     assert tuple(out[5, 9]) == (0, 0, 255) and tuple(out[11, 9]) == (0, 0, 255) and not out[8, 9].any() and not out[2, 2].any()
 
 
+def test_numbers_above_boxes(spark):
+    img = np.zeros((90, 80, 3), np.uint8)
+    items = spark.createDataFrame([(1, 10, 40, 30, 20, 17), (1, 60, 5, 10, 10, 8), (1, 70, 60, 9, 9, 123)], "image_id int, x int, y int, w int, h int, n int")
+    out = array(P.overlay_boxes(frame(spark, {1: img}), items).first())
+    dots = P.digit_dots("17")
+    assert dots.shape == (15, 21) and dots[:3, 3:6].all() and not dots[:3, :3].any() and dots[:3, 12:].all()
+    tag = out[40 - 21 : 40, 10:37]
+    assert (tag[:3] == (0, 0, 255)).all() and (tag[3:18, 3:24][dots] == 255).all() and (tag[3:18, 3:24][~dots] == (0, 0, 255)).all()
+    assert (out[3:18, 63:72][P.digit_dots("8")] == 255).all()  # moved down at the upper edge
+    assert (out[60 - 21 : 60, 79] == (0, 0, 255)).any() and tuple(out[55, 25]) == (0, 0, 0)
+    assert len({P.digit_dots(str(d)).tobytes() for d in range(10)}) == 10
+
+
 def test_panels_from_canvases(spark):
     rng = np.random.default_rng(0)
     img = rng.integers(0, 256, (200, 40, 3)).astype(np.uint8)
