@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ class Words:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         code = per_process("cased codes", Codes).__getitem__
-        self.codes = np.fromiter((code(x) for w in self.words for x in w), np.uint64, int(self.sizes.sum()))
+        self.codes = np.fromiter(map(code, itertools.chain.from_iterable(self.words)), np.uint64, int(self.sizes.sum()))
         many = np.maximum(self.sizes - length + 1, 0)
         #: text and first word of each window
         self.doc = np.repeat(np.arange(len(texts)), many)
@@ -68,8 +69,10 @@ class Words:
         return mix((done[at + self.length] - done[at]) * powers(BACK, n)[at]) if n else np.zeros(0, np.uint64)
 
 
-def text_code(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
+def text_code(text: str | None) -> tuple[int, int]:
+    """A code of 128 bits, in two halves."""
+    x = xxhash.xxh3_128_intdigest((text or "").encode())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
 def sliced(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -130,23 +133,27 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             everything = batch.column(1).to_pylist()
             for a, b in sliced(everything):
                 texts, ids, chunk = everything[a:b], batch.column(0).to_numpy()[a:b], batch.column(2).to_numpy()[a:b].astype(np.int64)
-                code = np.array([text_code(t) for t in texts], np.int64)
+                code, half = np.array([text_code(t) for t in texts], np.int64).reshape(-1, 2).T
                 words = Words(texts, length)
                 place, h = words.anchors()
                 new = np.append(True, place[1:] != place[:-1])[: len(place)]
                 d, h = words.doc[new], h[new].view(np.int64)
-                for copy, keys, low in ((False, (h, chunk[d]), code[d]), (True, (code, chunk), ids)):
-                    (k, c), low, high = spread(keys, low, low)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), copy)), pa.array(k), pa.array(c.astype(np.int32)), pa.array(low), pa.array(high)], ["copy", "h", "chunk", "low", "high"])
+                for copy, keys, low in ((False, (h, np.zeros(len(h), np.int64), chunk[d]), code[d]), (True, (code, half, chunk), ids)):
+                    (k, k2, c), low, high = spread(keys, low, low)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), copy)), pa.array(k), pa.array(k2), pa.array(c.astype(np.int32)), pa.array(low), pa.array(high)], ["copy", "h", "h2", "chunk", "low", "high"])
 
-    named = own.withColumn("chunk", chunk_of(chunks)).mapInArrow(name, "copy boolean, h long, chunk int, low long, high long")
+    named = own.withColumn("chunk", chunk_of(chunks)).mapInArrow(name, "copy boolean, h long, h2 long, chunk int, low long, high long")
     # a chunk's rows of a key are one before the key's rows meet, so a window holds a row for each chunk at most
-    named = named.groupBy("copy", "h", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    one = Window.partitionBy("copy", "h")
-    asked = named.select("copy", "h", F.col("chunk").alias("of"), F.min("low").over(one).alias("low"), F.max("high").over(one).alias("high"), (F.count("*").over(one) > MANY_CHUNKS).alias("many"))
+    named = named.groupBy("copy", "h", "h2", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    one = Window.partitionBy("copy", "h", "h2")
+    asked = named.select("copy", "h", "h2", F.col("chunk").alias("of"), F.min("low").over(one).alias("low"), F.max("high").over(one).alias("high"), (F.count("*").over(one) > MANY_CHUNKS).alias("many"))
     asked = written(asked.where("low < high").drop("high"))
     dealt = deal(own, chunks)
 
+    def firsts(copies: pa.Table) -> dict[tuple[int, int], int]:
+        """The first document of each text that several hold."""
+        return dict(zip(zip(copies["h"].to_pylist(), copies["h2"].to_pylist(), strict=True), copies["low"].to_pylist(), strict=True))
+
     class Chunk:
         """The documents of a chunk; of equal texts the first document's, unless another chunk holds it."""
 
@@ -155,7 +162,7 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             self.ids, self.texts = self.rows["doc_id"].to_pylist(), self.rows["text"].to_pylist()
             self.code = [text_code(t) for t in self.texts]
             copies, anchors = theirs.filter(theirs["copy"]), theirs.filter(pa.compute.invert(theirs["copy"])).sort_by("h")
-            self.first = dict(zip(copies["h"].to_pylist(), copies["low"].to_pylist(), strict=True))
+            self.first = firsts(copies)
             self.shared, self.many = anchors["h"].to_numpy(), anchors["many"].to_numpy()
 
         def leads(self) -> list[int]:
@@ -185,7 +192,7 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
         chunk, held = mine["chunk"][0].as_py() if mine.num_rows else 0, Chunk(mine, theirs)
         out = []
         for words, lead, at, _, h, _ in held.passages(crowded=True):
-            code = np.array([held.code[i] for i in lead], np.int64)[np.searchsorted(words.starts, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
+            code = np.array([held.code[i][0] for i in lead], np.int64)[np.searchsorted(words.starts, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
             (w, a), low, high = spread((words.hashes(at).view(np.int64), h), code, code)
             out.append(pa.table({"w": w, "anchor": a, "chunk": pa.array(np.full(len(w), chunk), pa.int32()), "low": low, "high": high}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("w", pa.int64()), ("anchor", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("high", pa.int64()))})
@@ -198,7 +205,7 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
     again = looked_up(again, written(crowd), ["anchor"], ["w"]).select("of", "w", F.coalesce("hot", F.lit(False)).alias("hot"))
     none = lambda t: F.lit(None).cast(t)
     # what a chunk asked for in the first round goes with it into the second
-    wanted = again.select("of", none("boolean").alias("copy"), F.col("w").alias("h"), none("long").alias("low"), none("boolean").alias("many"), "hot").unionByName(
+    wanted = again.select("of", none("boolean").alias("copy"), F.col("w").alias("h"), none("long").alias("h2"), none("long").alias("low"), none("boolean").alias("many"), "hot").unionByName(
         asked.withColumn("hot", none("boolean"))
     )
 
@@ -225,7 +232,7 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
                 d = int(doc[a])
                 lo = int(at[a] - words.starts[d])
                 data = b" ".join(words.words[d][lo : lo + b - a - 1 + length])
-                pieces.setdefault((int(key[a]), data), []).append((held.ids[lead[d]], held.code[lead[d]], lo))
+                pieces.setdefault((int(key[a]), data), []).append((held.ids[lead[d]], held.code[lead[d]][0], lo))
         low = [min(x)[0] for x in pieces.values()]
         refs = [np.array([y[1:] for y in x], np.int64).tobytes() for x in pieces.values()]
         return pa.table({
@@ -253,16 +260,15 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             yield pa.RecordBatch.from_arrays([t.column(3), t.column(4), pa.array([owners[i] for i in row], pa.binary())], ["of", "refs", "owners"])
 
     found = pieces.mapInArrow(index, "of int, refs binary, owners binary")
-    answers = asked.where("copy").select("of", F.col("h").alias("code"), "low", none("binary").alias("refs"), none("binary").alias("owners")).unionByName(
-        found.select("of", none("long").alias("code"), none("long").alias("low"), "refs", "owners")
+    answers = asked.where("copy").select("of", "h", "h2", "low", none("binary").alias("refs"), none("binary").alias("owners")).unionByName(
+        found.select("of", none("long").alias("h"), none("long").alias("h2"), none("long").alias("low"), "refs", "owners")
     )
 
     def remove(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         rows = unpacked(mine)
         ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
-        copy = theirs["code"].is_valid()
-        copies, found = theirs.filter(copy), theirs.filter(pa.compute.invert(copy))
-        first = dict(zip(copies["code"].to_pylist(), copies["low"].to_pylist(), strict=True))
+        copy = theirs["h"].is_valid()
+        first, found = firsts(theirs.filter(copy)), theirs.filter(pa.compute.invert(copy))
         owners: dict[int, list[tuple[int, bytes]]] = {}
         for refs, best in zip(found["refs"].to_pylist(), found["owners"].to_pylist(), strict=True):
             for code, lo in np.frombuffer(refs, np.int64).reshape(-1, 2).tolist():
@@ -275,9 +281,9 @@ def remove_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
             if d is not None and len(words) >= length:
                 if first.get(code, d) < d:
                     gone[:] = True
-                elif code in owners:
+                elif code[0] in owners:
                     turn = np.zeros(len(words) + 1, np.int32)
-                    for lo, best in owners[code]:
+                    for lo, best in owners[code[0]]:
                         at = np.flatnonzero(np.frombuffer(best, np.int64) < d) + lo
                         np.add.at(turn, at, 1), np.add.at(turn, at + length, -1)
                     gone = np.cumsum(turn[:-1]) > 0
