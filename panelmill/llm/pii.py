@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 ROUNDS = 8
-#: A cycle of the calendar, 400 years of 146097 = 189 * 773 days. Fixed values.
-EPOCH, DAYS, DAYS_A, DAYS_B = "1800-01-01", 146_097, 189, 773
-#: Its 4800 months have 88497 = 9 * 9833 days after the twelfth.
-MONTHS, LATE_A, LATE_B = 4800, 9, 9833
+#: The 4800 months of 400 years have 57600 = 240 * 240 days up to the twelfth and 88497 = 9 * 9833 after it. Fixed values.
+EPOCH, MONTHS = "1800-01-01", 4800
+EARLY_A, EARLY_B, LATE_A, LATE_B = 240, 240, 9, 9833
+#: Digits of a card number.
+CARD_LEAST, CARD_MOST = 13, 19
 
 #: What is looked for, in this order at each place.
 SHAPES = {
@@ -22,9 +23,10 @@ SHAPES = {
     "dotted": r"(?<![\p{N}.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\.?\p{N})",
     "slashed": r"(?<![\p{N}/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?!/?\p{N})",
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\p{N})",
-    "national": r"(?<![\p{L}\p{N}+.-])(?![0-9](?:[ -]?[0-9]){12,18}(?![\p{N}]))(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![.-]?\p{N})",
+    "national": r"(?<![\p{L}\p{N}+.-])(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![.-]?\p{N})",
+    "trunk": r"(?<![\p{L}\p{N}+.-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![ .-]?\p{N})",
     "social": r"(?<![\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{N}]|-\p{N})",
-    "card": r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{N}])",
+    "card": r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,24}(?![\p{N}])",
 }
 DATES = {"iso": "yyyy-MM-dd", "dotted": "dd.MM.yyyy", "slashed": "MM/dd/yyyy"}
 ANY = "|".join(f"(?:{s})" for s in SHAPES.values())
@@ -75,12 +77,29 @@ def luhn(payload: Column) -> Column:
 
 
 def card(digits: Column, key: str, back: bool = False) -> Column:
-    """Permute all but the last digit; that digit keeps its distance from the check digit, so a valid number stays valid."""
-    n = F.length(digits)
-    body = F.substring(digits, F.lit(1), n - 1)
-    off = F.substring(digits, n, F.lit(1)).cast("int") - luhn(body)
-    new = number(body, key, "card", back)
-    return F.reduce(F.array(new), F.lit(""), lambda _, x: F.concat(x, F.pmod(luhn(x) + off, F.lit(10)).cast("string")))
+    """Permute all but the last digit, which becomes the check digit: valid numbers are permuted among themselves."""
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.reduce(F.array(number(body, key, "card", back)), F.lit(""), lambda _, x: F.concat(x, luhn(x).cast("string")))
+
+
+def card_span(value: Column) -> Column:
+    """Where a run of digits, in groups, holds a number with a right check digit: (n digits, minus the first place, the last place) or null.
+
+    A number starts and ends with whole groups; the longest counts, the first of these.
+    """
+    digit = lambda i: F.substring(value, i, F.lit(1)).rlike("[0-9]")
+    places = F.sequence(F.lit(1), F.length(value))
+    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    ends = F.filter(places, lambda i: digit(i) & ~digit(i + 1))
+    inside = lambda s, e: digits_of(F.substring(value, s, e - s + 1))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: F.struct(F.length(inside(s, e)).alias("n"), (-s).alias("s"), e.alias("e")))))
+    sized = F.filter(spans, lambda x: (x["e"] > -x["s"]) & x["n"].between(CARD_LEAST, CARD_MOST))
+
+    def right(x: Column) -> Column:
+        d = inside(-x["s"], x["e"])
+        return luhn(F.substring(d, F.lit(1), x["n"] - 1)) == F.substring(d, x["n"], F.lit(1)).cast("int")
+
+    return F.array_max(F.filter(sized, right))
 
 
 def refill(value: Column, digits: Column) -> Column:
@@ -96,34 +115,34 @@ def digits_of(value: Column) -> Column:
 
 
 def date(value: Column, pattern: str, key: str, back: bool = False) -> Column:
-    """Permute the days of 400 years; what is no such day stays as it is."""
-    day = F.to_date(F.try_to_timestamp(value, F.lit(pattern)))
-    at = F.datediff(day, F.lit(EPOCH).cast("date"))
-    s = feistel(F.floor(at / DAYS_B), F.pmod(at, F.lit(DAYS_B)), F.lit(DAYS_A), F.lit(DAYS_B), key, F.lit("date"), back)
-    new = F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (s["l"] * DAYS_B + s["r"]).cast("int")), pattern)
-    return F.when(at.between(0, DAYS - 1), new).otherwise(value)
-
+    """Permute the days of 400 years; what is no such day stays as it is.
 
-def day_first(value: Column, key: str, back: bool = False) -> Column:
-    """Permute the days of 400 years that come after a month's twelfth, written dd/MM/yyyy; what is no such day stays as it is.
-
-    Only these cannot be read as MM/dd/yyyy; they stay among themselves, so that the result is read in the same way.
+    Days up to a month's twelfth stay among themselves, and so do the later ones: then a date with slashes is read in the same order
+    before and after, and one permutation serves all ways to write a day.
     """
-    day = F.to_date(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")))
+    day = F.to_date(F.try_to_timestamp(value, F.lit(pattern)))
     epoch = F.lit(EPOCH).cast("date")
     start = lambda m: F.datediff(F.add_months(epoch, m), epoch) - m * 12
     month = (F.year(day) - int(EPOCH[:4])) * 12 + F.month(day) - 1
-    at = start(month) + F.dayofmonth(day) - 13
-    s = feistel(F.floor(at / LATE_B), F.pmod(at, F.lit(LATE_B)), F.lit(LATE_A), F.lit(LATE_B), key, F.lit("day first"), back)
 
-    def written_out(s: Column) -> Column:
-        r = (s["l"] * LATE_B + s["r"]).cast("int")
+    def turned(at: Column, a: int, b: int, part: str, written_out) -> Column:
+        s = feistel(F.floor(at / b), F.pmod(at, F.lit(b)), F.lit(a), F.lit(b), key, F.lit(f"date {part}"), back)
+        return F.reduce(F.array(s), F.lit(""), lambda _, x: F.date_format(written_out((x["l"] * b + x["r"]).cast("int")), pattern))
+
+    def early(r: Column) -> Column:
+        return F.date_add(F.add_months(epoch, F.floor(r / 12).cast("int")), r % 12)
+
+    def late(r: Column) -> Column:
         near = F.floor(r * MONTHS / (LATE_A * LATE_B)).cast("int")
         m = F.array_max(F.filter(F.sequence(near - 2, near + 2), lambda m: start(m) <= r))
-        return F.reduce(F.array(m), F.lit(""), lambda _, m: F.date_format(F.date_add(F.add_months(epoch, m), r - start(m) + 12), "dd/MM/yyyy"))
+        return F.date_add(F.add_months(epoch, m), r - start(m) + 12)
 
-    new = F.reduce(F.array(s), F.lit(""), lambda _, x: written_out(x))
-    return F.when((F.dayofmonth(day) > 12) & month.between(0, MONTHS - 1), new).otherwise(value)
+    known = month.between(0, MONTHS - 1)
+    return (
+        F.when(known & (F.dayofmonth(day) <= 12), turned(month * 12 + F.dayofmonth(day) - 1, EARLY_A, EARLY_B, "early", early))
+        .when(known, turned(start(month) + F.dayofmonth(day) - 13, LATE_A, LATE_B, "late", late))
+        .otherwise(value)
+    )
 
 
 def social(digits: Column, key: str, back: bool = False) -> Column:
@@ -150,9 +169,12 @@ def address(value: Column, key: str, back: bool = False) -> Column:
 
 
 def kind_of(value: Column) -> Column:
+    """The first shape that the value has; null for a run of digits that holds no card number."""
     out = None
     for name, shape in SHAPES.items():
         test = value.rlike(f"^(?:{shape})$")
+        if name == "card":
+            test = test & card_span(value).isNotNull()
         out = F.when(test, name) if out is None else out.when(test, name)
     return out
 
@@ -170,17 +192,23 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
     secret = F.when(value.rlike("[A-F]"), F.upper(hexes)).otherwise(hexes)
     lead = F.regexp_extract(value, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{7,}$)", 0)
     tail = F.substring(value, F.length(lead) + 1, F.length(value))
+    span = lambda x: F.substring(value, -x["s"], x["e"] + x["s"] + 1)
+    number_in = F.reduce(
+        F.array(card_span(value)),
+        value,
+        lambda _, x: F.concat(F.substring(value, F.lit(1), -x["s"] - 1), refill(span(x), card(digits_of(span(x)), key, back)), F.substring(value, x["e"] + 1, F.length(value))),
+    )
     return (
         F.when(kind == "email", mailbox)
         .when(kind == "secret", secret)
         .when(kind == "address", address(value, key, back))
         .when(kind == "iso", date(value, DATES["iso"], key, back))
         .when(kind == "dotted", date(value, DATES["dotted"], key, back))
-        .when((kind == "slashed") & F.try_to_timestamp(value, F.lit(DATES["slashed"])).isNull(), day_first(value, key, back))
+        .when((kind == "slashed") & F.try_to_timestamp(value, F.lit(DATES["slashed"])).isNull(), date(value, "dd/MM/yyyy", key, back))
         .when(kind == "slashed", date(value, DATES["slashed"], key, back))
-        .when(kind.isin("phone", "national"), F.concat(lead, refill(tail, number(digits_of(tail), key, "phone", back))))
+        .when(kind.isin("phone", "national", "trunk"), F.concat(lead, refill(tail, number(digits_of(tail), key, "phone", back))))
         .when(kind == "social", refill(value, social(digits_of(value), key, back)))
-        .when(kind == "card", refill(value, card(digits_of(value), key, back)))
+        .when(kind == "card", number_in)
         .otherwise(value)
     )
 
@@ -189,13 +217,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     """Replace personal data in ``text`` by keyed pseudonyms and add n_numbers, n_dates and n_names.
 
     Found: mailboxes, hexadecimal secrets, IPv4 addresses, calendar dates (slashes as month first, or day first where that is no day),
-    phone numbers with a plus or as 3-3-4 digits, social security numbers in their valid ranges, and card numbers (any 13 to 19
-    digits, as ids are not told from mistyped cards; validity by check digit is preserved). Numbers, addresses and dates go through a Feistel permutation of their own format,
-    so equal values stay linked across documents and none collide. Row-local column expressions: no shuffle and no Python.
+    phone numbers with a plus, as 3-3-4 digits or with a leading 0 in three groups, social security numbers in their valid ranges, and card
+    numbers, which are 13 to 19 digits with a right check digit; other long digits (ids, time stamps) are left alone. Numbers, addresses and dates go
+    through a Feistel permutation of their own format, so equal values stay linked across documents and none collide; a day is the same
+    value however it is written. Row-local column expressions: no shuffle and no Python.
 
     A null text stays null with counts 0; an empty text stays empty. Digits that are no such value (a date that does not exist,
-    an octet above 255) are left alone. Other columns stay; columns with the names of the counts are replaced. With ``back``,
-    numbers, addresses and dates are turned back.
+    an octet above 255) are left alone. Repeated rows get equal results, an empty table stays empty, a text of any length is one pass of
+    the pattern. Other columns stay; columns with the names of the counts are replaced. With ``back``, numbers, addresses and dates are
+    turned back (but for a card number with further groups of digits right beside it, where another span may have become valid).
     """
     column = F.col(f"`{text}`")
     found, = free_name(docs, "_found")
@@ -206,5 +236,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     turned = F.transform(F.col(found), lambda x: pseudonym(x["v"], x["k"], key, back))
     woven = F.array_join(F.zip_with(F.split(column, ANY, -1), turned, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     many = lambda *kinds: F.size(F.filter(F.col(found), lambda x: x["k"].isin(*kinds))).cast("long")
-    counts = {"n_numbers": many("address", "phone", "national", "social", "card"), "n_dates": many(*DATES), "n_names": many("email", "secret")}
+    counts = {"n_numbers": many("address", "phone", "national", "trunk", "social", "card"), "n_dates": many(*DATES), "n_names": many("email", "secret")}
     return out.withColumns(counts | {text: F.when(F.size(found) > 0, woven).otherwise(column)}).drop(found)
