@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from .common import free_name, mix, word_codes, written
 
 BITS = 18
-#: Domains of the labelled table and the shares of all tokens that each shall have; junk that has less is not asked for more (``goals``).
+#: Domains of the labelled table, and the shares of all tokens that junk and toxic texts shall have; ``goals`` makes them reachable.
 DOMAINS = ("clean", "junk", "toxic")
 TARGETS = (0.985, 0.015, 0.0)
-#: Most by which a domain above its target lowers the rate of a document that surely belongs to it; one takes it to zero.
-PULL = 1.5
+#: Part of what a domain gets from other domains' documents (their uncertain posteriors) that may stay.
+SPILL_LEFT = 0.6
 SIGNS = "#*$%&|<>!"
 #: Deviations from chance at which a feature counts.
 DEVIATION = 8.0
@@ -136,25 +136,29 @@ def rates_after(history: np.ndarray, p: np.ndarray, step: float, ridge: float) -
     return rate if not len(history) else np.stack([rate, ahead, moved])
 
 
-def goals(shares: np.ndarray) -> np.ndarray:
-    """``TARGETS``, but junk keeps its share where that is smaller, and clean gets the rest: so clean is never asked for less than it has."""
-    junk = min(TARGETS[1], shares[1])
-    return np.array([1 - junk - TARGETS[2], junk, TARGETS[2]])
+def goals(shares: np.ndarray, spill: np.ndarray) -> np.ndarray:
+    """Shares that documents can reach: ``spill`` is what a domain gets from documents that rather belong to another one.
+
+    A target below ``SPILL_LEFT`` of that would take mostly documents of other domains, so it is raised to there, but not above the share
+    that the domain has. Clean gets the rest, so it is never asked for less than it has.
+    """
+    spill = SPILL_LEFT * spill
+    toxic = min(shares[2], max(TARGETS[2], spill[2]))
+    junk = min(shares[1], max(TARGETS[1], spill[1]))
+    return np.array([1 - junk - toxic, junk, toxic])
 
 
-def fit_rates(members: DataFrame, targets: tuple[float, ...] | None, ridge: float, rounds: int, tolerance: float, relative: bool = False) -> np.ndarray:
-    """Residuals, times c_k and bounded, of the steps of an accelerated projected gradient for
+def fit_rates(members: DataFrame, targets: tuple[float, ...] | None, ridge: float, rounds: int, tolerance: float) -> np.ndarray:
+    """Residuals, times c_k, of the steps of an accelerated projected gradient for
 
         min over r >= 0 of  1/2 sum_k c_k (sum_d w_d r_d p_dk - target_k)^2 + ridge / 2 sum_d w_d (r_d - 1)^2,   w_d = tokens_d / tokens.
 
-    c_k is 1, or with ``relative`` one over the domain's share sum_d w_d p_dk: then the ridge holds a rare domain back no more than a
-    common one (a target of 0 leaves a rate of ridge / (1 + ridge) at any share of a domain that is told apart surely). The square of a
-    domain's excess goes on as a straight line where it would lower rates by more than ``PULL`` p_dk: a target below what uncertain
-    posteriors add up to would otherwise take the documents that hardly belong to the domain.
+    c_k is one over the domain's share sum_d w_d p_dk: then the ridge holds a rare domain back no more than a common one (a target
+    is missed by the share times ``ridge`` times a small number, 1 to 3 on the given tables, at any share of the domain).
     In the metric of the weights w the gradient is p_d . (c residual) + ridge (r_d - 1), with a Lipschitz constant of at most 1 + ridge at
-    any size (with ``relative`` the rows of sum_d w_d p_dj p_dk c_j add up to 1). Steps end when the last one moved the rates by less than
+    any size (the rows of sum_d w_d p_dj p_dk c_j add up to 1). Steps end when the last one moved the rates by less than
     ``tolerance`` on the average of every domain, so a rare domain counts as much as a common one. Without targets they are the ``goals``.
-    A step is one distributed aggregate of two numbers per domain. Documents' rates are functions of the residuals so far, so no
+    A step is one distributed aggregate of three numbers per domain. Documents' rates are functions of the residuals so far, so no
     state of the documents is kept between steps and a lost executor loses nothing.
     """
     k, step = len(DOMAINS if targets is None else targets), 1 / (1 + ridge)
@@ -166,22 +170,24 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] | None, ridge: floa
         past = history
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(2 * k)
+            out = np.zeros(3 * k)
             for b in batches:
                 p = b.column(1).flatten().to_numpy().reshape(-1, k)
                 now, n = rates_after(past, p, step, ridge), b.column(0).to_numpy()
-                out += np.concatenate([(n * (now[1] if len(past) else now)) @ p, (n * abs(now[2])) @ p if len(past) else np.zeros(k)])
+                rate, moved = (now[1], abs(now[2])) if len(past) else (now, np.zeros(len(p)))
+                others = np.where(np.arange(k) == p.argmax(axis=1)[:, None], 0, p) if len(p) else p
+                out += np.concatenate([(n * rate) @ p, (n * moved) @ p, n @ others])
             yield pa.RecordBatch.from_pydict({f"s{i}": [x] for i, x in enumerate(out)})
 
         # a row for each task, added up on the executors
-        s = members.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*[F.sum(f"s{i}") for i in range(2 * k)]).first()
+        s = members.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(3 * k))).agg(*[F.sum(f"s{i}") for i in range(3 * k)]).first()
         now = np.array([x or 0.0 for x in s]) / total
         if shares is None:  # rates are one before the first step
             shares = now[:k]
-            goal = goals(shares) if targets is None else np.array(targets, float)
-            scale = np.divide(1.0, shares, out=np.zeros(k), where=shares > 0) if relative else np.ones(k)
-        done = len(history) and (now[k:] <= tolerance * shares).all()
-        history = np.vstack([history, np.minimum(scale * (now[:k] - goal), PULL * ridge if relative else np.inf)])
+            goal = goals(shares, now[2 * k :]) if targets is None else np.array(targets, float)
+            scale = np.divide(1.0, shares, out=np.zeros(k), where=shares > 0)
+        done = len(history) and (now[k : 2 * k] <= tolerance * shares).all()
+        history = np.vstack([history, scale * (now[:k] - goal)])
         if done:
             break
     return history
@@ -192,7 +198,7 @@ def mix_sources(
     labels: DataFrame,
     targets: tuple[float, ...] | None = None,
     ridge: float = 0.01,
-    rounds: int = 80,
+    rounds: int = 300,
     tolerance: float = 1e-5,
     sample: int = 20_000,
     carry: list[str] | None = None,
@@ -201,7 +207,7 @@ def mix_sources(
 
     Returns the columns of ``docs`` (or those in ``carry``, with doc_id) with n_tokens (words between ASCII white space), p_clean, p_junk, p_toxic (the classifier's posterior),
     rate (nonnegative, fitted) and copies, the rate rounded up or down by a hash of the row so that totals are met in expectation.
-    Null or empty texts have no tokens, the prior's posterior and rate zero copies; a null id is rounded like any other value; equal
+    A text of any length counts whole. Null or empty texts have no tokens, the prior's posterior and rate zero copies; a null id is rounded like any other value; equal
     rows get equal results; an empty table gives no rows. Columns with the names of the results are replaced.
     """
     model = fit_classifier(docs, labels, sample)
@@ -220,7 +226,7 @@ def mix_sources(
     # the steps read a narrow table in few parts, not one task for each file of texts
     narrow = held.select("n_tokens", F.col(p).alias("p")).where("n_tokens > 0")
     narrow = written(narrow.repartition(max(1, narrow.count() // 500_000)))
-    history = fit_rates(narrow, targets, ridge, rounds, tolerance, relative=True)
+    history = fit_rates(narrow, targets, ridge, rounds, tolerance)
 
     @F.pandas_udf("double")
     def rated(ps: pd.Series) -> pd.Series:

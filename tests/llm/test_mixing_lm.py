@@ -15,28 +15,47 @@ SF = "/root/testdata/sf0.01"
 
 
 def solve(n, p, goal, ridge):
-    """The rates by Newton-free fixed point: r = max(0, 1 - p.y), y = residual / ridge, found by damped steps."""
+    """The rates by the dual's fixed point: r = max(0, 1 - p.y), y = scaled residual / ridge, found by damped steps."""
     w, y = n / n.sum(), np.zeros(len(goal))
-    for _ in range(200_000):
+    c = 1 / (w @ p)
+    for _ in range(400_000):
         r = np.maximum(0, 1 - p @ y)
-        new = ((w * r) @ p - goal) / ridge
-        if np.abs(new - y).max() < 1e-10:
+        new = c * ((w * r) @ p - goal) / ridge
+        if np.abs(new - y).max() < 1e-9:
             break
         y += 0.002 * (new - y)
     return np.maximum(0, 1 - p @ y)
 
 
-def test_rates_solve_the_least_squares(spark):
+@pytest.mark.parametrize("goal", [(0.7, 0.3, 0.0), None])
+def test_rates_solve_the_least_squares(spark, goal):
     rng = np.random.default_rng(1)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    p = rng.dirichlet([0.6, 0.2, 0.2], 200) if goal is None else rng.dirichlet([0.3, 0.3, 0.3], 200)
     n = rng.integers(1, 500, 200)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    goal = (0.7, 0.3, 0.0)
-    history = mixing.fit_rates(df, goal, 0.05, 200, 1e-9)
+    history = mixing.fit_rates(df, goal, 0.05, 400, 1e-9)
     got = mixing.rates_after(history, p, 1 / 1.05, 0.05)[0]
+    w = n / n.sum()
+    if goal is None:
+        spill = [sum(a * x[k] for a, x in zip(w, p) if max(x) > x[k]) for k in range(3)]
+        toxic, junk = (min((w @ p)[k], max(t, 0.6 * spill[k])) for k, t in ((2, 0.0), (1, 0.015)))
+        goal = (1 - junk - toxic, junk, toxic)
     assert np.allclose(got, solve(n, p, np.array(goal), 0.05), atol=2e-3) and (got >= 0).all()
 
 
+def test_default_goals_are_reached_on_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.mix_sources(docs, labels, carry=["doc_id"]).toPandas()
+    p, w = rows[["p_clean", "p_junk", "p_toxic"]].to_numpy(), rows["n_tokens"].to_numpy() / rows["n_tokens"].sum()
+    spill = [(w * p[:, k])[p.argmax(axis=1) != k].sum() for k in range(3)]
+    goal = mixing.goals(w @ p, np.array(spill))
+    got = (w * rows["rate"].to_numpy()) @ p
+    assert (abs(got - goal) <= 0.04 * (w @ p)).all() and abs(got.sum() - 1) < 0.02
+    truth = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("d")).toPandas().merge(rows, on="doc_id")
+    kept = (truth["copies"] > 0).groupby(truth["d"]).mean()
+    assert kept[0] > 0.95 and kept[1] < 0.2 and kept[2] < 0.2
+
+
 def test_mixing_meets_targets_and_tells_toxic_texts(spark):
     rng = random.Random(2)
     docs, labels = [], []
