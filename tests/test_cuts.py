@@ -237,3 +237,12 @@ def test_windows_by_parts(spark):
     df = spark.createDataFrame(rows, "image_id int, y int, px array<bigint>")
     for f in (lambda b: C.smooth(C.row_profile(df), b), lambda b: C.detail_rows(df, bits=b)):
         assert sorted(f(3).collect()) == sorted(f(16).collect())
+
+
+def test_listed_rows_are_not_broadcast(spark):
+    slices = spark.createDataFrame([(1, 0, 0, 300), (1, 1, 300, 301)], "image_id int, k int, y0 int, y1 int")
+    detail = spark.range(301).selectExpr("1 as image_id", "cast(id as int) as y", "10 as width", "3 as mid", "5 as top", "7 as bot")
+    ranges = spark.createDataFrame([(1, 100, 200)], "image_id int, a int, b int")
+    scored = C.art_scores(slices, detail, ranges)
+    assert sorted((r.k, r.art) for r in scored.collect()) == [(0, (198 * 3 + 5 + 7) / 2000), (1, 0.0)]
+    assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
