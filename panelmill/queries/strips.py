@@ -78,7 +78,8 @@ def strip_size_cuts_blocks(spark, sf):
 
 @query("strip_snapped_cuts", on_strips(Q.SNAP))
 def strip_snapped_cuts(spark, sf):
-    return _split(spark, sf, _targets(spark, sf), merge=False)
+    """Strips without story targets stay whole."""
+    return _split(spark, sf, _targets(spark, sf), merge=False, by_size=False)
 
 
 @query("strip_panels", on_strips(Q.MERGE))

@@ -246,3 +246,21 @@ def test_listed_rows_are_not_broadcast(spark):
     scored = C.art_scores(slices, detail, ranges)
     assert sorted((r.k, r.art) for r in scored.collect()) == [(0, (198 * 3 + 5 + 7) / 2000), (1, 0.0)]
     assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapped_images_without_targets_follow_the_sql(spark, tmp_path):
+    """More images than customers' numbers name: those without a target stay whole."""
+    import oracle
+    from panelmill import queries as registry
+
+    registry.load()
+    sf = "/root/testdata/sf0.001"
+    far = spark.read.parquet(f"{sf}/embeddings.parquet")
+    far.unionByName(far.withColumn("vec_id", F.col("vec_id") + 2000)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("lineitem", "customer"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    con = oracle.duckdb.connect()
+    for name in ("embeddings", "lineitem", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    name = "story_snapped_cuts"
+    assert oracle.compare(spark, con, str(tmp_path), name, registry.QUERIES[name], registry.ORACLES[name]) is None
