@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .graphs import path
-from .ordering import look_up, ordinal
+from .ordering import in_groups, look_up, ordinal
 
 # A block holds STEP boxes, or more on images that would have over BLOCKS of them.
 STEP = 4096
@@ -26,18 +26,56 @@ def reach(last: np.ndarray, least: np.ndarray) -> np.ndarray:
     return t
 
 
-def next_at_least(values: np.ndarray, start: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """First place from ``start`` on with a value of ``t`` or more, len(values) if there is none."""
+def maxima(values: np.ndarray, span: int) -> list[np.ndarray]:
+    """The largest of each 1, 2, 4 … successive values, up to ``span`` of them."""
     table = [values]
-    while 2 ** len(table) <= len(values):
+    while 2 ** len(table) <= min(span, len(values)):
         x, s = table[-1], 1 << (len(table) - 1)
         table.append(np.maximum(x[:-s], x[s:]))
+    return table
+
+
+def first_at_least(table: list[np.ndarray], start: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """First place from ``start`` on with a value of ``t`` or more; a place beyond the table's span, or the number of values, if there is none."""
     at = start.astype(np.int64)
     for k in range(len(table) - 1, -1, -1):
         x = table[k]
         fits = at < len(x)
         at = np.where(fits & (x[np.minimum(at, len(x) - 1)] < t), at + (1 << k), at)
-    return np.minimum(at, len(values))
+    return np.minimum(at, len(table[0]))
+
+
+def next_at_least(values: np.ndarray, start: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """First place from ``start`` on with a value of ``t`` or more, len(values) if there is none."""
+    return first_at_least(maxima(values, len(values)), start, t)
+
+
+def cuts_within(boxes: DataFrame, page: str, ideal: float, most: float) -> DataFrame:
+    """Cuts (page, t, page_h) of images whose boxes (page, y, pos, h, ends, w, page_h) fit a block: the walks of many images go on side by side."""
+    kind = {c: boxes.schema[c].dataType.simpleString() for c in (page, "page_h")}
+
+    def walk(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        y, w = rows["y"].to_numpy(float), rows["w"].to_numpy(float)
+        stop = np.append(first[1:], len(y))
+        bottom, below = y + rows["h"].to_numpy(float), np.append(y[1:], np.nan)
+        below[stop - 1] = np.nan
+        mid, gap = (bottom + below) / 2, below - bottom
+        # an image's last box has no cut after it
+        tight = np.where(np.isnan(below), -np.inf, bottom)
+        loose = np.where(rows["ends"].to_numpy(bool) | (gap > w * 0.5), tight, -np.inf)
+        any_, free = (maxima(x, int((stop - first).max())) for x in (tight, loose))
+        begin, last, width, found = first, np.zeros(len(first)), w[first], []
+        while begin.size:
+            at = np.minimum(first_at_least(any_, begin, reach(last, width * most)), first_at_least(free, begin, reach(last, width * ideal)))
+            on = at < stop
+            at, stop = at[on], stop[on]
+            found.append(at)
+            begin, last, width = at + 1, mid[at], w[at]
+        cut = np.concatenate(found)
+        return pd.DataFrame({page: rows[page].to_numpy()[cut], "page_h": rows["page_h"].to_numpy()[cut], "t": mid[cut]})
+
+    slim = boxes.where("y is not null").select(page, "y", "pos", "h", "ends", "w", "page_h")
+    return in_groups(slim, [page], ["y", "pos"], walk, f"{page} {kind[page]}, page_h {kind['page_h']}, t double")
 
 
 def cut_links(boxes: DataFrame, page: str, ideal: float, most: float, step: int = STEP, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:

@@ -264,3 +264,18 @@ def test_snapped_images_without_targets_follow_the_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     name = "story_snapped_cuts"
     assert oracle.compare(spark, con, str(tmp_path), name, registry.QUERIES[name], registry.ORACLES[name]) is None
+
+
+def test_many_small_images_walk_together(spark):
+    rng = random.Random(5)
+    boxes = [(i, b, 8 * rng.randrange(400), rng.randrange(10, 400), rng.choice(["a.", "b"]), 400, 3600) for i in range(60) for b in range(rng.randrange(0, 40))]
+    df = spark.createDataFrame(boxes, "image_id int, box_id int, y int, h int, text string, page_w int, page_h int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # images lie across batches
+    try:
+        together = C.story_cuts(df, limit=0)
+        got = sorted(map(tuple, together.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got and got == sorted(map(tuple, C.story_cuts(df).collect()))
+    # no Python call for each image, however small
+    assert "FlatMap" not in together._jdf.queryExecution().executedPlan().toString()
