@@ -145,3 +145,23 @@ def test_long_chain_settles_in_few_rounds(spark):
     assert rounds <= 20 and {r.label for r in labels.collect()} == {5}
     got = {r.box_id: r.label for r in B._hot_labels(rects, "image_id").collect()}
     assert all(got[b] == 5 for _, b, *_ in chain) and all(got[b] == b for _, b, *_ in loose)
+
+
+def test_coverage_lists_no_rows_of_boxes(spark):
+    """Boxes of very different heights, above row 0 too, on a page of the usual kind and on a crowded one."""
+    rng = random.Random(3)
+    runs = [(p, y, x, x + 5) for p in (1, 2) for y in range(-30, 400, 2) for x in (10, 30)]
+    boxes = [(p, n, x, y, x + rng.randrange(30), y + rng.choice([0, 7, 63, 64, 300])) for n in range(80) for p in (1, 2)
+             for x, y in [(rng.randrange(40), rng.randrange(-40, 200))]]
+    boxes += [(1, 90, 0, -40, 50, -40), (3, 91, 0, 0, 9, 9)]
+    df = spark.createDataFrame(boxes, "image_id int, box_id int, x1 int, y1 int, x2 int, y2 int")
+    marks = spark.createDataFrame(runs, "image_id int, y int, x0 int, x1 int")
+
+    def area(b):
+        return sum(max(0, min(r[3], b[4] + 1) - max(r[2], b[2])) for r in runs if r[0] == b[0] and b[3] <= r[1] <= b[5])
+
+    want = {b[:2]: area(b) for b in boxes}
+    for limit in (1 << 16, 79):
+        out = B.box_coverage(marks, df, limit=limit)
+        assert {(r.image_id, r.box_id): r.covered for r in out.collect()} == want
+        assert "sequence(y1" not in out._jdf.queryExecution().optimizedPlan().toString()
