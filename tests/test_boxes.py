@@ -165,3 +165,17 @@ def test_coverage_lists_no_rows_of_boxes(spark):
         out = B.box_coverage(marks, df, limit=limit)
         assert {(r.image_id, r.box_id): r.covered for r in out.collect()} == want
         assert "sequence(y1" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("local, fewest", [(1 << 14, 0), (20, 1)])
+def test_components_of_many_small_groups(spark, local, fewest):
+    """Groups with few edges are settled where the edges meet, others by rounds; doubled edges change nothing."""
+    rng = random.Random(8)
+    edges = [(g, rng.randrange(30), rng.randrange(30)) for g in range(40) for _ in range(g)]
+    edges = [(g, a, b) for g, a, b in edges if a != b] * 2
+    df = spark.createDataFrame(edges, "image_id int, a bigint, b bigint")
+    labels, rounds = graphs.components(df, ["image_id"], local=local)
+    plain, _ = graphs.components(df, ["image_id"])
+    got = sorted(map(tuple, labels.collect()))
+    assert got and got == sorted(map(tuple, plain.collect()))
+    assert (rounds > 0) == bool(fewest)
