@@ -279,3 +279,22 @@ def test_many_small_images_walk_together(spark):
     assert got and got == sorted(map(tuple, C.story_cuts(df).collect()))
     # no Python call for each image, however small
     assert "FlatMap" not in together._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 0])
+def test_panels_of_many_images_take_no_call_each(spark, limit):
+    """Images across Arrow batches, one of them without rows: the same panels, and no Python call per image or block."""
+    grey = {i: strip(i) for i in range(12)}
+    df = spark.createDataFrame([(i, y, [int(v) for v in g[y]]) for i, g in grey.items() for y in range(len(g))], "image_id int, y int, px array<bigint>")
+    images = spark.createDataFrame([(i, 200, 40) for i in (*grey, 99)], "image_id int, h int, w int")
+    ranges = spark.createDataFrame([(2, 30, 60), (5, 0, 200)], "image_id int, a int, b int")
+    cut = lambda: C.split_panels(C.smooth(C.row_profile(df)), C.detail_rows(df), images, ranges, limit=limit, block=64)
+    want = sorted(map(tuple, cut().collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        split = cut()
+        got = sorted(map(tuple, split.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and (99, 0, 0, 200, False) in got and len(got) > 20
+    assert "FlatMapGroups" not in split._jdf.queryExecution().executedPlan().toString()
