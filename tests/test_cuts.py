@@ -298,3 +298,11 @@ def test_panels_of_many_images_take_no_call_each(spark, limit):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and (99, 0, 0, 200, False) in got and len(got) > 20
     assert "FlatMapGroups" not in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slopes_of_a_row_are_worked_out_once(spark):
+    g = strip(3, height=30)
+    df = spark.createDataFrame([(1, y, [int(v) for v in g[y]]) for y in range(30)], "image_id int, y int, px array<bigint>")
+    whole = C.detail_rows(df)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, C.detail_rows(df, bits=2).collect()))
+    assert "lag(xc" in whole._jdf.queryExecution().optimizedPlan().toString()
