@@ -5,18 +5,21 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, deal, mix, per_process, unpacked, width, word_codes, words_of, written
+from .common import deal, mix, unpacked, width, words_of, written
 
 DEPTH = 5  # bytes of context; a gram has one more
 GRAM = (1 << 8 * (DEPTH + 1)) - 1
 END = b"\n"
-SLICE = 1 << 21
+ROOM = 64 - 8 * (DEPTH + 1)  # bits that a gram leaves free
+SLICE = 1 << ROOM
 BYTES, WORDS = 0, 1
 
 
@@ -28,8 +31,9 @@ def held_out(doc_id) -> bool:
 class Stream:
     """Documents as bytes: each word and a space, then an end byte; DEPTH end bytes stand before as the first context."""
 
-    def __init__(self, texts: list[str | None]):
-        raw = [b" ".join([*words_of(t), END]) for t in texts]
+    def __init__(self, texts: list[str | None], said: list[list[bytes]] | None = None):
+        """``said`` holds the words of the texts, where they are known."""
+        raw = [b" ".join([*words, END]) for words in said or map(words_of, texts)]
         self.bytes = np.frombuffer(b"".join(END * DEPTH + x for x in raw), np.uint8)
         size = np.array([len(x) + DEPTH for x in raw], np.int64)
         self.ends = np.cumsum(size)
@@ -51,13 +55,24 @@ class Stream:
             yield lo, code, own
 
 
+def ranked(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of a slice, and which of them stands at each place. A gram and its place share 64 bits, so plain numbers are sorted."""
+    both = np.sort(grams << np.uint64(ROOM) | np.arange(len(grams), dtype=np.uint64))
+    grams, place = both >> np.uint64(ROOM), (both & np.uint64(SLICE - 1)).astype(np.int64)
+    new = np.append(True, grams[1:] != grams[:-1])
+    which = np.empty(len(grams), np.uint16)
+    which[place] = np.cumsum(new) - 1
+    return grams[new], which
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     flat = np.concatenate(keys)
     if counts is None:
-        return np.unique(flat), np.zeros(0, np.int64)
+        flat = np.sort(flat)
+        return flat[np.append(True, flat[1:] != flat[:-1])[: len(flat)]], np.zeros(0, np.int64)
     order = np.argsort(flat)
     flat, n = flat[order], np.concatenate(counts)[order]
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))[: len(flat)]
@@ -78,10 +93,10 @@ def by_bucket(kind: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int,
         yield int(bucket[order[a]]), order[a:b]
 
 
-def all_words(texts: list[str | None]) -> np.ndarray:
+def all_words(said: list[list[bytes]]) -> np.ndarray:
     """Codes of the tokens of all texts: the words of each, then its end."""
-    end = np.array([per_process("codes", Codes)[END]], np.uint64)
-    return np.concatenate([x for t in texts for x in (word_codes(t), end)]) if texts else np.zeros(0, np.uint64)
+    tokens = chain.from_iterable(chain(words, (END,)) for words in said)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, sum(map(len, said)) + len(said))
 
 
 @dataclass
@@ -214,12 +229,13 @@ class Part:
     """Some documents of a chunk: distinct grams and words, and where the places of the texts point among them."""
 
     def __init__(self, texts: list[str | None]):
-        self.stream, words = Stream(texts), all_words(texts)
+        said = [words_of(t) for t in texts]
+        self.stream, words = Stream(texts, said), all_words(said)
         # a place that predicts nothing spans two texts: it must not tell in which order a chunk's texts came
-        self.grams = [(lo, own, u, i.astype(np.int32)) for lo, code, own in self.stream.grams() for u, i in [np.unique(np.where(own, code, 0), return_inverse=True)]]
+        self.grams = [(lo, own, *ranked(np.where(own, code, np.uint64(0)))) for lo, code, own in self.stream.grams()]
         self.words, place = np.unique(words, return_inverse=True)
         self.place = place.astype(np.int32)
-        self.tokens = np.array([len(words_of(t)) + 1 for t in texts])
+        self.tokens = np.array([len(words) + 1 for words in said])
 
 
 def parts_of(texts: list[str | None]) -> tuple[list[tuple[int, np.ndarray]], list[Part]]:
@@ -361,11 +377,11 @@ def score(docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 3, see
         out = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
         for p in parts:
             keys, value = table[BYTES]
-            ends, starts, sums = p.stream.ends, p.stream.starts, np.zeros(len(p.tokens))
+            # a text's places are added up at once: where slices part must not show in its score
+            logp = np.zeros(len(p.stream.bytes))
             for lo, own, u, i in p.grams:
-                logp = np.where(own, value[np.searchsorted(keys, u)].astype(np.float64)[i], 0.0)
-                doc = np.searchsorted(ends, np.array([lo, lo + len(i) - 1]), "right")
-                sums[doc[0] : doc[1] + 1] += np.add.reduceat(logp, np.maximum(starts[doc[0] : doc[1] + 1], lo) - lo)
+                logp[lo : lo + len(i)] = np.where(own, value[np.searchsorted(keys, u)].astype(np.float64)[i], 0.0)
+            sums = np.add.reduceat(logp, p.stream.starts)
             keys, count = table[WORDS]
             c = count[np.searchsorted(keys, p.words)]
             first = np.cumsum(p.tokens) - p.tokens

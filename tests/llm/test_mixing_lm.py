@@ -143,6 +143,28 @@ def test_scores(spark):
     assert len(again) == 2 and again[0] == again[1]
 
 
+def test_copies_score_alike_wherever_slices_part_them(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(22_000))
+    got = lm.score(spark.createDataFrame([(i, text) for i in range(80)], "doc_id long, text string")).collect()
+    assert len(got) == 80 and len({r["score"] for r in got}) == 1
+
+
+def test_a_chunk_splits_its_texts_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "words_of", lambda t: seen.append(t) or words_of(t))
+    lm.parts_of(["the sea", "a tree", None])
+    assert len(seen) == 3
+
+
+def test_ranked_grams():
+    rng = np.random.default_rng(9)
+    for n in (1, 7, lm.SLICE):
+        grams = rng.choice(np.append(rng.integers(0, lm.GRAM, n, np.uint64), [0, lm.GRAM]).astype(np.uint64), n)
+        keys, which = lm.ranked(grams)
+        assert (keys == np.unique(grams)).all() and (keys[which] == grams).all()
+
+
 def test_predictions_sum_to_one():
     rng = np.random.default_rng(3)
     text = lm.Stream(["the sea the tree " * 20, "a tree by the sea " * 9, None])
