@@ -266,6 +266,26 @@ def test_snapped_images_without_targets_follow_the_sql(spark, tmp_path):
     assert oracle.compare(spark, con, str(tmp_path), name, registry.QUERIES[name], registry.ORACLES[name]) is None
 
 
+def test_strips_keep_their_rows_in_small_partitions(spark):
+    """An image's sizes and targets come with its rows, however Spark joins the partitions of either."""
+    assert _in_small_partitions(spark, "strip_snapped_cuts") is None
+
+
+def _in_small_partitions(spark, name):
+    import oracle
+    from panelmill import queries as registry
+
+    registry.load()
+    sf, small = "/root/testdata/sf0.001", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    spark.conf.set(small, "1")
+    try:
+        return oracle.compare(spark, oracle.connect(sf), sf, name, registry.QUERIES[name], registry.ORACLES[name])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(small)
+
+
 def test_many_small_images_walk_together(spark):
     rng = random.Random(5)
     boxes = [(i, b, 8 * rng.randrange(400), rng.randrange(10, 400), rng.choice(["a.", "b"]), 400, 3600) for i in range(60) for b in range(rng.randrange(0, 40))]

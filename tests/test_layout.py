@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,19 @@ def test_hot_key_look_up_is_spread(spark):
     assert {(r.k, r.w) for r in out.select("k", "w").distinct().collect()} == {("hot", 5), ("b", 6)}
 
 
+def test_groups_stay_whole_when_a_join_is_planned_anew(spark):
+    """A join planned as an exchange of both sides becomes a broadcast while it runs, and reads the larger side's exchange in other pieces."""
+    rows = spark.range(0, 400_000, 1, 8).selectExpr("id % 40 as k", "id as v")
+    few = spark.range(0, 400_000, 1, 8).where("id < 40").selectExpr("id % 40 as k", "id as c")
+    sizes = lambda part, first: part.iloc[first][["k"]].assign(n=[len(g) for g in np.split(part["v"].to_numpy(), first[1:])])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        got = sorted(map(tuple, O.in_groups(rows.join(few, "k"), ["k"], ["v"], sizes, "k bigint, n bigint").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(k, 10_000) for k in range(40)]
+
+
 def test_split_hot(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "k string")
     small, hot = O.split_hot(df, ["k"], 3)
