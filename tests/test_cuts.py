@@ -271,6 +271,10 @@ def test_strips_keep_their_rows_in_small_partitions(spark):
     assert _in_small_partitions(spark, "strip_snapped_cuts") is None
 
 
+def test_images_keep_their_rows_in_small_partitions(spark):
+    assert _in_small_partitions(spark, "story_snapped_cuts") is None
+
+
 def _in_small_partitions(spark, name):
     import oracle
     from panelmill import queries as registry
