@@ -60,6 +60,25 @@ def test_packing_by_blocks_takes_no_call_each(spark):
     assert "FlatMap" not in packed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packing_when_a_join_is_planned_anew(spark):
+    """Walks that flow down the levels meet all entries of their group, also where few of them are broadcast while the plan runs."""
+    rng, rows, want = random.Random(7), [], set()
+    for name in map(str, range(20)):
+        heights = [rng.choice([10, 500, 90]) for _ in range(200)]
+        rows += [(name, s, h) for s, h in enumerate(heights)]
+        want |= {(name, s, p) for s, p in enumerate(greedy(heights, 1000))}
+    df = spark.createDataFrame(rows, "chapter string, seq bigint, new_h bigint")
+    small = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    spark.conf.set(small, "1")
+    try:
+        got = {tuple(r) for r in L.pack(df, cap=1000, limit=0, stretch=3000, fan_in=4).select("chapter", "seq", "pack").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(small)
+    assert got == want
+
+
 def test_running_and_ordinal_over_blocks(spark):
     rng = random.Random(1)
     rows = [(k, s, rng.randint(0, 9)) for k in "ab" for s in rng.sample(range(1000), 300)]
